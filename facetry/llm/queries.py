@@ -1,17 +1,19 @@
 """The queries of this subpackage and, where SQL can state them, the same results in DuckDB's SQL."""
 
-from facetry.llm import minhash, packing, quality, sharding, tokens, warc
+from facetry.llm import minhash, packing, quality, sharding, suffixes, tokens, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_packing": packing.op2_packing,
     "op3_sharding": sharding.op3_sharding,
     "op6_bpe": tokens.op6_bpe,
+    "op7_suffixes": suffixes.op7_suffixes,
     "op9_near_duplicates": minhash.op9_near_duplicates,
     "op10_quality": quality.op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": warc.OP1_SQL,
+    "op7_suffixes": suffixes.op7_suffixes,
     "op9_near_duplicates": minhash.OP9_SQL,
 }
