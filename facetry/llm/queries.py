@@ -1,13 +1,15 @@
 """The queries of this subpackage and, where SQL can state them, the same results in DuckDB's SQL."""
 
-from facetry.llm import minhash, packing, quality, sharding, suffixes, tokens, warc
+from facetry.llm import minhash, packing, pii, quality, sharding, suffixes, tokens, topk, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_packing": packing.op2_packing,
     "op3_sharding": sharding.op3_sharding,
+    "op5_pii": pii.op5_pii,
     "op6_bpe": tokens.op6_bpe,
     "op7_suffixes": suffixes.op7_suffixes,
+    "op8_top_k": topk.op8_top_k,
     "op9_near_duplicates": minhash.op9_near_duplicates,
     "op10_quality": quality.op10_quality,
 }
@@ -15,5 +17,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": warc.OP1_SQL,
     "op7_suffixes": suffixes.op7_suffixes,
+    "op8_top_k": topk.OP8_SQL,
     "op9_near_duplicates": minhash.OP9_SQL,
 }
