@@ -28,6 +28,7 @@ from facetry.llm.shared import table
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1
 SAMPLE, WIDTH, SURE, ROUNDS = 4000, 4096, 0.9, 8
+CHAIN_PRIOR, SKIP_PRIOR = 2.0, 5.0
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -36,6 +37,7 @@ DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])+")
 CALLS = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
 WORTH = re.compile(r"[0-9@]")
+PLAIN = re.compile(r"[+().0-9-]+[,;:]?")
 LOCAL_SIGNS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 Span = tuple[str, int, int]
@@ -109,7 +111,12 @@ class Graph:
             while to < len(marks) and near[to]:
                 to += 1
             for i in range(at, to):
-                groups[i] = " ".join(tokens[max(at, i - 3) : min(to, i + 4)])
+                a = b = i
+                while a > max(at, i - 3) and PLAIN.fullmatch(tokens[i]) and PLAIN.fullmatch(tokens[a - 1]):
+                    a -= 1
+                while b + 1 < min(to, i + 4) and PLAIN.fullmatch(tokens[i]) and PLAIN.fullmatch(tokens[b + 1]):
+                    b += 1
+                groups[i] = " ".join(tokens[a : b + 1])
             at = to
         x, last, skip = [], {}, []
         for i, token in enumerate(tokens):
@@ -140,9 +147,13 @@ class Field:
     chain: np.ndarray
     skip: np.ndarray
 
-    def marginals(self, g: Graph, rounds: int = ROUNDS) -> np.ndarray:
-        """Label probabilities of each token, by sum-product messages along all edges, in both directions, at once."""
+    def marginals(self, g: Graph, known: np.ndarray | None = None, rounds: int = ROUNDS) -> np.ndarray:
+        """Label probabilities of each token, by sum-product messages along all edges, in both directions, at once.
+        ``known``: labels above 0 are evidence."""
         scores = self.unary[g.x].sum(1)
+        if known is not None:
+            at = np.flatnonzero(known)
+            scores[at, known[at]] += 30.0
         edges = np.concatenate([g.chain, g.skip])
         if not len(edges):
             return _soft(scores)
@@ -170,8 +181,8 @@ def _soft(scores: np.ndarray) -> np.ndarray:
 
 def fit(graphs: list[tuple[Graph, np.ndarray]], steps: int = 150, rate: float = 0.1, decay: float = 1e-4) -> Field:
     """Weights of largest pseudo-likelihood; pair potentials start, and are drawn towards, favouring equal labels."""
-    prior = 2.0 * np.eye(LABELS)
-    theta = [np.zeros((WIDTH, LABELS)), prior.copy(), prior.copy()]
+    priors = [0.0, CHAIN_PRIOR * np.eye(LABELS), SKIP_PRIOR * np.eye(LABELS)]
+    theta = [np.zeros((WIDTH, LABELS)), priors[1].copy(), priors[2].copy()]
     theta[0][:, 0] = 0.2
     size = np.cumsum([0] + [len(y) for _, y in graphs])
     x = np.concatenate([g.x for g, _ in graphs])
@@ -185,13 +196,13 @@ def fit(graphs: list[tuple[Graph, np.ndarray]], steps: int = 150, rate: float =
             np.add.at(scores, edges[:, 1], w[y[edges[:, 0]]])
             np.add.at(scores, edges[:, 0], w.T[y[edges[:, 1]]])
         off = (_soft(scores) - target) / len(y)
-        grads = [np.zeros_like(theta[0]), np.zeros_like(prior), np.zeros_like(prior)]
+        grads = [np.zeros_like(t) for t in theta]
         np.add.at(grads[0], x, off[:, None, :])
         for edges, k in ((chain, 1), (skip, 2)):
             np.add.at(grads[k], y[edges[:, 0]], off[edges[:, 1]])
             np.add.at(grads[k].T, y[edges[:, 1]], off[edges[:, 0]])
         for k, t in enumerate(theta):
-            grads[k] += decay * (t - (prior if k else 0))
+            grads[k] += decay * (t - priors[k])
             first[k] = 0.9 * first[k] + 0.1 * grads[k]
             second[k] = 0.99 * second[k] + 0.01 * grads[k] ** 2
             t -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
@@ -204,9 +215,10 @@ def added_spans(text: str, base: list[Span], field: Field | None) -> list[Span]:
     g = Graph.of(text)
     if not len(g.places):
         return []
-    chance = field.marginals(g)
+    known = g.labels(base)
+    chance = field.marginals(g, known)
     label = np.where(chance.max(1) >= SURE, chance.argmax(1), 0)
-    label[g.labels(base) > 0] = 0
+    label[known > 0] = 0
     out: list[Span] = []
     runs: list[list[int]] = []
     touching = {tuple(e) for e in g.chain.tolist()}

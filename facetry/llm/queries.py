@@ -1,11 +1,12 @@
 """The queries of this subpackage and, where SQL can state them, the same results in DuckDB's SQL."""
 
-from facetry.llm import minhash, packing, pii, quality, sharding, suffixes, tokens, topk, warc
+from facetry.llm import minhash, packing, pii, quality, scoring, sharding, suffixes, tokens, topk, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_packing": packing.op2_packing,
     "op3_sharding": sharding.op3_sharding,
+    "op4_scoring": scoring.op4_scoring,
     "op5_pii": pii.op5_pii,
     "op6_bpe": tokens.op6_bpe,
     "op7_suffixes": suffixes.op7_suffixes,
