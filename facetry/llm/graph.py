@@ -46,7 +46,7 @@ def components(edges: DataFrame) -> DataFrame:
     Batches are contracted locally first. Every round then joins each node with its least neighbour; the largest table
     is the edge table, and no node's neighbours are ever collected."""
     contract = lambda df: df.select("a", "b").mapInPandas(contracted, "a long, b long")
-    edges = settled(contract(edges.where("a is not null and b is not null and a <> b")).distinct())
+    edges = settled(contract(edges.select("a", "b").where("a is not null and b is not null and a <> b").distinct()))
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
