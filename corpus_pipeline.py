@@ -17,10 +17,24 @@ from facetry.llm.shared import shared_folder, table
 PASSAGE = 240
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """(docs with columns named by their places, so that none clashes with an operator's own; those of doc_id and text)."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names["doc_id"], names["text"]
+
+
+def _named_back(docs: DataFrame, work: DataFrame, text: str | None = None) -> DataFrame:
+    """The columns of ``docs`` again; where ``text`` changed, n_chars follows it."""
+    if text and "n_chars" in docs.columns:
+        work = work.withColumn(f"c{docs.columns.index('n_chars')}", F.length(text).cast(docs.schema["n_chars"].dataType))
+    return work.select(*(f"c{i}" for i in range(len(docs.columns)))).toDF(*docs.columns)
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the learned rules and the base rule keep."""
     rules = quality.learn(docs, table(spark, sf_dir, "labels"))
-    return quality.judged(docs, rules).where("kept").select(*docs.columns)
+    work, _, text = _numbered(docs)
+    return _named_back(docs, quality.judged(work, rules, text).where("kept"))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,15 +46,15 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that stand anywhere else; whole characters stay."""
     rows, _ = suffixes.repeated_spans(docs, length=PASSAGE)
-    spans = rows.where(F.size("spans") > 0).select(F.col("id").alias("doc_id"), "spans")
-    cut = suffixes.without_spans(docs.join(spans, "doc_id", "left"), "text", characters=True)
-    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    work, key, text = _numbered(docs)
+    spans = rows.where(F.size("spans") > 0).select(F.col("id").alias(key), "spans")
+    return _named_back(docs, suffixes.without_spans(work.join(spans, key, "left"), text, characters=True), text)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with every span of personal data replaced by its kind."""
-    found = pii.masked(pii.with_spans(docs, pii.learn(docs)))
-    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    work, key, text = _numbered(docs)
+    return _named_back(docs, pii.masked(pii.with_spans(work, pii.learn(work, key, text), text), text), text)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

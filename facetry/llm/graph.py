@@ -44,14 +44,15 @@ def components(edges: DataFrame) -> DataFrame:
     """(a, b) of longs -> (node, component) for every node with an edge to another; component is the least node reached.
 
     Batches are contracted locally first. Every round then joins each node with its least neighbour; the largest table
-    is the edge table, and no node's neighbours are ever collected."""
+    is the edge table, and no node's neighbours are ever collected. The least neighbours
+    are settled first, so that a join has an exchange on either side and a node of many edges can be split."""
     contract = lambda df: df.select("a", "b").mapInPandas(contracted, "a long, b long")
     edges = settled(contract(edges.select("a", "b").where("a is not null and b is not null and a <> b").distinct()))
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = settled(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = settled(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        down = settled(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         small = settled(small.where("a <> b").distinct())
         roots = small.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("a").alias("d")).first()

@@ -96,10 +96,11 @@ def with_sketches(df: DataFrame, key: str, text: str) -> DataFrame:
 def candidate_groups(reps: DataFrame) -> DataFrame:
     """(rep, bands) -> (node, component): representatives that some chain of shared table keys ties together."""
     bands = reps.select("rep", F.posexplode("bands").alias("b", "value"))
-    shared = bands.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("value")
+    # Settled, so that the joins have exchanges of their own on both sides and a hot band or key can be split.
+    shared = settled(bands.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("value"))
     sides = bands.join(shared, "value").groupBy("rep").agg(F.collect_list(F.when(F.col("b") < BANDS, F.col("value"))).alias("left"), F.collect_list(F.when(F.col("b") >= BANDS, F.col("value"))).alias("right"))
     keys = settled(sides.select("rep", F.explode("left").alias("l"), "right").select("rep", "l", F.explode("right").alias("r")).select("rep", F.xxhash64("l", "r").alias("key")))
-    least = keys.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("key", "least")
+    least = settled(keys.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("key", "least"))
     return components(keys.join(least, "key").select(F.col("rep").alias("a"), F.col("least").alias("b")))
 
 

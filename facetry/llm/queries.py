@@ -17,7 +17,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": warc.OP1_SQL,
-    "op7_suffixes": suffixes.op7_suffixes,
     "op8_top_k": topk.OP8_SQL,
     "op9_near_duplicates": minhash.OP9_SQL,
 }

@@ -390,11 +390,12 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     spark = df.sparkSession
     gram = gram or length // 2
     rows = settled(_scanned(df, key, text, length, gram))
-    copies = rows.groupBy("sha").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Settled, so that the joins have exchanges of their own on both sides and a hot key can be split.
+    copies = settled(rows.groupBy("sha").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     rows = rows.join(copies, "sha", "left")
     found = rows.where("id is not null and (n is null or id = rep)").select("id", F.explode(F.arrays_zip("h", "p")).alias("x")).select("id", "x.h", "x.p")
-    again = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    hits = found.join(again, "h").groupBy("id").agg(F.collect_list(F.struct("h", "p")).alias("hits"))
+    again = settled(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
+    hits = settled(found.join(again, "h")).groupBy("id").agg(F.collect_list(F.struct("h", "p")).alias("hits"))
     bodies = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("body")).join(hits, "id")
     place = f"{shared_folder(spark)}/suffixes-{uuid.uuid4().hex}"
     bodies.write.option("compression", "zstd").parquet(place)
