@@ -9,7 +9,7 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NO_BREAK_SPACE = " "
+NO_BREAK_SPACE = "\u00a0"
 
 
 @lru_cache(1)

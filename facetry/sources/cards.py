@@ -4,29 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from facetry.functions.references import parsed
 
 LOCALE_TEXT = "map<string,struct<locale:string,text:string>>"
 LOCALE_NAME = "map<string,struct<locale:string,name:string>>"
-SCHEMA = T.StructType.fromDDL(
-    f"""name string, translations {LOCALE_NAME}, illustrator struct<nickName:string>,
+SCHEMA = f"""name string, translations {LOCALE_NAME}, illustrator struct<nickName:string>,
     cardSubTypes array<struct<reference:string,name:string,translations:{LOCALE_NAME}>>, cardSet struct<reference:string,name:string>,
     mainFaction struct<reference:string>, cardElements array<struct<cardElementType:struct<reference:string>, value:string,
     cardEffectDisplays array<struct<cardEffect:struct<cardEffectElements:array<struct<idGd:bigint,type:string,text:string,translations:{LOCALE_TEXT}>>>>>>>"""
-)
+FIELDS = ("name", "translations", "illustrator", "cardSubTypes", "cardSet", "mainFaction", "cardElements")
 
 
 def read_cards(spark: SparkSession, root: str, source_set: str, limit: int | None = None) -> DataFrame:
-    """Documents of one set with the parts of their path: source_set, faction, family_number, unique_id, and the fields of
-    ``SCHEMA``. Files whose name and folders disagree, and foiled versions, are left out; a malformed document fails.
-    ``limit`` takes the first of them in the order of their references."""
+    """Documents of one set with the parts of their path: source_set, faction, family_number, unique_id, and the ``FIELDS``.
+    Files whose name and folders disagree, and foiled versions, are left out; a malformed document fails. ``limit`` takes
+    the first of them in the order of their references."""
     files = spark.read.schema(SCHEMA).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("multiLine", True).option("mode", "FAILFAST").json(f"{root}/json/{source_set}")
     path = F.col("_metadata.file_path")
     parts = F.split(path, "/")
     name = F.regexp_replace(F.element_at(parts, -1), r"\.json\z", "")
     named = files.withColumn("_path", path).withColumn("_r", parsed(name)).withColumn("_folders", F.slice(parts, -4, 3))
     agree = (F.col("_r.source_set") == source_set) & (F.col("_folders") == F.array("_r.source_set", "_r.faction", "_r.family_number"))
-    kept = named.where(agree & ~F.contains("_path", F.lit("FOILER"))).select("_r.*", *SCHEMA.names)
+    kept = named.where(agree & ~F.contains("_path", F.lit("FOILER"))).select("_r.*", *FIELDS)
     return kept.orderBy("faction", F.col("family_number").cast("long"), "unique_id").limit(limit) if limit else kept
