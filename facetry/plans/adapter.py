@@ -56,9 +56,16 @@ def aliases(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def numbered_cards(spark: SparkSession, folder: str) -> DataFrame:
-    """Cards with unique_id; the old index stays as order_key."""
-    own = Window.partitionBy("source_set", "faction", "family_number").orderBy("order_key")
-    return cards(spark, folder).withColumnRenamed("card_index", "order_key").drop("family_id").withColumn("unique_id", 2 * F.row_number().over(own).cast("long") - 1)
+    """Cards with unique_id, odd numbers in the order of the old index, which stays as order_key.
+
+    A family may hold any share of the orders: its rows are numbered within ranges of order keys, then shifted by the
+    sizes of the ranges before, so no task gets a whole family."""
+    keys = ["source_set", "faction", "family_number"]
+    rows = cards(spark, folder).withColumnRenamed("card_index", "order_key").drop("family_id").withColumn("cell", F.shiftright("order_key", 16))
+    before = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    shift = rows.groupBy(*keys, "cell").agg(F.count(F.lit(1)).alias("n")).select(*keys, "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    own = F.row_number().over(Window.partitionBy(*keys, "cell").orderBy("order_key"))
+    return rows.join(shift, [*keys, "cell"]).withColumn("unique_id", 2 * (F.col("shift") + own) - 1).drop("cell", "shift")
 
 
 def index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
