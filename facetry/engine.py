@@ -62,6 +62,8 @@ class Engine:
         self.spark: SparkSession = index["cards"].sparkSession
         self.root = root
         self.collections = Collections()
+        #: Matches of the last request, kept while its count, page and facet are made.
+        self._matches: DataFrame | None = None
         self._take(index, version)
         self.formats = formats
 
@@ -152,7 +154,9 @@ class Engine:
     def cards_of(self, query: str | Request) -> Answer:
         """One page. With families and no cursor: one card per family that has a match, in index order, and their counts."""
         r = self.request(query)
-        matches = self.matching(r).persist()
+        if self._matches is not None:
+            self._matches.unpersist()
+        matches = self._matches = self.matching(r).persist()
         total = matches.count()
         if r.with_families and r.cursor is None:
             facet = results.family_facet(matches, self.index["families"])

@@ -30,13 +30,13 @@ def card(faction, name, stats, *effects, **more):
 
 
 A, B, Cn = TYPES
-OGUN = card(
-    "AX", "Ogun", ["2", "2", "0", "2", "0"], effect("MAIN_EFFECT", [(24, A, "t24"), (191, B, "[]"), (76, Cn, "o76")], [(24, A, "t24"), (171, B, "c171"), (70, Cn, "o70")]),
-    illustrator={"nickName": "Someone"}, cardSet={"reference": "COREKS", "name": "Kick"}, cardSubTypes=[{"reference": "ENGINEER", "name": "Engineer"}, {"name": "none"}], translations={"fr_FR": {"locale": "fr_FR", "name": "Ogoun"}},
+FIRST = card(
+    "AX", "First", ["2", "2", "0", "2", "0"], effect("MAIN_EFFECT", [(24, A, "t24"), (191, B, "[]"), (76, Cn, "o76")], [(24, A, "t24"), (171, B, "c171"), (70, Cn, "o70")]),
+    illustrator={"nickName": "Someone"}, cardSet={"reference": "COREKS", "name": "Set name"}, cardSubTypes=[{"reference": "ENGINEER", "name": "Engineer"}, {"name": "none"}], translations={"fr_FR": {"locale": "fr_FR", "name": "Premier"}},
 )
-HYDRA = card("MU", "Hydracaena", ["7", "8", "5", "0", "5"], effect("MAIN_EFFECT", [(23, A, "[]"), (181, B, "c181"), (142, Cn, "o142")], [(20, A, f"t{NBSP}20"), (191, B, "[]"), (146, Cn, "o146")], [], [(999, Cn, "fourth")]), effect("ECHO_EFFECT", [(192, A, "t192"), (191, B, "[]"), (245, Cn, f"Draw{NBSP}a card.")]))
-ORDIS = card("YZ", "Ordis Attorney", ["3", "x", " 3", "+3", "300"], stat("RECALL_COST", "3"), effect("MAIN_EFFECT", [(236, A, "t236"), (191, B, "[]"), (65536 + 90, Cn, "big"), (90, Cn, "Draw a  card.")]), effect("ECHO_EFFECT", [(192, A, "t192"), (191, B, "[]"), (59, Cn, "o59")]))
-FILES = {"json/COREKS/AX/06/ALT_COREKS_B_AX_06_U_5.json": OGUN, "json/COREKS/MU/22/ALT_COREKS_B_MU_22_U_3140.json": HYDRA, "json/COREKS/OR/16/ALT_COREKS_B_OR_16_U_6.json": ORDIS}
+SECOND = card("MU", "Second", ["7", "8", "5", "0", "5"], effect("MAIN_EFFECT", [(23, A, "[]"), (181, B, "c181"), (142, Cn, "o142")], [(20, A, f"t{NBSP}20"), (191, B, "[]"), (146, Cn, "o146")], [], [(999, Cn, "fourth")]), effect("ECHO_EFFECT", [(192, A, "t192"), (191, B, "[]"), (245, Cn, f"Draw{NBSP}a card.")]))
+THIRD = card("YZ", "Third", ["3", "x", " 3", "+3", "300"], stat("RECALL_COST", "3"), effect("MAIN_EFFECT", [(236, A, "t236"), (191, B, "[]"), (65536 + 90, Cn, "big"), (90, Cn, "Draw a  card.")]), effect("ECHO_EFFECT", [(192, A, "t192"), (191, B, "[]"), (59, Cn, "o59")]))
+FILES = {"json/COREKS/AX/06/ALT_COREKS_B_AX_06_U_5.json": FIRST, "json/COREKS/MU/22/ALT_COREKS_B_MU_22_U_3140.json": SECOND, "json/COREKS/OR/16/ALT_COREKS_B_OR_16_U_6.json": THIRD}
 
 
 def tree(files):
@@ -50,7 +50,7 @@ def tree(files):
 
 @pytest.fixture(scope="module")
 def documents(spark):
-    odd = {"json/COREKS/AX/07/ALT_COREKS_B_AX_06_U_9.json": OGUN, "json/COREKS/AX/06/ALT_CORE_B_AX_06_U_9.json": OGUN, "json/COREKS/AX/06/ALT_COREKS_B_AX_06_U_7_FOILER.json": OGUN, "json/COREKS/AX/06/notes.txt": "x"}
+    odd = {"json/COREKS/AX/07/ALT_COREKS_B_AX_06_U_9.json": FIRST, "json/COREKS/AX/06/ALT_CORE_B_AX_06_U_9.json": FIRST, "json/COREKS/AX/06/ALT_COREKS_B_AX_06_U_7_FOILER.json": FIRST, "json/COREKS/AX/06/notes.txt": "x"}
     return read_cards(spark, tree(FILES | odd), "COREKS").persist()
 
 
@@ -104,7 +104,7 @@ def test_slots(plain):
 
 def test_metadata(plain):
     row = plain["families"].where("family_id = 'AX_06'").first()
-    assert row["name"] == {"en_US": "Ogun", "fr_FR": "Ogoun"} and row["artist"] == "Someone" and row["card_set"].asDict() == {"reference": "COREKS", "name": "Kick", "code": "BTG"}
+    assert row["name"] == {"en_US": "First", "fr_FR": "Premier"} and row["artist"] == "Someone" and row["card_set"].asDict() == {"reference": "COREKS", "name": "Set name", "code": "BTG"}
     assert [s["reference"] for s in row["card_sub_types"]] == ["ENGINEER"] and set(row["card_sub_types"][0]["name"]) == set(ingest.SUBTYPE_LOCALES)
 
 
@@ -134,13 +134,13 @@ def test_bad_documents(spark):
         ingest.build(read_cards(spark, tree({"json/S/AX/1/ALT_S_B_AX_1_U_1.json": bad}), "S"))["occurrences"].collect()
     with pytest.raises(Exception):
         read_cards(spark, tree({"json/S/AX/1/ALT_S_B_AX_1_U_1.json": "{"}), "S").collect()
-    twice = read_cards(spark, tree({"json/S/AX/1/ALT_S_B_AX_1_U_1.json": OGUN, "json/S/AX/1/ALT_S_B_AX_1_U_01.json": OGUN}), "S")
+    twice = read_cards(spark, tree({"json/S/AX/1/ALT_S_B_AX_1_U_1.json": FIRST, "json/S/AX/1/ALT_S_B_AX_1_U_01.json": FIRST}), "S")
     with pytest.raises(InvalidData):
         ingest.build(twice)
 
 
 def test_limit(spark):
-    root = tree({f"json/S/{f}/1/ALT_S_B_{f}_1_U_{u}.json": OGUN for f in ("BR", "AX") for u in range(1, 6)})
+    root = tree({f"json/S/{f}/1/ALT_S_B_{f}_1_U_{u}.json": FIRST for f in ("BR", "AX") for u in range(1, 6)})
     got = read_cards(spark, root, "S", limit=6).select("faction", "unique_id").collect()
     assert sorted((r[0], r[1]) for r in got) == [*(("AX", u) for u in range(1, 6)), ("BR", 1)]
 
