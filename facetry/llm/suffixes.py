@@ -32,7 +32,7 @@ from facetry.llm.ragged import U64, chunks, mix, text_bytes
 from facetry.llm.shared import settled, shared_folder, table
 
 LENGTH = 400
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 3 << 19
 QUEUE_BYTES = 64 << 20
 SEPARATOR = 0xF5
 #: Names of a reduced string up to which it is ranked in memory; a longer one is reduced again.
@@ -255,11 +255,12 @@ def suffix_array(symbol: np.ndarray, folder: str, limit: int = QUEUE_BYTES, base
     n = len(symbol)
     if n == 1:
         return np.zeros(1, np.int32)
-    step = np.sign(symbol[1:].astype(np.int32 if symbol.dtype == np.uint8 else np.int64) - symbol[:-1])
-    nonzero = np.where(step != 0, np.arange(n - 1), n)
-    nonzero = np.minimum.accumulate(nonzero[::-1])[::-1]
+    # The next place where the symbol changes tells how a suffix compares with the one after it.
+    turn = np.where(symbol[1:] != symbol[:-1], np.arange(n - 1, dtype=np.int32), np.int32(n))
+    turn = np.minimum.accumulate(turn[::-1])[::-1]
     small = np.ones(n, bool)
-    small[:-1] = step[nonzero] > 0
+    small[:-1] = (symbol[1:] > symbol[:-1])[turn]
+    del turn
     left_most = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     ends = np.append(left_most[1:], n - 1)
     names = _names(symbol, left_most, ends - left_most + 1)
@@ -275,35 +276,41 @@ def suffix_array(symbol: np.ndarray, folder: str, limit: int = QUEUE_BYTES, base
     large = _induce(symbol, ~small, seeds, counts, True, folder, limit)
     lower = _induce(symbol, small, large[::-1], counts, False, folder, limit)[::-1]
     lower = np.concatenate([np.array([n - 1], kind), lower])
-    out = np.concatenate([large, lower])
-    first = symbol[out]
-    key = first.astype(np.uint16 if symbol.dtype == np.uint8 else np.int64) * 2
-    key[len(large) :] += 1
-    return out[np.argsort(key, kind="stable")]
+    # Of the suffixes of one first symbol the larger-than-next ones come first.
+    first = np.bincount(symbol[large], minlength=len(counts))
+    rest = counts - first
+    out = np.empty(n, kind)
+    bucket = np.cumsum(counts) - counts
+    out[np.arange(len(large), dtype=kind) + np.repeat(bucket - (np.cumsum(first) - first), first).astype(kind)] = large
+    out[np.arange(len(lower), dtype=kind) + np.repeat(bucket + first - (np.cumsum(rest) - rest), rest).astype(kind)] = lower
+    return out
 
 
 def common_prefixes(symbol: np.ndarray, sa: np.ndarray) -> np.ndarray:
     """Length of the common prefix of each suffix, by text position, with the one sorted before it. Where the symbols before
     both are equal, it follows from the position before; elsewhere it is counted."""
     n = len(symbol)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
-    prior = np.where(before > 0, symbol[np.maximum(before - 1, 0)], 0)
-    own = np.concatenate([[0], symbol[:-1]])
-    count = np.flatnonzero((before >= 0) & ((prior != own) | (before == 0) | (np.arange(n) == 0)))
-    found = np.zeros(n, np.int64)
-    pad = np.concatenate([symbol, np.zeros(8, symbol.dtype)])
-    view = np.lib.stride_tricks.sliding_window_view(pad, 8)
-    p, q, live = count, before[count], np.arange(len(count))
-    total = np.zeros(len(count), np.int64)
-    while len(live):
-        same = view[p] == view[q]
-        run = np.where(same.all(1), 8, same.argmin(1))
-        total[live] += run
-        on = run == 8
-        p, q, live = p[on] + 8, q[on] + 8, live[on]
-    found[count] = total + count
-    return np.maximum(np.maximum.accumulate(found) - np.arange(n), 0) * (before >= 0)
+    fresh = before >= 0
+    fresh[1:] &= (symbol[:-1] != symbol[before[1:] - 1]) | (before[1:] == 0)
+    found = np.zeros(n, np.int32)
+    view = np.lib.stride_tricks.sliding_window_view(np.concatenate([symbol, np.zeros(8, symbol.dtype)]), 8)
+    count = np.flatnonzero(fresh)
+    for at in range(0, len(count), 1 << 20):
+        own = count[at : at + (1 << 20)]
+        p, q, live, total = own, before[own], np.arange(len(own)), np.zeros(len(own), np.int32)
+        while len(live):
+            same = view[p] == view[q]
+            run = np.where(same.all(1), 8, same.argmin(1))
+            total[live] += run
+            on = run == 8
+            p, q, live = p[on] + 8, q[on] + 8, live[on]
+        found[own] = total + own
+    found = np.maximum.accumulate(found)
+    found -= np.arange(n, dtype=np.int32)
+    found[(found < 0) | (before < 0)] = 0
+    return found
 
 
 def repeated_starts(pieces: list[np.ndarray], length: int = LENGTH, limit: int = QUEUE_BYTES) -> list[np.ndarray]:
@@ -314,8 +321,9 @@ def repeated_starts(pieces: list[np.ndarray], length: int = LENGTH, limit: int =
     for a, p in zip(at, pieces):
         symbol[a : a + len(p)] = SHIFT[p]
         symbol[a + len(p)] = SEPARATOR
-    room = np.zeros(len(symbol), np.int64)
-    room[:-1] = np.repeat(at + sizes - 1, sizes) - np.arange(len(symbol) - 1)
+    room = np.zeros(len(symbol), np.int32)
+    room[:-1] = np.repeat((at + sizes - 1).astype(np.int32), sizes)
+    room[:-1] -= np.arange(len(symbol) - 1, dtype=np.int32)
     with tempfile.TemporaryDirectory(prefix="suffixes-") as folder:
         sa = suffix_array(symbol, folder, limit)
     same = common_prefixes(symbol, sa)[sa] >= length
