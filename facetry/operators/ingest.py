@@ -19,12 +19,15 @@ SLOT_IDS = 65536
 
 
 def families_of(cards: DataFrame) -> DataFrame:
-    """One row per (source_set, faction, family_number): max_unique_id, card_count, start_bit and what its first card says.
-
-    Spans follow one another in the order of sets, factions and numbers; the running sum is over families, not cards."""
+    """One row per (source_set, faction, family_number): max_unique_id, card_count, start_bit and what its first card says."""
     keys = ["source_set", "faction", "family_number"]
     first = [F.min_by(c, F.col("unique_id")).alias(c) for c in ("name_map", "artist", "card_sub_types", "card_set") if c in cards.columns]
-    families = cards.groupBy(*keys).agg(F.max("unique_id").alias("max_unique_id"), F.count(F.lit(1)).alias("card_count"), *first)
+    return placed(cards.groupBy(*keys).agg(F.max("unique_id").alias("max_unique_id"), F.count(F.lit(1)).alias("card_count"), *first))
+
+
+def placed(families: DataFrame) -> DataFrame:
+    """Adds family_id and start_bit. Spans follow one another in the order of sets, factions and numbers; the running sum is
+    over families, not cards."""
     order = Window.orderBy("source_set", *family_order(F.col("faction"), F.col("family_number")), "family_number")
     before = F.coalesce(F.sum("max_unique_id").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
     return families.withColumn("start_bit", before).withColumn("family_id", family_id(F.col("faction"), F.col("family_number")))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from facetry.operators.ingest import aliases_of, families_of, indexed
+from facetry.operators.ingest import aliases_of, indexed, placed
 
 SEGMENTS = {"AUTOMOBILE": "AX", "BUILDING": "BR", "FURNITURE": "LY", "HOUSEHOLD": "MU", "MACHINERY": "OR"}
 SETS = {"F": "CORE", "O": "COREKS", "P": "ALIZE"}
@@ -71,7 +71,9 @@ def numbered_cards(spark: SparkSession, folder: str) -> DataFrame:
 def index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(cards with card_index and reference, families with a name map)."""
     numbered = numbered_cards(spark, folder)
-    families = families_of(numbered)
+    # The largest number of a family follows from its count, so the families need no numbering.
+    counts = cards(spark, folder).groupBy("source_set", "faction", "family_number").agg(F.count(F.lit(1)).alias("card_count"))
+    families = placed(counts.withColumn("max_unique_id", 2 * F.col("card_count") - 1))
     nation = read(spark, folder, "nation").select(F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("family_number"), F.create_map(F.lit("en_US"), "n_name", F.lit("fr_FR"), F.concat(F.lit("Éc"), "n_name", F.lit("ôt"))).alias("name"))
     return indexed(numbered, families), families.join(nation, "family_number", "left")
 
