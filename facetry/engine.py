@@ -13,8 +13,8 @@ from facetry.errors import BadRequest, CollectionNotLoaded, FormatFailed, Invali
 from facetry.functions.references import read_reference, reference
 from facetry.operators import results
 from facetry.operators.filters import conjunction, indices_of, universe
-from facetry.operators.matching import canonical, picks_of
-from facetry.plans.request import Request, editing, multimap, parse, without_slot
+from facetry.operators.matching import LINES, canonical, line_match, picks_of, whole_card
+from facetry.plans.request import BUCKETS, Request, Slot, editing, multimap, parse, without_slot
 from facetry.sources import store
 from facetry.sources.lists import collection_id, format_members, read_formats, references_in
 
@@ -189,6 +189,29 @@ class Engine:
             raise InvalidData(f"corrupt record {text}") if filled else NotFound(f"not indexed: {text}")
         return self._objects(self.cards.where(F.col("reference") == text.strip()))
 
+    def slot_of(self, ids: list[int]) -> Slot:
+        """The ids by their types, aliases replaced, each once; an unknown id, one of no such type, or no id is an error."""
+        if not ids:
+            raise BadRequest("no ids")
+        wanted = canonical(self.spark.createDataFrame([(i, k, 0) for k, i in enumerate(ids)], "id_gd long, slot int, bucket int"), self.index["aliases"].select("alias", "canonical"))
+        found = {r["slot"]: r for r in wanted.join(self.index["abilities"].select("id_gd", "element_type"), "id_gd").collect()}
+        groups: dict[str, list[int]] = {kind: [] for kind in BUCKETS.values()}
+        for k, i in enumerate(ids):
+            if k not in found or found[k]["element_type"] not in groups:
+                raise BadRequest(f"{'unknown id' if k not in found else 'id of no queried type'}: {i}")
+            groups[found[k]["element_type"]].append(found[k]["id_gd"])
+        return Slot(0, *(tuple(dict.fromkeys(g)) for g in groups.values()))
+
+    def by_ids(self, ids: list[int], whole: bool = False, most: int | None = None) -> DataFrame:
+        """Cards that have the ids of each type together on any one line, the support line included, or, if ``whole``,
+        anywhere; in index order, as rows of reference, main and echo."""
+        slot = self.slot_of(ids)
+        picks, needed = picks_of(self.spark, [slot]), [bool(x) for x in slot.buckets]
+        held = self.index["occurrences"]
+        match = whole_card(held, picks, needed) if whole else line_match(held, picks, [(needed, LINES, 1)])
+        rows = self.cards.join(match, "card_index", "left_semi").orderBy("card_index")
+        return (rows.limit(most) if most else rows).select("card_index", *results.table_row())
+
     def effects(self) -> DataFrame:
         return results.effects_list(self.index["abilities"])
 

@@ -144,3 +144,13 @@ def test_references(index, spark):
     rows = {r["reference"]: (r["card_index"], r["problem"]) for r in filters.indices_of(spark.createDataFrame([(t,) for t in texts], "reference string"), index["families"]).collect()}
     assert [rows[t] for t in texts] == [(0, None), (None, "malformed"), (None, "malformed"), (None, "malformed"), (None, "unknown"), (None, "padding")]
     assert str(read_reference(ref(3))) == ref(3) and read_reference("ALT_X_Y_B_AX_1_U_4294967296") is None
+
+
+def test_queries_by_ids(engine):
+    assert engine.slot_of([24, 240, 191]) == Slot(0, t=(24,), c=(191,))
+    got = lambda *a, **k: [r["card_index"] for r in engine.by_ids(*a, **k).collect()]
+    assert got([24, 191]) == [] and got([24, 191], whole=True) == [5] and got([42]) == [5] and got([24], most=1) == [2]
+    assert engine.by_ids([240]).first()["main"] == "24_191_90"
+    for ids in ([], [777]):
+        with pytest.raises(BadRequest):
+            engine.by_ids(ids)
