@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,20 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+@lru_cache(1)
+def _trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return lambda pad: 0
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers outlive their tasks and would keep it beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def chunks(batch: pa.RecordBatch, text: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows with at most ``limit`` bytes of text, or one longer row: working memory follows this, not the batch."""
     if not batch.num_rows:
@@ -35,6 +51,7 @@ def chunks(batch: pa.RecordBatch, text: str, limit: int = 1 << 20) -> Iterator[p
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    give_back()
 
 
 def mix(h: np.ndarray) -> np.ndarray:

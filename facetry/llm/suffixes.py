@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetry.llm.ragged import U64, chunks, mix, text_bytes
+from facetry.llm.ragged import U64, chunks, give_back, mix, text_bytes
 from facetry.llm.shared import settled, shared_folder, table
 
 LENGTH = 400
@@ -418,6 +418,7 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
             if len(at):
                 lo, hi = merged(at + start, at + start + length)
                 out.append(pd.DataFrame({"id": i, "lo": lo, "hi": hi}))
+        give_back()
         return pd.concat(out) if out else pd.DataFrame({"id": [], "lo": [], "hi": []}, dtype="int64")
 
     spans = _pieces(candidates, shards, length, gram).repartition(max(shards, 1), "shard").groupBy("shard").applyInPandas(sort, "id long, lo long, hi long")
