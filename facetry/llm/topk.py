@@ -159,7 +159,7 @@ def top_k(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str =
     stat = distinct.agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("top"), F.max(F.size("v")).alias("width")).first()
     count, top, width = stat["n"], stat["top"] or 0.0, stat["width"] or 1
     shards = 1 + count // SHARD
-    some = distinct.orderBy(F.xxhash64("v"), "v").limit(SAMPLE).toPandas()
+    some = settled(distinct.orderBy(F.xxhash64("v"), "v").limit(SAMPLE)).toPandas()
     sample, weights = matrix(some["v"].tolist(), width), np.array([len(i) for i in some["ids"]], np.int64)
 
     def index(shard: pd.DataFrame) -> pd.DataFrame:
