@@ -3,7 +3,9 @@
 1. Equal texts are grouped. A text with copies and of at least ``length`` bytes is repeated whole; one row stands for it.
 2. Every window of ``length`` bytes contains a chosen anchor, the least hash of its pieces half as long. A passage that
    recurs has the same anchor each time, so only anchors that occur twice, with the bytes around them that a window may
-   reach, take part in sorting; anything else is proved unique. Equal anchors go to the same shard.
+   reach, take part in sorting; anything else is proved unique. Equal anchors go to the same shard, up to ``HOT`` places
+   of one anchor; for a more frequent one the key is extended by the bytes around it (``hot_spans``) until whole windows
+   are the keys, which Spark counts, so that no task takes all places of an anchor.
 3. A shard's pieces are joined by separators and their suffixes sorted by recursive induced sorting. The induction runs
    on a monotone priority queue of suffix tuples, whose ranges lie on disk beyond ``QUEUE_BYTES``; the ranges come out
    in the order of first symbols, in batches that hold no tuple which a tuple of the batch could still precede. Common
@@ -35,6 +37,8 @@ LENGTH = 400
 SHARD_BYTES = 3 << 19
 QUEUE_BYTES = 64 << 20
 SEPARATOR = 0xF5
+#: Places of an anchor up to which its pieces are sorted in one shard; and the offsets of windows that share an extended key.
+HOT, CELL = 256, 15
 #: Names of a reduced string up to which it is ranked in memory; a longer one is reduced again.
 BASE = 1 << 22
 #: Bytes below 0xC0 move up by one, so that 0 can end a shard; UTF-8 has no 0xC0.
@@ -353,7 +357,7 @@ def _scanned(df: DataFrame, key: str, text: str, length: int, gram: int) -> Data
     return df.select(key, text).mapInArrow(run, "id long, n_bytes long, sha binary, h array<long>, p array<long>")
 
 
-def _pieces(hot: DataFrame, shards: int, length: int, gram: int) -> DataFrame:
+def _pieces(candidates: DataFrame, shards: int, length: int, gram: int) -> DataFrame:
     """(shard, id, start, piece): the bytes that a window with one of the row's anchors can reach; those of a shard that
     overlap are one piece."""
 
@@ -363,7 +367,10 @@ def _pieces(hot: DataFrame, shards: int, length: int, gram: int) -> DataFrame:
             for i, raw, hits in zip(batch.column("id").to_pylist(), batch.column("body"), batch.column("hits")):
                 raw = raw.as_buffer()
                 hits = hits.values
-                h, p = (hits.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                h, p, hot = (hits.field(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2))
+                h, p = h[~hot], p[~hot]
+                if not len(p):
+                    continue
                 shard = h % shards
                 by = np.lexsort((p, shard))
                 shard, p = shard[by], p[by]
@@ -381,7 +388,88 @@ def _pieces(hot: DataFrame, shards: int, length: int, gram: int) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["shard", "id", "start", "piece"])
 
-    return hot.mapInArrow(run, "shard long, id long, start long, piece binary")
+    return candidates.mapInArrow(run, "shard long, id long, start long, piece binary")
+
+
+def _digest(raw) -> bytes:
+    return hashlib.blake2b(raw, digest_size=16).digest()
+
+
+def _told_apart(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows: id, p, c, k, a, b, x, many; windows at the offsets a to b of the anchor at p, whose key is k in cell c and whose
+    bytes have the digest x. (done, left): rows whose bytes another row has; and one row of each bytes for keys that have
+    several, ``many`` where they are known to stand at two places."""
+    by = ["c", "k", "a", "b", "x"]
+    # Settled, so that the joins have exchanges of their own on both sides and a hot key can be split.
+    alike = settled(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max("many").alias("many"), F.min(F.struct("id", "p")).alias("m")))
+    done = rows.join(alike.where("n > 1").select(*by), by).select("id", "p", "a", "b")
+    several = settled(alike.groupBy("c", "k").agg(F.count(F.lit(1)).alias("d")).where("d > 1").select("c", "k"))
+    left = alike.join(several, ["c", "k"]).select("m.id", "m.p", "c", "a", "b", (F.col("many") | (F.col("n") > 1)).alias("many"))
+    return done, settled(left)
+
+
+def hot_spans(candidates: DataFrame, length: int, gram: int) -> DataFrame:
+    """(id, lo, hi): repeated windows with frequent anchors. Those of one anchor differ by its offset in them. Equal
+    surroundings settle all offsets at once. Of the others, the offsets are cut to cells; the bytes that all windows of a
+    cell share extend the key, and again equal bytes settle it. What is still open is counted by whole windows."""
+    last = length - gram
+
+    def around(batches):
+        for batch in batches:
+            out = []
+            for i, raw, hits in zip(batch.column("id").to_pylist(), batch.column("body"), batch.column("hits")):
+                raw = raw.as_buffer().to_pybytes()
+                h, p, hot = (hits.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2))
+                own: dict[tuple, list[int]] = {}
+                for anchor, at in zip(h[hot].tolist(), p[hot].tolist()):
+                    a, b = max(0, at + length - len(raw)), min(last, at)
+                    if a <= b:
+                        own.setdefault((anchor, a, b, _digest(raw[at - b : at - a + length])), []).append(at)
+                for (anchor, a, b, x), ats in own.items():
+                    lo = np.array(ats) - b
+                    runs = merged(lo, lo + b - a + length) if len(ats) > 1 else ((), ())
+                    out.append((i, ats[0], 0, anchor.to_bytes(8, "little", signed=True), a, b, x, len(ats) > 1, raw[ats[0] - b : ats[0] - a + length], [{"lo": int(s), "hi": int(e)} for s, e in zip(*runs)]))
+                    if len(out) >= 5000:
+                        yield table_of(out, [*kinds, pa.binary(), pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))], [*names, "piece", "own"])
+                        out = []
+            yield table_of(out, [*kinds, pa.binary(), pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))], [*names, "piece", "own"])
+
+    def cells(batches):
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in ("id", "p", "a", "b", "many", "from", "piece")]
+            out = []
+            for i, p, a, b, many, to, piece in zip(*columns):
+                for c in range(a // CELL, b // CELL + 1):
+                    lo, hi = c * CELL, min(c * CELL + CELL - 1, last)
+                    own_lo, own_hi = max(lo, a), min(hi, b)
+                    out.append((i, p, c, _digest(piece[to - lo : to - hi + length]), own_lo, own_hi, _digest(piece[to - own_hi : to - own_lo + length]), many))
+            for at in range(0, len(out), 20000):
+                yield table_of(out[at : at + 20000], kinds, names)
+
+    def windows(batches):
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in ("id", "p", "a", "b", "many", "from", "piece")]
+            out = [(i, p - o, _digest(piece[to - o : to - o + length]), many) for i, p, a, b, many, to, piece in zip(*columns) for o in range(a, b + 1)]
+            for at in range(0, len(out), 20000):
+                yield table_of(out[at : at + 20000], [pa.int64(), pa.int64(), pa.binary(), pa.bool_()], ["id", "lo", "k", "many"])
+
+    def table_of(out, kinds, names):
+        return pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate(kinds)], names=names)
+
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
+    names = ["id", "p", "c", "k", "a", "b", "x", "many"]
+    kind = "id long, p long, c long, k binary, a long, b long, x binary, many boolean"
+    places = settled(candidates.where(F.exists("hits", lambda x: x["hot"])).mapInArrow(around, kind + ", piece binary, own array<struct<lo:bigint,hi:bigint>>"))
+    # A row stands for its own (id, p, a, b); ``from`` is the place of the anchor in its piece.
+    pieces = places.select("id", "p", F.col("b").alias("from"), "piece")
+    found, left = _told_apart(places.select(*names))
+    more, left = _told_apart(settled(left.drop("c").join(pieces, ["id", "p"]).mapInArrow(cells, kind)))
+    ends = found.unionByName(more).select("id", (F.col("p") - F.col("b")).alias("lo"), (F.col("p") - F.col("a") + length).alias("hi"))
+    each = settled(left.drop("c").join(pieces, ["id", "p"]).mapInArrow(windows, "id long, lo long, k binary, many boolean"))
+    # One window can be reached by two anchors: only different places count.
+    again = each.groupBy("k").agg(F.max("many").alias("many"), *(f(c).alias(f"{n}_{c}") for c in ("id", "lo") for n, f in (("least", F.min), ("most", F.max))))
+    again = settled(again.where("many or least_id < most_id or least_lo < most_lo").select("k"))
+    return ends.union(each.join(again, "k").select("id", "lo", (F.col("lo") + length).alias("hi"))).union(places.select("id", F.explode("own").alias("s")).select("id", "s.lo", "s.hi"))
 
 
 def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -402,13 +490,15 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     copies = settled(rows.groupBy("sha").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     rows = rows.join(copies, "sha", "left")
     found = rows.where("id is not null and (n is null or id = rep)").select("id", F.explode(F.arrays_zip("h", "p")).alias("x")).select("id", "x.h", "x.p")
-    again = settled(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
-    hits = settled(found.join(again, "h")).groupBy("id").agg(F.collect_list(F.struct("h", "p")).alias("hits"))
+    again = settled(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", (F.col("n") > HOT).alias("hot")))
+    hits = settled(found.join(again, "h")).groupBy("id").agg(F.collect_list(F.struct("h", "p", "hot")).alias("hits"))
     bodies = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("body")).join(hits, "id")
     place = f"{shared_folder(spark)}/suffixes-{uuid.uuid4().hex}"
     bodies.write.option("compression", "zstd").parquet(place)
     candidates = spark.read.parquet(place)
-    anchors_left = candidates.select(F.sum(F.size("hits")).alias("n")).first()["n"] or 0
+    hot = F.size(F.filter("hits", lambda x: x["hot"]))
+    left = candidates.select(F.sum(F.size("hits") - hot).alias("n"), F.sum(hot).alias("hot")).first()
+    anchors_left = left["n"] or 0
     shards = 1 + int(anchors_left * gram // SHARD_BYTES)
 
     def sort(shard: pd.DataFrame) -> pd.DataFrame:
@@ -422,6 +512,8 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
         return pd.concat(out) if out else pd.DataFrame({"id": [], "lo": [], "hi": []}, dtype="int64")
 
     spans = _pieces(candidates, shards, length, gram).repartition(max(shards, 1), "shard").groupBy("shard").applyInPandas(sort, "id long, lo long, hi long")
+    if left["hot"]:
+        spans = spans.union(hot_spans(candidates, length, gram))
     spans = spans.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("own"))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("n_bytes").alias("hi")))
     none = F.array().cast("array<struct<lo:bigint,hi:bigint>>")

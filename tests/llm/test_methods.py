@@ -256,3 +256,23 @@ def test_masking(spark):
     df = spark.createDataFrame([(1, "to a@b.co and +1 234 567 890!", "x"), (2, None, None)], "doc_id long, text string, pii string")
     got = {r["doc_id"]: r["text"] for r in pii.masked(pii.with_spans(df, None)).collect()}
     assert got == {1: "to <email> and <phone>!", 2: None}
+
+
+@pytest.mark.parametrize("hot", [0, 3])
+def test_frequent_anchors_are_split(spark, monkeypatch, hot):
+    turn = random.Random(21)
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    sorted_pieces = []
+    pieces = suffixes._pieces
+    monkeypatch.setattr(suffixes, "_pieces", lambda *a: sorted_pieces.append(pieces(*a)) or sorted_pieces[-1])
+    some = lambda n: "".join(turn.choice("abcdefgh ") for _ in range(n))
+    exact, longer, period = some(60), some(95), some(7)
+    texts = [some(turn.randint(0, 90)) + turn.choice([exact, exact, longer, longer[: turn.randint(50, 95)], exact[:59]]) + some(turn.randint(0, 90)) for _ in range(60)]
+    texts += [exact[:59] + "#", period * 40, some(9) + period * 30 + some(20), period * 8 + "#", "é" * 90, some(70) + "z" * 60 + some(70), some(80) + "q" * 61 + some(80)]
+    rows, _ = suffixes.repeated_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), length=60)
+    data = [t.encode() for t in texts]
+    seen = Counter(b[k : k + 60] for b in data for k in range(len(b) - 59))
+    got = {r["id"]: [k for s in r["spans"] for k in range(s["lo"], s["hi"])] for r in rows.collect()}
+    assert got == {i: sorted({j for k in range(len(b) - 59) if seen[b[k : k + 60]] > 1 for j in range(k, k + 60)}) for i, b in enumerate(data)}
+    held = Counter(k for r in sorted_pieces[0].collect() for k in [exact.encode() in r["piece"]])
+    assert held[True] <= hot
