@@ -1,10 +1,11 @@
 """Language-model scores (operator 4): masked pseudo-likelihood of a bidirectional window network, trained in numpy.
 
-Words are counted over the whole corpus. The ``VOCABULARY`` most frequent have ids of their own (a bounded table), every
-other word falls into one of ``RARE`` buckets by its hash. Ids form ``CLASSES`` classes of about equal counts. The
+Words are counted over the whole corpus. The ``VOCABULARY`` most frequent have ids of their own in the network, every
+other word enters it as one of ``RARE`` buckets by its hash; the counts of all words stay in a Spark table, and each rare
+word's own count is joined to the texts that hold it. Ids form ``CLASSES`` classes of about equal counts. The
 network looks at ``SIDE`` words on either side, one embedding table per place, and predicts the class of the word
 between; a word's share of its class comes from the counts. Each task trains a copy on its own documents, masking every
-``MASK``-th word as a target, and the copies are averaged, weighted by their targets, in a tree of small groups. Scores
+``MASK``-th word as a target, from each of the ``MASK`` first places in turn, so that every word is one. The copies are averaged, weighted by their targets, in a tree of small groups. Scores
 add the conditional log-probabilities of all words of a text.
 
 A null, empty or blank text has no words and the score 0. Rows are independent: repeated rows score alike; further
@@ -29,6 +30,8 @@ VOCABULARY, RARE, CLASSES = 4096, 64, 64
 SIDE, HIDDEN, MASK = 2, 16, 8
 BATCH, RATE = 2048, 0.5
 TREE = 32
+#: Parts of a unit in which the logarithms of counts are added up.
+FINE = 1 << 32
 
 
 def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,33 +59,43 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
 
 @dataclass
 class Words:
-    """The frequent words' hashes (sorted), their ids, and for every id its class and its log share of the class."""
+    """The frequent words' hashes (sorted), their ids, and for every id its class and its log share of the class; that of a
+    bucket lacks the log count of the word."""
 
     known: np.ndarray
     ids: np.ndarray
     class_of: np.ndarray
     log_share: np.ndarray
 
+    def rare(self, ids: np.ndarray, words: np.ndarray, first: np.ndarray) -> pa.ListArray:
+        """The distinct rare words of each row with their numbers there."""
+        at = np.flatnonzero(ids >= len(self.known))
+        row, word = np.searchsorted(first, at, "right") - 1, words[at].view(np.int64)
+        by = np.lexsort((word, row))
+        row, word = row[by], word[by]
+        new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (word[1:] != word[:-1])])) if len(row) else row
+        fields = [pa.array(word[new]), pa.array(np.diff(np.append(new, len(row))).astype(np.int64))]
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[new], np.arange(len(first))), pa.int32()), pa.StructArray.from_arrays(fields, ["word", "m"]))
+
     @property
     def size(self) -> int:
         return len(self.class_of)
 
     @staticmethod
-    def of(df: DataFrame, text: str) -> Words:
-        counts = settled(word_counts(df, text))
+    def of(counts: DataFrame) -> Words:
         # Settled first: the tasks' best words are then merged by a task, not by the driver.
         best = settled(counts.orderBy(F.desc("n"), "word").limit(VOCABULARY))
         top = best.orderBy(F.desc("n"), "word").toPandas()
         bucket = F.pmod("word", F.lit(RARE))
         rest = counts.join(F.broadcast(best.select("word")), "word", "left_anti")
-        rare = {r["b"]: (r["n"], r["d"]) for r in rest.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d")).collect()}
-        total = np.concatenate([top["n"].to_numpy(float), [rare.get(b, (0, 1))[0] for b in range(RARE)]]) + 1
-        each = np.concatenate([np.ones(len(top)), [rare.get(b, (0, 1))[1] for b in range(RARE)]])
+        rare = {r["b"]: r["n"] for r in rest.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n")).collect()}
+        total = np.concatenate([top["n"].to_numpy(float), [rare.get(b, 0) for b in range(RARE)]]) + 1
+        own = np.concatenate([total[: len(top)], np.ones(RARE)])
         place = np.cumsum(total) - total / 2
         class_of = np.minimum((place / total.sum() * CLASSES).astype(np.int64), CLASSES - 1)
         mass = np.bincount(class_of, total, CLASSES)
         by = np.argsort(top["word"].to_numpy())
-        return Words(top["word"].to_numpy()[by], by.astype(np.int32), class_of, np.log(total / mass[class_of] / each))
+        return Words(top["word"].to_numpy()[by], by.astype(np.int32), class_of, np.log(own / mass[class_of]))
 
     def lookup(self, words: np.ndarray) -> np.ndarray:
         words = words.view(np.int64)
@@ -93,8 +106,8 @@ class Words:
             out[hit] = self.ids[at[hit]]
         return out
 
-    def windows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, places x words neighbours, first word of each row); ``size`` stands past a text's ends."""
+    def windows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, places x words neighbours, first word of each row, hashes); ``size`` stands past a text's ends."""
         words, first = hashed_words(data, offsets)
         if len(words):
             top, kind = distinct(words, words)
@@ -107,7 +120,7 @@ class Words:
             a, b = (slice(None, o), slice(-o, None)) if o < 0 else (slice(o, None), slice(None, -o))
             if abs(o) < len(ids):
                 around[k, b] = np.where(row[a] == row[b], ids[a], self.size)
-        return ids, around, first
+        return ids, around, first, words
 
 
 class Network:
@@ -163,11 +176,12 @@ def trained(df: DataFrame, words: Words, text: str) -> Network:
         words, net, seen = shared.value, None, 0
         for batch in batches:
             for part in chunks(batch, text):
-                ids, around, _ = words.windows(*text_bytes(part.column(text)))
+                ids, around, _, _ = words.windows(*text_bytes(part.column(text)))
                 net = net or Network(words.size)
-                target = np.arange(seen % MASK, len(ids), MASK)
-                net.train(around[:, target], words.class_of[ids[target]])
-                seen += len(target)
+                for start in range(MASK):
+                    target = np.arange(start, len(ids), MASK)
+                    net.train(around[:, target], words.class_of[ids[target]])
+                seen += len(ids)
         if seen:
             parts = [net.flat[at : at + width] for at in range(0, len(net.flat), width)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int64()), pa.array([float(seen)] * len(parts)), pa.array(parts, pa.list_(pa.float32()))], names=["block", "weight", "part"])
@@ -189,7 +203,8 @@ def trained(df: DataFrame, words: Words, text: str) -> Network:
 
 def scored(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``df``: ``key``, n_words, score (sum of log-probabilities), mean_score."""
-    words = Words.of(df, text)
+    counts = settled(word_counts(df, text))
+    words = Words.of(counts)
     model = df.sparkSession.sparkContext.broadcast((words, trained(df, words, text).flat))
 
     def run(batches):
@@ -197,14 +212,20 @@ def scored(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         net = Network(words.size, flat)
         for batch in batches:
             for part in chunks(batch, text):
-                ids, around, first = words.windows(*text_bytes(part.column(text)))
+                ids, around, first, hashes = words.windows(*text_bytes(part.column(text)))
                 logs = net.log_chances(around, words.class_of[ids]) + words.log_share[ids]
                 n = np.diff(first)
                 total = np.bincount(np.repeat(np.arange(len(n)), n), logs, len(n)) if len(ids) else np.zeros(len(n))
-                mean = total / np.maximum(n, 1)
-                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(n.astype(np.int64)), pa.array(total), pa.array(mean)], names=[key, "n_words", "score", "mean_score"])
-
-    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n_words long, score double, mean_score double")
+                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(n.astype(np.int64)), pa.array(total), words.rare(ids, hashes, first)], names=[key, "n_words", "total", "rare"])
+
+    kind = f"`{key}` {df.schema[key].dataType.simpleString()}, n_words long, total double, rare array<struct<word:bigint,m:bigint>>"
+    # Settled, so that the numbers of the rows hold and the join with all counts has exchanges on both sides.
+    rows = settled(df.select(key, text).mapInArrow(run, kind).withColumn("row", F.monotonically_increasing_id()))
+    # In whole parts, whose sum has no order.
+    log = F.round(F.log("n") * FINE).cast("long")
+    more = rows.select("row", F.inline("rare")).join(counts, "word").groupBy("row").agg(F.sum(F.col("m") * log).alias("more"))
+    score = F.col("total") + F.coalesce(F.col("more"), F.lit(0)) / FINE
+    return rows.join(more, "row", "left").select(key, "n_words", score.alias("score"), (score / F.greatest("n_words", F.lit(1))).alias("mean_score"))
 
 
 def op4_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

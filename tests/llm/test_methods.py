@@ -276,3 +276,34 @@ def test_frequent_anchors_are_split(spark, monkeypatch, hot):
     assert got == {i: sorted({j for k in range(len(b) - 59) if seen[b[k : k + 60]] > 1 for j in range(k, k + 60)}) for i, b in enumerate(data)}
     held = Counter(k for r in sorted_pieces[0].collect() for k in [exact.encode() in r["piece"]])
     assert held[True] <= hot
+
+
+def test_rare_words_keep_their_counts(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "VOCABULARY", 3)
+    bucket = lambda w: int(scoring.hashed_words(*text_bytes(pa.array([w])))[0].view(np.int64)[0] % scoring.RARE)
+    real = "likely"
+    typo = next(w for k in range(10**4) if bucket(w := f"likly{k}") == bucket(real))
+    rows = [(i, "the of and") for i in range(60)] + [(100 + i, real) for i in range(20)] + [(200, typo), (201, f"{real} {real} {typo}"), (None, typo), (202, None)]
+    got = {r["doc_id"]: r for r in scoring.scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert np.isclose(got[100]["score"] - got[200]["score"], np.log(22 / 3)) and np.isclose(got[200]["score"], got[None]["score"])
+    assert got[201]["n_words"] == 3 and np.isclose(got[201]["mean_score"] * 3, got[201]["score"]) and got[202]["score"] == 0
+
+
+def test_every_word_is_a_target(spark, monkeypatch):
+    net, seen = scoring.Network(5), []
+    monkeypatch.setattr(scoring, "Network", lambda *a: net)
+    monkeypatch.setattr(net, "train", lambda around, classes: seen.append(len(classes)), raising=False)
+
+    class Frame:
+        sparkSession = spark
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            list(run([pa.RecordBatch.from_arrays([pa.array(["a b c d e f g h i j k", "l m"])], names=["text"])]))
+            raise StopIteration
+
+    with pytest.raises(StopIteration):
+        scoring.trained(Frame(), scoring.Words(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(64, np.int64), np.zeros(64)), "text")
+    assert sum(seen) == 13
