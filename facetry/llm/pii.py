@@ -2,10 +2,13 @@
 
 The base spans are the leftmost matches of the patterns of four kinds. The field then labels the tokens that hold a
 digit or an ``@`` (any other token is outside by definition of the model): neighbours in the text share chain potentials,
-and repeated tokens, or tokens that end in the same seven digits, share skip potentials however far apart they are; a
-token is tied to its last such token before, so ties grow with the text and not with its square. Weights are fitted by
+and repeated tokens, or tokens that end in the same seven digits, share skip potentials however far apart they are. Each
+token is tied to one other of its group, so ties grow with the text and not with its square: where the group has tokens
+in base spans, to the last of these before it or else the first, which is one hop for any number of copies; otherwise to
+the token of the group before it, as in the fitting. Weights are fitted by
 pseudo-likelihood to the base spans of at most ``SAMPLE`` documents (a documented bound; every document is labelled).
-Loopy belief propagation gives each token's marginals; a token without a base span whose best label reaches ``SURE``
+Loopy belief propagation, until no message moves by more than ``STILL`` (``ROUNDS`` at most, for loops in which they
+swing), gives each token's marginals; a token without a base span whose best label reaches ``SURE``
 becomes part of an added span. Base spans always stay.
 
 Positions are code points, ends exclusive. A null or empty text has no spans. Rows are independent: repeated rows give
@@ -27,7 +30,7 @@ from facetry.llm.shared import table
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1
-SAMPLE, WIDTH, SURE, ROUNDS = 4000, 4096, 0.9, 8
+SAMPLE, WIDTH, SURE, ROUNDS, STILL = 4000, 4096, 0.9, 400, 1e-4
 CHAIN_PRIOR, SKIP_PRIOR = 2.0, 5.0
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -101,7 +104,8 @@ class Graph:
     skip: np.ndarray
 
     @staticmethod
-    def of(text: str) -> Graph:
+    def of(text: str, base: list[Span] = []) -> Graph:  # noqa: B006
+        """``base``: spans whose tokens the others of their groups are tied to."""
         marks = list(TOKEN.finditer(text))
         places, tokens = [m.span() for m in marks], [m[0] for m in marks]
         near = [i > 0 and not text[places[i - 1][1] : places[i][0]].strip(" ") for i in range(len(marks))]
@@ -118,16 +122,22 @@ class Graph:
                     b += 1
                 groups[i] = " ".join(tokens[a : b + 1])
             at = to
-        x, last, skip = [], {}, []
+        x, last, skip, hubs = [], {}, [], {}
+        sure = _touched(places, base)
+        names = [_groups_of(token) for token in tokens]
+        for i in np.flatnonzero(sure)[::-1].tolist():
+            hubs |= dict.fromkeys(names[i], i)
         for i, token in enumerate(tokens):
             before = tokens[i - 1] if near[i] else ""
             after = tokens[i + 1] if i + 1 < len(tokens) and near[i + 1] else ""
             x.append(features(token, before, after, groups[i]))
-            digits = only_digits(token)
-            for name in {("t", token.strip(".,;:!?()\"'").lower()), ("d", digits[-7:]) if len(digits) >= 7 else ("t", token.strip(".,;:!?()\"'").lower())}:
-                if name in last and name[1]:
-                    skip.append((last[name], i))
+            for name in names[i]:
+                hub = hubs.get(name, last.get(name, i))
+                if hub != i:
+                    skip.append((min(hub, i), max(hub, i)))
                 last[name] = i
+                if sure[i]:
+                    hubs[name] = i
         chain = [(i - 1, i) for i in range(len(tokens)) if near[i]]
         pairs = lambda e: np.array(sorted(set(e)), np.int64).reshape(-1, 2)
         return Graph(np.array(x, np.int64).reshape(len(tokens), -1), places, pairs(chain), pairs(set(skip) - set(chain)))
@@ -141,6 +151,24 @@ class Graph:
         return out
 
 
+def _groups_of(token: str) -> list[tuple[str, str]]:
+    """The groups of similar tokens that a token is in."""
+    digits, same = only_digits(token), token.strip(".,;:!?()\"'").lower()
+    return [("t", same)] * bool(same) + [("d", digits[-7:])] * (len(digits) >= 7)
+
+
+def _touched(places: list[tuple[int, int]], spans: list[Span]) -> np.ndarray:
+    """Which tokens overlap a span."""
+    edges = np.array(places, np.int64).reshape(-1, 2)
+    out = np.zeros(len(places) + 1, np.int64)
+    for _, a, b in spans:
+        first, end = np.searchsorted(edges[:, 1], a, "right"), np.searchsorted(edges[:, 0], b)
+        if first < end:
+            out[first] += 1
+            out[end] -= 1
+    return np.cumsum(out[:-1]) > 0
+
+
 @dataclass
 class Field:
     unary: np.ndarray
@@ -168,7 +196,10 @@ class Field:
             out = (belief[source] - message[back])[:, :, None] + table
             peak = out.max(1, keepdims=True)
             out = np.log(np.exp(out - peak).sum(1)) + peak[:, 0]
-            message = 0.5 * message + 0.5 * (out - out.max(1, keepdims=True))
+            step = out - out.max(1, keepdims=True) - message
+            message = message + 0.5 * step
+            if np.abs(step).max() < STILL:
+                break
         belief = scores.copy()
         np.add.at(belief, goal, message)
         return _soft(belief)
@@ -212,7 +243,7 @@ def fit(graphs: list[tuple[Graph, np.ndarray]], steps: int = 150, rate: float =
 def added_spans(text: str, base: list[Span], field: Field | None) -> list[Span]:
     if field is None:
         return []
-    g = Graph.of(text)
+    g = Graph.of(text, base)
     if not len(g.places):
         return []
     known = g.labels(base)

@@ -307,3 +307,21 @@ def test_every_word_is_a_target(spark, monkeypatch):
     with pytest.raises(StopIteration):
         scoring.trained(Frame(), scoring.Words(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(64, np.int64), np.zeros(64)), "text")
     assert sum(seen) == 13
+
+
+@pytest.mark.parametrize("weight", [pii.SKIP_PRIOR, 8.0])
+@pytest.mark.parametrize("at", [0, 25, 50])
+def test_evidence_reaches_all_copies(weight, at):
+    field = pii.Field(np.zeros((pii.WIDTH, pii.LABELS)), pii.CHAIN_PRIOR * np.eye(pii.LABELS), weight * np.eye(pii.LABELS))
+    text = " and so on ".join("+12025550143" if i == at else "12025550143" for i in range(51))
+    base = pii.base_spans(text)
+    added = pii.added_spans(text, base, field)
+    assert len(base) == 1 and [text[a:b] for _, a, b in added] == ["12025550143"] * 50
+
+
+def test_messages_run_until_they_rest():
+    field = pii.Field(np.zeros((pii.WIDTH, pii.LABELS)), 8.0 * np.eye(pii.LABELS), 8.0 * np.eye(pii.LABELS))
+    g = pii.Graph.of(" ".join(f"{i}x" for i in range(40)))
+    known = np.zeros(40, np.int64)
+    known[0] = 4
+    assert field.marginals(g, known)[:, 4].min() > 0.8
