@@ -15,6 +15,7 @@ from facetry.llm import minhash, packing, pii, quality, suffixes
 from facetry.llm.shared import shared_folder, table
 
 PASSAGE = 240
+PERCENT = 80
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str, str]:
@@ -38,8 +39,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id in each group of near-duplicates."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
+    """The document of the smallest id in each group of near-duplicates, of similarity ``PERCENT`` / 100 or more."""
+    kept = minhash.near_duplicates(docs, percent=PERCENT).where("kept").select("doc_id")
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
 
 

@@ -3,7 +3,7 @@
 Documents with equal shingle sets form a class, for which its smallest id stands. A representative has two collections
 of ``BANDS`` bands of ``WIDTH`` minimum hashes each; the key of table (i, j) joins band i of the first with band j of
 the second, so ``2 * BANDS * WIDTH`` hash functions feed ``BANDS ** 2`` tables. A pair with similarity s is missed in
-all tables with probability below ``2 * (1 - s ** WIDTH) ** BANDS``: 2e-5 at 0.85 and 2e-10 at 0.95.
+all tables with probability below ``2 * (1 - s ** WIDTH) ** BANDS``: 4e-4 at 0.8, 2e-5 at 0.85 and 2e-10 at 0.95.
 
 Bands that one representative alone has are dropped first. Within a table bucket, each member is tied to the smallest
 one; the components of these ties are candidate groups. A group is dealt to blocks, and each pair of blocks is one cell,
@@ -131,7 +131,7 @@ def links(ids: list[int], side: np.ndarray, rows: np.ndarray, hashes: np.ndarray
     return out
 
 
-def confirmed(docs: DataFrame, groups: DataFrame, key: str, text: str) -> DataFrame:
+def confirmed(docs: DataFrame, groups: DataFrame, key: str, text: str, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between representatives of one candidate group, judged on their whole sets."""
     blocks = groups.groupBy("component").agg((F.floor(F.count(F.lit(1)) / BLOCK) + 1).cast("int").alias("blocks"))
     dealt = groups.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -142,18 +142,18 @@ def confirmed(docs: DataFrame, groups: DataFrame, key: str, text: str) -> DataFr
     def run(cell: pd.DataFrame) -> pd.DataFrame:
         cell = cell.drop_duplicates("node")
         rows, hashes = shingles(*text_bytes(pa.array(cell["body"], pa.string())))
-        return pd.DataFrame(links(cell["node"].tolist(), cell["own"].to_numpy(), rows, hashes), columns=["a", "b"], dtype="int64")
+        return pd.DataFrame(links(cell["node"].tolist(), cell["own"].to_numpy(), rows, hashes, percent), columns=["a", "b"], dtype="int64")
 
     texts = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("node"), F.col(text).alias("body"))
     return cells.join(texts, "node").groupBy("component", "i", "j").applyInPandas(run, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``df``: ``key``, n_shingles, component_id, kept."""
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
+    """One row per row of ``df``: ``key``, n_shingles, component_id, kept. Similarities count from ``percent``."""
     rows = settled(with_sketches(df, key, text))
     classes = settled(rows.where("size > 0 and id is not null").groupBy("one", "two", "size").agg(F.min(F.struct("id", "bands")).alias("m")).select("one", "two", "size", F.col("m.id").alias("rep"), F.col("m.bands").alias("bands")))
     groups = settled(candidate_groups(classes.select("rep", "bands")))
-    found = components(confirmed(df, groups, key, text))
+    found = components(confirmed(df, groups, key, text, percent))
     labels = classes.select("one", "two", "size", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("one", "two", "size", F.coalesce("component", "rep").alias("component_id"))
     joined = rows.select("id", "size", "one", "two").join(labels, ["one", "two", "size"], "left")
     own = F.coalesce("component_id", "id")
@@ -161,7 +161,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=PERCENT)
 
 
 OP9_SQL = """

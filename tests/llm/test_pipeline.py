@@ -45,3 +45,11 @@ def test_empty(spark, empty):
 
 def test_five_words_and_percent():
     assert minhash.WORDS == 5 and minhash.PERCENT >= 80
+
+
+def test_near_copies_from_four_fifths(spark):
+    words = [f"w{k}" for k in range(204)]
+    other = [w + "x" if k in (20, 70, 120, 170) else w for k, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other))], "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect()] == [1]
+    assert all(r["kept"] for r in minhash.near_duplicates(docs, percent=minhash.PERCENT).collect())
