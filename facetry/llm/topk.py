@@ -127,7 +127,8 @@ def search(pages: list[dict], x: np.ndarray, ids: list, q: np.ndarray, floor: np
         reach(live, 0)
     while nodes and len(live):
         node = bound[live].argmax(1)
-        go = bound[live, node] >= limit[live]
+        # A visited page has no bound left, and without ``k`` vectors the limit stays as low.
+        go = (bound[live, node] >= limit[live]) & (bound[live, node] > -np.inf)
         live, node = live[go], node[go]
         for at in np.unique(node):
             rows = live[node == at]

@@ -325,3 +325,10 @@ def test_messages_run_until_they_rest():
     known = np.zeros(40, np.int64)
     known[0] = 4
     assert field.marginals(g, known)[:, 4].min() > 0.8
+
+
+@pytest.mark.parametrize("n", [1, 3, 5])
+def test_few_vectors_come_once(spark, n):
+    df = spark.createDataFrame([(i, [float(i + 1), 1.0]) for i in range(n)], "vec_id long, embedding array<float>")
+    got = [(r["query_id"], r["rank"], r["vec_id"]) for r in topk.top_k(df, df).collect()]
+    assert sorted(got) == sorted((q, r + 1, v) for q in range(n) for r, v in enumerate(i for i in reversed(range(n)) if i != q))
