@@ -41,7 +41,7 @@ def give_back() -> None:
     _trim()(0)
 
 
-def chunks(batch: pa.RecordBatch, text: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batch: pa.RecordBatch, text: str, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Runs of rows with at most ``limit`` bytes of text, or one longer row: working memory follows this, not the batch."""
     if not batch.num_rows:
         return

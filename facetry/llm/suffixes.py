@@ -1,61 +1,70 @@
 """Removal of repeated passages (operator 7), by suffix arrays from external induced sorting.
 
 1. Equal texts are grouped. A text with copies and of at least ``length`` bytes is repeated whole; one row stands for it.
-2. Every window of ``length`` bytes contains a chosen anchor, the least hash of its pieces half as long. A passage that
-   recurs has the same anchor each time, so only anchors that occur twice, with the bytes around them that a window may
-   reach, take part in sorting; anything else is proved unique. Equal anchors go to the same shard, up to ``HOT`` places
-   of one anchor; for a more frequent one the key is extended by the bytes around it (``hot_spans``) until whole windows
-   are the keys, which Spark counts, so that no task takes all places of an anchor.
-3. A shard's pieces are joined by separators and their suffixes sorted by recursive induced sorting. The induction runs
-   on a monotone priority queue of suffix tuples, whose ranges lie on disk beyond ``QUEUE_BYTES``; the ranges come out
-   in the order of first symbols, in batches that hold no tuple which a tuple of the batch could still precede. Common
-   prefixes are compared where a neighbour's cannot tell them, and carried on from there.
-4. Runs of neighbours that share ``length`` bytes are repeats; their bytes are removed from the whole texts.
+2. Every window of the least wanted length contains a chosen anchor, the least hash of its pieces of ``gram`` bytes. A
+   passage that recurs has the same anchor each time, so only anchors that occur twice take part; anything else is proved
+   unique. Anchors whose whole surroundings, all that a window with the anchor may reach, are equal (by 128 bits of hashes)
+   need no sorting: their windows recur. One place of each surrounding stands for it beside those that differ.
+3. Their surroundings go to shards by anchor. Anchors that stand together mostly share a home, the least hash nearby, and
+   by it a shard, so that a text is not cut into a piece for each. An anchor with more than ``HOT`` surroundings is not
+   sorted: its key is extended by the bytes around it (``hot_spans``) until whole windows are the keys, which Spark counts,
+   so that no task takes all places of an anchor.
+4. A shard's pieces stream to a file, joined by separators, and their suffixes are sorted with their common prefixes by
+   :mod:`facetry.llm.induced`, on disk. Runs of neighbours that share ``length`` bytes are repeats.
+5. The bytes of repeats are removed from the whole texts.
 
 A null or empty text has no bytes. Texts below ``length`` keep theirs. Equal rows remove each other. Other columns are
-ignored; an empty table gives no rows. Texts are valid UTF-8, as Spark's strings are. The ids are expected to be distinct;
-a row with a null id loses its text to equal texts only, and takes nothing from others.
+ignored; an empty table gives no rows. Very long texts are scanned in segments, so that memory follows those. Texts are valid
+UTF-8, as Spark's strings are. The ids are expected to be distinct; a row with a null id loses its text to equal texts only,
+and takes nothing from others.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from facetry.llm.induced import blocks, disk, suffixes
 from facetry.llm.ragged import U64, chunks, give_back, mix, text_bytes
 from facetry.llm.shared import settled, shared_folder, table
 
-LENGTH = 400
-SHARD_BYTES = 3 << 19
-QUEUE_BYTES = 64 << 20
+#: Bytes of a repeat that is removed, and of one that is reported: about 50 words are 240 bytes or more.
+LENGTH, PASSAGE = 400, 240
+#: Estimated bytes of a shard, of its queue in memory, and of a piece's share of them.
+SHARD_BYTES, QUEUE_BYTES, PIECE_BYTES = 3 << 20, 8 << 20, 120
 SEPARATOR = 0xF5
-#: Places of an anchor up to which its pieces are sorted in one shard; and the offsets of windows that share an extended key.
+#: Surroundings of an anchor up to which they are sorted in one shard; and the offsets of windows that share an extended key.
 HOT, CELL = 256, 15
-#: Names of a reduced string up to which it is ranked in memory; a longer one is reduced again.
-BASE = 1 << 22
+#: Anchors on either side that may give the home; surroundings of a home up to which they stay together.
+NEAR, HOME = 8, 8192
+#: Bytes scanned at a time.
+SEGMENT = 1 << 18
 #: Bytes below 0xC0 move up by one, so that 0 can end a shard; UTF-8 has no 0xC0.
 SHIFT = np.array([b + (b < 0xC0) for b in range(256)], np.uint8)
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = LENGTH // 2) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the least piece of each window; of equal hashes the first."""
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, hashes, hashes of the surroundings) of the least piece of each window; of equal hashes the first. The
+    surroundings are what windows of up to ``reach`` bytes with the piece can cover."""
     n = len(data)
     width = length - gram + 1
     if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, U64)
+        return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, U64)
     letters = np.random.default_rng(400).integers(0, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
     base = 0x9E3779B97F4A7C15
     power, back = np.full(n + 1, base, U64), np.full(n + 1, pow(base, -1, 2**64), U64)
     power[0] = back[0] = 1
-    power, back = np.cumprod(power), np.cumprod(back)
+    np.cumprod(power, out=power)
+    np.cumprod(back, out=back)
     total = np.zeros(n + 1, U64)
     np.cumsum(letters[data] * power[:n], out=total[1:])
     h = mix((total[gram:] - total[:-gram]) * back[: n - gram + 1])
@@ -66,312 +75,108 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
         span *= 2
     if width > span:
         least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
-    inside = np.ones(len(least), bool)
-    ends = offsets[1:]
     edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, np.maximum(np.maximum(ends - length + 1, offsets[:-1]), 0), 1)
-    np.add.at(edge, ends, -1)
-    inside &= np.cumsum(edge)[: len(least)] == 0
+    np.add.at(edge, np.maximum(np.maximum(offsets[1:] - length + 1, offsets[:-1]), 0), 1)
+    np.add.at(edge, offsets[1:], -1)
+    inside = np.cumsum(edge)[: len(least)] == 0
     at = (least[inside] & U64(0xFFFFFFFF)).astype(np.int64)
     at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
-    return at, h[at]
-
-
-class Spool:
-    """Positions pushed to ranges and read back range by range, in order; the largest go to disk beyond a bound."""
-
-    def __init__(self, ranges: int, folder: str, limit: int):
-        self.parts: list[list[np.ndarray]] = [[] for _ in range(ranges)]
-        self.sizes, self.held, self.limit, self.folder = [0] * ranges, 0, limit, folder
-        self.files: set[int] = set()
-
-    def push(self, which: int, positions: np.ndarray) -> None:
-        self.parts[which].append(positions)
-        self.sizes[which] += positions.nbytes
-        self.held += positions.nbytes
-        while self.held > self.limit:
-            self._spill(max(range(len(self.sizes)), key=self.sizes.__getitem__))
-
-    def _spill(self, which: int) -> None:
-        with open(os.path.join(self.folder, str(which)), "ab") as f:
-            for x in self.parts[which]:
-                x.tofile(f)
-        self.files.add(which)
-        self.held -= self.sizes[which]
-        self.parts[which], self.sizes[which] = [], 0
-
-    def pull(self, which: int, kind) -> np.ndarray:
-        parts = self.parts[which]
-        if which in self.files:
-            name = os.path.join(self.folder, str(which))
-            parts = [np.fromfile(name, kind), *parts]
-            os.remove(name)
-            self.files.discard(which)
-        self.held -= self.sizes[which]
-        self.parts[which], self.sizes[which] = [], 0
-        return np.concatenate(parts) if parts else np.zeros(0, kind)
-
-
-def _induce(symbol: np.ndarray, target: np.ndarray, seeds: np.ndarray, counts: np.ndarray, up: bool, folder: str, limit: int) -> np.ndarray:
-    """Suffixes marked in ``target``, sorted, from sorted ``seeds``. A tuple (symbol, position) yields that of the position
-    before if it is marked; tuples of a symbol come before its seeds. ``up``: by ascending symbols, else descending."""
-    few = len(counts) <= 256
-    kind = np.int16 if few else np.int64
-    top = len(counts) - 1
-    rank = symbol.astype(kind) if up else top - symbol.astype(kind)
-    none = np.iinfo(kind).max
-    goal = np.full(len(symbol), none, kind)
-    goal[1:][target[:-1]] = 2 * rank[:-1][target[:-1]]
-    # A range is one symbol, or in a large alphabet some symbols with about 8192 suffixes.
-    grown = np.cumsum(counts if up else counts[::-1])
-    range_of = np.arange(top + 1) if few else np.unique((grown - 1) // 8192, return_inverse=True)[1].reshape(-1)
-    range_of = range_of.astype(np.uint16 if range_of[-1] < 65536 else np.int64)
-    spool = Spool(int(range_of[-1]) + 1, folder, limit)
-    seed_rank = rank[seeds]
-    seed_ends = np.searchsorted(range_of[seed_rank], np.arange(len(spool.parts)), "right").tolist()
-    out = []
-
-    def push(made: np.ndarray, whither: np.ndarray) -> None:
-        by = np.argsort(whither, kind="stable")
-        made, whither = made[by], whither[by]
-        cut = [0, *(np.flatnonzero(whither[1:] != whither[:-1]) + 1).tolist(), len(made)]
-        for a, b in zip(cut[:-1], cut[1:]):
-            if a < b:
-                spool.push(int(whither[a]), made[a:b])
-
-    def one_symbol(which: int, own: np.ndarray, more: np.ndarray) -> None:
-        for wave in (own, more):
-            while len(wave):
-                if wave is not more:
-                    out.append(wave)
-                next_ = goal[wave]
-                live = np.flatnonzero(next_ != none)
-                made, whither = wave[live] - 1, next_[live] >> 1
-                stay = whither == which
-                wave = made[stay]
-                push(made[~stay], whither[~stay].astype(np.uint16))
-
-    def some_symbols(which: int, own: np.ndarray, more: np.ndarray, more_rank: np.ndarray) -> None:
-        key = 2 * rank[own]
-        by = np.argsort(key, kind="stable")
-        own, key = own[by], key[by]
-        at = np.searchsorted(key, 2 * more_rank + 1, "right")
-        pos, key = np.insert(own, at, more), np.insert(key, at, 2 * more_rank + 1)
-        while len(pos):
-            # A tuple is final unless one before it yields a smaller key.
-            n = 1 + int(np.count_nonzero(key[1:] <= np.minimum.accumulate(goal[pos])[:-1]))
-            out.append(pos[:n][key[:n] & 1 == 0])
-            next_ = goal[pos[:n]]
-            live = next_ != none
-            made, made_key = pos[:n][live] - 1, next_[live]
-            pos, key = pos[n:], key[n:]
-            whither = range_of[made_key >> 1]
-            stay = whither == which
-            back_key = made_key[stay]
-            by = np.argsort(back_key, kind="stable")
-            back, back_key = made[stay][by], back_key[by]
-            at = np.searchsorted(key, back_key, "right")
-            pos, key = np.insert(pos, at, back), np.insert(key, at, back_key)
-            push(made[~stay], whither[~stay])
-
-    for which, end in enumerate(seed_ends):
-        lo = seed_ends[which - 1] if which else 0
-        own = spool.pull(which, seeds.dtype)
-        if few:
-            one_symbol(which, own, seeds[lo:end])
-        elif len(own) or lo < end:
-            some_symbols(which, own, seeds[lo:end], seed_rank[lo:end])
-    return np.concatenate(out) if out else seeds[:0]
-
-
-def _ranked(names: np.ndarray) -> np.ndarray:
-    """Sorted suffixes of a string of names that fits into memory, by doubling the compared length of those still tied."""
-    n = len(names)
-    count = np.bincount(names)
-    rank = (np.cumsum(count) - count)[names]
-    tied = np.flatnonzero(count[names] > 1)
-    step = 1
-    while len(tied):
-        key = rank[tied] << 32 | rank[tied + step]
-        by = np.argsort(key, kind="stable")
-        tied, key = tied[by], key[by]
-        group = key >> 32
-        index = np.arange(len(key))
-        new_group = np.concatenate([[True], group[1:] != group[:-1]])
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        head = np.maximum.accumulate(np.where(new, index, 0))
-        rank[tied] = group + head - np.maximum.accumulate(np.where(new_group, index, 0))
-        alone = new & np.append(new[1:], True)
-        tied = tied[~alone]
-        step *= 2
-    out = np.empty(n, np.int64)
-    out[rank] = np.arange(n)
-    return out
-
-
-def _names(symbol: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Ranks of the slices; a slice that another one goes on from is the larger."""
-    per = 8 if symbol.dtype == np.uint8 else 2
-    pad = np.concatenate([symbol, np.zeros(per, symbol.dtype)])
-    view = np.lib.stride_tricks.sliding_window_view(pad, per)
-
-    def word(at, left):
-        piece = np.ascontiguousarray(view[at])
-        piece[np.arange(per) >= left[:, None]] = np.iinfo(symbol.dtype).max
-        if per == 8:
-            return piece.view(">u8").ravel().astype(U64)
-        return piece[:, 0].astype(U64) << U64(32) | piece[:, 1].astype(U64)
-
-    names = np.unique(word(starts, lengths), return_inverse=True)[1].reshape(-1).astype(np.int64)
-    done = per
-    on = np.flatnonzero(lengths > done)
-    while len(on):
-        tied = np.zeros(int(names.max()) + 1, bool)
-        tied[names[on]] = True
-        members = np.flatnonzero(tied[names])
-        left = lengths[members] - done
-        key = np.full(len(members), np.iinfo(np.uint64).max, U64)
-        go = left > 0
-        key[go] = word(starts[members[go]] + done, left[go])
-        by = np.lexsort((key, names[members]))
-        first = np.ones(len(by), bool)
-        a, b = names[members][by], key[by]
-        first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        more = first.copy()
-        more[1:] &= a[1:] == a[:-1]
-        more[0] = False
-        # Names after a group that falls apart move up by the number of its new parts.
-        extra = np.zeros(len(tied) + 1, np.int64)
-        np.add.at(extra, a[more] + 1, 1)
-        shift = np.cumsum(extra)[:-1]
-        within = np.cumsum(more)
-        start_of = np.concatenate([[True], a[1:] != a[:-1]])
-        base = np.maximum.accumulate(np.where(start_of, within - more, 0))
-        names = names + shift[names]
-        names[members[by]] += within - base
-        done += per
-        on = on[lengths[on] > done]
-    return names
-
-
-def suffix_array(symbol: np.ndarray, folder: str, limit: int = QUEUE_BYTES, base: int = BASE) -> np.ndarray:
-    """Sorted suffixes of symbols of which the last, 0, is the only 0."""
+    # Words of eight bytes, mixed, so that no regular text has a hash in common with another.
+    word = np.lib.stride_tricks.sliding_window_view(data, 8)
+    word = mix(np.ascontiguousarray(word).view(U64).ravel())
+    total[: len(word) + 1] = np.concatenate([np.zeros(1, U64), np.cumsum(word * power[: len(word)])])
+    row = np.searchsorted(offsets, at, "right") - 1
+    lo, hi = np.maximum(at - (reach - gram), offsets[row]), np.minimum(at + reach, offsets[row + 1])
+    around = mix((total[hi - 7] - total[lo]) * back[lo] + mix((at - lo).astype(U64) << U64(32) | (hi - at).astype(U64)))
+    return at, h[at], around
+
+
+def long_anchors(data: np.ndarray, length: int, gram: int, reach: int, segment: int = SEGMENT) -> tuple[np.ndarray, ...]:
+    """The same of one text, in segments that overlap by what surroundings need."""
+    out, n = [], len(data)
+    for a in range(0, max(1, n - length + 1), segment):
+        lo, hi = max(0, a - reach), min(n, a + segment + length + reach)
+        at, h, x = anchors(data[lo:hi], np.array([0, hi - lo]), length, gram, reach)
+        at = at + lo
+        whole = ((at - (reach - gram) >= lo) | (lo == 0)) & ((at + reach <= hi) | (hi == n))
+        out.append((at[whole], h[whole], x[whole]))
+    at, h, x = (np.concatenate(c) for c in zip(*out))
+    at, first = np.unique(at, return_index=True)
+    return at, h[first], x[first]
+
+
+def repeated_starts(symbol: np.ndarray, ends: np.ndarray, lengths: tuple[int, ...], folder: str, limit: int = QUEUE_BYTES) -> Iterator[tuple[int, np.ndarray]]:
+    """(number of a length, some positions in order) where strings of that length start that also start elsewhere.
+    ``symbol``: shifted bytes of pieces, each with a separator, and a 0; ``ends``: the separators' places."""
+    sa, shared = suffixes(symbol, folder, limit)
     n = len(symbol)
-    if n == 1:
-        return np.zeros(1, np.int32)
-    # The next place where the symbol changes tells how a suffix compares with the one after it.
-    turn = np.where(symbol[1:] != symbol[:-1], np.arange(n - 1, dtype=np.int32), np.int32(n))
-    turn = np.minimum.accumulate(turn[::-1])[::-1]
-    small = np.ones(n, bool)
-    small[:-1] = (symbol[1:] > symbol[:-1])[turn]
-    del turn
-    left_most = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    ends = np.append(left_most[1:], n - 1)
-    names = _names(symbol, left_most, ends - left_most + 1)
-    if int(names.max()) + 1 == len(names):
-        sorted_names = np.argsort(names)
-    elif len(names) <= base:
-        sorted_names = _ranked(names)
-    else:
-        sorted_names = suffix_array(names.astype(np.uint32), folder, limit, base)
-    kind = np.int32
-    seeds = left_most[sorted_names].astype(kind)
-    counts = np.bincount(symbol)
-    large = _induce(symbol, ~small, seeds, counts, True, folder, limit)
-    lower = _induce(symbol, small, large[::-1], counts, False, folder, limit)[::-1]
-    lower = np.concatenate([np.array([n - 1], kind), lower])
-    # Of the suffixes of one first symbol the larger-than-next ones come first.
-    first = np.bincount(symbol[large], minlength=len(counts))
-    rest = counts - first
-    out = np.empty(n, kind)
-    bucket = np.cumsum(counts) - counts
-    out[np.arange(len(large), dtype=kind) + np.repeat(bucket - (np.cumsum(first) - first), first).astype(kind)] = large
-    out[np.arange(len(lower), dtype=kind) + np.repeat(bucket + first - (np.cumsum(rest) - rest), rest).astype(kind)] = lower
-    return out
-
-
-def common_prefixes(symbol: np.ndarray, sa: np.ndarray) -> np.ndarray:
-    """Length of the common prefix of each suffix, by text position, with the one sorted before it. Where the symbols before
-    both are equal, it follows from the position before; elsewhere it is counted."""
-    n = len(symbol)
-    before = np.full(n, -1, np.int32)
-    before[sa[1:]] = sa[:-1]
-    fresh = before >= 0
-    fresh[1:] &= (symbol[:-1] != symbol[before[1:] - 1]) | (before[1:] == 0)
-    found = np.zeros(n, np.int32)
-    view = np.lib.stride_tricks.sliding_window_view(np.concatenate([symbol, np.zeros(8, symbol.dtype)]), 8)
-    count = np.flatnonzero(fresh)
-    for at in range(0, len(count), 1 << 20):
-        own = count[at : at + (1 << 20)]
-        p, q, live, total = own, before[own], np.arange(len(own)), np.zeros(len(own), np.int32)
-        while len(live):
-            same = view[p] == view[q]
-            run = np.where(same.all(1), 8, same.argmin(1))
-            total[live] += run
-            on = run == 8
-            p, q, live = p[on] + 8, q[on] + 8, live[on]
-        found[own] = total + own
-    found = np.maximum.accumulate(found)
-    found -= np.arange(n, dtype=np.int32)
-    found[(found < 0) | (before < 0)] = 0
-    return found
-
-
-def repeated_starts(pieces: list[np.ndarray], length: int = LENGTH, limit: int = QUEUE_BYTES) -> list[np.ndarray]:
-    """For each piece where strings of ``length`` bytes start that start anywhere else in the pieces."""
-    sizes = np.array([len(p) + 1 for p in pieces])
-    symbol = np.zeros(int(sizes.sum()) + 1, np.uint8)
-    at = np.cumsum(sizes) - sizes
-    for a, p in zip(at, pieces):
-        symbol[a : a + len(p)] = SHIFT[p]
-        symbol[a + len(p)] = SEPARATOR
-    room = np.zeros(len(symbol), np.int32)
-    room[:-1] = np.repeat((at + sizes - 1).astype(np.int32), sizes)
-    room[:-1] -= np.arange(len(symbol) - 1, dtype=np.int32)
+    for law, length in enumerate(lengths):
+        hit, before = disk(folder, n, np.bool_), n
+        for s in blocks(n):
+            own, same = sa[s], shared[s] >= length
+            first = np.concatenate([[before], own[:-1]])
+            fits = lambda at: ends[np.minimum(np.searchsorted(ends, at), len(ends) - 1)] - at >= length
+            pair = np.flatnonzero(same)
+            pair = pair[fits(own[pair]) & fits(first[pair])]
+            hit[own[pair]] = True
+            hit[first[pair]] = True
+            before = int(own[-1])
+        for s in blocks(n):
+            at = np.flatnonzero(hit[s]) + s.start
+            if len(at):
+                yield law, at
+
+
+def shard_spans(pieces: Iterator[tuple[int, int, np.ndarray]], lengths: tuple[int, ...], limit: int = QUEUE_BYTES) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
+    """(ids, number of a length, starts, ends) of repeated runs in the pieces (id, start, bytes) of one shard."""
     with tempfile.TemporaryDirectory(prefix="suffixes-") as folder:
-        sa = suffix_array(symbol, folder, limit)
-    same = common_prefixes(symbol, sa)[sa] >= length
-    hit = np.zeros(len(symbol), bool)
-    fits = room[sa] >= length
-    pair = same[1:] & fits[1:] & fits[:-1]
-    hit[sa[1:][pair]] = True
-    hit[sa[:-1][pair]] = True
-    starts = np.flatnonzero(hit)
-    bounds = np.searchsorted(starts, np.append(at, len(symbol)))
-    return [starts[a:b] - o for a, b, o in zip(bounds[:-1], bounds[1:], at)]
-
-
-def _scanned(df: DataFrame, key: str, text: str, length: int, gram: int) -> DataFrame:
+        name, where, size = os.path.join(folder, "text"), [], 0
+        with open(name, "wb") as f:
+            for i, start, piece in pieces:
+                f.write(SHIFT[piece].data)
+                f.write(bytes([SEPARATOR]))
+                where.append((i, start - size, size + len(piece)))
+                size += len(piece) + 1
+            f.write(b"\0")
+        ids, shift, ends = np.array(where, np.int64).reshape(-1, 3).T
+        symbol = np.asarray(np.memmap(name, np.uint8, "r"))
+        for law, at in repeated_starts(symbol, ends, lengths, folder, limit):
+            piece, length = np.searchsorted(ends, at), lengths[law]
+            first = np.flatnonzero(np.concatenate([[True], (piece[1:] != piece[:-1]) | (at[1:] - at[:-1] > length)]))
+            last = np.append(first[1:], len(at)) - 1
+            own = piece[first]
+            yield ids[own], law, at[first] + shift[own], at[last] + length + shift[own]
+
+
+def _scanned(df: DataFrame, key: str, text: str, length: int, gram: int, reach: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for part in chunks(batch, text):
+            for part in chunks(batch, text, SEGMENT):
                 data, offsets = text_bytes(part.column(text))
-                at, h = anchors(data, offsets, length, gram)
+                at, h, x = long_anchors(data, length, gram, reach) if part.num_rows == 1 else anchors(data, offsets, length, gram, reach)
                 row = np.searchsorted(offsets, at, "right") - 1
                 ends = np.searchsorted(row, np.arange(part.num_rows + 1))
-                raw = data.tobytes()
-                sha = [hashlib.sha256(raw[a:b]).digest() for a, b in zip(offsets[:-1], offsets[1:])]
-                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in (h.view(np.int64), (at - offsets[row]).astype(np.int64))]
-                yield pa.RecordBatch.from_arrays([part.column(key).cast(pa.int64()), pa.array(np.diff(offsets)), pa.array(sha, pa.binary()), *lists], names=["id", "n_bytes", "sha", "h", "p"])
+                sha = [hashlib.sha256(data[a:b].data).digest() for a, b in zip(offsets[:-1], offsets[1:])]
+                fields = pa.StructArray.from_arrays([pa.array(c) for c in (h.view(np.int64), x.view(np.int64), at - offsets[row])], ["h", "x", "p"])
+                found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), fields)
+                yield pa.RecordBatch.from_arrays([part.column(key).cast(pa.int64()), pa.array(np.diff(offsets)), pa.array(sha, pa.binary()), found], names=["id", "n_bytes", "sha", "found"])
 
-    return df.select(key, text).mapInArrow(run, "id long, n_bytes long, sha binary, h array<long>, p array<long>")
+    return df.select(key, text).mapInArrow(run, "id long, n_bytes long, sha binary, found array<struct<h:bigint,x:bigint,p:bigint>>")
 
 
-def _pieces(candidates: DataFrame, shards: int, length: int, gram: int) -> DataFrame:
+def _pieces(candidates: DataFrame, length: int, gram: int) -> DataFrame:
     """(shard, id, start, piece): the bytes that a window with one of the row's anchors can reach; those of a shard that
     overlap are one piece."""
 
     def run(batches):
         for batch in batches:
-            out = []
+            out, held = [], 0
             for i, raw, hits in zip(batch.column("id").to_pylist(), batch.column("body"), batch.column("hits")):
                 raw = raw.as_buffer()
-                hits = hits.values
-                h, p, hot = (hits.field(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2))
-                h, p = h[~hot], p[~hot]
+                h, p, hot, shard = (hits.values.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+                p, shard = p[~hot], shard[~hot]
                 if not len(p):
                     continue
-                shard = h % shards
                 by = np.lexsort((p, shard))
                 shard, p = shard[by], p[by]
                 lo, hi = np.maximum(p - (length - gram), 0), np.minimum(p + length, len(raw))
@@ -379,16 +184,34 @@ def _pieces(candidates: DataFrame, shards: int, length: int, gram: int) -> DataF
                 last = np.append(first[1:], len(p)) - 1
                 for s, a, b in zip(shard[first].tolist(), lo[first].tolist(), hi[last].tolist()):
                     out.append((s, i, a, bytes(raw[a:b])))
-                if len(out) > 5000:
+                    held += b - a
+                if held > SEGMENT:
                     yield _rows(out)
-                    out = []
+                    out, held = [], 0
             yield _rows(out)
 
     def _rows(out):
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["shard", "id", "start", "piece"])
 
-    return candidates.mapInArrow(run, "shard long, id long, start long, piece binary")
+    return candidates.where(F.exists("hits", lambda x: ~x["hot"])).mapInArrow(run, "shard long, id long, start long, piece binary")
+
+
+def _sorted_spans(pieces: DataFrame, shards: int, lengths: tuple[int, ...]) -> DataFrame:
+    """(id, law, lo, hi) from the shards' pieces, which stream through a task one shard after the other."""
+
+    def run(batches):
+        def rows():
+            for batch in batches:
+                yield from zip(*(batch.column(k).to_pylist() for k in ("shard", "id", "start")), batch.column("piece"))
+
+        for _, shard in itertools.groupby(rows(), key=lambda r: r[0]):
+            pieces = ((i, start, np.frombuffer(piece.as_buffer(), np.uint8)) for _, i, start, piece in shard)
+            for ids, law, lo, hi in shard_spans(pieces, lengths):
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), law, np.int32)), pa.array(lo), pa.array(hi)], names=["id", "law", "lo", "hi"])
+            give_back()
+
+    return pieces.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, "id long, law int, lo long, hi long")
 
 
 def _digest(raw) -> bytes:
@@ -480,46 +303,64 @@ def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[first], hi[np.append(first[1:], len(lo)) - 1]
 
 
-def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows, candidates). rows: id, n_bytes, sha (of the whole text) and spans, the byte runs to remove, of every row.
-    candidates: id and body (bytes) of at least the rows whose spans are neither none nor the whole text."""
+def _homes(left: DataFrame) -> DataFrame:
+    """(h, home) of the anchors of (id, p, h): the least hash of those nearby, in any of its places; a home that would hold
+    more than ``HOME`` surroundings is left."""
+    own = left.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("p", "h"))).alias("hits")).withColumn("g", F.transform("hits", lambda x: F.xxhash64(x["h"])))
+    near = F.transform("hits", lambda x, i: F.struct(x["h"].alias("h"), F.array_min(F.slice("g", F.greatest(i + 1 - NEAR, F.lit(1)), 2 * NEAR + 1)).alias("home")))
+    homes = settled(own.select(F.inline(near)).groupBy("h").agg(F.min("home").alias("home"), F.count(F.lit(1)).alias("n")))
+    full = settled(homes.groupBy("home").agg(F.sum("n").alias("n")).where(F.col("n") > HOME).select("home", F.lit(True).alias("full")))
+    return homes.join(full, "home", "left").select("h", F.when(F.col("full"), F.col("h")).otherwise(F.col("home")).alias("home"))
+
+
+def _known(hits: DataFrame, length: int, gram: int, law: int) -> DataFrame:
+    """The windows of ``length`` bytes that hold the anchor at p, as one span."""
+    first, last = F.greatest(F.lit(0), F.col("p") - (length - gram)), F.least(F.col("p"), F.col("n_bytes") - length)
+    return hits.where(first <= last).select("id", F.lit(law).alias("law"), first.alias("lo"), (last + length).alias("hi"))
+
+
+def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengths: tuple[int, ...] = (LENGTH,), gram: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, candidates). rows: id, n_bytes, sha (of the whole text) and spans_0, spans_1, ..., the repeated byte runs by
+    each of ``lengths``, of every row. candidates: id and body (bytes) of at least the rows with spans that are not the
+    whole text."""
     spark = df.sparkSession
-    gram = gram or length // 2
-    rows = settled(_scanned(df, key, text, length, gram))
+    least, reach = min(lengths), max(lengths)
+    gram = gram or least // 3
+    rows = settled(_scanned(df, key, text, least, gram, reach))
     # Settled, so that the joins have exchanges of their own on both sides and a hot key can be split.
     copies = settled(rows.groupBy("sha").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     rows = rows.join(copies, "sha", "left")
-    found = rows.where("id is not null and (n is null or id = rep)").select("id", F.explode(F.arrays_zip("h", "p")).alias("x")).select("id", "x.h", "x.p")
-    again = settled(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", (F.col("n") > HOT).alias("hot")))
-    hits = settled(found.join(again, "h")).groupBy("id").agg(F.collect_list(F.struct("h", "p", "hot")).alias("hits"))
-    bodies = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("body")).join(hits, "id")
+    found = rows.where("id is not null and (n is null or id = rep)").select("id", "n_bytes", F.inline("found"))
+    again = settled(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
+    hits = settled(found.join(again, "h"))
+    kinds = settled(hits.groupBy("h", "x").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "p")).alias("m")))
+    several = settled(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("d")).where("d > 1").select("h", (F.col("d") > HOT).alias("hot")))
+    left = settled(kinds.join(several, "h").select("h", "m.id", "m.p", "hot"))
+    same = settled(hits.join(settled(kinds.where("n > 1").select("h", "x")), ["h", "x"]).select("id", "p", "n_bytes"))
+    shards = 1 + left.where("not hot").count() * PIECE_BYTES // SHARD_BYTES
+    dealt = left.join(settled(_homes(left.where("not hot"))), "h", "left").withColumn("shard", F.coalesce(F.pmod(F.xxhash64("home"), F.lit(shards)), F.lit(0)).cast("long"))
+    marks = dealt.select("id", F.struct("h", "p", "hot", "shard").alias("hit")).union(same.select("id").distinct().select("id", F.lit(None).alias("hit")))
+    bodies = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("body")).join(settled(marks.groupBy("id").agg(F.collect_list("hit").alias("hits"))), "id")
     place = f"{shared_folder(spark)}/suffixes-{uuid.uuid4().hex}"
     bodies.write.option("compression", "zstd").parquet(place)
     candidates = spark.read.parquet(place)
-    hot = F.size(F.filter("hits", lambda x: x["hot"]))
-    left = candidates.select(F.sum(F.size("hits") - hot).alias("n"), F.sum(hot).alias("hot")).first()
-    anchors_left = left["n"] or 0
-    shards = 1 + int(anchors_left * gram // SHARD_BYTES)
-
-    def sort(shard: pd.DataFrame) -> pd.DataFrame:
-        pieces = [np.frombuffer(x, np.uint8) for x in shard["piece"]]
-        out = []
-        for i, start, at in zip(shard["id"], shard["start"], repeated_starts(pieces, length)):
-            if len(at):
-                lo, hi = merged(at + start, at + start + length)
-                out.append(pd.DataFrame({"id": i, "lo": lo, "hi": hi}))
-        give_back()
-        return pd.concat(out) if out else pd.DataFrame({"id": [], "lo": [], "hi": []}, dtype="int64")
-
-    spans = _pieces(candidates, shards, length, gram).repartition(max(shards, 1), "shard").groupBy("shard").applyInPandas(sort, "id long, lo long, hi long")
-    if left["hot"]:
-        spans = spans.union(hot_spans(candidates, length, gram))
-    spans = spans.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("own"))
+    spans = _sorted_spans(_pieces(candidates, reach, gram), shards, lengths)
+    for law, length in enumerate(lengths):
+        spans = spans.union(_known(same, length, gram, law))
+    if left.where("hot").limit(1).count():
+        for law, length in enumerate(lengths):
+            spans = spans.union(hot_spans(candidates, length, gram).select("id", F.lit(law).alias("law"), "lo", "hi"))
+    spans = spans.groupBy("id").agg(*(F.collect_list(F.when(F.col("law") == law, F.struct("lo", "hi"))).alias(f"own_{law}") for law in range(len(lengths))))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("n_bytes").alias("hi")))
     none = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
     joined = rows.select("id", "n_bytes", "sha", "n").join(spans, "id", "left")
-    shown = F.when(F.col("n_bytes") < length, none).when(F.col("n").isNotNull(), whole).otherwise(F.coalesce("own", none))
-    return settled(joined.select("id", "n_bytes", "sha", _union(shown).alias("spans"))), candidates
+    shown = lambda law, length: F.when(F.col("n_bytes") < length, none).when(F.col("n").isNotNull(), whole).otherwise(F.coalesce(f"own_{law}", none))
+    return settled(joined.select("id", "n_bytes", "sha", *(_union(shown(law, length)).alias(f"spans_{law}") for law, length in enumerate(lengths)))), candidates
+
+
+def n_in(spans: str) -> Column:
+    """Bytes in spans."""
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"])
 
 
 def _union(spans):
@@ -556,9 +397,10 @@ def without_spans(df: DataFrame, body: str = "body", spans: str = "spans", chara
 
 
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, candidates = repeated_spans(table(spark, sf_dir, "documents"))
-    rows = rows.withColumn("n_removed", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"]))
-    cut = candidates.select("id", "body").join(rows.where("n_removed > 0 and n_removed < n_bytes").select("id", "spans"), "id")
+    """Beside the columns of the contract, n_passage_bytes: bytes in strings of at least ``PASSAGE`` bytes that recur."""
+    rows, candidates = repeated_spans(table(spark, sf_dir, "documents"), lengths=(LENGTH, PASSAGE))
+    rows = rows.withColumn("n_removed", n_in("spans_0")).withColumn("n_passage_bytes", n_in("spans_1"))
+    cut = candidates.select("id", "body").join(rows.where("n_removed > 0 and n_removed < n_bytes").select("id", F.col("spans_0").alias("spans")), "id")
     left = without_spans(cut).select("id", F.sha2("body", 256).alias("cut_sha"))
     kept = F.when(F.col("n_removed") == 0, F.lower(F.hex("sha"))).when(F.col("n_removed") == F.col("n_bytes"), F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("cut_sha"))
-    return rows.join(left, "id", "left").select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), kept.alias("kept_sha256"))
+    return rows.join(left, "id", "left").select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans_0").cast("long").alias("n_spans"), kept.alias("kept_sha256"), "n_passage_bytes")

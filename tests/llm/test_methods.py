@@ -2,7 +2,10 @@
 
 import gzip
 import io
+import os
 import random
+import subprocess
+import sys
 import tempfile
 from collections import Counter
 
@@ -14,7 +17,7 @@ from hypothesis import strategies as st
 from public_tokenizers import path
 from tokenizers import Tokenizer
 
-from facetry.llm import minhash, packing, pii, quality, scoring, sharding, suffixes, topk, warc
+from facetry.llm import induced, minhash, packing, pii, quality, scoring, sharding, suffixes, topk, warc
 from facetry.llm.bpe import LONG, letter_classes, vocabulary
 from facetry.llm.graph import components
 from facetry.llm.ragged import text_bytes
@@ -106,23 +109,47 @@ def test_large_records_end_in_zero():
     assert len(gzip.decompress(data)) == 17 << 20
 
 
-@pytest.mark.parametrize("base, limit", [(1, 8), (1, 1 << 20), (1 << 20, 8)])
-def test_suffix_arrays(base, limit):
-    turn = random.Random(3)
-    for trial in range(120):
-        k = turn.choice([1, 2, 3, 20])
-        kind = np.uint8 if trial % 2 else np.uint32
-        s = np.array([turn.randint(1, k) for _ in range(turn.randint(1, 70))] + [0], kind)
+@pytest.mark.parametrize("block, chunk, span, limit", [(1 << 15, 1 << 17, 1 << 13, 1 << 20), (7, 5, 4, 200), (3, 4, 3, 200)])
+def test_suffix_arrays(monkeypatch, block, chunk, span, limit):
+    for name, value in (("BLOCK", block), ("CHUNK", chunk), ("SPAN", span)):
+        monkeypatch.setattr(induced, name, value)
+    monkeypatch.setattr(induced.blocks, "__defaults__", (block,))
+    turn = np.random.default_rng(3)
+    for trial in range(60):
+        some = turn.integers(1, [1, 2, 3, 20, 250][trial % 5] + 1, int(turn.integers(1, 70)) if trial % 10 else 400)
+        s = np.concatenate([some, *[some, some[:9], [5], some] * (trial % 7 == 0), [0]]).astype(np.uint8)
         with tempfile.TemporaryDirectory() as folder:
-            got = suffixes.suffix_array(s, folder, limit, base)
-        assert got.tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
-        if kind == np.uint8:
-            found = suffixes.common_prefixes(s, got)
-            for a, b in zip(got[:-1], got[1:]):
-                n = 0
-                while max(a, b) + n < len(s) and s[a + n] == s[b + n]:
-                    n += 1
-                assert found[b] == n
+            got, shared = induced.suffixes(s, folder, limit)
+        raw = s.tobytes()
+        assert got.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
+        assert shared.tolist() == [0, *(len(os.path.commonprefix([raw[a:], raw[b:]])) for a, b in zip(got[:-1], got[1:]))]
+
+
+def test_sorting_far_more_than_memory_holds():
+    """A shard of 5 MB, whose arrays take over 200 MB, in 48 MB of own memory beside the interpreter's, with a queue of 1 MB."""
+    code = """if True:
+        import resource, tempfile
+        import numpy as np
+        from facetry.llm import induced
+        turn = np.random.default_rng(5)
+        some = turn.integers(97, 123, 1_600_000).astype(np.uint8)
+        s = np.concatenate([some, some[:900_000], turn.integers(97, 100, 1_500_000).astype(np.uint8), some[5:1_000_000], [0]]).astype(np.uint8)
+        induced.BLOCK, induced.CHUNK = 1 << 13, 1 << 14
+        induced.blocks.__defaults__ = (1 << 13,)
+        with tempfile.TemporaryDirectory() as folder:
+            induced.suffixes(s[-1000:], folder, 1 << 20)
+            used = next(int(x.split()[1]) << 10 for x in open("/proc/self/status") if x.startswith("VmData"))
+            resource.setrlimit(resource.RLIMIT_DATA, (used + (48 << 20),) * 2)
+            spilled, old = [], induced.Queue._spill
+            induced.Queue._spill = lambda self, which: (spilled.append(which), old(self, which))[1]
+            sa, shared = induced.suffixes(s, folder, 1 << 20)
+            assert spilled
+            for at in np.linspace(1, len(s) - 1, 2000).astype(int):
+                a, b, n = sa[at - 1], sa[at], shared[at]
+                assert (s[a : a + n] == s[b : b + n]).all() and s[a + n] < s[b + n]
+            assert np.bincount(sa, minlength=len(s)).max() == 1
+    """
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), timeout=600)
 
 
 def test_anchors_are_shared():
@@ -131,7 +158,7 @@ def test_anchors_are_shared():
     texts = [bytes(turn.choice(b"xyz") for _ in range(turn.randint(0, 90))) + core + bytes(turn.choice(b"xyz") for _ in range(turn.randint(0, 90))) for _ in range(20)]
     data = np.frombuffer(b"".join(texts), np.uint8)
     offsets = np.cumsum([0, *map(len, texts)])
-    at, h = suffixes.anchors(data, offsets, 60, 20)
+    at, h, around = suffixes.anchors(data, offsets, 60, 20, 60)
     row = np.searchsorted(offsets, at, "right") - 1
     wanted = None
     for i, t in enumerate(texts):
@@ -139,6 +166,11 @@ def test_anchors_are_shared():
         inside = {int(x) for x, p, r in zip(h, at, row) if r == i and start <= p <= start + 40}
         wanted = inside if wanted is None else wanted & inside
     assert wanted
+    for row in range(0, 20, 3):
+        one = data[offsets[row] : offsets[row + 1]]
+        plain = suffixes.anchors(one, np.array([0, len(one)]), 60, 20, 80)
+        cut = suffixes.long_anchors(one, 60, 20, 80, segment=11)
+        assert all(np.array_equal(a, b) for a, b in zip(plain, cut))
 
 
 def test_near_duplicate_recall():
@@ -258,7 +290,7 @@ def test_masking(spark):
     assert got == {1: "to <email> and <phone>!", 2: None}
 
 
-@pytest.mark.parametrize("hot", [0, 3])
+@pytest.mark.parametrize("hot", [0, 3, 256])
 def test_frequent_anchors_are_split(spark, monkeypatch, hot):
     turn = random.Random(21)
     monkeypatch.setattr(suffixes, "HOT", hot)
@@ -269,11 +301,12 @@ def test_frequent_anchors_are_split(spark, monkeypatch, hot):
     exact, longer, period = some(60), some(95), some(7)
     texts = [some(turn.randint(0, 90)) + turn.choice([exact, exact, longer, longer[: turn.randint(50, 95)], exact[:59]]) + some(turn.randint(0, 90)) for _ in range(60)]
     texts += [exact[:59] + "#", period * 40, some(9) + period * 30 + some(20), period * 8 + "#", "é" * 90, some(70) + "z" * 60 + some(70), some(80) + "q" * 61 + some(80)]
-    rows, _ = suffixes.repeated_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), length=60)
-    data = [t.encode() for t in texts]
-    seen = Counter(b[k : k + 60] for b in data for k in range(len(b) - 59))
-    got = {r["id"]: [k for s in r["spans"] for k in range(s["lo"], s["hi"])] for r in rows.collect()}
-    assert got == {i: sorted({j for k in range(len(b) - 59) if seen[b[k : k + 60]] > 1 for j in range(k, k + 60)}) for i, b in enumerate(data)}
+    rows, _ = suffixes.repeated_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), lengths=(60, 45))
+    data, found = [t.encode() for t in texts], rows.collect()
+    for law, n in enumerate((60, 45)):
+        seen = Counter(b[k : k + n] for b in data for k in range(len(b) - n + 1))
+        got = {r["id"]: [k for s in r[f"spans_{law}"] for k in range(s["lo"], s["hi"])] for r in found}
+        assert got == {i: sorted({j for k in range(len(b) - n + 1) if seen[b[k : k + n]] > 1 for j in range(k, k + n)}) for i, b in enumerate(data)}
     held = Counter(k for r in sorted_pieces[0].collect() for k in [exact.encode() in r["piece"]])
     assert held[True] <= hot
 

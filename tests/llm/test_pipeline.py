@@ -3,6 +3,8 @@
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from facetry.llm import minhash
 from facetry.llm.pii import base_spans
@@ -10,7 +12,9 @@ from facetry.llm.shared import table
 
 
 def test_stages(spark, odd):
-    docs = table(spark, odd, "documents").select("doc_id", "text", "lang", "source", "n_chars").where("doc_id <> 900").dropDuplicates(["doc_id"])
+    docs = table(spark, odd, "documents")
+    alone = " ".join(f"alone{k}" for k in range(80))
+    docs = docs.union(docs.limit(1).withColumns({"doc_id": F.lit(None).cast("long"), "text": F.lit(alone)}))
     names = docs.columns
     kept = {}
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
