@@ -43,7 +43,7 @@ LENGTH, PASSAGE = 400, 240
 SHARD_BYTES, QUEUE_BYTES, PIECE_BYTES = 3 << 20, 8 << 20, 120
 SEPARATOR = 0xF5
 #: Surroundings of an anchor up to which they are sorted in one shard; and the offsets of windows that share an extended key.
-HOT, CELL = 256, 15
+HOT, CELL = 4096, 15
 #: Anchors on either side that may give the home; surroundings of a home up to which they stay together.
 NEAR, HOME = 8, 8192
 #: Bytes scanned at a time.
