@@ -171,10 +171,12 @@ class Level:
     weight: np.ndarray | None
     near: Least | None
     folder: str
+    #: Of places and bytes of the first string.
+    kind: type
 
     def __post_init__(self):
         n, self.top = self.n, int(max(self.symbol[s].max() for s in blocks(self.n)))
-        self.small, self.run_end = disk(self.folder, n, np.bool_), disk(self.folder, n, np.int64)
+        self.small, self.run_end = disk(self.folder, n, np.bool_), disk(self.folder, n, self.kind)
         valleys = 1
         after, kind_after = n, True
         for a in reversed(range(0, n, BLOCK)):
@@ -298,7 +300,7 @@ def _shared_prefix(level: Level, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _sorted_valleys(level: Level, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions of the valleys, in order; bytes that each shares with the one before)."""
     m, folder = level.valleys, level.folder
-    valley, length = disk(folder, m, np.int64), disk(folder, m, np.int64)
+    valley, length = disk(folder, m, level.kind), disk(folder, m, level.kind)
     k, before = 0, True
     for s in blocks(level.n):
         small = level.small[s]
@@ -309,7 +311,7 @@ def _sorted_valleys(level: Level, limit: int) -> tuple[np.ndarray, np.ndarray]:
     for s in blocks(m):
         ends = np.minimum(level.run_end[np.append(valley[s.start + 1 : s.stop + 1], [] if s.stop < m else [level.n - 1]).astype(np.int64)] + 1, level.n)
         length[s] = ends - valley[s]
-    name, weight, near, first = disk(folder, m, np.uint32), disk(folder, m, np.int64), disk(folder, m, np.int64), disk(folder, m, np.int64)
+    name, weight, near, first = disk(folder, m, np.uint32), *(disk(folder, m, level.kind) for _ in range(3))
     names = 0
     for own, head in _named(level, valley, length, limit):
         number = names - 1 + np.cumsum(head)
@@ -320,19 +322,19 @@ def _sorted_valleys(level: Level, limit: int) -> tuple[np.ndarray, np.ndarray]:
         names += len(new)
     for s in blocks(names - 1):
         near[s.start + 1 : s.stop + 1] = _shared_prefix(level, first[s], first[s.start + 1 : s.stop + 1])
-    out, shared = disk(folder, m, np.int64), disk(folder, m, np.int64)
     if names == m:
+        out = disk(folder, m, level.kind)
         for s in blocks(m):
             out[name[s]] = valley[s]
         return out, near
-    byte = disk(folder, m, np.int64)
+    byte = disk(folder, m, level.kind)
     for s in blocks(m):
         byte[s] = valley[s] if level.byte is None else level.byte[valley[s]]
     del first, length
-    at, shared = _suffixes(Level(name, m, byte, weight[:names], Least(near[:names]), folder), limit)
+    at, shared = _suffixes(Level(name, m, byte, weight[:names], Least(near[:names]), folder, level.kind), limit)
     for s in blocks(m):
-        out[s] = valley[at[s]]
-    return out, shared
+        at[s] = valley[at[s]]
+    return at, shared
 
 
 def _induced(level: Level, up: bool, seeds: np.ndarray, prefixes: np.ndarray, out: np.ndarray, shared: np.ndarray, limit: int) -> None:
@@ -512,25 +514,28 @@ def _induced(level: Level, up: bool, seeds: np.ndarray, prefixes: np.ndarray, ou
 def _suffixes(level: Level, limit: int) -> tuple[np.ndarray, np.ndarray]:
     n, folder = level.n, level.folder
     if n == 1:
-        return np.zeros(1, np.int64), np.zeros(1, np.int64)
+        return np.zeros(1, level.kind), np.zeros(1, level.kind)
     seeds, prefixes = _sorted_valleys(level, limit)
     large = n - sum(int(np.count_nonzero(level.small[s])) for s in blocks(n))
-    first, shared = disk(folder, large, np.int64), disk(folder, large + 1, np.int64)
+    first, shared = disk(folder, large, level.kind), disk(folder, large + 1, level.kind)
     _induced(level, True, seeds, prefixes, first, shared, limit)
     del seeds, prefixes
-    down, between = disk(folder, n, np.int64), disk(folder, n, np.int64)
-    _induced(level, False, first, shared, down, between, limit)
+    out, prefix = disk(folder, n, level.kind), disk(folder, n, level.kind)
+    _induced(level, False, first, shared, out, prefix, limit)
     del first, shared
-    out, prefix = disk(folder, n, np.int64), disk(folder, n, np.int64)
-    out[0] = n - 1
-    for s in blocks(n - 1):
-        to = slice(n - s.stop, n - s.start)
-        out[to] = down[s][::-1]
-        # The prefix of a suffix with the next greater one, which came before it.
-        prefix[n - s.stop + 1 : n - s.start + 1] = between[s][::-1][: len(prefix[n - s.stop + 1 : n - s.start + 1])]
+    out[n - 1] = n - 1
+    # Descending so far, each with the prefix that it shares with the next greater suffix, which came before it.
+    for s in blocks(n // 2):
+        t = slice(n - s.stop, n - s.start)
+        out[s], out[t] = out[t][::-1].copy(), out[s][::-1].copy()
+        prefix[s], prefix[t] = prefix[t][::-1].copy(), prefix[s][::-1].copy()
+    for s in reversed(list(blocks(n - 1))):
+        prefix[s.start + 1 : s.stop + 1] = prefix[s].copy()
+    prefix[0] = 0
     return out, prefix
 
 
 def suffixes(symbol: np.ndarray, folder: str, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted suffixes, bytes that each shares with the one before) of bytes of which the last, 0, is the only 0."""
-    return _suffixes(Level(symbol, len(symbol), None, None, None, folder), limit)
+    kind = np.int32 if len(symbol) < 2**31 else np.int64
+    return _suffixes(Level(symbol, len(symbol), None, None, None, folder, kind), limit)

@@ -40,7 +40,7 @@ from facetry.llm.shared import settled, shared_folder, table
 #: Bytes of a repeat that is removed, and of one that is reported: about 50 words are 240 bytes or more.
 LENGTH, PASSAGE = 400, 240
 #: Estimated bytes of a shard, of its queue in memory, and of a piece's share of them.
-SHARD_BYTES, QUEUE_BYTES, PIECE_BYTES = 3 << 20, 8 << 20, 120
+SHARD_BYTES, QUEUE_BYTES, PIECE_BYTES = 1 << 20, 8 << 20, 120
 SEPARATOR = 0xF5
 #: Surroundings of an anchor up to which they are sorted in one shard; and the offsets of windows that share an extended key.
 HOT, CELL = 4096, 15
