@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,23 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same as a Parquet table, for large rows: compressed, and read by columns."""
+    place = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(place)
+    return df.sparkSession.read.parquet(place)
+
+
+def thinned(df: DataFrame, keys: DataFrame, name: str, bits: int = 1 << 26) -> DataFrame:
+    """Rows of ``df`` without most of those whose ``name`` is not in ``keys``, to spare a join's exchange: by a bitmap of
+    hashes, of ``bits`` / 8 bytes at most (8 MB), which is broadcast. Where it is full, all rows stay; the join decides."""
+    place = F.pmod(F.xxhash64(name), F.lit(bits))
+    maps = keys.select(place.alias("_place")).groupBy(F.bitmap_bucket_number("_place").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_map"))
+    rows = df.withColumn("_place", place).withColumn("_bucket", F.bitmap_bucket_number("_place")).join(F.broadcast(settled(maps)), "_bucket")
+    set_ = F.expr("(cast(conv(hex(substring(_map, cast(bitmap_bit_position(_place) div 8 as int) + 1, 1)), 16, 10) as int) & shiftleft(1, cast(bitmap_bit_position(_place) % 8 as int))) != 0")
+    return rows.where(set_).select(*df.columns)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

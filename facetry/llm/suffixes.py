@@ -25,7 +25,6 @@ import hashlib
 import itertools
 import os
 import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 
 from facetry.llm.induced import blocks, disk, suffixes
 from facetry.llm.ragged import U64, chunks, give_back, mix, text_bytes
-from facetry.llm.shared import settled, shared_folder, table
+from facetry.llm.shared import settled, stored, table, thinned
 
 #: Bytes of a repeat that is removed, and of one that is reported: about 50 words are 240 bytes or more.
 LENGTH, PASSAGE = 400, 240
@@ -157,11 +156,10 @@ def _scanned(df: DataFrame, key: str, text: str, length: int, gram: int, reach:
                 row = np.searchsorted(offsets, at, "right") - 1
                 ends = np.searchsorted(row, np.arange(part.num_rows + 1))
                 sha = [hashlib.sha256(data[a:b].data).digest() for a, b in zip(offsets[:-1], offsets[1:])]
-                fields = pa.StructArray.from_arrays([pa.array(c) for c in (h.view(np.int64), x.view(np.int64), at - offsets[row])], ["h", "x", "p"])
-                found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), fields)
-                yield pa.RecordBatch.from_arrays([part.column(key).cast(pa.int64()), pa.array(np.diff(offsets)), pa.array(sha, pa.binary()), found], names=["id", "n_bytes", "sha", "found"])
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(c)) for c in (h.view(np.int64), x.view(np.int64), at - offsets[row])]
+                yield pa.RecordBatch.from_arrays([part.column(key).cast(pa.int64()), pa.array(np.diff(offsets)), pa.array(sha, pa.binary()), *lists], names=["id", "n_bytes", "sha", "h", "x", "p"])
 
-    return df.select(key, text).mapInArrow(run, "id long, n_bytes long, sha binary, found array<struct<h:bigint,x:bigint,p:bigint>>")
+    return df.select(key, text).mapInArrow(run, "id long, n_bytes long, sha binary, h array<long>, x array<long>, p array<long>")
 
 
 def _pieces(candidates: DataFrame, length: int, gram: int) -> DataFrame:
@@ -323,27 +321,24 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     """(rows, candidates). rows: id, n_bytes, sha (of the whole text) and spans_0, spans_1, ..., the repeated byte runs by
     each of ``lengths``, of every row. candidates: id and body (bytes) of at least the rows with spans that are not the
     whole text."""
-    spark = df.sparkSession
     least, reach = min(lengths), max(lengths)
     gram = gram or least // 3
-    rows = settled(_scanned(df, key, text, least, gram, reach))
-    # Settled, so that the joins have exchanges of their own on both sides and a hot key can be split.
+    rows = stored(_scanned(df, key, text, least, gram, reach))
+    # Settled or stored, so that the joins have exchanges of their own on both sides and a hot key can be split.
     copies = settled(rows.groupBy("sha").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    rows = rows.join(copies, "sha", "left")
-    found = rows.where("id is not null and (n is null or id = rep)").select("id", "n_bytes", F.inline("found"))
+    found = rows.join(copies, "sha", "left").where("id is not null and (n is null or id = rep)").select("id", "n_bytes", F.inline(F.arrays_zip("h", "x", "p")))
     again = settled(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
-    hits = settled(found.join(again, "h"))
-    kinds = settled(hits.groupBy("h", "x").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "p")).alias("m")))
+    hits = stored(thinned(found, again, "h").join(again, "h"))
+    kinds = stored(hits.groupBy("h", "x").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "p")).alias("m")).select("h", "x", "n", "m.id", "m.p"))
     several = settled(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("d")).where("d > 1").select("h", (F.col("d") > HOT).alias("hot")))
-    left = settled(kinds.join(several, "h").select("h", "m.id", "m.p", "hot"))
-    same = settled(hits.join(settled(kinds.where("n > 1").select("h", "x")), ["h", "x"]).select("id", "p", "n_bytes"))
+    left = stored(kinds.join(several, "h").select("h", "id", "p", "hot"))
+    same = stored(hits.join(settled(kinds.where("n > 1").select("h", "x")), ["h", "x"]).select("id", "p", "n_bytes"))
     shards = 1 + left.where("not hot").count() * PIECE_BYTES // SHARD_BYTES
     dealt = left.join(settled(_homes(left.where("not hot"))), "h", "left").withColumn("shard", F.coalesce(F.pmod(F.xxhash64("home"), F.lit(shards)), F.lit(0)).cast("long"))
     marks = dealt.select("id", F.struct("h", "p", "hot", "shard").alias("hit")).union(same.select("id").distinct().select("id", F.lit(None).alias("hit")))
-    bodies = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("body")).join(settled(marks.groupBy("id").agg(F.collect_list("hit").alias("hits"))), "id")
-    place = f"{shared_folder(spark)}/suffixes-{uuid.uuid4().hex}"
-    bodies.write.option("compression", "zstd").parquet(place)
-    candidates = spark.read.parquet(place)
+    wanted = stored(marks.groupBy("id").agg(F.collect_list("hit").alias("hits")))
+    bodies = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("body"))
+    candidates = stored(thinned(bodies, wanted, "id").join(wanted, "id"))
     spans = _sorted_spans(_pieces(candidates, reach, gram), shards, lengths)
     for law, length in enumerate(lengths):
         spans = spans.union(_known(same, length, gram, law))
@@ -353,7 +348,7 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     spans = spans.groupBy("id").agg(*(F.collect_list(F.when(F.col("law") == law, F.struct("lo", "hi"))).alias(f"own_{law}") for law in range(len(lengths))))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("n_bytes").alias("hi")))
     none = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
-    joined = rows.select("id", "n_bytes", "sha", "n").join(spans, "id", "left")
+    joined = rows.select("id", "n_bytes", "sha").join(copies.select("sha", "n"), "sha", "left").join(spans, "id", "left")
     shown = lambda law, length: F.when(F.col("n_bytes") < length, none).when(F.col("n").isNotNull(), whole).otherwise(F.coalesce(f"own_{law}", none))
     return settled(joined.select("id", "n_bytes", "sha", *(_union(shown(law, length)).alias(f"spans_{law}") for law, length in enumerate(lengths)))), candidates
 
