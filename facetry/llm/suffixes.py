@@ -36,8 +36,8 @@ from facetry.llm.induced import blocks, disk, suffixes
 from facetry.llm.ragged import U64, chunks, give_back, mix, text_bytes
 from facetry.llm.shared import settled, stored, table, thinned
 
-#: Bytes of a repeat that is removed, and of one that is reported: about 50 words are 240 bytes or more.
-LENGTH, PASSAGE = 400, 240
+#: Bytes of a repeat that is removed; of the windows that choose an anchor, and of an anchor, in the query.
+LENGTH, WINDOW, GRAM = 400, 320, 200
 #: Estimated bytes of a shard, of its queue in memory, and of a piece's share of them.
 SHARD_BYTES, QUEUE_BYTES, PIECE_BYTES = 1 << 20, 8 << 20, 120
 SEPARATOR = 0xF5
@@ -317,13 +317,15 @@ def _known(hits: DataFrame, length: int, gram: int, law: int) -> DataFrame:
     return hits.where(first <= last).select("id", F.lit(law).alias("law"), first.alias("lo"), (last + length).alias("hi"))
 
 
-def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengths: tuple[int, ...] = (LENGTH,), gram: int | None = None) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengths: tuple[int, ...] = (LENGTH,), window: int | None = None, gram: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, candidates). rows: id, n_bytes, sha (of the whole text) and spans_0, spans_1, ..., the repeated byte runs by
-    each of ``lengths``, of every row. candidates: id and body (bytes) of at least the rows with spans that are not the
-    whole text."""
+    each of ``lengths``, of every row; and pieces, the anchors that recur. candidates: id and body (bytes) of at least the
+    rows with spans that are not the whole text. Each ``window`` bytes, at most the least length, choose an anchor of
+    ``gram`` bytes: a string of ``window`` bytes that recurs has one among the pieces."""
     least, reach = min(lengths), max(lengths)
-    gram = gram or least // 3
-    rows = stored(_scanned(df, key, text, least, gram, reach))
+    window = window or least
+    gram = gram or window // 2
+    rows = stored(_scanned(df, key, text, window, gram, reach))
     # Settled or stored, so that the joins have exchanges of their own on both sides and a hot key can be split.
     copies = settled(rows.groupBy("sha").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     found = rows.join(copies, "sha", "left").where("id is not null and (n is null or id = rep)").select("id", "n_bytes", F.inline(F.arrays_zip("h", "x", "p")))
@@ -345,12 +347,14 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     if left.where("hot").limit(1).count():
         for law, length in enumerate(lengths):
             spans = spans.union(hot_spans(candidates, length, gram).select("id", F.lit(law).alias("law"), "lo", "hi"))
-    spans = spans.groupBy("id").agg(*(F.collect_list(F.when(F.col("law") == law, F.struct("lo", "hi"))).alias(f"own_{law}") for law in range(len(lengths))))
+    kinds = {law: f"own_{law}" for law in range(len(lengths))} | {len(lengths): "pieces"}
+    spans = spans.union(hits.select("id", F.lit(len(lengths)).alias("law"), F.col("p").alias("lo"), (F.col("p") + gram).alias("hi")))
+    spans = spans.groupBy("id").agg(*(F.collect_list(F.when(F.col("law") == law, F.struct("lo", "hi"))).alias(name) for law, name in kinds.items()))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("n_bytes").alias("hi")))
     none = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
     joined = rows.select("id", "n_bytes", "sha").join(copies.select("sha", "n"), "sha", "left").join(spans, "id", "left")
-    shown = lambda law, length: F.when(F.col("n_bytes") < length, none).when(F.col("n").isNotNull(), whole).otherwise(F.coalesce(f"own_{law}", none))
-    return settled(joined.select("id", "n_bytes", "sha", *(_union(shown(law, length)).alias(f"spans_{law}") for law, length in enumerate(lengths)))), candidates
+    shown = lambda name, length: _union(F.when(F.col("n_bytes") < length, none).when(F.col("n").isNotNull(), whole).otherwise(F.coalesce(name, none)))
+    return settled(joined.select("id", "n_bytes", "sha", *(shown(f"own_{law}", length).alias(f"spans_{law}") for law, length in enumerate(lengths)), shown("pieces", window).alias("pieces"))), candidates
 
 
 def n_in(spans: str) -> Column:
@@ -392,9 +396,10 @@ def without_spans(df: DataFrame, body: str = "body", spans: str = "spans", chara
 
 
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Beside the columns of the contract, n_passage_bytes: bytes in strings of at least ``PASSAGE`` bytes that recur."""
-    rows, candidates = repeated_spans(table(spark, sf_dir, "documents"), lengths=(LENGTH, PASSAGE))
-    rows = rows.withColumn("n_removed", n_in("spans_0")).withColumn("n_passage_bytes", n_in("spans_1"))
+    """Beside the columns of the contract, n_passage_bytes: bytes in anchors that recur. It is above 0 only where a string
+    of ``GRAM`` bytes recurs, about 40 words, and always where one of ``WINDOW`` bytes does."""
+    rows, candidates = repeated_spans(table(spark, sf_dir, "documents"), window=WINDOW, gram=GRAM)
+    rows = rows.withColumn("n_removed", n_in("spans_0")).withColumn("n_passage_bytes", n_in("pieces"))
     cut = candidates.select("id", "body").join(rows.where("n_removed > 0 and n_removed < n_bytes").select("id", F.col("spans_0").alias("spans")), "id")
     left = without_spans(cut).select("id", F.sha2("body", 256).alias("cut_sha"))
     kept = F.when(F.col("n_removed") == 0, F.lower(F.hex("sha"))).when(F.col("n_removed") == F.col("n_bytes"), F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("cut_sha"))
