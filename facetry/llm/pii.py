@@ -1,18 +1,23 @@
 """Personal data (operator 5): base patterns and a skip-chain conditional random field.
 
-The base spans are the leftmost matches of the patterns of four kinds. The field then labels the tokens that hold a
+The base spans are the leftmost matches of the patterns of four kinds; a fifth kind, secret, starts from values of at least
+16 signs with a digit that are assigned to a name like ``token`` (``SECRET``). The field then labels the tokens that hold a
 digit or an ``@`` (any other token is outside by definition of the model): neighbours in the text share chain potentials,
 and repeated tokens, or tokens that end in the same seven digits, share skip potentials however far apart they are. Each
 token is tied to one other of its group, so ties grow with the text and not with its square: where the group has tokens
 in base spans, to the last of these before it or else the first, which is one hop for any number of copies; otherwise to
 the token of the group before it, as in the fitting. Weights are fitted by
-pseudo-likelihood to the base spans of at most ``SAMPLE`` documents (a documented bound; every document is labelled).
+pseudo-likelihood to the base spans and secrets of at most ``SAMPLE`` documents (a documented bound; every document is
+labelled). For every second token of these the features that restate a pattern are hidden, so that words before, neighbours
+and similar tokens must tell; so the field finds what no pattern matches: a number without its sign, a secret without its name.
 Loopy belief propagation, until no message moves by more than ``STILL`` (``ROUNDS`` at most, for loops in which they
 swing), gives each token's marginals; a token without a base span whose best label reaches ``SURE``
-becomes part of an added span. Base spans always stay.
+becomes part of an added span, as every secret is one. Base spans always stay.
 
 Positions are code points, ends exclusive. A null or empty text has no spans. Rows are independent: repeated rows give
-the same spans; other columns are ignored; an empty table gives no rows, and without any base span nothing is added.
+the same spans; other columns are ignored; an empty table gives no rows, and without any base span or secret nothing is
+added. Texts of any length are taken whole: patterns, graph and messages take time in proportion to it. Equal texts count
+once in the sample; ties in its order cannot be, as it follows distinct hashes.
 """
 
 from __future__ import annotations
@@ -29,16 +34,19 @@ from pyspark.sql import functions as F
 from facetry.llm.shared import table
 
 KINDS = ("email", "ip", "card", "phone")
-LABELS = len(KINDS) + 1
+#: What the field tells apart.
+NAMES = (*KINDS, "secret")
+LABELS = len(NAMES) + 1
 SAMPLE, WIDTH, SURE, ROUNDS, STILL = 4000, 4096, 0.9, 400, 1e-4
 CHAIN_PRIOR, SKIP_PRIOR = 2.0, 5.0
 
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
-NUMBERS = re.compile(r"[0-9]++(?:\.[0-9]++){3}")
+NUMBERS = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
+SECRET = re.compile(r"\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b\x20?[:=]\x20?[\"']?([A-Za-z0-9+/_-]{16,})", re.I)
+HEX = re.compile(r"[0-9a-fA-F]{16,}")
 DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])+")
 CALLS = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+TOKEN = re.compile(r"[^\x20\x09-\x0D]++")
 WORTH = re.compile(r"[0-9@]")
 PLAIN = re.compile(r"[+().0-9-]+[,;:]?")
 LOCAL_SIGNS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -58,6 +66,15 @@ def only_digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def _is_byte(digits: str) -> bool:
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
+def secrets(text: str) -> list[Span]:
+    return [("secret", m.start(1), m.end(1)) for m in SECRET.finditer(text) if any("0" <= c <= "9" for c in m[1])]
+
+
 def base_spans(text: str) -> list[Span]:
     """By kind as listed, then start."""
     out: list[Span] = []
@@ -71,7 +88,14 @@ def base_spans(text: str) -> list[Span]:
             out.append(("email", start, tail.end()))
         done = tail.end() if tail else at + 1
         at = text.find("@", done)
-    out += [("ip", m.start(), m.end()) for m in NUMBERS.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    for m in NUMBERS.finditer(text):
+        # Each four numbers of a run in turn, as the leftmost matches are.
+        start, parts = m.start(), m[0].split(".")
+        for k in range(0, len(parts) - 3, 4):
+            end = start + sum(map(len, parts[k : k + 4])) + 3
+            if all(map(_is_byte, parts[k : k + 4])):
+                out.append(("ip", start, end))
+            start = end + 1
     out += [("card", m.start(), m.end()) for m in DIGITS.finditer(text) if 13 <= len(d := only_digits(m[0])) <= 19 and luhn(d)]
     out += [("phone", m.start(), m.end()) for m in CALLS.finditer(text) if 9 <= len(only_digits(m[0])) <= 15]
     return out
@@ -83,15 +107,27 @@ def shape(token: str) -> str:
     return "".join(k for i, k in enumerate(kinds) if not i or k not in "9aA" or k != kinds[i - 1])
 
 
-def features(token: str, before: str, after: str, group: str) -> list[int]:
+#: Features that restate a pattern, which come first.
+TELLING = 5
+
+
+def features(token: str, before: str, after: str, group: str, words: list[str]) -> list[int]:
+    """``words``: those before the token, in lower case, the nearest last."""
     digits = only_digits(group)
     core = token.strip(".,;:!?()\"'")
     named = [
-        "s" + shape(core), f"n{min(len(only_digits(token)), 20)}", f"g{min(len(digits), 24)}{group.startswith('+')}",
-        f"l{13 <= len(digits) <= 19 and luhn(digits)}", f"i{bool(NUMBERS.fullmatch(core)) and all(len(p) <= 3 and int(p) <= 255 for p in core.split('.'))}",
-        f"@{token.count('@')}{'.' in token.rpartition('@')[2]}{bool(LOCAL.search(token.partition('@')[0]))}", f"b{shape(before)[:6]}", f"a{shape(after)[:6]}",
+        "s" + shape(core), f"g{min(len(digits), 24)}{group.startswith('+')}", f"l{13 <= len(digits) <= 19 and luhn(digits)}", f"i{core.count('.') == 3 and all(p.isdecimal() and p.isascii() and _is_byte(p) for p in core.split('.'))}",
+        f"@{token.count('@')}{'.' in token.rpartition('@')[2]}{token.partition('@')[0][-1:] in LOCAL_SIGNS}", f"n{min(len(only_digits(token)), 20)}", f"h{bool(HEX.fullmatch(core))}{min(len(core), 64) // 8}",
+        f"b{shape(before)[:6]}", f"a{shape(after)[:6]}", f"w{words[-1] if words else ''}", f"v{' '.join(words[-2:])}",
     ]
-    return [int.from_bytes(hashlib.blake2b(f"{k}{x}".encode(), digest_size=4).digest(), "little") % WIDTH for k, x in enumerate(named)]
+    return [int.from_bytes(hashlib.blake2b(f"{k}{x}".encode(), digest_size=4).digest(), "little") % (WIDTH - 1) + 1 for k, x in enumerate(named)]
+
+
+def half_hidden(x: np.ndarray) -> np.ndarray:
+    """Features of which every second token's telling ones are 0."""
+    x = x.copy()
+    x[::2, :TELLING] = 0
+    return x
 
 
 @dataclass
@@ -106,7 +142,7 @@ class Graph:
     @staticmethod
     def of(text: str, base: list[Span] = []) -> Graph:  # noqa: B006
         """``base``: spans whose tokens the others of their groups are tied to."""
-        marks = list(TOKEN.finditer(text))
+        marks = [m for m in TOKEN.finditer(text) if WORTH.search(text, m.start(), m.end())]
         places, tokens = [m.span() for m in marks], [m[0] for m in marks]
         near = [i > 0 and not text[places[i - 1][1] : places[i][0]].strip(" ") for i in range(len(marks))]
         groups, at = [""] * len(marks), 0
@@ -130,7 +166,8 @@ class Graph:
         for i, token in enumerate(tokens):
             before = tokens[i - 1] if near[i] else ""
             after = tokens[i + 1] if i + 1 < len(tokens) and near[i + 1] else ""
-            x.append(features(token, before, after, groups[i]))
+            a = places[i][0]
+            x.append(features(token, before, after, groups[i], text[max(0, a - 40) : a].lower().split()[-2:]))
             for name in names[i]:
                 hub = hubs.get(name, last.get(name, i))
                 if hub != i:
@@ -143,11 +180,13 @@ class Graph:
         return Graph(np.array(x, np.int64).reshape(len(tokens), -1), places, pairs(chain), pairs(set(skip) - set(chain)))
 
     def labels(self, spans: list[Span]) -> np.ndarray:
+        """Of each token the kind of the last span that overlaps it."""
         out = np.zeros(len(self.places), np.int64)
-        for kind, a, b in spans:
-            for i, (s, e) in enumerate(self.places):
-                if s < b and a < e:
-                    out[i] = 1 + KINDS.index(kind)
+        edges = np.array(self.places, np.int64).reshape(-1, 2)
+        bounds = np.array([(a, b) for _, a, b in spans], np.int64).reshape(-1, 2)
+        first, end = np.searchsorted(edges[:, 1], bounds[:, 0], "right"), np.searchsorted(edges[:, 0], bounds[:, 1])
+        for (kind, _, _), a, b in zip(spans, first.tolist(), end.tolist()):
+            out[a:b] = 1 + NAMES.index(kind)
         return out
 
 
@@ -219,6 +258,12 @@ def fit(graphs: list[tuple[Graph, np.ndarray]], steps: int = 150, rate: float =
     x = np.concatenate([g.x for g, _ in graphs])
     y = np.concatenate([y for _, y in graphs])
     chain, skip = (np.concatenate([getattr(g, k) + o for (g, _), o in zip(graphs, size)]) for k in ("chain", "skip"))
+    # Tokens that ties join to a labelled one, but no pattern labels, are unknown: neither they nor their edges count.
+    near = y > 0
+    while len(skip) and (near[skip[:, 0]] != near[skip[:, 1]]).any():
+        near[skip[near[skip].any(1)]] = True
+    known = ~near | (y > 0)
+    chain, skip = (e[known[e].all(1)] for e in (chain, skip))
     target = np.eye(LABELS)[y]
     first, second = ([np.zeros_like(t) for t in theta] for _ in range(2))
     for step in range(1, steps + 1):
@@ -226,7 +271,7 @@ def fit(graphs: list[tuple[Graph, np.ndarray]], steps: int = 150, rate: float =
         for edges, w in ((chain, theta[1]), (skip, theta[2])):
             np.add.at(scores, edges[:, 1], w[y[edges[:, 0]]])
             np.add.at(scores, edges[:, 0], w.T[y[edges[:, 1]]])
-        off = (_soft(scores) - target) / len(y)
+        off = (_soft(scores) - target) * (known[:, None] / len(y))
         grads = [np.zeros_like(t) for t in theta]
         np.add.at(grads[0], x, off[:, None, :])
         for edges, k in ((chain, 1), (skip, 2)):
@@ -243,14 +288,15 @@ def fit(graphs: list[tuple[Graph, np.ndarray]], steps: int = 150, rate: float =
 def added_spans(text: str, base: list[Span], field: Field | None) -> list[Span]:
     if field is None:
         return []
-    g = Graph.of(text, base)
+    named = secrets(text)
+    g = Graph.of(text, base + named)
     if not len(g.places):
         return []
-    known = g.labels(base)
+    known = g.labels(named + base)
     chance = field.marginals(g, known)
     label = np.where(chance.max(1) >= SURE, chance.argmax(1), 0)
     label[known > 0] = 0
-    out: list[Span] = []
+    out: list[Span] = list(named)
     runs: list[list[int]] = []
     touching = {tuple(e) for e in g.chain.tolist()}
     for i in np.flatnonzero(label).tolist():
@@ -262,19 +308,21 @@ def added_spans(text: str, base: list[Span], field: Field | None) -> list[Span]:
         a, b = g.places[run[0]][0], g.places[run[-1]][1]
         while b > a and text[b - 1] in ".,;:!?\"'":
             b -= 1
+        while a < b and text[a] in "\"'":
+            a += 1
         if a < b:
-            out.append((KINDS[label[run[0]] - 1], a, b))
+            out.append((NAMES[label[run[0]] - 1], a, b))
     return out
 
 
 def shown(spans: list[Span]) -> str:
-    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2])))
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (NAMES.index(s[0]), s[1], s[2])))
 
 
-def learn(df: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Field | None:
-    """Fits the field to at most ``sample`` documents that hold a digit or ``@``, those of the smallest hashes."""
-    worth = df.where(F.col(text).rlike("[0-9@]")).select(F.xxhash64(F.col(key), F.col(text)).alias("h"))
-    least = worth.orderBy("h").limit(sample).agg(F.max("h").alias("h")).first()["h"]
+def learn(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> Field | None:
+    """Fits the field to at most ``sample`` texts that hold a digit or ``@``, those of the smallest hashes."""
+    worth = df.where(F.col(text).rlike("[0-9@]")).select(F.xxhash64(text).alias("h"), F.col(text).alias("body"))
+    least = worth.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h").alias("h")).first()["h"]
     if least is None:
         return None
 
@@ -283,16 +331,15 @@ def learn(df: DataFrame, key: str = "doc_id", text: str = "text", sample: int =
             rows = []
             for body in batch.column("body").to_pylist():
                 g = Graph.of(body)
-                rows.append((g.x.ravel().tolist(), g.chain.ravel().tolist(), g.skip.ravel().tolist(), g.labels(base_spans(body)).tolist()))
+                rows.append((half_hidden(g.x).ravel().tolist(), g.chain.ravel().tolist(), g.skip.ravel().tolist(), g.labels(secrets(body) + base_spans(body)).tolist()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in range(4)], names=["x", "chain", "skip", "y"])
 
-    chosen = df.where(F.col(text).rlike("[0-9@]") & (F.xxhash64(F.col(key), F.col(text)) <= least)).select(F.col(text).alias("body"))
+    # One row of each text; equal hashes of different texts are within the bound by their least.
+    chosen = worth.where(F.col("h") <= least).groupBy("h").agg(F.min("body").alias("body")).orderBy("h").select("body")
     graphs = []
     for r in chosen.mapInArrow(run, "x array<long>, chain array<long>, skip array<long>, y array<long>").toLocalIterator():
         y = np.array(r["y"], np.int64)
         graphs.append((Graph(np.array(r["x"], np.int64).reshape(len(y), -1), [], np.array(r["chain"], np.int64).reshape(-1, 2), np.array(r["skip"], np.int64).reshape(-1, 2)), y))
-        if len(graphs) >= 2 * sample:
-            break
     graphs = [g for g in graphs if len(g[1])]
     return fit(graphs) if any(y.any() for _, y in graphs) else None
 
@@ -315,7 +362,7 @@ def with_spans(df: DataFrame, field: Field | None, text: str = "text", out: str
                     base = base_spans(body)
                     found = [{"kind": k, "lo": a, "hi": b, "base": True} for k, a, b in base]
                     found += [{"kind": k, "lo": a, "hi": b, "base": False} for k, a, b in added_spans(body, base, weights.value)]
-                    found.sort(key=lambda s: (KINDS.index(s["kind"]), s["lo"], s["hi"]))
+                    found.sort(key=lambda s: (NAMES.index(s["kind"]), s["lo"], s["hi"]))
                 rows.append(found)
             yield with_column(batch, out, pa.array(rows, arrow))
 

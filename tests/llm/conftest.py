@@ -23,7 +23,7 @@ def odd_texts():
     texts = [None, None, "", "   \n\t ", "one", "two words", "one two three four", "one two three four five", "ONE two THREE four five", "\x00 nul\x0bwhite  ", "é" * 700, "a" * 1500, "ab" * 900]
     texts += [passage, passage, passage, other, " ".join(near), words(turn, 20) + " " + passage + " " + words(turn, 30), words(turn, 5) + passage[3:] + "é" + words(turn, 5)]
     texts += ["<|endoftext|>", " it's <|endoftext|>'s  \n x ", "don't we'll 're 12½ 中文字 😀😀 !!! ", words(turn, 40_000)]
-    texts += ["mail a.b+c@ex-1.org. and @x y@ z@q ip 1.2.3.4 1.2.3.256 1.2.3.4.5 01.002.3.4 card 4539 1488-0343 6467 4539148803436468 call +1 (988) 555-2485, +12 later (988) 555-2485", "1" * 5000 + " +" + "1-" * 3000]
+    texts += ["mail a.b+c@ex-1.org. and @x y@ z@q ip 1.2.3.4 1.2.3.256 1.2.3.4.5 01.002.3.4 card 4539 1488-0343 6467 4539148803436468 call +1 (988) 555-2485, +12 later (988) 555-2485", "1" * 5000 + " +" + "1-" * 3000, "1.2.3." + "0" * 5000 + " 1.2.3.4.5.6.7.8.9 password: abcd1234efgh5678"]
     texts += ["\n".join(["same line", "same line", " ", "", "", "other #1 | x", "same line"]), "x y z " * 40, "|".join(["w"] * 300), words(turn, 60)]
     texts += [words(turn, turn.randint(1, 200)) for _ in range(40)]
     return texts

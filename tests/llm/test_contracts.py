@@ -133,14 +133,12 @@ def luhn(d):
 def test_personal_data(spark, odd, documents):
     digits = lambda s: re.sub("[^0-9]", "", s)
     kinds = {
-        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True), "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(x) <= 255 for x in s.split("."))),
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True), "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(len(x.lstrip("0")) < 4 and int(x.lstrip("0") or "0") <= 255 for x in s.split("."))),
         "card": (r"[0-9]([\x20-]?[0-9])+", lambda s: 13 <= len(digits(s)) <= 19 and luhn(digits(s))), "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 9 <= len(digits(s)) <= 15),
     }
     got = {r["doc_id"]: r for r in rows(spark, "op5_pii", odd)}
     assert len(got) == len({i for i, _ in documents})
     for i, t in documents:
-        if t and len(t) > 100_000:
-            continue
         found = {k: [m.span() for m in re.finditer(p, t or "") if ok(m[0])] for k, (p, ok) in kinds.items()}
         line = ",".join(f"{k}:{a}:{b}" for k, spans in found.items() for a, b in spans)
         r = got[i]
