@@ -63,8 +63,8 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with every span of personal data, of the patterns or of the field, replaced by its kind."""
-    work, key, text = _numbered(docs)
-    return _named_back(docs, pii.masked(pii.with_spans(work, pii.learn(work, key, text), text), text), text)
+    work, _, text = _numbered(docs)
+    return _named_back(docs, pii.masked(pii.with_spans(work, pii.learn(work, text), text), text), text)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
