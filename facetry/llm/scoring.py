@@ -1,15 +1,18 @@
 """Language-model scores (operator 4): masked pseudo-likelihood of a bidirectional window network, trained in numpy.
 
-Words are counted over the whole corpus. The ``VOCABULARY`` most frequent have ids of their own in the network, every
-other word enters it as one of ``RARE`` buckets by its hash; the counts of all words stay in a Spark table, and each rare
-word's own count is joined to the texts that hold it. Ids form ``CLASSES`` classes of about equal counts. The
-network looks at ``SIDE`` words on either side, one embedding table per place, and predicts the class of the word
-between; a word's share of its class comes from the counts. Each task trains a copy on its own documents, masking every
-``MASK``-th word as a target, from each of the ``MASK`` first places in turn, so that every word is one. The copies are averaged, weighted by their targets, in a tree of small groups. Scores
-add the conditional log-probabilities of all words of a text.
+Words are counted over the whole corpus. The ``VOCABULARY`` most frequent have ids of their own in the network, by falling
+counts and then by hash; every other word enters it as one of ``RARE`` buckets by its hash. The counts of all words stay in a
+Spark table, and each rare word's share of its bucket is joined to the texts that hold it.
+
+The network looks at ``SIDE`` words on either side, one embedding table per place, and predicts the word between in two
+softmax steps, first the group of ``GROUP`` ids of like frequency and then the id within it, both from the same hidden layer.
+It starts from the corpus counts. Documents are dealt by hash to lots of about ``LOT`` words, which follow from the
+corpus and not from how the table is partitioned; each lot trains a copy in the order of hashes, masking every ``MASK``-th
+word as a target, from each of the ``MASK`` first places in turn, so that every word is one. The copies are averaged, weighted
+by their words, in a tree of small groups. Scores add the conditional log-probabilities of all words of a text.
 
 A null, empty or blank text has no words and the score 0. Rows are independent: repeated rows score alike; further
-columns are ignored; an empty table gives no rows.
+columns are ignored; an empty table gives no rows. Texts of any length are taken whole, one at a time where they are long.
 """
 
 from __future__ import annotations
@@ -26,10 +29,10 @@ from facetry.llm.minhash import LOWER
 from facetry.llm.ragged import chunks, distinct, text_bytes, word_hashes, words_of
 from facetry.llm.shared import settled, table
 
-VOCABULARY, RARE, CLASSES = 4096, 64, 64
+VOCABULARY, RARE, GROUP = 4096, 64, 64
 SIDE, HIDDEN, MASK = 2, 16, 8
-BATCH, RATE = 2048, 0.5
-TREE = 32
+BATCH, RATE = 8192, 0.5
+LOT, PARTS, TREE = 1 << 22, 64, 32
 #: Parts of a unit in which the logarithms of counts are added up.
 FINE = 1 << 32
 
@@ -59,12 +62,12 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
 
 @dataclass
 class Words:
-    """The frequent words' hashes (sorted), their ids, and for every id its class and its log share of the class; that of a
-    bucket lacks the log count of the word."""
+    """The frequent words' hashes (sorted), their ids, the counts of all ids, and what a word's log-probability adds to its
+    id's: that of a bucket lacks the log count of the word."""
 
     known: np.ndarray
     ids: np.ndarray
-    class_of: np.ndarray
+    total: np.ndarray
     log_share: np.ndarray
 
     def rare(self, ids: np.ndarray, words: np.ndarray, first: np.ndarray) -> pa.ListArray:
@@ -79,7 +82,7 @@ class Words:
 
     @property
     def size(self) -> int:
-        return len(self.class_of)
+        return len(self.total)
 
     @staticmethod
     def of(counts: DataFrame) -> Words:
@@ -89,13 +92,10 @@ class Words:
         bucket = F.pmod("word", F.lit(RARE))
         rest = counts.join(F.broadcast(best.select("word")), "word", "left_anti")
         rare = {r["b"]: r["n"] for r in rest.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n")).collect()}
-        total = np.concatenate([top["n"].to_numpy(float), [rare.get(b, 0) for b in range(RARE)]]) + 1
-        own = np.concatenate([total[: len(top)], np.ones(RARE)])
-        place = np.cumsum(total) - total / 2
-        class_of = np.minimum((place / total.sum() * CLASSES).astype(np.int64), CLASSES - 1)
-        mass = np.bincount(class_of, total, CLASSES)
+        total = np.concatenate([top["n"].to_numpy(float), [rare.get(b, 0) for b in range(RARE)]])
+        share = np.concatenate([np.zeros(len(top)), -np.log(np.maximum(total[len(top) :], 1))])
         by = np.argsort(top["word"].to_numpy())
-        return Words(top["word"].to_numpy()[by], by.astype(np.int32), class_of, np.log(own / mass[class_of]))
+        return Words(top["word"].to_numpy()[by], by.astype(np.int32), total, share)
 
     def lookup(self, words: np.ndarray) -> np.ndarray:
         words = words.view(np.int64)
@@ -124,16 +124,22 @@ class Words:
 
 
 class Network:
-    """Class scores of a word from its neighbours: one tanh layer over summed embeddings."""
+    """Log-probabilities of ids from their neighbours: one tanh layer over summed embeddings, then two softmax steps."""
 
-    def __init__(self, size: int, flat: np.ndarray | None = None):
-        self.shapes = [(2 * SIDE, size + 1, HIDDEN), (HIDDEN, CLASSES), (CLASSES,)]
+    def __init__(self, total: np.ndarray, flat: np.ndarray | None = None):
+        size, groups = len(total), -(-len(total) // GROUP)
+        self.shapes = [(2 * SIDE, size + 1, HIDDEN), (HIDDEN, groups), (groups,), (groups, GROUP, HIDDEN), (groups, GROUP)]
         ends = np.cumsum([0, *(int(np.prod(s)) for s in self.shapes)])
         if flat is None:
-            turn = np.random.default_rng(4)
-            flat = np.concatenate([turn.normal(0, 0.1, ends[1]), turn.normal(0, 0.1, ends[3] - ends[1])])
+            flat = np.random.default_rng(4).normal(0, 0.1, ends[-1])
+            # Ids that no word has are out of reach.
+            own = np.full(groups * GROUP, -30.0)
+            own[:size] = np.log(total + 1)
+            own = own.reshape(groups, GROUP)
+            flat[ends[4] :] = own.ravel()
+            flat[ends[2] : ends[3]] = np.log(np.exp(own).sum(1))
         self.flat = flat.astype(np.float32)
-        self.embed, self.out, self.bias = (self.flat[a:b].reshape(s) for a, b, s in zip(ends[:-1], ends[1:], self.shapes))
+        self.embed, self.out, self.bias, self.word, self.word_bias = (self.flat[a:b].reshape(s) for a, b, s in zip(ends[:-1], ends[1:], self.shapes))
 
     def _hidden(self, around: np.ndarray) -> np.ndarray:
         h = self.embed[0][around[0]]
@@ -141,79 +147,138 @@ class Network:
             h += self.embed[k][around[k]]
         return np.tanh(h, out=h)
 
-    def log_chances(self, around: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        out = np.empty(len(classes))
-        for at in range(0, len(classes), 16384):
-            z = self._hidden(around[:, at : at + 16384]) @ self.out + self.bias
-            z -= z.max(1, keepdims=True)
-            own = z[np.arange(len(z)), classes[at : at + 16384]]
-            out[at : at + 16384] = own - np.log(np.exp(z, out=z).sum(1))
+    @staticmethod
+    def _by_group(ids: np.ndarray):
+        """(group, places in order) of the ids of a batch."""
+        group = ids // GROUP
+        by = np.argsort(group.astype(np.uint16), kind="stable")
+        group = group[by]
+        cut = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(by)]
+        return [(int(group[a]), by[a:b]) for a, b in zip(cut[:-1], cut[1:]) if a < b]
+
+    def log_chances(self, around: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        out = np.empty(len(ids))
+        for at in range(0, len(ids), 16384):
+            own, part = ids[at : at + 16384], out[at : at + 16384]
+            h = self._hidden(around[:, at : at + 16384])
+            part[:] = _log_softmax(h @ self.out + self.bias, own // GROUP)
+            for g, rows in self._by_group(own):
+                part[rows] += _log_softmax(h[rows] @ self.word[g].T + self.word_bias[g], own[rows] % GROUP)
         return out
 
-    def train(self, around: np.ndarray, classes: np.ndarray, rate: float = RATE) -> None:
-        for at in range(0, len(classes), BATCH):
-            own, target = around[:, at : at + BATCH], classes[at : at + BATCH]
-            h = self._hidden(own)
-            z = h @ self.out + self.bias
-            z = np.exp(z - z.max(1, keepdims=True))
-            z /= z.sum(1, keepdims=True)
-            z[np.arange(len(z)), target] -= 1
-            back = (z @ self.out.T) * (1 - h * h)
+    def train(self, around: np.ndarray, ids: np.ndarray, rate: float = RATE) -> None:
+        for at in range(0, len(ids), BATCH):
+            near, own = around[:, at : at + BATCH], ids[at : at + BATCH]
+            h = self._hidden(near)
+            z = _softmax_less(h @ self.out + self.bias, own // GROUP)
+            back = z @ self.out.T
+            for g, rows in self._by_group(own):
+                part = h[rows]
+                y = _softmax_less(part @ self.word[g].T + self.word_bias[g], own[rows] % GROUP)
+                back[rows] += y @ self.word[g]
+                step = rate / max(len(rows), GROUP)
+                self.word[g] -= step * (y.T @ part)
+                self.word_bias[g] -= step * y.sum(0)
             self.out -= rate / len(z) * (h.T @ z)
             self.bias -= rate / len(z) * z.sum(0)
-            step = np.clip(back, -1, 1) * (-rate / 16)
-            for k in range(len(own)):
-                np.add.at(self.embed[k], own[k], step)
+            step = np.clip(back * (1 - h * h), -1, 1) * (-rate / 16)
+            for k in range(len(near)):
+                np.add.at(self.embed[k], near[k], step)
+
+
+def _log_softmax(z: np.ndarray, own: np.ndarray) -> np.ndarray:
+    z -= z.max(1, keepdims=True)
+    picked = z[np.arange(len(z)), own]
+    return picked - np.log(np.exp(z, out=z).sum(1))
+
 
+def _softmax_less(z: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Probabilities less 1 at the own place: the gradient of the loss."""
+    z = np.exp(z - z.max(1, keepdims=True))
+    z /= z.sum(1, keepdims=True)
+    z[np.arange(len(z)), own] -= 1
+    return z
 
-def trained(df: DataFrame, words: Words, text: str) -> Network:
-    """Averages the copies that the tasks train."""
+
+def trained(df: DataFrame, words: Words, key: str, text: str) -> Network:
+    """Averages the copies that the lots train."""
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(words)
     width = 65536
+    lots = 1 + int(words.total.sum()) // LOT
 
     def run(batches):
-        words, net, seen = shared.value, None, 0
-        for batch in batches:
-            for part in chunks(batch, text):
-                ids, around, _, _ = words.windows(*text_bytes(part.column(text)))
-                net = net or Network(words.size)
+        words, net, seen, now, held = shared.value, None, 0, None, []
+
+        def learn():
+            nonlocal seen
+            for part in chunks(pa.Table.from_batches(held).combine_chunks().to_batches()[0], "text", 1 << 20) if held else ():
+                ids, around, _, _ = words.windows(*text_bytes(part.column("text")))
                 for start in range(MASK):
                     target = np.arange(start, len(ids), MASK)
-                    net.train(around[:, target], words.class_of[ids[target]])
+                    net.train(around[:, target], ids[target])
                 seen += len(ids)
-        if seen:
-            parts = [net.flat[at : at + width] for at in range(0, len(net.flat), width)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int64()), pa.array([float(seen)] * len(parts)), pa.array(parts, pa.list_(pa.float32()))], names=["block", "weight", "part"])
+            held.clear()
+
+        def done():
+            if seen:
+                parts = [net.flat[at : at + width] for at in range(0, len(net.flat), width)]
+                yield pa.RecordBatch.from_arrays([pa.array([now[0]] * len(parts)), pa.array(range(len(parts)), pa.int64()), pa.array([float(seen)] * len(parts)), pa.array(parts, pa.list_(pa.float32()))], names=["lot", "block", "weight", "part"])
+
+        for batch in batches:
+            lot, place = (batch.column(k).to_numpy() for k in ("lot", "place"))
+            cut = np.flatnonzero((lot[1:] != lot[:-1]) | (place[1:] != place[:-1])) + 1
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(lot)]):
+                if a == b:
+                    continue
+                if now != (lot[a], place[a]):
+                    learn()
+                    if now is None or now[0] != lot[a]:
+                        yield from done()
+                        net, seen = Network(words.total), 0
+                    now = (lot[a], place[a])
+                held.append(batch.slice(a, b - a))
+                if sum(x.nbytes for x in held) > 8 << 20:
+                    learn()
+        learn()
+        yield from done()
 
     def average(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("lot")
         weight = group["weight"].to_numpy()
         part = sum(w * np.asarray(p, np.float64) for w, p in zip(weight, group["part"])) / weight.sum()
-        return pd.DataFrame({"block": [group["block"].iloc[0]], "weight": [weight.sum()], "part": [part.astype(np.float32)]})
+        return pd.DataFrame({"lot": [group["lot"].iloc[0] // TREE], "block": [group["block"].iloc[0]], "weight": [weight.sum()], "part": [part.astype(np.float32)]})
 
-    kind = "block long, weight double, part array<float>"
-    copies = df.select(text).mapInArrow(run, kind).withColumn("lot", F.spark_partition_id())
-    lots = max(1, df.rdd.getNumPartitions())
+    kind = "lot long, block long, weight double, part array<float>"
+    h = F.xxhash64(key, text)
+    dealt = df.select(F.pmod(h, F.lit(lots)).alias("lot"), F.pmod(F.shiftright(h, 32), F.lit(PARTS)).alias("place"), h.alias("h"), F.col(text).alias("text"))
+    copies = dealt.repartition(lots, "lot").sortWithinPartitions("lot", "place", "h").mapInArrow(run, kind)
     while lots > 1:
-        copies = copies.withColumn("lot", F.floor(F.col("lot") / TREE).cast("int")).groupBy("block", "lot").applyInPandas(lambda key, g: average(g).assign(lot=int(key[1])), kind + ", lot int")
+        copies = copies.groupBy("block", F.floor(F.col("lot") / TREE).alias("next")).applyInPandas(lambda group: average(group), kind)
         lots = -(-lots // TREE)
     parts = copies.orderBy("block").collect()
-    return Network(words.size, np.concatenate([np.array(r["part"], np.float32) for r in parts])) if parts else Network(words.size)
+    return Network(words.total, np.concatenate([np.array(r["part"], np.float32) for r in parts]) if parts else None)
 
 
-def scored(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``df``: ``key``, n_words, score (sum of log-probabilities), mean_score."""
+def fitted(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, Words, Network]:
+    """The counts of all words, the frequent ones, and the network."""
     counts = settled(word_counts(df, text))
     words = Words.of(counts)
-    model = df.sparkSession.sparkContext.broadcast((words, trained(df, words, text).flat))
+    return counts, words, trained(df, words, key, text)
+
+
+def scored(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``df``: ``key``, n_words, score (sum of log-probabilities), mean_score."""
+    counts, words, net = fitted(df, key, text)
+    model = df.sparkSession.sparkContext.broadcast((words, net.flat))
 
     def run(batches):
         words, flat = model.value
-        net = Network(words.size, flat)
+        net = Network(words.total, flat)
         for batch in batches:
             for part in chunks(batch, text):
                 ids, around, first, hashes = words.windows(*text_bytes(part.column(text)))
-                logs = net.log_chances(around, words.class_of[ids]) + words.log_share[ids]
+                logs = net.log_chances(around, ids) + words.log_share[ids]
                 n = np.diff(first)
                 total = np.bincount(np.repeat(np.arange(len(n)), n), logs, len(n)) if len(ids) else np.zeros(len(n))
                 yield pa.RecordBatch.from_arrays([part.column(key), pa.array(n.astype(np.int64)), pa.array(total), words.rare(ids, hashes, first)], names=[key, "n_words", "total", "rare"])
