@@ -31,8 +31,8 @@ from facetry.llm.shared import settled, table
 
 VOCABULARY, RARE, GROUP = 4096, 64, 64
 SIDE, HIDDEN, MASK = 2, 16, 8
-BATCH, RATE = 8192, 0.5
-LOT, PARTS, TREE = 1 << 22, 64, 32
+BATCH, RATE = 32768, 0.5
+LOT, PARTS, TREE = 1 << 20, 8, 32
 #: Parts of a unit in which the logarithms of counts are added up.
 FINE = 1 << 32
 
@@ -183,7 +183,10 @@ class Network:
             self.bias -= rate / len(z) * z.sum(0)
             step = np.clip(back * (1 - h * h), -1, 1) * (-rate / 16)
             for k in range(len(near)):
-                np.add.at(self.embed[k], near[k], step)
+                by = np.argsort(near[k].astype(np.uint16), kind="stable") if self.embed.shape[1] <= 1 << 16 else np.argsort(near[k], kind="stable")
+                to = near[k][by]
+                first = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+                self.embed[k][to[first]] += np.add.reduceat(step[by], first, axis=0)
 
 
 def _log_softmax(z: np.ndarray, own: np.ndarray) -> np.ndarray:
