@@ -148,40 +148,40 @@ class Network:
         return np.tanh(h, out=h)
 
     @staticmethod
-    def _by_group(ids: np.ndarray):
-        """(group, places in order) of the ids of a batch."""
+    def _groups(ids: np.ndarray) -> list[tuple[int, slice]]:
+        """(group, its places) of ids that are sorted by group."""
         group = ids // GROUP
-        by = np.argsort(group.astype(np.uint16), kind="stable")
-        group = group[by]
-        cut = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(by)]
-        return [(int(group[a]), by[a:b]) for a, b in zip(cut[:-1], cut[1:]) if a < b]
+        cut = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(ids)]
+        return [(int(group[a]), slice(a, b)) for a, b in zip(cut[:-1], cut[1:]) if a < b]
 
     def log_chances(self, around: np.ndarray, ids: np.ndarray) -> np.ndarray:
         out = np.empty(len(ids))
-        for at in range(0, len(ids), 16384):
-            own, part = ids[at : at + 16384], out[at : at + 16384]
-            h = self._hidden(around[:, at : at + 16384])
-            part[:] = _log_softmax(h @ self.out + self.bias, own // GROUP)
-            for g, rows in self._by_group(own):
+        for at in range(0, len(ids), BATCH):
+            by = np.argsort((ids[at : at + BATCH] // GROUP).astype(np.uint16), kind="stable") + at
+            own, h = ids[by], self._hidden(around[:, by])
+            part = _log_softmax(h @ self.out + self.bias, own // GROUP)
+            for g, rows in self._groups(own):
                 part[rows] += _log_softmax(h[rows] @ self.word[g].T + self.word_bias[g], own[rows] % GROUP)
+            out[by] = part
         return out
 
     def train(self, around: np.ndarray, ids: np.ndarray, rate: float = RATE) -> None:
         for at in range(0, len(ids), BATCH):
-            near, own = around[:, at : at + BATCH], ids[at : at + BATCH]
+            by = np.argsort((ids[at : at + BATCH] // GROUP).astype(np.uint16), kind="stable") + at
+            near, own = around[:, by], ids[by]
             h = self._hidden(near)
             z = _softmax_less(h @ self.out + self.bias, own // GROUP)
             back = z @ self.out.T
-            for g, rows in self._by_group(own):
+            for g, rows in self._groups(own):
                 part = h[rows]
                 y = _softmax_less(part @ self.word[g].T + self.word_bias[g], own[rows] % GROUP)
                 back[rows] += y @ self.word[g]
-                step = rate / max(len(rows), GROUP)
+                step = np.float32(rate / max(len(part), GROUP))
                 self.word[g] -= step * (y.T @ part)
                 self.word_bias[g] -= step * y.sum(0)
-            self.out -= rate / len(z) * (h.T @ z)
-            self.bias -= rate / len(z) * z.sum(0)
-            step = np.clip(back * (1 - h * h), -1, 1) * (-rate / 16)
+            self.out -= np.float32(rate / len(z)) * (h.T @ z)
+            self.bias -= np.float32(rate / len(z)) * z.sum(0)
+            step = np.clip(back * (1 - h * h), -1, 1) * np.float32(-rate / 16)
             for k in range(len(near)):
                 by = np.argsort(near[k].astype(np.uint16), kind="stable") if self.embed.shape[1] <= 1 << 16 else np.argsort(near[k], kind="stable")
                 to = near[k][by]
@@ -197,8 +197,9 @@ def _log_softmax(z: np.ndarray, own: np.ndarray) -> np.ndarray:
 
 def _softmax_less(z: np.ndarray, own: np.ndarray) -> np.ndarray:
     """Probabilities less 1 at the own place: the gradient of the loss."""
-    z = np.exp(z - z.max(1, keepdims=True))
-    z /= z.sum(1, keepdims=True)
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z *= 1 / z.sum(1, keepdims=True)
     z[np.arange(len(z)), own] -= 1
     return z
 
