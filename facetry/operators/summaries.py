@@ -29,11 +29,14 @@ def gaps(families: DataFrame, cards: DataFrame) -> DataFrame:
     """(family, unique_id, kind): numbers below a family's largest without a card (missing), or whose card has no faction
     (corrupt if it holds anything else, missing if not). Only families with gaps are unfolded."""
     key = F.concat(F.lit("ALT_"), F.col("source_set"), F.lit("_B_"), F.col("family_id")).alias("family")
-    all_ = families.select(key, "source_set", "family_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("max_unique_id").cast("long"))).alias("unique_id"))
-    held = cards.select("source_set", "family_id", F.col("unique_id").cast("long").alias("unique_id"), "faction_code", (F.greatest(*(F.col(s) for s in STATS)) > 0).alias("tail"))
-    joined = all_.join(held, ["source_set", "family_id", "unique_id"], "left")
-    bad = joined.where("faction_code is null or faction_code = 0")
-    return bad.select("family", "unique_id", F.when(F.col("tail"), "corrupt").otherwise("missing").alias("kind"))
+    keys = ["source_set", "family_id", "unique_id"]
+    short = families.where(F.col("card_count") < F.col("max_unique_id"))
+    numbers = short.select("source_set", "family_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("max_unique_id").cast("long"))).alias("unique_id"))
+    held = cards.withColumn("unique_id", F.col("unique_id").cast("long"))
+    missing = numbers.join(held.select(*keys), keys, "left_anti").select(key, "unique_id", F.lit("missing").alias("kind"))
+    tail = F.greatest(*(F.col(s) for s in STATS)) > 0
+    empty = held.where("faction_code is null or faction_code = 0").select(key, "unique_id", F.when(tail, "corrupt").otherwise("missing").alias("kind"))
+    return missing.union(empty)
 
 
 def gap_report(families: DataFrame, cards: DataFrame) -> DataFrame:

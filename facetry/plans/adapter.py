@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from facetry.operators.ingest import aliases_of, indexed, placed
+from facetry.operators.ingest import STAT_ELEMENTS, aliases_of, indexed, placed
+from facetry.sources.cards import FIELDS, SCHEMA
 
 SEGMENTS = {"AUTOMOBILE": "AX", "BUILDING": "BR", "FURNITURE": "LY", "HOUSEHOLD": "MU", "MACHINERY": "OR"}
 SETS = {"F": "CORE", "O": "COREKS", "P": "ALIZE"}
@@ -91,3 +92,34 @@ def cards_with_slots(spark: SparkSession, folder: str) -> DataFrame:
     pick = lambda g: F.max(F.when(F.col("line") == g, F.struct("t", "c", "o")))
     none = F.struct(*(F.lit(0).alias(p) for p in "tco"))
     return per.groupBy("card_index").agg(*(F.coalesce(pick(g), none).alias(g) for g in LINES.values()))
+
+
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The cards of :func:`numbered_cards` as card documents, through JSON text, with the parts of their paths as the reader of
+    files gives them. The first three lines are displays of a main effect, the fourth an echo effect, any other a fourth
+    display."""
+    kind = "array<struct<at:struct<l_suppkey:bigint,l_partkey:bigint>,id_gd:bigint,element_type:string,text:string>>"
+    ability = F.struct("at", "id_gd", "element_type", "text")
+    given = lambda x: F.create_map(F.lit("en_US"), F.struct(F.lit("en_US").alias("locale"), x["text"].alias("text")))
+    atom = lambda x: F.struct(x["id_gd"].alias("idGd"), x["element_type"].alias("type"), x["text"].alias("text"), given(x).alias("translations"))
+    lines = occurrences(spark, folder).join(abilities(spark, folder).select("id_gd", "element_type", "text"), "id_gd")
+    on = lambda test: F.array_sort(F.collect_list(F.when(test, ability))).cast(kind)
+    held = lines.groupBy(F.col("card_index").alias("order_key")).agg(*(on(F.col("line") == g).alias(g) for g in LINES.values()), on(F.col("line").isNull()).alias("rest"))
+    display = lambda c: F.struct(F.struct(F.transform(F.coalesce(c, F.array().cast(kind)), atom).alias("cardEffectElements")).alias("cardEffect"))
+
+    def element(name: str, value: Column, displays: Column | None = None) -> Column:
+        none = F.array(display(F.lit(None).cast(kind)))
+        return F.struct(F.struct(F.lit(name).alias("reference")).alias("cardElementType"), value.cast("string").alias("value"), (F.slice(none, 1, 0) if displays is None else displays).alias("cardEffectDisplays"))
+
+    elements = [element(kind_, F.col(c)) for c, kind_ in STAT_ELEMENTS.items()]
+    elements += [element("MAIN_EFFECT", F.lit(None), F.array(*(display(F.col(c)) for c in ("m1", "m2", "m3", "rest")))), element("ECHO_EFFECT", F.lit(None), F.array(display(F.col("ec"))))]
+    nation = read(spark, folder, "nation").select(F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("family_number"), "n_name")
+    word = lambda locale, name: (F.lit(locale), F.struct(F.lit(locale).alias("locale"), name.alias("name")))
+    letters = _lookup({i + 1: s for i, s in enumerate([*SEGMENTS.values(), "YZ"])}, F.col("faction_code"))
+    cards_ = numbered_cards(spark, folder).join(held, "order_key", "left").join(nation, "family_number")
+    body = F.struct(
+        F.col("n_name").alias("name"), F.create_map(*word("fr_FR", F.concat(F.lit("Éc"), "n_name", F.lit("ôt")))).alias("translations"), F.struct(F.lit("someone").alias("nickName")).alias("illustrator"),
+        F.struct(F.col("source_set").alias("reference"), F.col("source_set").alias("name")).alias("cardSet"), F.struct(F.coalesce(letters, F.lit("?")).alias("reference")).alias("mainFaction"), F.array(*elements).alias("cardElements"),
+    )
+    read_ = cards_.select("source_set", "faction", "family_number", "unique_id", F.from_json(F.to_json(body), SCHEMA, {"mode": "FAILFAST"}).alias("d"))
+    return read_.select("source_set", "faction", "family_number", "unique_id", *(F.col(f"d.{c}").alias(c) for c in FIELDS))

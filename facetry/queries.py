@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from facetry.functions import references, text
 from facetry.operators import filters, ingest, matching, merging, results, summaries
 from facetry.plans import adapter
-from facetry.plans.request import Stat
+from facetry.plans.request import Request, Slot, Stat
 from facetry.streaming.arrivals import ticks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -513,3 +513,83 @@ def locale_pick(spark, d):
 def first_per_group(spark, d):
     first = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return adapter.read(spark, d, "events").withColumn("r", F.row_number().over(first)).where("r = 1").select("user_id", "event_id", "value")
+
+
+# Card documents through the whole build, merging and removal of duplicates.
+
+#: Aliases among the abilities that occur, and occurrences by index with and without them.
+_BUILT = """, flat2 AS (SELECT * FROM flat WHERE id_gd IN (SELECT id_gd FROM occ)),
+alias2 AS (SELECT id_gd AS alias, canonical FROM flat2 JOIN (SELECT element_type, norm, coalesce(min(id_gd) FILTER (nbsp), min(id_gd)) AS canonical FROM flat2 GROUP BY ALL HAVING count(*) > 1) USING (element_type, norm) WHERE id_gd <> canonical),
+post AS (SELECT DISTINCT idx.card_index, line, coalesce(canonical, id_gd) AS id_gd FROM occ JOIN idx ON order_key = occ.card_index LEFT JOIN alias2 ON id_gd = alias),
+plain AS (SELECT DISTINCT idx.card_index, source_set, line, id_gd FROM occ JOIN idx ON order_key = occ.card_index)
+"""
+_POSTED = f"count(DISTINCT card_index) AS card_count, bool_or(coalesce(line IN ('m1', 'm2', 'm3'), false)) AS is_main, bool_or(coalesce(line = 'ec', false)) AS is_echo, {', '.join(f"count(DISTINCT card_index) FILTER (line = '{g}') AS {g}_cards" for g in ingest.GROUPS)}"
+_STATS = ", ".join(summaries.STATS)
+
+
+def _built(spark, d, collapse: bool = True) -> dict[str, DataFrame]:
+    return ingest.build(adapter.documents(spark, d), collapse)
+
+
+@query(f"SELECT card_index, reference, faction_code, {_STATS} FROM idx")
+def build_cards(spark, d):
+    return _built(spark, d, False)["cards"].select("card_index", "reference", "faction_code", *summaries.STATS)
+
+
+@query("SELECT idx.card_index, line, t, c, o FROM slot JOIN idx ON order_key = slot.card_index WHERE t + c + o > 0")
+def build_slots(spark, d):
+    lines = F.explode(F.array(*(F.struct(F.lit(g).alias("line"), f"{g}.t", f"{g}.c", f"{g}.o") for g in ingest.GROUPS)))
+    return _built(spark, d, False)["cards"].select("card_index", lines.alias("x")).select("card_index", "x.*").where("t + c + o > 0")
+
+
+@query("SELECT source_set, family_id, max_unique_id, card_count, start_bit, n_name AS english, 'Éc' || n_name || 'ôt' AS french FROM fam JOIN nation ON family_number = lpad(n_nationkey::VARCHAR, 2, '0')")
+def build_families(spark, d):
+    shown = (text.in_locale(F.col("name"), code).alias(c) for c, code in (("english", "en_US"), ("french", "fr_FR")))
+    return _built(spark, d, False)["families"].select("source_set", "family_id", "max_unique_id", "card_count", "start_bit", *shown)
+
+
+@query(_BUILT + "SELECT card_index, line, id_gd FROM post")
+def build_occurrences(spark, d):
+    return _built(spark, d)["occurrences"].select("card_index", "line", "id_gd")
+
+
+@query(_BUILT + f"SELECT id_gd, {_POSTED}, aliases FROM post LEFT JOIN (SELECT canonical, string_agg(alias::VARCHAR, ',' ORDER BY alias) AS aliases FROM alias2 GROUP BY canonical) ON canonical = id_gd GROUP BY id_gd, aliases")
+def build_abilities(spark, d):
+    aliases = F.when(F.col("duplicated_id_gd").isNotNull(), F.array_join(F.col("duplicated_id_gd").cast("array<string>"), ","))
+    return _built(spark, d)["abilities"].select("id_gd", "card_count", "is_main", "is_echo", *(f"{g}_cards" for g in ingest.GROUPS), aliases.alias("aliases"))
+
+
+@query(_BUILT + "SELECT card_index, line, id_gd FROM post")
+def deduplicate_index(spark, d):
+    return merging.deduplicated(_built(spark, d, False))["occurrences"].select("card_index", "line", "id_gd")
+
+
+def _merged(spark, d) -> dict[str, DataFrame]:
+    documents = adapter.documents(spark, d)
+    return merging.merged({s: ingest.build(documents.where(F.col("source_set") == s), False) for s in _ORDER}, False)
+
+
+@query(_PLAN + f"SELECT new_start + unique_id - 1 AS card_index, source_set, faction_code, {_STATS} FROM numbered JOIN plan USING (source_set, family_id)")
+def merge_index_cards(spark, d):
+    return _merged(spark, d)["cards"].select("card_index", "source_set", "faction_code", *summaries.STATS)
+
+
+@query(_PLAN + f"SELECT id_gd, {_POSTED} FROM (SELECT n.new_start + n.unique_id - 1 AS card_index, line, id_gd FROM (SELECT * FROM numbered JOIN plan USING (source_set, family_id)) n JOIN occ ON occ.card_index = order_key) GROUP BY id_gd")
+def merge_index_abilities(spark, d):
+    return _merged(spark, d)["abilities"].select("id_gd", "card_count", "is_main", "is_echo", *(f"{g}_cards" for g in ingest.GROUPS))
+
+
+_IDS = {"t": (1, 4, 7, 10, 13, 16, 19, 22, 25, 28, 31, 34, 37, 40), "o": (2, 3, 5, 6, 8, 9, 11, 12, 14, 15, 17, 18, 20, 21)}
+
+
+@query(f"""SELECT card_index, source_set, family_id FROM idx WHERE source_set IN ('CORE', 'COREKS') AND faction_code IN (1, 2, 3, 4) AND main_cost <= 14
+  AND EXISTS (SELECT 1 FROM nation WHERE family_number = lpad(n_nationkey::VARCHAR, 2, '0') AND contains(lower(n_name), 'a'))
+  AND order_key NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')
+  AND order_key IN (SELECT card_index FROM occ WHERE line IN ('m1', 'm2', 'm3') AND id_gd IN {_IDS['t'] + _IDS['o']})""")
+def request_conjunction(spark, d):
+    cards, families = adapter.index(spark, d)
+    key = cards.select(F.col("order_key").alias("_key"), F.col("card_index").alias("_at"))
+    occurrences = adapter.occurrences(spark, d).join(key, F.col("card_index") == F.col("_key")).select(F.col("_at").alias("card_index"), "line", "id_gd")
+    urgent = _urgent(spark, d).join(key, F.col("card_index") == F.col("_key")).select(F.col("_at").alias("card_index"))
+    asked = Request(sets=("CORE", "COREKS"), factions=("AX", "BR", "LY", "MU"), name="a", stats={"main_cost": Stat("lte", (14,))}, effects=(Slot(0, t=_IDS["t"]), Slot(1, o=_IDS["o"])), effect_mode="or")
+    return filters.conjunction(cards, asked, occurrences, families, members=[(urgent, True)]).select("card_index", "source_set", "family_id")
