@@ -27,10 +27,11 @@ def faction_counts(cards: DataFrame) -> DataFrame:
 
 def gaps(families: DataFrame, cards: DataFrame) -> DataFrame:
     """(family, unique_id, kind): numbers below a family's largest without a card (missing), or whose card has no faction
-    (corrupt if it holds anything else, missing if not). Only families with gaps are unfolded."""
+    (corrupt if it holds anything else, missing if not). Only families with gaps are unfolded,
+    where their ``card_count`` is given."""
     key = F.concat(F.lit("ALT_"), F.col("source_set"), F.lit("_B_"), F.col("family_id")).alias("family")
     keys = ["source_set", "family_id", "unique_id"]
-    short = families.where(F.col("card_count") < F.col("max_unique_id"))
+    short = families.where(F.col("card_count") < F.col("max_unique_id")) if "card_count" in families.columns else families
     numbers = short.select("source_set", "family_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("max_unique_id").cast("long"))).alias("unique_id"))
     held = cards.withColumn("unique_id", F.col("unique_id").cast("long"))
     missing = numbers.join(held.select(*keys), keys, "left_anti").select(key, "unique_id", F.lit("missing").alias("kind"))
