@@ -33,6 +33,8 @@ VOCABULARY, RARE, GROUP = 4096, 64, 64
 SIDE, HIDDEN, MASK = 2, 16, 8
 BATCH, RATE = 32768, 0.5
 LOT, PARTS, TREE = 1 << 20, 8, 32
+#: Largest score whose exponential is taken.
+BOUND = 60.0
 #: Parts of a unit in which the logarithms of counts are added up.
 FINE = 1 << 32
 
@@ -133,8 +135,8 @@ class Network:
         if flat is None:
             flat = np.random.default_rng(4).normal(0, 0.1, ends[-1])
             # Ids that no word has are out of reach.
-            own = np.full(groups * GROUP, -30.0)
-            own[:size] = np.log(total + 1)
+            own = np.full(groups * GROUP, -60.0)
+            own[:size] = np.log((total + 1) / (total + 1).sum())
             own = own.reshape(groups, GROUP)
             flat[ends[4] :] = own.ravel()
             flat[ends[2] : ends[3]] = np.log(np.exp(own).sum(1))
@@ -190,16 +192,16 @@ class Network:
 
 
 def _log_softmax(z: np.ndarray, own: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
+    # Biases are logarithms of shares, so that scores need no shift; the bound is never met in practice.
+    np.minimum(z, BOUND, out=z)
     picked = z[np.arange(len(z)), own]
-    return picked - np.log(np.exp(z, out=z).sum(1))
+    return picked - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype))
 
 
 def _softmax_less(z: np.ndarray, own: np.ndarray) -> np.ndarray:
     """Probabilities less 1 at the own place: the gradient of the loss."""
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z *= 1 / z.sum(1, keepdims=True)
+    np.exp(np.minimum(z, BOUND, out=z), out=z)
+    z *= (1 / (z @ np.ones(z.shape[1], z.dtype)))[:, None]
     z[np.arange(len(z)), own] -= 1
     return z
 
