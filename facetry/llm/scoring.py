@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from facetry.llm.minhash import LOWER
 from facetry.llm.ragged import chunks, distinct, text_bytes, word_hashes, words_of
-from facetry.llm.shared import settled, table
+from facetry.llm.shared import settled, stored, table
 
 VOCABULARY, RARE, GROUP = 4096, 64, 64
 SIDE, HIDDEN, MASK = 2, 16, 8
@@ -290,8 +290,8 @@ def scored(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(key), pa.array(n.astype(np.int64)), pa.array(total), words.rare(ids, hashes, first)], names=[key, "n_words", "total", "rare"])
 
     kind = f"`{key}` {df.schema[key].dataType.simpleString()}, n_words long, total double, rare array<struct<word:bigint,m:bigint>>"
-    # Settled, so that the numbers of the rows hold and the join with all counts has exchanges on both sides.
-    rows = settled(df.select(key, text).mapInArrow(run, kind).withColumn("row", F.monotonically_increasing_id()))
+    # Stored, so that the numbers of the rows hold and the join with all counts has exchanges on both sides.
+    rows = stored(df.select(key, text).mapInArrow(run, kind).withColumn("row", F.monotonically_increasing_id()))
     # In whole parts, whose sum has no order.
     log = F.round(F.log("n") * FINE).cast("long")
     more = rows.select("row", F.inline("rare")).join(counts, "word").groupBy("row").agg(F.sum(F.col("m") * log).alias("more"))
