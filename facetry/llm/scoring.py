@@ -2,7 +2,8 @@
 
 Words are counted over the whole corpus. The ``VOCABULARY`` most frequent have ids of their own in the network, by falling
 counts and then by hash; every other word enters it as one of ``RARE`` buckets by its hash. The counts of all words stay in a
-Spark table, and each rare word's share of its bucket is joined to the texts that hold it.
+Spark table. A rare word's share of its bucket comes from a broadcast list, where the word is among the at most ``LISTED`` most
+frequent ones, and from a join of that table with the texts that hold it, where it isn't.
 
 The network looks at ``SIDE`` words on either side, one embedding table per place, and predicts the word between in two
 softmax steps, first the group of ``GROUP`` ids of like frequency and then the id within it, both from the same hidden layer.
@@ -22,14 +23,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetry.llm.minhash import LOWER
 from facetry.llm.ragged import chunks, distinct, text_bytes, word_hashes, words_of
 from facetry.llm.shared import settled, stored, table
 
-VOCABULARY, RARE, GROUP = 4096, 64, 64
+VOCABULARY, RARE, GROUP, LISTED = 4096, 64, 64, 1 << 18
 SIDE, HIDDEN, MASK = 2, 16, 8
 BATCH, RATE = 32768, 0.5
 LOT, PARTS, TREE = 1 << 20, 8, 32
@@ -62,25 +63,50 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
     return df.select(text).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def fine_log(n: str) -> Column:
+    """The logarithm in whole parts of 1 / ``FINE``, whose sum has no order."""
+    return F.round(F.log(n) * FINE).cast("long")
+
+
+def frequencies(counts: DataFrame) -> list[tuple[int, int]]:
+    """(n, words): how many words occur at least n times, for the least n of every eighth of a doubling, falling."""
+    step = F.floor(F.log2("n") * 8)
+    sizes = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("n")).orderBy(F.desc("n")).collect()
+    return list(zip([r["n"] for r in sizes], np.cumsum([r["words"] for r in sizes]).tolist()))
+
+
 @dataclass
 class Words:
     """The frequent words' hashes (sorted), their ids, the counts of all ids, and what a word's log-probability adds to its
-    id's: that of a bucket lacks the log count of the word."""
+    id's: that of a bucket lacks the log count of the word. ``listed`` holds hashes (sorted) and log counts (``FINE``) of the
+    words that occur at least ``least`` times, all above it."""
 
     known: np.ndarray
     ids: np.ndarray
     total: np.ndarray
     log_share: np.ndarray
+    listed: np.ndarray
+    listed_log: np.ndarray
+    least: int
 
-    def rare(self, ids: np.ndarray, words: np.ndarray, first: np.ndarray) -> pa.ListArray:
-        """The distinct rare words of each row with their numbers there."""
+    def rare(self, ids: np.ndarray, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+        """What the listed rare words add to each row, and the distinct other rare ones of each row with their numbers there."""
         at = np.flatnonzero(ids >= len(self.known))
-        row, word = np.searchsorted(first, at, "right") - 1, words[at].view(np.int64)
+        word = words[at].view(np.int64)
+        add = np.zeros(len(ids) + 1, np.int64)
+        if len(self.listed):
+            place = np.minimum(np.searchsorted(self.listed, word), len(self.listed) - 1)
+            hit = self.listed[place] == word
+            add[at[hit] + 1] = self.listed_log[place[hit]]
+            at, word = at[~hit], word[~hit]
+        np.cumsum(add, out=add)
+        row = np.searchsorted(first, at, "right") - 1
         by = np.lexsort((word, row))
         row, word = row[by], word[by]
         new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (word[1:] != word[:-1])])) if len(row) else row
         fields = [pa.array(word[new]), pa.array(np.diff(np.append(new, len(row))).astype(np.int64))]
-        return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[new], np.arange(len(first))), pa.int32()), pa.StructArray.from_arrays(fields, ["word", "m"]))
+        lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[new], np.arange(len(first))), pa.int32()), pa.StructArray.from_arrays(fields, ["word", "m"]))
+        return add[first[1:]] - add[first[:-1]], lists
 
     @property
     def size(self) -> int:
@@ -88,8 +114,11 @@ class Words:
 
     @staticmethod
     def of(counts: DataFrame) -> Words:
-        # Settled first: the tasks' best words are then merged by a task, not by the driver.
-        best = settled(counts.orderBy(F.desc("n"), "word").limit(VOCABULARY))
+        held = frequencies(counts)
+        # From the few words that occur often enough to be among them. Settled first: the tasks' best words are then merged by
+        # a task, not by the driver.
+        often = next((n for n, words in held if words >= VOCABULARY), 0)
+        best = settled(counts.where(F.col("n") >= often).orderBy(F.desc("n"), "word").limit(VOCABULARY))
         top = best.orderBy(F.desc("n"), "word").toPandas()
         bucket = F.pmod("word", F.lit(RARE))
         rest = counts.join(F.broadcast(best.select("word")), "word", "left_anti")
@@ -97,7 +126,10 @@ class Words:
         total = np.concatenate([top["n"].to_numpy(float), [rare.get(b, 0) for b in range(RARE)]])
         share = np.concatenate([np.zeros(len(top)), -np.log(np.maximum(total[len(top) :], 1))])
         by = np.argsort(top["word"].to_numpy())
-        return Words(top["word"].to_numpy()[by], by.astype(np.int32), total, share)
+        least = min((n for n, words in held if words <= LISTED), default=1 << 62)
+        # At most LISTED words, the network's own left out.
+        listed = rest.where(F.col("n") >= least).select("word", fine_log("n").alias("log")).toPandas().sort_values("word")
+        return Words(top["word"].to_numpy()[by], by.astype(np.int32), total, share, listed["word"].to_numpy(np.int64), listed["log"].to_numpy(np.int64), least)
 
     def lookup(self, words: np.ndarray) -> np.ndarray:
         words = words.view(np.int64)
@@ -287,15 +319,16 @@ def scored(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 logs = net.log_chances(around, ids) + words.log_share[ids]
                 n = np.diff(first)
                 total = np.bincount(np.repeat(np.arange(len(n)), n), logs, len(n)) if len(ids) else np.zeros(len(n))
-                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(n.astype(np.int64)), pa.array(total), words.rare(ids, hashes, first)], names=[key, "n_words", "total", "rare"])
+                listed, rare = words.rare(ids, hashes, first)
+                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(n.astype(np.int64)), pa.array(total), pa.array(listed), rare], names=[key, "n_words", "total", "listed", "rare"])
 
-    kind = f"`{key}` {df.schema[key].dataType.simpleString()}, n_words long, total double, rare array<struct<word:bigint,m:bigint>>"
+    kind = f"`{key}` {df.schema[key].dataType.simpleString()}, n_words long, total double, listed long, rare array<struct<word:bigint,m:bigint>>"
     # Stored, so that the numbers of the rows hold and the join with all counts has exchanges on both sides.
     rows = stored(df.select(key, text).mapInArrow(run, kind).withColumn("row", F.monotonically_increasing_id()))
-    # In whole parts, whose sum has no order.
-    log = F.round(F.log("n") * FINE).cast("long")
-    more = rows.select("row", F.inline("rare")).join(counts, "word").groupBy("row").agg(F.sum(F.col("m") * log).alias("more"))
-    score = F.col("total") + F.coalesce(F.col("more"), F.lit(0)) / FINE
+    # A word that occurs once adds its logarithm, 0.
+    unlisted = counts.where((F.col("n") < words.least) & (F.col("n") > 1)).select("word", fine_log("n").alias("log"))
+    more = rows.select("row", F.inline("rare")).join(unlisted, "word").groupBy("row").agg(F.sum(F.col("m") * F.col("log")).alias("more"))
+    score = F.col("total") + (F.col("listed") + F.coalesce(F.col("more"), F.lit(0))) / FINE
     return rows.join(more, "row", "left").select(key, "n_words", score.alias("score"), (score / F.greatest("n_words", F.lit(1))).alias("mean_score"))
 
 

@@ -326,14 +326,16 @@ def test_rare_words_keep_their_counts(spark, monkeypatch):
 
 
 def test_training_covers_every_word():
-    words = scoring.Words(np.zeros(0, np.int64), np.zeros(0, np.int32), np.ones(64), np.zeros(64))
+    words = scoring.Words(np.zeros(0, np.int64), np.zeros(0, np.int32), np.ones(64), np.zeros(64), np.zeros(0, np.int64), np.zeros(0, np.int64), 1)
     ids = words.windows(*text_bytes(pa.array(["a b c d e f g h i j k", "l m"])))[0]
     assert sorted(k for start in range(scoring.MASK) for k in range(start, len(ids), scoring.MASK)) == list(range(13))
 
 
-def test_scores_from_the_model(spark, monkeypatch):
-    """Every score again, from the model's numbers, word by word; and whatever the partitions, the same."""
+@pytest.mark.parametrize("listed", [1 << 18, 200, 0])
+def test_scores_from_the_model(spark, monkeypatch, listed):
+    """Every score again, from the model's numbers, word by word; whatever the partitions and the words listed, the same."""
     monkeypatch.setattr(scoring, "VOCABULARY", 150)
+    monkeypatch.setattr(scoring, "LISTED", listed)
     monkeypatch.setattr(scoring, "LOT", 1500)
     turn = random.Random(8)
     texts = [" ".join(f"W{min(int(turn.expovariate(0.02)), 400)}" for _ in range(turn.randint(0, 60))) for _ in range(120)] + [None, " "]
@@ -341,6 +343,9 @@ def test_scores_from_the_model(spark, monkeypatch):
     counts, words, net = scoring.fitted(docs.repartition(2))
     plain = Counter(w for t in texts for w in (t or "").lower().split())
     assert sorted(plain.values()) == sorted(r["n"] for r in counts.collect()) and len(words.known) == 150
+    apart = [n for w, n in plain.items() if n > 1 and not words.known[words.known == int(scoring.hashed_words(*text_bytes(pa.array([w])))[0].view(np.int64)[0])].size]
+    assert listed != 200 or 0 < len(words.listed) < len(apart)
+    assert len(words.listed) <= listed and sum(n < words.least for n in apart) == (0 if listed == 1 << 18 else len(apart) - len(words.listed))
     code = lambda w: int(scoring.hashed_words(*text_bytes(pa.array([w])))[0].view(np.int64)[0])
     place = dict(zip(words.known.tolist(), words.ids.tolist()))
     ids = {w: place.get(code(w), 150 + code(w) % scoring.RARE) for w in plain}
