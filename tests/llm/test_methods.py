@@ -331,24 +331,24 @@ def test_training_covers_every_word():
     assert sorted(k for start in range(scoring.MASK) for k in range(start, len(ids), scoring.MASK)) == list(range(13))
 
 
-@pytest.mark.parametrize("listed", [1 << 18, 200, 0])
+@pytest.mark.parametrize("listed", [1 << 18, 180, 0])
 def test_scores_from_the_model(spark, monkeypatch, listed):
     """Every score again, from the model's numbers, word by word; whatever the partitions and the words listed, the same."""
-    monkeypatch.setattr(scoring, "VOCABULARY", 150)
+    monkeypatch.setattr(scoring, "VOCABULARY", 100)
     monkeypatch.setattr(scoring, "LISTED", listed)
-    monkeypatch.setattr(scoring, "LOT", 1500)
+    monkeypatch.setattr(scoring, "LOT", 1000)
     turn = random.Random(8)
     texts = [" ".join(f"W{min(int(turn.expovariate(0.02)), 400)}" for _ in range(turn.randint(0, 60))) for _ in range(120)] + [None, " "]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     counts, words, net = scoring.fitted(docs.repartition(2))
     plain = Counter(w for t in texts for w in (t or "").lower().split())
-    assert sorted(plain.values()) == sorted(r["n"] for r in counts.collect()) and len(words.known) == 150
+    assert sorted(plain.values()) == sorted(r["n"] for r in counts.collect()) and len(words.known) == 100
     apart = [n for w, n in plain.items() if n > 1 and not words.known[words.known == int(scoring.hashed_words(*text_bytes(pa.array([w])))[0].view(np.int64)[0])].size]
-    assert listed != 200 or 0 < len(words.listed) < len(apart)
+    assert listed != 180 or 0 < len(words.listed) < len(apart)
     assert len(words.listed) <= listed and sum(n < words.least for n in apart) == (0 if listed == 1 << 18 else len(apart) - len(words.listed))
     code = lambda w: int(scoring.hashed_words(*text_bytes(pa.array([w])))[0].view(np.int64)[0])
     place = dict(zip(words.known.tolist(), words.ids.tolist()))
-    ids = {w: place.get(code(w), 150 + code(w) % scoring.RARE) for w in plain}
+    ids = {w: place.get(code(w), 100 + code(w) % scoring.RARE) for w in plain}
     softmax = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
     got, again = ({r["doc_id"]: r for r in scoring.scored(docs.repartition(n)).collect()} for n in (1, 7))
     for i, t in enumerate(texts):
@@ -358,7 +358,7 @@ def test_scores_from_the_model(spark, monkeypatch, listed):
             h = np.tanh(sum(net.embed[j][n].astype(float) for j, n in enumerate(near)))
             g = ids[w] // scoring.GROUP
             score += np.log(softmax(h @ net.out + net.bias)[g]) + np.log(softmax(net.word[g] @ h + net.word_bias[g])[ids[w] % scoring.GROUP])
-            if ids[w] >= 150:
+            if ids[w] >= 100:
                 score += np.log(plain[w] / sum(n for v, n in plain.items() if ids[v] == ids[w]))
         assert got[i]["n_words"] == len(own) and np.isclose(got[i]["score"], score, rtol=1e-4, atol=1e-3) and np.isclose(got[i]["score"], again[i]["score"], rtol=1e-4, atol=1e-3)
 
