@@ -154,16 +154,21 @@ class Codes:
         return np.where(known, self.order[at] if len(self.sorted) else 0, other)[back.reshape(-1)]
 
 
+def unsigned(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.int64, copy=False).view(U64)
+
+
 def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix(mix(a.astype(np.int64).view(U64)) * U64(0x9E3779B97F4A7C15) + b.astype(np.int64).view(U64))
+    return mix(mix(unsigned(a)) * U64(0x9E3779B97F4A7C15) + unsigned(b))
 
 
 def summed(keys: list[np.ndarray], n: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
     """Equal rows of the columns ``keys``, added up as far as a sort by a hash brings them together."""
-    h = keys[0].view(U64) if len(keys) == 1 else pair_keys(keys[0], keys[1])
+    h = unsigned(keys[0]) if len(keys) == 1 else pair_keys(keys[0], keys[1])
     for k in keys[2:]:
-        h = mix(h + k.view(U64) * U64(0x9E3779B97F4A7C15))
+        h = mix(h + unsigned(k) * U64(0x9E3779B97F4A7C15))
     order = np.argsort(h)
+    del h
     keys = [k[order] for k in keys]
     head = np.ones(len(order), bool)
     head[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
@@ -211,13 +216,14 @@ def suffixes(docs: DataFrame, lang: str, text: str, codes, frequent, over_words,
 
     def sent(held):
         columns, n = summed([np.concatenate(c) for c in zip(*held)])
+        columns = [c.astype(np.int64, copy=False) for c in columns]
         a, b = columns[:2]
-        prefix = mix(a.view(U64))
+        prefix = mix(unsigned(a))
         long = np.isin(a, over_words.value)
         both = pair_keys(a, b)
         prefix[long] = both[long]
         whole = long & np.isin(both.view(np.int64), over_pairs.value)
-        rest = mix(mix(both + columns[2].view(U64)) + columns[3].view(U64))
+        rest = mix(mix(both + unsigned(columns[2])) + unsigned(columns[3]))
         prefix[whole] = rest[whole]
         group = (prefix % U64(groups)).astype(np.int32)
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (group, *columns, n)], names=["g", "a", "b", "c", "d", "n"])
@@ -232,12 +238,13 @@ def suffixes(docs: DataFrame, lang: str, text: str, codes, frequent, over_words,
                 place = pair_keys(code[on], code[on + 1]).view(np.int64) % BITS
                 go[on] = frequent.value[place >> 3] >> (place & 7).astype(np.uint8) & 1
                 at = np.flatnonzero(go)
-                padded = np.append(code, [NONE] * DEPTH)
+                # Ranks fit into 32 bits, which lets twice as many suffixes be counted together.
+                padded = np.append(code, [NONE] * DEPTH).astype(np.int64 if codes.value.others else np.int32)
                 third = go[at + 1]
                 fourth = third & go[at + 2]
                 held.append((padded[at], padded[at + 1], np.where(third, padded[at + 2], NONE), np.where(fourth, padded[at + 3], NONE)))
                 rows += len(at)
-                if rows >= HELD:
+                if rows >= HELD * (1 if codes.value.others else 2):
                     yield sent(held)
                     held, rows = [], 0
         if rows:
@@ -357,8 +364,9 @@ def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP13_SQL = """
 WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
-p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d)),
-g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, 5) r(k) WHERE len(w) >= k)),
+p AS MATERIALIZED (SELECT row_number() OVER () AS p, lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d)),
+v AS (SELECT lang, w1, lead(w1) OVER q AS w2, lead(w1, 2) OVER q AS w3, lead(w1, 3) OVER q AS w4 FROM (SELECT p, lang, unnest(w) AS w1, unnest(range(1, len(w) + 1)) AS i FROM p) WINDOW q AS (PARTITION BY p ORDER BY i)),
+g AS (SELECT lang, 1 AS k, w1 AS phrase FROM v UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM v WHERE w2 IS NOT NULL UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM v WHERE w3 IS NOT NULL UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM v WHERE w4 IS NOT NULL),
 f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
 n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
 c AS MATERIALIZED (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE k > 1),
