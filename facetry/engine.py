@@ -17,6 +17,7 @@ from facetry.operators.matching import LINES, canonical, line_match, picks_of, w
 from facetry.plans.request import BUCKETS, Request, Slot, editing, multimap, parse, without_slot
 from facetry.sources import store
 from facetry.sources.lists import collection_id, format_members, read_formats, references_in
+from facetry.sources.ranged import Ranged
 
 #: Bounds of what the driver looks up by itself: ids a request may name, and cached collections.
 MOST_COLLECTIONS = 256
@@ -58,24 +59,25 @@ class Answer:
 class Engine:
     """Queries one set of index tables. Cards include the gaps of family spans, as a listing without filters shows them."""
 
-    def __init__(self, index: dict[str, DataFrame], version: int = 0, formats: DataFrame | None = None, root: str | None = None):
+    def __init__(self, index: dict[str, DataFrame], version: int = 0, formats: DataFrame | None = None, root: str | None = None, ranged: dict[str, Ranged] | None = None):
         self.spark: SparkSession = index["cards"].sparkSession
         self.root = root
         self.collections = Collections()
         #: Matches of the last request, kept while its count, page and facet are made.
         self._matches: DataFrame | None = None
-        self._take(index, version)
-        self.formats = formats
+        self._take(index, version, ranged)
+        self._take_formats(formats)
 
     @staticmethod
     def open(spark: SparkSession, root: str, formats: str | None = None) -> Engine:
         pointer = store.latest(spark, root)
         if pointer is None:
             raise NotFound(f"no published index below {root}")
-        return Engine(store.load(spark, root, pointer["version"]), pointer["version"], read_formats(spark, formats) if formats else None, root)
+        version = pointer["version"]
+        return Engine(store.load(spark, root, version), version, read_formats(spark, formats) if formats else None, root, store.ranged(spark, root, version))
 
-    def _take(self, index: dict[str, DataFrame], version: int) -> None:
-        self.index, self.version = index, version
+    def _take(self, index: dict[str, DataFrame], version: int, ranged: dict[str, Ranged] | None = None) -> None:
+        self.index, self.version, self.ranged = index, version, ranged or {}
         spans = universe(index["families"])
         every = spans.join(index["families"].select("source_set", "family_id", "faction", "family_number", "start_bit"), ["source_set", "family_id"])
         ref = reference(F.col("source_set"), F.col("faction"), F.col("family_number"), F.col("card_index") - F.col("start_bit") + 1)
@@ -83,17 +85,33 @@ class Engine:
         self.cards = every.withColumn("reference", ref).drop("start_bit").join(held, "card_index", "left")
         self.span = index["families"].agg(F.coalesce(F.sum("max_unique_id"), F.lit(0))).first()[0]
 
+    def _take_formats(self, formats: DataFrame | None) -> list[str]:
+        """Keeps what is resolved of the formats whose version and status stay; returns the ids of the others."""
+        before: dict[str, tuple] = getattr(self, "_listed", {})
+        self.formats = formats
+        self._listed = {} if formats is None else {r["id"]: (r["version"], r["status"], r["negated"]) for r in formats.select("id", "version", "status", (F.coalesce(F.size("included_refs"), F.lit(0)) <= 0).alias("negated")).collect()}
+        resolved: dict[str, tuple[DataFrame, bool]] = getattr(self, "_resolved", {})
+        self._resolved = {k: m for k, m in resolved.items() if before.get(k) == self._listed.get(k)}
+        for k in resolved.keys() - self._resolved.keys():
+            resolved[k][0].unpersist()
+        return sorted(k for k, v in self._listed.items() if before.get(k) != v)
+
     def refresh(self) -> bool:
-        """Takes a newer published version, if there is one; collections of the old one go, formats stay."""
+        """Takes a newer published version, if there is one; collections of the old one go, formats stay but are resolved anew."""
         pointer = store.latest(self.spark, self.root) if self.root else None
         if pointer is None or pointer["version"] <= self.version:
             return False
-        self._take(store.load(self.spark, self.root, pointer["version"]), pointer["version"])
+        version = pointer["version"]
+        self._take(store.load(self.spark, self.root, version), version, store.ranged(self.spark, self.root, version))
         self.collections = Collections()
+        for members, _ in self._resolved.values():
+            members.unpersist()
+        self._resolved = {}
         return True
 
-    def refresh_formats(self, folder: str) -> None:
-        self.formats = read_formats(self.spark, folder)
+    def refresh_formats(self, folder: str) -> list[str]:
+        """Reads the formats' list again. Those whose version and status are as before stay resolved; returns the others' ids."""
+        return self._take_formats(read_formats(self.spark, folder))
 
     def register(self, name: str, refs: str | list[str]) -> int:
         """Holds a collection of references, all of which must resolve; returns its size."""
@@ -138,18 +156,30 @@ class Engine:
                 raise CollectionNotLoaded(r.collection)
             out.append((members, False))
         if r.format:
-            own = self.formats.where(F.col("id") == r.format) if self.formats is not None else None
-            row = own.first() if own is not None else None
-            if row is None:
+            if r.format not in self._listed:
                 raise BadRequest(f"unknown format '{r.format}'")
-            members = format_members(own, self.index["families"])
-            if row["status"] != "ready" or members.where("problem is not null").head(1):
+            _, status, negated = self._listed[r.format]
+            if r.format not in self._resolved:
+                found = format_members(self.formats.where(F.col("id") == r.format), self.index["families"]).persist()
+                self._resolved[r.format] = (found, bool(found.where("problem is not null").head(1)))
+            members, bad = self._resolved[r.format]
+            if status != "ready" or bad:
                 raise FormatFailed(r.format)
-            out.append((members, not row["included_refs"]))
+            out.append((members, negated))
         return out
 
+    def _occurrences(self, ids: list[int]) -> DataFrame:
+        """The occurrences, or, in a published index, those of the ids and of what stands for them, from the parts that hold any."""
+        if "occurrences" not in self.ranged:
+            return self.index["occurrences"]
+        other = [r["canonical"] for r in self.index["aliases"].where(F.col("alias").isin(*ids)).select("canonical").distinct().collect()] if ids else []
+        return self.ranged["occurrences"].with_keys(sorted({*ids, *other}))
+
     def matching(self, r: Request) -> DataFrame:
-        return conjunction(self.cards, r, self.index["occurrences"], self.index["families"], self.index["aliases"].select("alias", "canonical"), self._members(r))
+        # Gaps hold no number, faction or ability: only requests without such filters need them.
+        held = r.stats or r.factions or any(r.effects) or r.support
+        cards = self.index["cards"] if held else self.cards
+        return conjunction(cards, r, self._occurrences([i for _, i, _ in r.ids()]), self.index["families"], self.index["aliases"].select("alias", "canonical"), self._members(r))
 
     def cards_of(self, query: str | Request) -> Answer:
         """One page. With families and no cursor: one card per family that has a match, in index order, and their counts."""
@@ -170,24 +200,41 @@ class Engine:
     def _objects(self, cards: DataFrame, debug: bool = False) -> DataFrame:
         return results.card_objects(cards, self.index["families"], self.index["abilities"], debug).orderBy("card_index")
 
+    def _one(self, text: str) -> DataFrame | None:
+        """The card of a reference, without rows if it is a gap; None if no family holds it. The family's row gives the index,
+        and the index the part to open."""
+        r = read_reference(text)
+        if r is None:
+            return None
+        same = (F.col("source_set") == r.source_set) & (F.col("faction") == r.faction) & (F.col("family_number") == r.family_number)
+        family = self.index["families"].where(same).select("start_bit", "max_unique_id").first()
+        if family is None or r.unique_id > family["max_unique_id"]:
+            return None
+        at = family["start_bit"] + r.unique_id - 1
+        return self.ranged["cards"].with_keys([at]) if "cards" in self.ranged else self.index["cards"].where(F.col("card_index") == at)
+
     def card(self, text: str, debug: bool = False) -> DataFrame:
         """One card; a gap or a card without a faction isn't found."""
         if read_reference(text) is None:
             raise BadRequest(f"malformed reference '{text}'")
-        one = self.cards.where((F.col("reference") == text.strip()) & (F.col("faction_code") > 0))
-        if not one.head(1):
+        one = self._one(text)
+        one = one.where(F.col("faction_code") > 0) if one is not None else None
+        if one is None or not one.head(1):
             raise NotFound(text)
         return self._objects(one, debug)
 
     def indexed_card(self, text: str) -> DataFrame:
         """As :meth:`card`, for maintenance: tells a gap from a corrupt record."""
-        one = self.cards.where(F.col("reference") == text.strip()).first()
+        one = self._one(text)
         if one is None:
             raise NotFound(text)
-        if not one["faction_code"]:
-            filled = any(one[c] for c in ("main_cost", "recall_cost", "mountain_power", "ocean_power", "forest_power"))
+        row = one.first()
+        if row is None:
+            raise NotFound(f"not indexed: {text}")
+        if not row["faction_code"]:
+            filled = any(row[c] for c in ("main_cost", "recall_cost", "mountain_power", "ocean_power", "forest_power"))
             raise InvalidData(f"corrupt record {text}") if filled else NotFound(f"not indexed: {text}")
-        return self._objects(self.cards.where(F.col("reference") == text.strip()))
+        return self._objects(one)
 
     def slot_of(self, ids: list[int]) -> Slot:
         """The ids by their types, aliases replaced, each once; an unknown id, one of no such type, or no id is an error."""
@@ -207,11 +254,15 @@ class Engine:
         anywhere; in index order, as rows of reference, main and echo."""
         slot = self.slot_of(ids)
         picks, needed = picks_of(self.spark, [slot]), [bool(x) for x in slot.buckets]
-        held = self.index["occurrences"]
+        held = self._occurrences([i for b in slot.buckets for i in b])
         match = whole_card(held, picks, needed) if whole else line_match(held, picks, [(needed, LINES, 1)])
-        rows = self.cards.join(match, "card_index", "left_semi").orderBy("card_index")
+        rows = self.index["cards"].join(match, "card_index", "left_semi").orderBy("card_index")
         return (rows.limit(most) if most else rows).select("card_index", *results.table_row())
 
+    def at_ranks(self, ranks: list[int], following: int = 1) -> DataFrame:
+        """Of the published cards, in index order: those of the ranks, and the ``following`` - 1 after each."""
+        return self.ranged["cards"].select(ranks, following)
+
     def effects(self) -> DataFrame:
         return results.effects_list(self.index["abilities"])
 

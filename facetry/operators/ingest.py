@@ -119,16 +119,31 @@ def occurrence_table(documents: DataFrame) -> DataFrame:
     return out.where("_ok is null").drop("_ok")
 
 
+def _line_bit() -> Column:
+    out = F.lit(0)
+    for i, g in enumerate(GROUPS):
+        out = F.when(F.col("line") == g, 1 << i).otherwise(out)
+    return out
+
+
+def _posted(mask: str) -> list[Column]:
+    """Counts and flags over one row a card, whose ``mask`` has a bit for each line."""
+    each = [F.sum(F.shiftright(mask, i).bitwiseAND(1)).cast("long").alias(f"{g}_cards") for i, g in enumerate(GROUPS)]
+    has = lambda bits, name: (F.bit_or(mask).bitwiseAND(bits) > 0).alias(name)
+    return [has(7, "is_main"), has(8, "is_echo"), F.count(F.lit(1)).alias("card_count"), *each]
+
+
+def posting_counts(occurrences: DataFrame) -> DataFrame:
+    """Per id: on which kinds of line it stands, and how many cards have it, in all and by line. A card's lines are first
+    joined to one mask, so that no row is repeated for each of the counts."""
+    return occurrences.groupBy("id_gd", "card_index").agg(F.bit_or(_line_bit()).alias("mask")).groupBy("id_gd").agg(*_posted("mask"))
+
+
 def ability_table(occurrences: DataFrame) -> DataFrame:
-    """Per id: type and texts where it is first seen (by card_index, then place), on which kinds of line it stands, and how
-    many cards have it, in all and by line. One aggregation."""
-    first = F.struct("card_index", "at")
-    by_line = [F.count_distinct(F.when(F.col("line") == g, F.col("card_index"))).alias(f"{g}_cards") for g in GROUPS]
-    return occurrences.groupBy("id_gd").agg(
-        F.min_by("element_type", first).alias("element_type"), F.min_by("translations", first).alias("translations"),
-        F.coalesce(F.bool_or(F.col("line").isin(*GROUPS[:3])), F.lit(False)).alias("is_main"), F.coalesce(F.bool_or(F.col("line") == "ec"), F.lit(False)).alias("is_echo"),
-        F.count_distinct("card_index").alias("card_count"), *by_line,
-    )
+    """:func:`posting_counts` with the type and the texts of where an id is first seen (by card_index, then place)."""
+    per = occurrences.groupBy("id_gd", "card_index").agg(F.bit_or(_line_bit()).alias("mask"), F.min_by(F.struct("element_type", "translations"), "at").alias("first"))
+    found = per.groupBy("id_gd").agg(F.min_by("first", "card_index").alias("first"), *_posted("mask"))
+    return found.select("id_gd", "first.element_type", "first.translations", *found.columns[2:])
 
 
 def aliases_of(abilities: DataFrame) -> DataFrame:
@@ -173,15 +188,14 @@ def build(documents: DataFrame, collapse: bool = True) -> dict[str, DataFrame]:
     aliases = aliases_of(abilities) if collapse else abilities.select(F.col("id_gd").alias("alias"), F.col("id_gd").alias("canonical")).where("false")
     occurrences = collapsed(placed, aliases)
     if collapse:
-        counted = occurrences.groupBy("id_gd").agg(F.count_distinct("card_index").alias("card_count"), *(F.count_distinct(F.when(F.col("line") == g, F.col("card_index"))).alias(f"{g}_cards") for g in GROUPS))
-        flags = occurrences.groupBy("id_gd").agg(F.coalesce(F.bool_or(F.col("line").isin(*GROUPS[:3])), F.lit(False)).alias("is_main"), F.coalesce(F.bool_or(F.col("line") == "ec"), F.lit(False)).alias("is_echo"))
-        abilities = abilities.select("id_gd", "element_type", "translations").join(flags, "id_gd").join(counted, "id_gd")
+        abilities = abilities.select("id_gd", "element_type", "translations").join(posting_counts(occurrences), "id_gd")
         cards = remapped_slots(cards, aliases)
     abilities = abilities.join(duplicates_of(aliases), F.col("id_gd") == F.col("canonical"), "left").drop("canonical")
     return {"cards": cards, "families": families.withColumnRenamed("name_map", "name"), "occurrences": occurrences, "abilities": abilities, "aliases": aliases}
 
 
-def manifest(tables: dict[str, DataFrame], source_set: str, limit: int | None = None) -> DataFrame:
-    """One row: set, counts, span and the time of the build."""
-    families = tables["families"].agg(F.count(F.lit(1)).alias("family_count"), F.coalesce(F.sum("card_count"), F.lit(0)).alias("card_count"), F.coalesce(F.sum("max_unique_id"), F.lit(0)).alias("span"))
-    return families.select(F.lit(1).alias("version"), F.lit(source_set).alias("set"), "family_count", "card_count", "span", F.unix_timestamp().alias("built_at"), F.lit(limit).cast("long").alias("limit"))
+def manifest(tables: dict[str, DataFrame], source_set: str | None = None, limit: int | None = None) -> DataFrame:
+    """One row: set (by default, those of the families, joined by +), counts, span and the time of the build."""
+    own = F.lit(source_set) if source_set else F.array_join(F.array_sort(F.collect_set("source_set")), "+")
+    families = tables["families"].agg(own.alias("set"), F.count(F.lit(1)).alias("family_count"), F.coalesce(F.sum("card_count"), F.lit(0)).alias("card_count"), F.coalesce(F.sum("max_unique_id"), F.lit(0)).alias("span"))
+    return families.select(F.lit(1).alias("version"), "set", "family_count", "card_count", "span", F.unix_timestamp().alias("built_at"), F.lit(limit).cast("long").alias("limit"))

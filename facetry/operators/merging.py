@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from facetry.errors import InvalidData
 from facetry.functions.references import family_order
-from facetry.operators.ingest import GROUPS, aliases_of, duplicates_of, remapped_slots
+from facetry.operators import summaries
+from facetry.operators.aliases import united
+from facetry.operators.ingest import aliases_of, collapsed, duplicates_of, posting_counts, remapped_slots
 
 Index = dict[str, DataFrame]
 
@@ -47,7 +49,8 @@ def moved(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 def merged(sources: dict[str, Index], collapse: bool = True) -> Index:
     """One index of at least two sets, each with families, cards, occurrences and abilities. Types and texts come from the
-    first set that has an id; flags hold if they hold in any; counts are made anew."""
+    first set that has an id; flags hold if they hold in any; counts of abilities are made anew, those of stats and factions
+    are added. Each id that any set has collapsed has one canonical id after (see :func:`united`)."""
     if len(sources) < 2:
         raise InvalidData("a merge needs at least two sets")
     names = list(sources)
@@ -64,17 +67,17 @@ def merged(sources: dict[str, Index], collapse: bool = True) -> Index:
     rank = F.array_position(F.array(*map(F.lit, names)), F.col("source_set"))
     abilities = tagged("abilities").groupBy("id_gd").agg(F.min_by("element_type", rank).alias("element_type"), F.min_by("translations", rank).alias("translations"), F.bool_or("is_main").alias("is_main"), F.bool_or("is_echo").alias("is_echo"))
     aliases = aliases_of(abilities) if collapse else abilities.select(F.col("id_gd").alias("alias"), F.col("id_gd").alias("canonical")).where("false")
-    to = occurrences.join(aliases, F.col("id_gd") == F.col("alias"), "left").select("card_index", "line", F.coalesce("canonical", "id_gd").alias("id_gd"))
-    occurrences = to.select("card_index", "line", "id_gd").distinct()
     old = [sources[s]["aliases"].select("alias", "canonical") for s in names if "aliases" in sources[s]]
-    if old:
-        before = _union(old).distinct().join(aliases.select(F.col("alias").alias("_a"), F.col("canonical").alias("_c")), F.col("canonical") == F.col("_a"), "left").select("alias", F.coalesce("_c", "canonical").alias("canonical"))
-        aliases = before.union(aliases.select("alias", "canonical")).where("alias <> canonical").distinct()
-    counts = occurrences.groupBy("id_gd").agg(F.count_distinct("card_index").alias("card_count"), *(F.count_distinct(F.when(F.col("line") == g, F.col("card_index"))).alias(f"{g}_cards") for g in GROUPS))
-    abilities = abilities.join(counts, "id_gd").join(duplicates_of(aliases), F.col("id_gd") == F.col("canonical"), "left").drop("canonical")
+    aliases = united(_union([aliases.select("alias", "canonical"), *old]))
+    # An id that is an alias in one set goes everywhere: its cards of other sets must be found by the id that stands for it.
+    occurrences = collapsed(occurrences, aliases)
+    abilities = abilities.join(posting_counts(occurrences).drop("is_main", "is_echo"), "id_gd").join(duplicates_of(aliases), F.col("id_gd") == F.col("canonical"), "left").drop("canonical")
     starts = plan.select("source_set", "family_id", F.col("new_start").alias("start_bit"))
     families = families.drop("start_bit").join(starts, ["source_set", "family_id"])
-    return {"cards": remapped_slots(cards, aliases), "families": families, "occurrences": occurrences, "abilities": abilities, "aliases": aliases}
+    counts = [sources[s].get("stat_counts", summaries.stat_histogram(sources[s]["cards"])) for s in names]
+    by_faction = [sources[s].get("faction_counts", summaries.faction_counts(sources[s]["cards"])) for s in names]
+    sums = {"stat_counts": summaries.added(counts, "field", "value"), "faction_counts": summaries.added(by_faction, "faction")}
+    return {"cards": remapped_slots(cards, aliases), "families": families, "occurrences": occurrences, "abilities": abilities, "aliases": aliases, **sums}
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -89,14 +92,8 @@ def deduplicated(index: Index) -> Index | None:
     aliases = aliases_of(index["abilities"])
     if not aliases.head(1):
         return None
-    from facetry.operators.ingest import collapsed
-
-    occurrences = collapsed(index["occurrences"], aliases)
-    earlier = index["aliases"].select("alias", "canonical").join(aliases.select(F.col("alias").alias("_a"), F.col("canonical").alias("_c")), F.col("canonical") == F.col("_a"), "left").select("alias", F.coalesce("_c", "canonical").alias("canonical"))
-    every = earlier.union(aliases.select("alias", "canonical")).distinct()
-    counts = occurrences.groupBy("id_gd").agg(
-        F.count_distinct("card_index").alias("card_count"), *(F.count_distinct(F.when(F.col("line") == g, F.col("card_index"))).alias(f"{g}_cards") for g in GROUPS),
-        F.coalesce(F.bool_or(F.col("line").isin(*GROUPS[:3])), F.lit(False)).alias("is_main"), F.coalesce(F.bool_or(F.col("line") == "ec"), F.lit(False)).alias("is_echo"),
-    )
+    every = united(_union([index["aliases"].select("alias", "canonical"), aliases.select("alias", "canonical")]))
+    occurrences = collapsed(index["occurrences"], every)
+    counts = posting_counts(occurrences)
     abilities = index["abilities"].select("id_gd", "element_type", "translations").join(counts, "id_gd").join(duplicates_of(every), F.col("id_gd") == F.col("canonical"), "left").drop("canonical")
-    return index | {"cards": remapped_slots(index["cards"], aliases), "occurrences": occurrences, "abilities": abilities, "aliases": every}
+    return index | {"cards": remapped_slots(index["cards"], every), "occurrences": occurrences, "abilities": abilities, "aliases": every}

@@ -25,6 +25,14 @@ def faction_counts(cards: DataFrame) -> DataFrame:
     return known.join(counts, "faction_code", "left").select("faction", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def added(counts: list[DataFrame], *by: str) -> DataFrame:
+    """Counts of several sets, added: sets share no card, so no card is looked at again."""
+    every = counts[0]
+    for other in counts[1:]:
+        every = every.unionByName(other)
+    return every.groupBy(*by).agg(F.sum("n").alias("n"))
+
+
 def gaps(families: DataFrame, cards: DataFrame) -> DataFrame:
     """(family, unique_id, kind): numbers below a family's largest without a card (missing), or whose card has no faction
     (corrupt if it holds anything else, missing if not). Only families with gaps are unfolded,

@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from facetry.functions import references, text
-from facetry.operators import filters, ingest, matching, merging, results, summaries
+from facetry.engine import Engine
+from facetry.operators import filters, ingest, matching, merging, packs, results, summaries
 from facetry.plans import adapter
 from facetry.plans.request import Request, Slot, Stat
+from facetry.sources import store
+from facetry.sources.cards import discovered
+from facetry.sources.ranged import Ranged, start_rank, write_ranged
+from facetry.sources.scratch import scratch
 from facetry.streaming.arrivals import ticks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -527,8 +532,25 @@ _POSTED = f"count(DISTINCT card_index) AS card_count, bool_or(coalesce(line IN (
 _STATS = ", ".join(summaries.STATS)
 
 
+#: Tables that several queries start from, by session and folder: the first that needs one writes it.
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def _once(spark, d, name: str, write: Callable[[str], None]) -> str:
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _WRITTEN:
+        path = scratch(spark, name)
+        write(path)
+        _WRITTEN[key] = path
+    return _WRITTEN[key]
+
+
+def _documents(spark, d) -> DataFrame:
+    return spark.read.parquet(_once(spark, d, "documents", lambda path: adapter.documents(spark, d).write.parquet(path)))
+
+
 def _built(spark, d, collapse: bool = True) -> dict[str, DataFrame]:
-    return ingest.build(adapter.documents(spark, d), collapse)
+    return ingest.build(_documents(spark, d), collapse)
 
 
 @query(f"SELECT card_index, reference, faction_code, {_STATS} FROM idx")
@@ -565,7 +587,7 @@ def deduplicate_index(spark, d):
 
 
 def _merged(spark, d) -> dict[str, DataFrame]:
-    documents = adapter.documents(spark, d)
+    documents = _documents(spark, d)
     return merging.merged({s: ingest.build(documents.where(F.col("source_set") == s), False) for s in _ORDER}, False)
 
 
@@ -593,3 +615,196 @@ def request_conjunction(spark, d):
     urgent = _urgent(spark, d).join(key, F.col("card_index") == F.col("_key")).select(F.col("_at").alias("card_index"))
     asked = Request(sets=("CORE", "COREKS"), factions=("AX", "BR", "LY", "MU"), name="a", stats={"main_cost": Stat("lte", (14,))}, effects=(Slot(0, t=_IDS["t"]), Slot(1, o=_IDS["o"])), effect_mode="or")
     return filters.conjunction(cards, asked, occurrences, families, members=[(urgent, True)]).select("card_index", "source_set", "family_id")
+
+
+# Ranks, postings and packs.
+
+#: Rows of a part in the queries below: the tables here are far smaller than those the default is meant for.
+PART = 4096
+_RANKED = ", r AS (SELECT card_index, row_number() OVER (ORDER BY card_index) - 1 AS rank FROM idx WHERE main_cost <= 7), t AS (SELECT count(*) AS n FROM r) "
+
+
+def _ranked(spark, d) -> Ranged:
+    path = scratch(spark, "ranked")
+    write_ranged(adapter.index(spark, d)[0].where("main_cost <= 7").select("card_index"), path, ["card_index"], PART)
+    return Ranged.read(spark, path, ["card_index"])
+
+
+@query(_RANKED + "SELECT start, rank, card_index FROM r JOIN (SELECT unnest(range(50)) * (SELECT n FROM t) // 50 AS start) ON rank BETWEEN start AND start + 19")
+def rank_select(spark, d):
+    held = _ranked(spark, d)
+    total = held.total()
+    return held.select([i * total // 50 for i in range(50)], 20).select("start", "rank", "card_index")
+
+
+@query(_RANKED + "SELECT rank, card_index FROM r, t WHERE rank >= CASE WHEN n >= 10000 THEN 10000 ELSE greatest(n - 50, 0) END ORDER BY rank LIMIT 50")
+def rank_page(spark, d):
+    held = _ranked(spark, d)
+    return held.select([start_rank(held.total())], 50).select("rank", "card_index")
+
+
+@query("SELECT card_index, line, id_gd FROM occ WHERE id_gd IN (SELECT id_gd FROM occ GROUP BY id_gd ORDER BY count(*) DESC, id_gd LIMIT 20)")
+def posting_lookup(spark, d):
+    path = scratch(spark, "postings")
+    held = adapter.occurrences(spark, d).select("card_index", "line", "id_gd")
+    write_ranged(held, path, ["id_gd", "card_index"], PART)
+    wanted = [r["id_gd"] for r in held.groupBy("id_gd").count().orderBy(F.desc("count"), "id_gd").limit(20).collect()]
+    return Ranged.read(spark, path, ["id_gd", "card_index"]).with_keys(wanted).select("card_index", "line", "id_gd")
+
+
+_DRAW = "('0x' || substr(md5('7:' || pack || ':{0}:' || {1}), 1, 8))::BIGINT % (SELECT count(*) FROM pos)"
+_LEVEL = """,
+n{0} AS (SELECT pack, t, list_sort(list_append(l{1}.ids, pos.id_gd)) AS ids FROM (SELECT pack, ids, unnest(range(8)) AS t FROM l{1}) l{1} JOIN pos ON position = """ + _DRAW.format("{0}", "t") + """ WHERE NOT list_contains(l{1}.ids, pos.id_gd)),
+x{0} AS (SELECT pack, t, ids, unnest(ids) AS id_gd FROM n{0}),
+v{0} AS (SELECT DISTINCT x.pack, x.t, x.ids FROM (SELECT x.pack, x.t, x.ids, card_index, line, count(DISTINCT kind) AS held FROM x{0} x JOIN pos USING (id_gd) JOIN occ USING (id_gd) WHERE line IS NOT NULL GROUP BY ALL) x
+  JOIN (SELECT pack, t, count(DISTINCT kind) AS need FROM x{0} JOIN pos USING (id_gd) GROUP BY ALL) y ON x.pack = y.pack AND x.t = y.t AND held = need),
+l{0} AS (SELECT pack, arg_min(ids, t) AS ids FROM v{0} GROUP BY pack)"""
+
+
+@query(""", pos AS (SELECT id_gd, element_type AS kind, row_number() OVER (ORDER BY id_gd) - 1 AS position FROM ability WHERE element_type IS NOT NULL AND id_gd IN (SELECT id_gd FROM occ WHERE line IS NOT NULL)),
+l0 AS (SELECT pack, [id_gd] AS ids FROM (SELECT c_custkey AS pack FROM customer) JOIN pos ON position = """ + _DRAW.format(0, 0) + ")" + "".join(_LEVEL.format(i, i - 1) for i in (1, 2)) + " SELECT pack, array_to_string(ids, ',') AS ids FROM l2")
+def viable_packs(spark, d):
+    asked = adapter.read(spark, d, "customer").select(F.col("c_custkey").alias("pack"))
+    found = packs.grown(asked, adapter.abilities(spark, d), adapter.occurrences(spark, d).select("card_index", "line", "id_gd"), 3, seed=7)
+    return found.select("pack", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
+@query("SELECT path, faction, family_number, unique_id FROM (SELECT 'file:/data/json/' || source_set || '/' || faction || '/' || CASE WHEN order_key % 11 = 0 THEN 'elsewhere' ELSE family_number END || '/' || reference || CASE WHEN order_key % 7 = 0 THEN '_FOILER' ELSE '' END || '.json' AS path, faction, family_number, unique_id FROM idx WHERE source_set = 'CORE' AND order_key % 11 <> 0 AND order_key % 7 <> 0) ORDER BY faction, family_number::INT, unique_id LIMIT 500")
+def discover_limit(spark, d):
+    folder = F.when(F.col("order_key") % 11 == 0, "elsewhere").otherwise(F.col("family_number"))
+    name = F.concat("reference", F.when(F.col("order_key") % 7 == 0, "_FOILER").otherwise(""), F.lit(".json"))
+    paths = adapter.index(spark, d)[0].select(F.concat_ws("/", F.lit("file:/data/json"), "source_set", "faction", folder, name).alias("path"))
+    return discovered(paths, "CORE", 500).select("path", "faction", "family_number", "unique_id")
+
+
+# A published index, and the engine over it.
+
+def _root(spark, d) -> str:
+    return _once(spark, d, "index", lambda root: store.publish(_built(spark, d), root, 1, PART))
+
+
+def _most_held(engine: Engine, kind: str, n: int = 12) -> tuple[int, ...]:
+    held = engine.index["abilities"].where(F.col("element_type") == kind).orderBy(F.desc("card_count"), "id_gd").limit(n)
+    return tuple(sorted(r["id_gd"] for r in held.collect()))
+
+
+_TOP = _BUILT + """, tops AS (SELECT id_gd, element_type FROM (SELECT id_gd, element_type, row_number() OVER (PARTITION BY element_type ORDER BY count(DISTINCT card_index) DESC, id_gd) AS k FROM post JOIN ability USING (id_gd) GROUP BY id_gd, element_type) WHERE k <= 12 AND element_type IS NOT NULL),
+hits AS (SELECT DISTINCT card_index FROM post JOIN tops USING (id_gd) WHERE line IN ('m1', 'm2', 'm3') AND element_type IN ('TRIGGER', 'OUTPUT')),
+letters AS (SELECT * FROM (VALUES (1, 'AX'), (2, 'BR'), (3, 'LY'), (4, 'MU'), (5, 'OR'), (6, 'YZ'), (0, 'UN')) x(faction_code, letters))
+"""
+
+
+def _asked(engine: Engine, **more) -> Request:
+    slots = (Slot(0, t=_most_held(engine, "TRIGGER")), Slot(1, o=_most_held(engine, "OUTPUT")))
+    return Request(effects=slots, effect_mode="or", stats={"main_cost": Stat("lte", (14,))}, **more)
+
+
+def _shown(cards: DataFrame) -> DataFrame:
+    return cards.select("card_index", "reference", "main_cost", F.col("faction.code").alias("letters"))
+
+
+_SHOWN = "SELECT card_index, reference, main_cost, letters FROM idx JOIN letters USING (faction_code) "
+
+
+@query(_TOP + _SHOWN + "JOIN hits USING (card_index) WHERE main_cost <= 14 AND card_index > 300 ORDER BY card_index LIMIT 100")
+def engine_page(spark, d):
+    engine = Engine.open(spark, _root(spark, d))
+    return _shown(engine.cards_of(_asked(engine, limit=100, cursor=300)).cards)
+
+
+@query(_TOP + _GROUPS + "SELECT grp.family_id, range_start, count(*) AS matches, min(card_index) AS first_card FROM idx JOIN hits USING (card_index) JOIN grp ON grp.family_id = idx.family_id AND card_index >= range_start AND card_index < range_end WHERE main_cost <= 14 GROUP BY ALL")
+def engine_families(spark, d):
+    engine = Engine.open(spark, _root(spark, d))
+    return engine.cards_of(_asked(engine, with_families=True)).families.select("family_id", "range_start", "matches", "first_card")
+
+
+@query(_TOP + _SHOWN + "WHERE reference = (SELECT max(reference) FROM idx WHERE faction_code > 0)")
+def engine_card(spark, d):
+    engine = Engine.open(spark, _root(spark, d))
+    return _shown(engine.card(engine.index["cards"].where("faction_code > 0").agg(F.max("reference")).first()[0]))
+
+
+@query(_TOP + "SELECT DISTINCT post.id_gd, element_type FROM post JOIN ability USING (id_gd) WHERE line IN ('m1', 'm2', 'm3') AND element_type = 'CONDITION' AND card_index IN (SELECT card_index FROM idx WHERE main_cost <= 14 AND faction_code IN (1, 2)) AND card_index IN (SELECT card_index FROM post JOIN tops USING (id_gd) WHERE line IN ('m1', 'm2', 'm3') AND element_type = 'TRIGGER')")
+def engine_reachable(spark, d):
+    engine = Engine.open(spark, _root(spark, d))
+    ids = ",".join(map(str, _most_held(engine, "TRIGGER")))
+    found = engine.reachable(f"effect[0][t]={ids}&faction=AX,BR&mainCost[lte]=14&editing=condition:1")
+    return found.join(engine.index["abilities"].select("id_gd", "element_type"), "id_gd")
+
+
+@query(_TOP + _SHOWN + "WHERE card_index IN (SELECT start_bit FROM fam) AND main_cost BETWEEN 2 AND 15 ORDER BY card_index LIMIT 200")
+def engine_collection(spark, d):
+    engine = Engine.open(spark, _root(spark, d))
+    refs = engine.index["cards"].join(engine.index["families"].select("start_bit"), F.col("card_index") == F.col("start_bit"), "left_semi").select("reference")
+    engine.register("firsts", [r["reference"] for r in refs.collect()])
+    return _shown(engine.cards_of(Request(collection="firsts", stats={"main_cost": Stat("gte", (2,))}, limit=200)).cards)
+
+
+def _formats(spark, engine: Engine) -> DataFrame:
+    firsts = engine.index["families"].select(references.reference(F.col("source_set"), F.col("faction"), F.col("family_number"), F.lit(1)).alias("r"))
+    refs = F.sort_array(F.collect_list("r"))
+    none = F.array().cast("array<string>")
+    row = lambda name, *lists: firsts.agg(F.lit(name).alias("id"), F.lit(1).cast("long").alias("version"), *(x.alias(c) for x, c in zip(lists, ("included_refs", "excluded_sets", "excluded_refs"))), F.lit("ready").alias("status"))
+    return row("only", refs, none, none).union(row("rest", none, F.array(F.lit("ALIZE")), refs))
+
+
+@query(_TOP + _SHOWN + "WHERE card_index IN (SELECT start_bit FROM fam) AND faction_code IN (1, 3) ORDER BY card_index LIMIT 200")
+def engine_format_only(spark, d):
+    engine = Engine.open(spark, _root(spark, d))
+    engine = Engine(engine.index, 1, _formats(spark, engine), ranged=engine.ranged)
+    return _shown(engine.cards_of(Request(format="only", factions=("AX", "LY"), limit=200)).cards)
+
+
+@query(_TOP + _SHOWN + "JOIN hits USING (card_index) WHERE main_cost <= 14 AND card_index NOT IN (SELECT start_bit FROM fam) AND source_set <> 'ALIZE' ORDER BY card_index LIMIT 200")
+def engine_format_rest(spark, d):
+    engine = Engine.open(spark, _root(spark, d))
+    engine = Engine(engine.index, 1, _formats(spark, engine), ranged=engine.ranged)
+    return _shown(engine.cards_of(_asked(engine, format="rest", limit=200)).cards)
+
+
+@query(_TOP + "SELECT DISTINCT card_index, reference FROM idx JOIN post USING (card_index) JOIN tops USING (id_gd) WHERE line IS NOT NULL AND element_type = 'OUTPUT'")
+def engine_by_ids(spark, d):
+    engine = Engine.open(spark, _root(spark, d))
+    return engine.by_ids(list(_most_held(engine, "OUTPUT"))).select("card_index", "reference")
+
+
+# Published summaries, and merges that collapse.
+
+
+@query(f"SELECT field, value::VARCHAR AS value, count(*) AS n FROM ({_HIST.format('cards')}) WHERE value BETWEEN 0 AND 15 GROUP BY ALL UNION ALL SELECT 'faction', f.faction, count(card_index) FROM (VALUES ('AX', 1), ('BR', 2), ('LY', 3), ('MU', 4), ('OR', 5), ('YZ', 6), ('UN', 0)) f(faction, code) LEFT JOIN cards ON faction_code = code GROUP BY ALL UNION ALL SELECT 'cards', string_agg(DISTINCT source_set, '+' ORDER BY source_set), sum(card_count)::BIGINT FROM fam")
+def published_summaries(spark, d):
+    index = store.load(spark, _root(spark, d))
+    text_ = lambda c: F.col(c).cast("string").alias("value")
+    stats = index["stat_counts"].select("field", text_("value"), "n")
+    factions = index["faction_counts"].select(F.lit("faction").alias("field"), text_("faction"), "n")
+    return stats.union(factions).union(index["manifest"].select(F.lit("cards").alias("field"), text_("set"), F.col("card_count").alias("n")))
+
+
+def _merged_published(spark, d) -> dict[str, DataFrame]:
+    """Each set built and collapsed by itself, published, loaded and merged."""
+
+    def write(root: str) -> None:
+        for s in _ORDER:
+            store.publish(ingest.build(_documents(spark, d).where(F.col("source_set") == s)), f"{root}/{s}", 1, PART)
+
+    root = _once(spark, d, "sets", write)
+    return merging.merged({s: store.load(spark, f"{root}/{s}") for s in _ORDER})
+
+
+@query(f"SELECT field, value, count(*) AS n FROM ({_HIST.format('cards')}) WHERE value BETWEEN 0 AND 15 GROUP BY ALL")
+def merged_summaries(spark, d):
+    return _merged_published(spark, d)["stat_counts"].select("field", "value", "n")
+
+
+_TOGETHER = _BUILT + _PLAN + ", moved AS (SELECT DISTINCT n.new_start + n.unique_id - 1 AS card_index, line, coalesce(canonical, id_gd) AS id_gd FROM (SELECT * FROM numbered JOIN plan USING (source_set, family_id)) n JOIN occ ON occ.card_index = order_key LEFT JOIN alias2 ON id_gd = alias) "
+
+
+@query(_TOGETHER + "SELECT card_index, line, id_gd FROM moved")
+def merge_collapsed_occurrences(spark, d):
+    return _merged_published(spark, d)["occurrences"].select("card_index", "line", "id_gd")
+
+
+@query(_TOGETHER + f"SELECT id_gd, {_POSTED}, aliases FROM moved LEFT JOIN (SELECT canonical, string_agg(alias::VARCHAR, ',' ORDER BY alias) AS aliases FROM alias2 GROUP BY canonical) ON canonical = id_gd GROUP BY id_gd, aliases")
+def merge_collapsed_abilities(spark, d):
+    aliases = F.when(F.col("duplicated_id_gd").isNotNull(), F.array_join(F.col("duplicated_id_gd").cast("array<string>"), ","))
+    return _merged_published(spark, d)["abilities"].select("id_gd", "card_count", "is_main", "is_echo", *(f"{g}_cards" for g in ingest.GROUPS), aliases.alias("aliases"))

@@ -9,20 +9,31 @@ from pyspark.sql import functions as F
 
 from facetry.errors import BadRequest, InvalidData, NotFound
 from facetry.operators.filters import indices_of
-
-TABLES = ("cards", "families", "occurrences", "abilities", "aliases")
-
-
-def publish(index: dict[str, DataFrame], root: str, version: int) -> None:
-    """Writes all tables of a version, then the pointer: readers see a version only when it is whole. Cards are sorted within
-    their files and occurrences by ability, so that footers and pages let point filters skip most of them."""
-    for name in TABLES:
-        table = index[name]
-        if name == "cards":
-            table = table.sortWithinPartitions("card_index")
-        elif name == "occurrences":
-            table = table.sortWithinPartitions("id_gd", "card_index")
-        table.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/v={version}/{name}")
+from facetry.operators.ingest import manifest
+from facetry.operators.summaries import faction_counts, stat_histogram
+from facetry.sources.ranged import ROWS, Ranged, write_ranged
+
+POINTER = "version long, span long, card_count long, built_at long"
+#: Tables that are written as they are, those in parts with the columns of their order, and the counts that merges add up.
+PLAIN = ("families", "abilities", "aliases")
+PARTED = {"cards": ("card_index",), "occurrences": ("id_gd", "card_index")}
+SUMMARIES = ("stat_counts", "faction_counts", "manifest")
+
+
+def publish(index: dict[str, DataFrame], root: str, version: int, rows: int = ROWS) -> None:
+    """Writes all tables of a version, then the pointer: readers see a version only when it is whole. Cards are written in
+    parts by their index and occurrences by ability, ``rows`` a part, each with a directory, so that lookups open
+    only the parts they need. Summaries that the index doesn't bring are counted."""
+    place = f"{root}/v={version}"
+    for name in PLAIN:
+        index[name].write.mode("overwrite").option("compression", "zstd").parquet(f"{place}/{name}")
+    for name, by in PARTED.items():
+        write_ranged(index[name], f"{place}/{name}", by, rows)
+    cards = Ranged.read(index["cards"].sparkSession, f"{place}/cards", PARTED["cards"]).table()
+    counted = {"stat_counts": lambda: stat_histogram(cards), "faction_counts": lambda: faction_counts(cards), "manifest": lambda: manifest(index)}
+    for name in SUMMARIES:
+        own = index[name] if name in index else counted[name]()
+        own.coalesce(1).write.mode("overwrite").parquet(f"{place}/{name}")
     row = index["families"].agg(F.coalesce(F.sum("max_unique_id"), F.lit(0)).alias("span"), F.coalesce(F.sum("card_count"), F.lit(0)).alias("card_count"))
     row.select(F.lit(version).cast("long").alias("version"), "span", "card_count", F.unix_timestamp().alias("built_at")).coalesce(1).write.mode("append").json(f"{root}/pointer")
 
@@ -32,7 +43,7 @@ def latest(spark: SparkSession, root: str) -> dict | None:
     from pyspark.errors import AnalysisException
 
     try:
-        row = spark.read.schema("version long, span long, card_count long, built_at long").json(f"{root}/pointer").orderBy(F.desc("version"), F.desc("built_at")).first()
+        row = spark.read.schema(POINTER).json(f"{root}/pointer").orderBy(F.desc("version"), F.desc("built_at")).first()
     except AnalysisException:
         return None
     return row.asDict() if row else None
@@ -45,11 +56,18 @@ def load(spark: SparkSession, root: str, version: int | None = None) -> dict[str
         if pointer is None:
             raise NotFound(f"no published index below {root}")
         version = pointer["version"]
-    index = {name: spark.read.parquet(f"{root}/v={version}/{name}") for name in TABLES}
-    outside = index["cards"].agg(F.max("card_index").alias("most")).crossJoin(index["families"].agg(F.sum("max_unique_id").alias("span"))).where("most >= span").first()
-    if outside:
+    index = {name: spark.read.parquet(f"{root}/v={version}/{name}") for name in (*PLAIN, *SUMMARIES)}
+    parted = ranged(spark, root, version)
+    span = index["families"].agg(F.coalesce(F.sum("max_unique_id"), F.lit(0))).first()[0]
+    most = parted["cards"].parts.agg(F.max("most")).first()[0]
+    if most is not None and most >= span:
         raise InvalidData("a card lies beyond the families' spans")
-    return index
+    return index | {name: own.table() for name, own in parted.items()}
+
+
+def ranged(spark: SparkSession, root: str, version: int) -> dict[str, Ranged]:
+    """The tables in parts of a version, for lookups by key or rank."""
+    return {name: Ranged.read(spark, f"{root}/v={version}/{name}", by) for name, by in PARTED.items()}
 
 
 def add_list(index: dict[str, DataFrame], root: str, filter_id: str, refs: DataFrame, negated: bool = False, kind: str | None = None, replace: bool = False) -> DataFrame:
