@@ -78,3 +78,10 @@ def family_order(faction: Column, number: Column) -> list[Column]:
     """Sort keys of families: rank of the faction (255 if unknown), then the number (last if it is none)."""
     rank = _mapped({k: v - 1 for k, v in FACTIONS.items()}, faction, F.lit(255))
     return [rank, F.coalesce(number.try_cast("long"), F.lit(MOST_UID))]
+
+
+def family_parts(family: Column) -> Column:
+    """Struct (faction, number) of a family id: its first two parts; 0 where the second is no number of 32 bits."""
+    digits = F.split_part(family, F.lit("_"), F.lit(2))
+    number = F.when(digits.rlike(r"\A\+?[0-9]+\z"), digits.try_cast("decimal(38,0)"))
+    return F.struct(F.split_part(family, F.lit("_"), F.lit(1)).alias("faction"), F.coalesce(F.when(number <= MOST_UID, number.cast("long")), F.lit(0)).alias("number"))

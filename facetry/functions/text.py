@@ -61,3 +61,9 @@ def in_locale(names: Column, locale: str) -> Column:
     """A map's value for ``locale``, else for en_US, else for the first key in order, else ''."""
     first = F.try_element_at(F.array_sort(F.map_keys(names)), F.lit(1))
     return F.coalesce(F.try_element_at(names, F.lit(locale)), F.try_element_at(names, F.lit("en_US")), F.try_element_at(names, first), F.lit(""))
+
+
+def shown_in(names: Column, locale: str) -> Column:
+    """As :func:`in_locale`, but en_us is tried after en_US."""
+    first = F.try_element_at(F.array_sort(F.map_keys(names)), F.lit(1))
+    return F.coalesce(*(F.try_element_at(names, F.lit(k)) for k in (locale, "en_US", "en_us")), F.try_element_at(names, first), F.lit(""))

@@ -133,4 +133,17 @@ def selected(ids: DataFrame, abilities: DataFrame, locale: str = "en_US") -> Dat
     return ids.join(known, "id_gd", "left").select("id_gd", F.coalesce("label", F.lit("")).alias("label"), F.col("_known").isNull().alias("unknown"))
 
 
+def match_counts(cards: DataFrame, facet: DataFrame) -> DataFrame:
+    """(reference, matches) of the cards that stand for their families in a :func:`family_facet`."""
+    return cards.select("card_index", "reference").join(facet.select(F.col("first_card").alias("card_index"), "matches"), "card_index").select("reference", "matches")
+
+
+def recap(slot: Slot, abilities: DataFrame, locale: str = "en_US") -> DataFrame:
+    """(bucket, at, id_gd, text): what a slot asks for, bucket by bucket in the order of the request; blank for unknown ids."""
+    rows = [(b, at, i) for b, ids in zip(BUCKETS, slot.buckets) for at, i in enumerate(ids)]
+    asked = abilities.sparkSession.createDataFrame(rows, "bucket string, at int, id_gd long")
+    known = abilities.select("id_gd", in_locale(F.col("translations"), locale).alias("text"))
+    return asked.join(known, "id_gd", "left").select("bucket", "at", "id_gd", F.coalesce("text", F.lit("")).alias("text"))
+
+
 assert LINES == GROUPS

@@ -808,3 +808,46 @@ def merge_collapsed_occurrences(spark, d):
 def merge_collapsed_abilities(spark, d):
     aliases = F.when(F.col("duplicated_id_gd").isNotNull(), F.array_join(F.col("duplicated_id_gd").cast("array<string>"), ","))
     return _merged_published(spark, d)["abilities"].select("id_gd", "card_count", "is_main", "is_echo", *(f"{g}_cards" for g in ingest.GROUPS), aliases.alias("aliases"))
+
+
+# Smaller pieces of the interface.
+
+
+@query(_TOP + _GROUPS + "SELECT reference, matches FROM idx JOIN (SELECT count(*) AS matches, min(card_index) AS card_index FROM idx JOIN hits USING (card_index) JOIN grp ON grp.family_id = idx.family_id AND card_index >= range_start AND card_index < range_end WHERE main_cost <= 14 GROUP BY grp.family_id, range_start) USING (card_index)")
+def engine_family_counts(spark, d):
+    answer = Engine.open(spark, _root(spark, d)).cards_of(_asked(Engine.open(spark, _root(spark, d)), with_families=True))
+    return results.match_counts(answer.cards, answer.families)
+
+
+@query(_TOP + "SELECT CASE element_type WHEN 'TRIGGER' THEN 't' ELSE 'o' END AS bucket, (row_number() OVER (PARTITION BY element_type ORDER BY id_gd) - 1)::INT AS at, id_gd, replace(text, chr(160), '~') AS text FROM tops JOIN ability USING (id_gd, element_type) WHERE element_type IN ('TRIGGER', 'OUTPUT')")
+def engine_recap(spark, d):
+    engine = Engine.open(spark, _root(spark, d))
+    slot = Slot(0, t=_most_held(engine, "TRIGGER"), o=_most_held(engine, "OUTPUT"))
+    return results.recap(slot, engine.index["abilities"]).withColumn("text", F.replace("text", F.lit(chr(160)), F.lit("~")))
+
+
+@query(_BUILT + "SELECT id_gd FROM post JOIN ability USING (id_gd) WHERE contains(id_gd::VARCHAR, '1') OR contains(lower(text), '1') GROUP BY id_gd HAVING bool_or(coalesce(line = 'ec', false)) ORDER BY id_gd LIMIT 40")
+def suggestion_support(spark, d):
+    abilities = store.load(spark, _root(spark, d))["abilities"]
+    return results.suggestions(abilities, "1", main=False).select("id_gd")
+
+
+@query("SELECT source_set, family_id, split_part(family_id, '_', 1) AS faction, split_part(family_id, '_', 2)::BIGINT AS number FROM fam")
+def family_split(spark, d):
+    parts = references.family_parts(F.col("family_id"))
+    return adapter.index(spark, d)[1].select("source_set", "family_id", parts["faction"].alias("faction"), parts["number"].alias("number"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'us' WHEN turn % 3 = 1 THEN role ELSE 'de' END AS picked FROM conversations", prelude=False)
+def shown_locale(spark, d):
+    one = F.create_map(F.lit("de_DE"), F.lit("de"), F.lit("en_us"), F.lit("us"))
+    two = F.create_map(F.lit("en_us"), F.lit("us"), F.lit("en_US"), F.col("role"))
+    three = F.create_map(F.lit("it_IT"), F.lit("it"), F.lit("de_DE"), F.lit("de"))
+    names = F.when(F.col("turn") % 3 == 0, one).when(F.col("turn") % 3 == 1, two).otherwise(three)
+    return adapter.read(spark, d, "conversations").select("conv_id", "turn", text.shown_in(names, "fr_FR").alias("picked"))
+
+
+@query("SELECT doc_id, len(v) AS n, md5(array_to_string(v, '|')) AS listed FROM (SELECT doc_id, [y FOR y IN [trim(x) FOR x IN string_split(text, ',')] IF y <> ''] AS v FROM documents)", prelude=False)
+def listed_values(spark, d):
+    held = text.listed(F.col("text"))
+    return adapter.read(spark, d, "documents").select("doc_id", F.size(held).cast("long").alias("n"), F.md5(F.array_join(held, "|")).alias("listed"))
