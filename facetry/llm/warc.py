@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetry.llm.shared import partitions, shared_folder, table
+from facetry.llm.shared import partitions, settled, shared_folder, table
 
 MAGIC = b"\x1f\x8b\x08"
 RECORD = "file string, record_offset long, record_id string, record_type string, target_uri string, payload_digest string, refers_to_id string, http_length long, payload binary"
@@ -47,6 +47,13 @@ def record(kind: str, record_id: str, uri: str, digest: str, payload: bytes, ref
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def with_firsts(rows: DataFrame, least_bytes: int) -> DataFrame:
+    """(k, u, p, d) -> adds first: the least key of the payloads that are equal by digest, null where there is one only."""
+    same = rows.where(F.octet_length("p") >= least_bytes).groupBy("d").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("n"))
+    # Settled, so that the join has an exchange on both sides and a digest of most rows can be split.
+    return rows.join(settled(same.where("n > 1").drop("n")), "d", "left").select("k", "u", "p", "d", "first")
+
+
 def write_warc(df: DataFrame, path: str, key: str = "page_id", uri: str = "url", payload: str = "html", least_bytes: int = 0, date: str = "2026-01-01T00:00:00Z") -> None:
     """Writes a record per row. Of rows with equal payloads of at least ``least_bytes`` bytes, that with the smallest
     key is the response and the others revisit it; smaller payloads are all responses. A null payload is empty, a null
@@ -54,8 +61,6 @@ def write_warc(df: DataFrame, path: str, key: str = "page_id", uri: str = "url",
     with equal payloads are all responses. Other columns are ignored; an empty table writes no record."""
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     rows = df.select(F.col(key).cast("long").alias("k"), F.regexp_replace(F.coalesce(F.col(uri), F.lit("")), "[\\r\\n]", "").alias("u"), body.alias("p"), F.unhex(F.sha1(body)).alias("d"))
-    firsts = df.select(F.col(key).cast("long").alias("k"), body.alias("p")).where(F.octet_length("p") >= least_bytes)
-    firsts = firsts.groupBy(F.unhex(F.sha1("p")).alias("d")).agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
 
     def run(batches):
         for batch in batches:
@@ -66,8 +71,7 @@ def write_warc(df: DataFrame, path: str, key: str = "page_id", uri: str = "url",
                 out.append(member(record("revisit" if again else "response", f"urn:page:{k}", u, digest, p, f"urn:page:{first}" if again else None, date)))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    joined = rows.join(firsts, "d", "left").select("k", "u", "p", "d", "first")
-    joined.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.text(path, lineSep="\0")
+    with_firsts(rows, least_bytes).mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.text(path, lineSep="\0")
 
 
 class _Bytes:

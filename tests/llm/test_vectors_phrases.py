@@ -11,7 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from facetry.llm import phrases, vectors, whitening
+from facetry.llm import phrases, vectors, warc, whitening
 
 
 def turned(turn, dim, cosine):
@@ -192,3 +192,16 @@ def test_phrases_by_brute_force(spark, sentences, monkeypatch, budget, listed):
     got = sorted(sorted(r.asDict().items()) for r in phrases.op13_phrases(spark, sentences).collect())
     wanted = brute_phrases(spark, sentences)
     assert len(got) > 50 and got == wanted
+
+
+def test_hot_digests_can_be_split(spark):
+    rows = spark.range(100).selectExpr("id as k", "'u' as u", "cast(cast(id % 3 as string) as binary) as p", "unhex(sha1(cast(id % 3 as string))) as d")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = warc.with_firsts(rows, 0)
+        lines = joined._jdf.queryExecution().executedPlan().toString().split("Join")[1].splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Below the join, either side is an exchange of rows as they are, with no aggregation above it.
+    assert sum("Exchange hashpartitioning" in x for x in lines) == 2 and not any("Aggregate" in x for x in lines)
+    assert {(r["k"], r["first"]) for r in joined.collect()} == {(k, k % 3) for k in range(100)}
