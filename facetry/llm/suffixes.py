@@ -3,8 +3,9 @@
 1. Equal texts are grouped. A text with copies and of at least ``length`` bytes is repeated whole; one row stands for it.
 2. Every window of the least wanted length contains a chosen anchor, the least hash of its pieces of ``gram`` bytes. A
    passage that recurs has the same anchor each time, so only anchors that occur twice take part; anything else is proved
-   unique. Anchors whose whole surroundings, all that a window with the anchor may reach, are equal (by 128 bits of hashes)
-   need no sorting: their windows recur. One place of each surrounding stands for it beside those that differ.
+   unique. Anchors whose whole surroundings, all that a window with the anchor may reach, have one digest (128 bits of
+   BLAKE2b over their bytes) need no sorting: their windows recur. One place of each surrounding stands for it beside those
+   that differ.
 3. Their surroundings go to shards by anchor. Anchors that stand together mostly share a home, the least hash nearby, and
    by it a shard, so that a text is not cut into a piece for each. An anchor with more than ``HOT`` surroundings is not
    sorted: its key is extended by the bytes around it (``hot_spans``) until whole windows are the keys, which Spark counts,
@@ -15,8 +16,8 @@
 
 A null or empty text has no bytes. Texts below ``length`` keep theirs. Equal rows remove each other. Other columns are
 ignored; an empty table gives no rows. Very long texts are scanned in segments, so that memory follows those. Texts are valid
-UTF-8, as Spark's strings are. The ids are expected to be distinct; a row with a null id loses its text to equal texts only,
-and takes nothing from others.
+UTF-8, as Spark's strings are. Rows are told apart by numbers of their own, so that each row of a repeated id, and of a null
+one, is judged by its own text.
 """
 
 from __future__ import annotations
@@ -29,15 +30,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from facetry.llm.induced import blocks, disk, suffixes
 from facetry.llm.ragged import U64, chunks, give_back, mix, text_bytes
 from facetry.llm.shared import settled, stored, table, thinned
 
-#: Bytes of a repeat that is removed; of the windows that choose an anchor, and of an anchor, in the query.
-LENGTH, WINDOW, GRAM = 400, 320, 200
+#: Bytes of a repeat that is removed, and of one that is reported: about 50 words of the shorter languages.
+LENGTH, PASSAGE = 400, 240
 #: Estimated bytes of a shard, of its queue in memory, and of a piece's share of them.
 SHARD_BYTES, QUEUE_BYTES, PIECE_BYTES = 1 << 20, 8 << 20, 120
 SEPARATOR = 0xF5
@@ -52,12 +53,12 @@ SHIFT = np.array([b + (b < 0xC0) for b in range(256)], np.uint8)
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions, hashes, hashes of the surroundings) of the least piece of each window; of equal hashes the first. The
-    surroundings are what windows of up to ``reach`` bytes with the piece can cover."""
+    """(positions, hashes, digests of the surroundings) of the least piece of each window; of equal hashes the first. The
+    surroundings are what windows of up to ``reach`` bytes with the piece can cover, and the piece's place in them."""
     n = len(data)
     width = length - gram + 1
     if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, U64)
+        return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, object)
     letters = np.random.default_rng(400).integers(0, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
     base = 0x9E3779B97F4A7C15
     power, back = np.full(n + 1, base, U64), np.full(n + 1, pow(base, -1, 2**64), U64)
@@ -80,13 +81,10 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, reach
     inside = np.cumsum(edge)[: len(least)] == 0
     at = (least[inside] & U64(0xFFFFFFFF)).astype(np.int64)
     at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
-    # Words of eight bytes, mixed, so that no regular text has a hash in common with another.
-    word = np.lib.stride_tricks.sliding_window_view(data, 8)
-    word = mix(np.ascontiguousarray(word).view(U64).ravel())
-    total[: len(word) + 1] = np.concatenate([np.zeros(1, U64), np.cumsum(word * power[: len(word)])])
     row = np.searchsorted(offsets, at, "right") - 1
     lo, hi = np.maximum(at - (reach - gram), offsets[row]), np.minimum(at + reach, offsets[row + 1])
-    around = mix((total[hi - 7] - total[lo]) * back[lo] + mix((at - lo).astype(U64) << U64(32) | (hi - at).astype(U64)))
+    raw, around = memoryview(np.ascontiguousarray(data)), np.empty(len(at), object)
+    around[:] = [_digest(raw[a:b], p - a) for a, b, p in zip(lo.tolist(), hi.tolist(), at.tolist())]
     return at, h[at], around
 
 
@@ -156,10 +154,10 @@ def _scanned(df: DataFrame, key: str, text: str, length: int, gram: int, reach:
                 row = np.searchsorted(offsets, at, "right") - 1
                 ends = np.searchsorted(row, np.arange(part.num_rows + 1))
                 sha = [hashlib.sha256(data[a:b].data).digest() for a, b in zip(offsets[:-1], offsets[1:])]
-                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(c)) for c in (h.view(np.int64), x.view(np.int64), at - offsets[row])]
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), c) for c in (pa.array(h.view(np.int64)), pa.array(x, pa.binary()), pa.array(at - offsets[row]))]
                 yield pa.RecordBatch.from_arrays([part.column(key).cast(pa.int64()), pa.array(np.diff(offsets)), pa.array(sha, pa.binary()), *lists], names=["id", "n_bytes", "sha", "h", "x", "p"])
 
-    return df.select(key, text).mapInArrow(run, "id long, n_bytes long, sha binary, h array<long>, x array<long>, p array<long>")
+    return df.select(key, text).mapInArrow(run, "id long, n_bytes long, sha binary, h array<long>, x array<binary>, p array<long>")
 
 
 def _pieces(candidates: DataFrame, length: int, gram: int) -> DataFrame:
@@ -212,8 +210,8 @@ def _sorted_spans(pieces: DataFrame, shards: int, lengths: tuple[int, ...]) -> D
     return pieces.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, "id long, law int, lo long, hi long")
 
 
-def _digest(raw) -> bytes:
-    return hashlib.blake2b(raw, digest_size=16).digest()
+def _digest(raw, place: int = 0) -> bytes:
+    return hashlib.blake2b(raw, digest_size=16, salt=place.to_bytes(8, "little")).digest()
 
 
 def _told_apart(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -317,18 +315,17 @@ def _known(hits: DataFrame, length: int, gram: int, law: int) -> DataFrame:
     return hits.where(first <= last).select("id", F.lit(law).alias("law"), first.alias("lo"), (last + length).alias("hi"))
 
 
-def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengths: tuple[int, ...] = (LENGTH,), window: int | None = None, gram: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows, candidates). rows: id, n_bytes, sha (of the whole text) and spans_0, spans_1, ..., the repeated byte runs by
-    each of ``lengths``, of every row; and pieces, the anchors that recur. candidates: id and body (bytes) of at least the
-    rows with spans that are not the whole text. Each ``window`` bytes, at most the least length, choose an anchor of
-    ``gram`` bytes: a string of ``window`` bytes that recurs has one among the pieces."""
+def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengths: tuple[int, ...] = (LENGTH,), gram: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, candidates). rows: row (its own number), id, n_bytes, sha (of the whole text) and spans_0, spans_1, ..., the
+    repeated byte runs by each of ``lengths``, of every row. candidates: row and body (bytes) of at least the rows with
+    spans that are not the whole text."""
     least, reach = min(lengths), max(lengths)
-    window = window or least
-    gram = gram or window // 2
-    rows = stored(_scanned(df, key, text, window, gram, reach))
+    gram = gram or least // 2
+    # The numbers are those of the stored rows, so that nothing computes them again. From here on they are the ids.
+    named = stored(_scanned(df, key, text, least, gram, reach).withColumnRenamed("id", "key").withColumn("id", F.monotonically_increasing_id()))
     # Settled or stored, so that the joins have exchanges of their own on both sides and a hot key can be split.
-    copies = settled(rows.groupBy("sha").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    found = rows.join(copies, "sha", "left").where("id is not null and (n is null or id = rep)").select("id", "n_bytes", F.inline(F.arrays_zip("h", "x", "p")))
+    copies = settled(named.groupBy("sha").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    found = named.join(copies, "sha", "left").where("n is null or id = rep").select("id", "n_bytes", F.inline(F.arrays_zip("h", "x", "p")))
     again = settled(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
     hits = stored(thinned(found, again, "h").join(again, "h"))
     kinds = stored(hits.groupBy("h", "x").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "p")).alias("m")).select("h", "x", "n", "m.id", "m.p"))
@@ -338,23 +335,24 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     shards = 1 + left.where("not hot").count() * PIECE_BYTES // SHARD_BYTES
     dealt = left.join(settled(_homes(left.where("not hot"))), "h", "left").withColumn("shard", F.coalesce(F.pmod(F.xxhash64("home"), F.lit(shards)), F.lit(0)).cast("long"))
     marks = dealt.select("id", F.struct("h", "p", "hot", "shard").alias("hit")).union(same.select("id").distinct().select("id", F.lit(None).alias("hit")))
-    wanted = stored(marks.groupBy("id").agg(F.collect_list("hit").alias("hits")))
-    bodies = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("body"))
-    candidates = stored(thinned(bodies, wanted, "id").join(wanted, "id"))
+    marked = settled(marks.groupBy("id").agg(F.collect_list("hit").alias("hits")))
+    wanted = stored(thinned(named.select("id", "key", "sha"), marked, "id").join(marked, "id"))
+    # A text is found again by its key and its digest: the keys may repeat, and be null.
+    bodies = thinned(df.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("binary").alias("body")), wanted.select(F.col("key").alias("_key")), "_key").withColumn("_sha", F.unhex(F.sha2("body", 256)))
+    candidates = stored(bodies.join(wanted, F.col("_key").eqNullSafe(F.col("key")) & (F.col("_sha") == F.col("sha"))).select("id", "body", "hits"))
     spans = _sorted_spans(_pieces(candidates, reach, gram), shards, lengths)
     for law, length in enumerate(lengths):
         spans = spans.union(_known(same, length, gram, law))
     if left.where("hot").limit(1).count():
         for law, length in enumerate(lengths):
             spans = spans.union(hot_spans(candidates, length, gram).select("id", F.lit(law).alias("law"), "lo", "hi"))
-    kinds = {law: f"own_{law}" for law in range(len(lengths))} | {len(lengths): "pieces"}
-    spans = spans.union(hits.select("id", F.lit(len(lengths)).alias("law"), F.col("p").alias("lo"), (F.col("p") + gram).alias("hi")))
-    spans = spans.groupBy("id").agg(*(F.collect_list(F.when(F.col("law") == law, F.struct("lo", "hi"))).alias(name) for law, name in kinds.items()))
+    spans = _runs(spans).groupBy("id").agg(*(F.array_sort(F.collect_list(F.when(F.col("law") == law, F.struct("lo", "hi")))).alias(f"own_{law}") for law in range(len(lengths))))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("n_bytes").alias("hi")))
     none = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
-    joined = rows.select("id", "n_bytes", "sha").join(copies.select("sha", "n"), "sha", "left").join(spans, "id", "left")
-    shown = lambda name, length: _union(F.when(F.col("n_bytes") < length, none).when(F.col("n").isNotNull(), whole).otherwise(F.coalesce(name, none)))
-    return settled(joined.select("id", "n_bytes", "sha", *(shown(f"own_{law}", length).alias(f"spans_{law}") for law, length in enumerate(lengths)), shown("pieces", window).alias("pieces"))), candidates
+    joined = named.select("id", "key", "n_bytes", "sha").join(copies.select("sha", "n"), "sha", "left").join(spans, "id", "left")
+    shown = lambda law, length: F.when(F.col("n_bytes") < length, none).when(F.col("n").isNotNull(), whole).otherwise(F.coalesce(f"own_{law}", none))
+    rows = settled(joined.select(F.col("id").alias("row"), F.col("key").alias("id"), "n_bytes", "sha", *(shown(law, length).alias(f"spans_{law}") for law, length in enumerate(lengths))))
+    return rows, candidates.select(F.col("id").alias("row"), "body")
 
 
 def n_in(spans: str) -> Column:
@@ -362,12 +360,12 @@ def n_in(spans: str) -> Column:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"])
 
 
-def _union(spans):
-    """Sorted spans, overlapping and touching ones joined."""
-    kind = "array<struct<lo:bigint,hi:bigint>>"
-    last = lambda a: F.element_at(a, -1)
-    grow = lambda a, s: F.when((F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["hi"] >= s["lo"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last(a)["lo"].alias("lo"), F.greatest(last(a)["hi"], s["hi"]).alias("hi"))))).otherwise(F.concat(a, F.array(s)))
-    return F.aggregate(F.array_sort(spans), F.array().cast(kind), grow)
+def _runs(spans: DataFrame) -> DataFrame:
+    """(id, law, lo, hi) -> their unions as maximal runs; overlapping and touching spans are joined. One exchange by id."""
+    before = Window.partitionBy("id", "law").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("id", "law").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, 0)
+    first = spans.repartition("id").withColumn("first", (F.col("lo") > F.coalesce(F.max("hi").over(before), F.lit(-1))).cast("long"))
+    return first.withColumn("run", F.sum("first").over(upto)).groupBy("id", "law", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
 def without_spans(df: DataFrame, body: str = "body", spans: str = "spans", characters: bool = False) -> DataFrame:
@@ -396,11 +394,10 @@ def without_spans(df: DataFrame, body: str = "body", spans: str = "spans", chara
 
 
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Beside the columns of the contract, n_passage_bytes: bytes in anchors that recur. It is above 0 only where a string
-    of ``GRAM`` bytes recurs, about 40 words, and always where one of ``WINDOW`` bytes does."""
-    rows, candidates = repeated_spans(table(spark, sf_dir, "documents"), window=WINDOW, gram=GRAM)
-    rows = rows.withColumn("n_removed", n_in("spans_0")).withColumn("n_passage_bytes", n_in("pieces"))
-    cut = candidates.select("id", "body").join(rows.where("n_removed > 0 and n_removed < n_bytes").select("id", F.col("spans_0").alias("spans")), "id")
-    left = without_spans(cut).select("id", F.sha2("body", 256).alias("cut_sha"))
+    """Beside the columns of the contract, n_passage_bytes: bytes in strings of at least ``PASSAGE`` bytes that recur."""
+    rows, candidates = repeated_spans(table(spark, sf_dir, "documents"), lengths=(LENGTH, PASSAGE))
+    rows = rows.withColumn("n_removed", n_in("spans_0")).withColumn("n_passage_bytes", n_in("spans_1"))
+    cut = candidates.join(rows.where("n_removed > 0 and n_removed < n_bytes").select("row", F.col("spans_0").alias("spans")), "row")
+    left = without_spans(cut).select("row", F.sha2("body", 256).alias("cut_sha"))
     kept = F.when(F.col("n_removed") == 0, F.lower(F.hex("sha"))).when(F.col("n_removed") == F.col("n_bytes"), F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("cut_sha"))
-    return rows.join(left, "id", "left").select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans_0").cast("long").alias("n_spans"), kept.alias("kept_sha256"), "n_passage_bytes")
+    return rows.join(left, "row", "left").select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans_0").cast("long").alias("n_spans"), kept.alias("kept_sha256"), "n_passage_bytes")
