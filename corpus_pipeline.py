@@ -5,7 +5,8 @@ Each stage takes all that the one before kept, as written to Parquet, and all bu
 stand.
 
 What every stage does with odd rows: a null text counts as empty (and is rejected by the first stage); a row with a null
-doc_id is judged by its own text, takes no part in groups and keeps its text in the third stage; repeated rows are judged
+doc_id is judged by its own text, takes no part in groups and keeps its text in the third stage, where its passages count
+as places of their own; repeated rows are judged
 alike, and all rows of a kept id stay; columns beyond those needed pass through whatever their names; texts of any length are
 taken whole; an empty table gives an empty table.
 """
