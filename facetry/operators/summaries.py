@@ -88,4 +88,5 @@ def tick_rate(samples: DataFrame, at: str, seconds: int = 1) -> DataFrame:
 
 
 def seconds_left(done: Column, total: Column, per_second: Column) -> Column:
-    return F.when(per_second > 0, F.ceil((total - done) / per_second))
+    """Whole seconds until ``total`` at the given rate; null without a rate, 0 when all is done."""
+    return F.when(per_second > 0, F.greatest(F.ceil((total - done) / per_second), F.lit(0)))

@@ -5,7 +5,7 @@ import pytest
 from facetry.engine import Engine
 from facetry.errors import BadRequest, CollectionNotLoaded, FormatFailed, NotFound
 from facetry.functions.references import read_reference
-from facetry.operators import filters, matching
+from facetry.operators import filters, matching, results
 from facetry.plans.request import Slot
 
 POSTINGS = {(24, "m2"): [2, 5], (25, "m1"): [7, 8], (25, "m2"): [7], (191, "m1"): [5], (192, "m1"): [7, 8], (192, "m2"): [7], (42, "ec"): [5], (90, "m1"): [2]}
@@ -88,6 +88,14 @@ def test_rendered_card(engine):
     assert gap["faction"]["code"] == "UN" and gap["main_cost"] == 0 and gap["main_effect"] == {}
 
 
+def test_flat_view(engine):
+    shown = {r["reference"]: r for r in results.flat_view(engine.cards_of("").cards, "fr_FR").collect()}
+    assert len(shown) == 10 and {r["rarity"] for r in shown.values()} == {"UNIQUE"}
+    full, plain = shown[ref(2)], shown[ref(0)]
+    assert (full["main_effect"], full["echo_effect"]) == ("text 24 text 191 text 90", "text 24 text 42")
+    assert not plain["main_effect"] and plain["echo_effect"] is None
+
+
 def test_missing_cards(engine):
     for text in (ref(0), "ALT_TEST_B_AX_01_U_11"):
         with pytest.raises(NotFound):

@@ -5,6 +5,7 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from facetry.engine import Engine
 from facetry.errors import BadRequest, InvalidData, NotFound
@@ -246,6 +247,12 @@ def test_windows(spark):
     assert {r["percent"] for r in summaries.shares(samples.where("v in (1, 3)"), "v").collect()} == {25.0, 75.0}
 
 
+def test_seconds_left(spark):
+    rows = spark.createDataFrame([(10, 25, 10.0), (0, 7, 0.0), (5, 5, 2.0), (9, 5, 2.0), (1, 3, None)], "done long, total long, rate double")
+    left = rows.select(summaries.seconds_left(F.col("done"), F.col("total"), F.col("rate")).alias("left"))
+    assert [r["left"] for r in left.collect()] == [2, None, 0, 0, None]
+
+
 def test_stream_of_arrivals(spark):
     from facetry.streaming.arrivals import ticks
 
