@@ -13,7 +13,8 @@ forest of its links, never its pairs.
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered. A null, empty or blank text has no shingles and no links; a text of one
 to four words is one shingle. A null id never represents others. Of rows that share an id,
 one is compared.
-Further columns are ignored. An empty table gives no rows.
+Further columns are ignored. An empty table gives no rows. A very long text is shingled whole, alone in its chunk; where it
+is a candidate, its text moves to one task for each pair of blocks, whose memory follows the texts of its cell.
 """
 
 from __future__ import annotations

@@ -4,7 +4,8 @@ Each document, with its closing id, is cut into pieces of at most ``capacity`` i
 at most ``capacity`` rows, reaches the driver. Lengths are placed longest first; each goes to the packs with the most
 room, and packs of one pattern are counted, not listed. A piece's rank among pieces of its length then gives its
 sequence and its offset, by a join with the pattern intervals. A null text is empty and packs as its closing id alone;
-repeated rows are packed each; an empty table gives no pieces; other columns are ignored.
+repeated rows are packed each; an empty table gives no pieces; other columns are ignored. A very long text is encoded whole,
+alone in its chunk, so that a task's memory follows its bytes, and gives as many pieces as it needs.
 """
 
 from __future__ import annotations

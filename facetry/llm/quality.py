@@ -6,7 +6,8 @@ on two thirds of them by information gain, prunes it on the rest, and goes on wi
 :meth:`DecisionList.verdict` gives the ordered rules as one Spark conditional expression.
 
 A null or empty text has only zero counts. Statistics replace columns of the same names; other columns pass through.
-Repeated rows are judged alike. Without labels of both kinds the list is empty and keeps every row.
+Repeated rows are judged alike. Without labels of both kinds the list is empty and keeps every row that the base rule keeps.
+An empty table gives no rows. A very long text is counted whole, alone in its chunk, so that memory follows its bytes.
 """
 
 from __future__ import annotations

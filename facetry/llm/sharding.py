@@ -5,7 +5,8 @@ spread are combined again and again, the largest sum of one with the smallest of
 of about ``BLOCK``; each block is differenced in its own task and leaves one partial partition, and these are
 differenced in turn, level by level, so no task and not the driver sees more than a block. A group larger than its even
 share fills a shard alone. A null text counts as empty; equal rows share a shard and take slots of their own;
-an empty table gives no rows; other columns are ignored.
+an empty table gives no rows; other columns are ignored. A very long text is one weight: its bytes are counted and hashed
+where it stands, and only its digest moves.
 """
 
 from __future__ import annotations
