@@ -129,9 +129,9 @@ def _covered(rule, x: np.ndarray, names: list[str]) -> np.ndarray:
     return out
 
 
-def _grow(x: np.ndarray, bad: np.ndarray, names: list[str], most: int) -> list[tuple[str, str, float]]:
+def _grow(x: np.ndarray, bad: np.ndarray, names: list[str]) -> list[tuple[str, str, float]]:
     rule, inside = [], np.ones(len(x), bool)
-    while len(rule) < most and bad[inside].any() and not bad[inside].all():
+    while bad[inside].any() and not bad[inside].all():
         p0, n0 = bad[inside].sum(), (~bad[inside]).sum()
         best = (1e-9, None)
         for j, name in enumerate(names):
@@ -163,12 +163,13 @@ def _prune(rule, x: np.ndarray, bad: np.ndarray, names: list[str]):
     return rule
 
 
-def cover(x: np.ndarray, bad: np.ndarray, names: list[str], precision: float = 0.95, most_rules: int = 16, most_conditions: int = 4, seed: int = 7) -> DecisionList:
-    """Sequential covering. A rule counts if at least ``precision`` of what it rejects, in either part, is bad."""
+def cover(x: np.ndarray, bad: np.ndarray, names: list[str], precision: float = 0.95, seed: int = 7) -> DecisionList:
+    """Sequential covering. A rule counts if at least ``precision`` of what it rejects, in either part, is bad. Rules and
+    conditions have no set number: a rule grows while it gains, and the list until a rule doesn't count."""
     grow = np.random.default_rng(seed).random(len(x)) < 2 / 3
     out, open_ = DecisionList(), np.ones(len(x), bool)
-    while len(out.rules) < most_rules and (bad & open_ & grow).any():
-        rule = _grow(x[open_ & grow], bad[open_ & grow], names, most_conditions)
+    while (bad & open_ & grow).any():
+        rule = _grow(x[open_ & grow], bad[open_ & grow], names)
         if rule:
             rule = _prune(rule, x[open_ & ~grow], bad[open_ & ~grow], names)
         got = _covered(rule, x, names) & open_
