@@ -3,9 +3,9 @@
 With M the largest norm, a vector x gains the component sqrt(M^2 - |x|^2) and a query the component 0; then a larger
 inner product is a smaller distance, and distances obey the triangle inequality. Equal vectors are indexed once, with
 their ``k + 1`` smallest ids. Vectors are dealt to shards by a hash; a shard's tree is a table of pages, each with a
-routing object, a covering radius and its distance to the parent's object. Queries go through the trees in blocks: each
-takes its most promising page, skips distances that stored ones bound away, and stops when no bound reaches its k-th
-score. A bounded sample of the vectors gives each query a score that its result must reach, so most pages of most shards
+routing object, a covering radius and its distance to the parent's object; a leaf also keeps each entry's distance to its
+routing object. Queries go through the trees in blocks: each takes its most promising page, skips the distances of pages
+and of leaf entries that stored ones bound away, and stops when no bound reaches its k-th score. A bounded sample of the vectors gives each query a score that its result must reach, so most pages of most shards
 are never opened. Nothing is approximate: bounds only save work.
 
 A vector that is null, empty or holds null or non-finite components takes no part, nor does a row with a null id.
@@ -62,14 +62,16 @@ def matrix(vectors, width: int) -> np.ndarray:
 
 def build(x: np.ndarray, page: int = PAGE, fan: int = FAN) -> list[dict]:
     """Pages of an M-tree over the rows of ``x`` (augmented), parents first: node, parent, pivot (row), radius,
-    to_parent, members (rows; none for inner pages)."""
+    to_parent, members (rows; none for inner pages), apart (the members' distances to the pivot)."""
     pages: list[dict] = []
 
     def grow(rows: np.ndarray, pivot: int, parent: int) -> None:
         d = np.linalg.norm(x[rows] - x[pivot], axis=1)
         node = len(pages)
-        pages.append({"node": node, "parent": parent, "pivot": pivot, "radius": float(d.max()), "to_parent": float(np.linalg.norm(x[pivot] - x[pages[parent]["pivot"]])) if parent >= 0 else 0.0, "members": rows if len(rows) <= page else rows[:0]})
-        if len(rows) <= page:
+        leaf = len(rows) <= page
+        to_parent = float(np.linalg.norm(x[pivot] - x[pages[parent]["pivot"]])) if parent >= 0 else 0.0
+        pages.append({"node": node, "parent": parent, "pivot": pivot, "radius": float(d.max()), "to_parent": to_parent, "members": rows if leaf else rows[:0], "apart": d if leaf else d[:0]})
+        if leaf:
             return
         # Routing objects far from one another; each row goes to the nearest that has room.
         centres, near = [int(rows[d.argmax()])], np.full(len(rows), np.inf)
@@ -104,8 +106,9 @@ def build(x: np.ndarray, page: int = PAGE, fan: int = FAN) -> list[dict]:
     return pages
 
 
-def search(pages: list[dict], x: np.ndarray, ids: list, q: np.ndarray, floor: np.ndarray, top: float, k: int) -> list[list[tuple[int, int]]]:
-    """For each query its ``k`` best (score, id) that reach ``floor``; ``x`` without the added component."""
+def search(pages: list[dict], x: np.ndarray, ids: list, q: np.ndarray, floor: np.ndarray, top: float, k: int, spent: list[int] | None = None) -> list[list[tuple[int, int]]]:
+    """For each query its ``k`` best (score, id) that reach ``floor``; ``x`` without the added component. ``spent`` takes
+    the numbers of leaf entries scored in each visit."""
     n, nodes = len(q), len(pages)
     norm = (q * q).sum(1)
     slack = 1e-9 * (norm + top) + 1e-6
@@ -141,7 +144,14 @@ def search(pages: list[dict], x: np.ndarray, ids: list, q: np.ndarray, floor: np
                 if able.any():
                     reach(rows[able], kid)
             if len(members):
+                # An entry's stored distance bounds its score; only entries that some query of the visit can use are scored.
+                near = to_pivot[rows, at][:, None] - pages[at]["apart"]
+                able = (norm[rows, None] + top - near * near) / 2 + slack[rows, None] >= limit[rows, None]
+                some, used = able.any(1), able.any(0)
+                rows, members = rows[some], members[used]
                 scores = np.rint(q[rows] @ x[members].T).astype(np.int64)
+                if spent is not None:
+                    spent.append(scores.size)
                 for r, own in zip(rows.tolist(), scores):
                     for j in np.flatnonzero(own >= limit[r]).tolist():
                         best[r] += [(-int(own[j]), i) for i in ids[members[j]]]
@@ -167,11 +177,11 @@ def top_k(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str =
         vectors, ids = shard["v"].tolist(), shard["ids"].tolist()
         x = matrix(vectors, width)
         pages = build(np.column_stack([x, np.sqrt(np.maximum(top - (x * x).sum(1), 0))]))
-        out = [(shard["shard"].iloc[0], p["node"], p["parent"], p["radius"], p["to_parent"], vectors[p["pivot"]], [vectors[m] for m in p["members"]], [ids[m] for m in p["members"]]) for p in pages]
-        return pd.DataFrame(out, columns=["shard", "node", "parent", "radius", "to_parent", "pivot", "vectors", "ids"])
+        out = [(shard["shard"].iloc[0], p["node"], p["parent"], p["radius"], p["to_parent"], vectors[p["pivot"]], [vectors[m] for m in p["members"]], [ids[m] for m in p["members"]], p["apart"].tolist()) for p in pages]
+        return pd.DataFrame(out, columns=["shard", "node", "parent", "radius", "to_parent", "pivot", "vectors", "ids", "apart"])
 
     dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)))
-    pages = settled(dealt.groupBy("shard").applyInPandas(index, "shard long, node int, parent int, radius double, to_parent double, pivot array<long>, vectors array<array<long>>, ids array<array<long>>"))
+    pages = settled(dealt.groupBy("shard").applyInPandas(index, "shard long, node int, parent int, radius double, to_parent double, pivot array<long>, vectors array<array<long>>, ids array<array<long>>, apart array<double>"))
 
     asked = settled(quantized(queries, key, vector))
     wanted = settled(asked.select("v").distinct())
@@ -189,7 +199,7 @@ def top_k(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str =
                 vectors.append(p.pivot)
                 ids.append([])
                 members = np.arange(len(vectors), len(vectors) + len(p.vectors))
-                nodes.append({"node": p.node, "parent": p.parent, "radius": p.radius, "to_parent": p.to_parent, "pivot": len(vectors) - 1, "members": members})
+                nodes.append({"node": p.node, "parent": p.parent, "radius": p.radius, "to_parent": p.to_parent, "pivot": len(vectors) - 1, "members": members, "apart": np.asarray(p.apart, float)})
                 vectors += list(p.vectors)
                 ids += [list(i) for i in p.ids]
             q = matrix(own["v"].tolist(), width)

@@ -244,6 +244,25 @@ def test_tree_search_is_exact():
         assert best == sorted(((int(s), i) for i, s in enumerate(own)), key=lambda p: (-p[0], p[1]))[:6]
 
 
+def test_leaf_entries_are_bounded_by_their_stored_distances():
+    turn = np.random.default_rng(3)
+    centres = turn.normal(0, 60, (12, 8))
+    x = np.round(centres[turn.integers(0, 12, 1200)] + turn.normal(0, 12, (1200, 8)))
+    x = np.round(x * (120 / np.linalg.norm(x, axis=1))[:, None])
+    q, ids, top = x[::60] + 1, [[i] for i in range(1200)], float((x * x).sum(1).max())
+    pages = topk.build(np.column_stack([x, np.sqrt(top - (x * x).sum(1))]), page=64, fan=4)
+    assert all(len(p["apart"]) == len(p["members"]) and (p["apart"] <= p["radius"]).all() for p in pages)
+    spent, whole = [], []
+    got = [topk.search(pages, x, ids, one[None], np.full(1, -np.inf), top, 6, spent)[0] for one in q]
+    for one in q:
+        # Stored distances that equal the query's bound nothing.
+        away = [{**p, "apart": np.full(len(p["members"]), np.sqrt(max((one * one).sum() + top - 2 * one @ x[p["pivot"]], 0)))} for p in pages]
+        topk.search(away, x, ids, one[None], np.full(1, -np.inf), top, 6, whole)
+    for one, best in zip(q, got):
+        assert best == sorted(((int(s), i) for i, s in enumerate(x @ one)), key=lambda p: (-p[0], p[1]))[:6]
+    assert sum(spent) < 0.8 * sum(whole)
+
+
 def test_repeated_contact_is_found_again():
     texts = [f"write to a{i}.b@mail{i}.example.com or +1 ({i:03d}) 555-{i:04d} v {i}.0 and 10.0.{i}.7 in {1900 + i}" for i in range(100, 200)]
     graphs = [(g := pii.Graph.of(t), g.labels(pii.base_spans(t))) for t in texts]
