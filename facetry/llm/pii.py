@@ -1,14 +1,14 @@
 """Personal data (operator 5): base patterns and a skip-chain conditional random field.
 
-The base spans are the leftmost matches of the patterns of four kinds; a fifth kind, secret, starts from values of at least
-16 signs with a digit that are assigned to a name like ``token`` (``SECRET``). The field then labels the tokens that hold a
+The base spans are the leftmost matches of the patterns of four kinds. Secrets are a feature beside these kinds: they start
+from values of at least 16 signs with a digit that are assigned to a name like ``token`` (``SECRET``). The field then labels the tokens that hold a
 digit or an ``@`` (any other token is outside by definition of the model): neighbours in the text share chain potentials,
 and repeated tokens, or tokens that end in the same seven digits, share skip potentials however far apart they are. Each
 token is tied to one other of its group, so ties grow with the text and not with its square: where the group has tokens
 in base spans, to the last of these before it or else the first, which is one hop for any number of copies; otherwise to
 the token of the group before it, as in the fitting. Weights are fitted by
-pseudo-likelihood to the base spans and secrets of at most ``SAMPLE`` documents (a documented bound; every document is
-labelled). For every second token of these the features that restate a pattern are hidden, so that words before, neighbours
+pseudo-likelihood to the base spans and secrets of at most ``SAMPLE`` documents with at most ``TOKENS`` such tokens, of which
+no document brings more than a sixteenth (documented bounds of the fit; every document is labelled, whole). For every second token of these the features that restate a pattern are hidden, so that words before, neighbours
 and similar tokens must tell; so the field finds what no pattern matches: a number without its sign, a secret without its name.
 Loopy belief propagation, until no message moves by more than ``STILL`` (``ROUNDS`` at most, for loops in which they
 swing), gives each token's marginals; a token without a base span whose best label reaches ``SURE``
@@ -37,7 +37,7 @@ KINDS = ("email", "ip", "card", "phone")
 #: What the field tells apart.
 NAMES = (*KINDS, "secret")
 LABELS = len(NAMES) + 1
-SAMPLE, WIDTH, SURE, ROUNDS, STILL = 4000, 4096, 0.9, 400, 1e-4
+SAMPLE, TOKENS, WIDTH, SURE, ROUNDS, STILL = 4000, 200_000, 4096, 0.9, 400, 1e-4
 CHAIN_PRIOR, SKIP_PRIOR = 2.0, 5.0
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -320,9 +320,17 @@ def shown(spans: list[Span]) -> str:
 
 
 def learn(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> Field | None:
-    """Fits the field to at most ``sample`` texts that hold a digit or ``@``, those of the smallest hashes."""
-    worth = df.where(F.col(text).rlike("[0-9@]")).select(F.xxhash64(text).alias("h"), F.col(text).alias("body"))
-    least = worth.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h").alias("h")).first()["h"]
+    """Fits the field to at most ``sample`` texts that hold a digit or ``@``, those of the smallest hashes, while their tokens
+    number at most ``TOKENS``; texts with more than a sixteenth of these are left to the labelling."""
+    tokens = F.size(F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda t: t.rlike("[0-9@]")))
+    worth = df.where(F.col(text).rlike("[0-9@]")).select(F.xxhash64(text).alias("h"), F.col(text).alias("body"), tokens.alias("n")).where(F.col("n") <= TOKENS // 16)
+    sizes = worth.groupBy("h").agg(F.min("n").alias("n")).orderBy("h").limit(sample).collect()
+    least, held = None, 0
+    for r in sizes:
+        held += r["n"]
+        if held > TOKENS:
+            break
+        least = r["h"]
     if least is None:
         return None
 
@@ -394,12 +402,15 @@ def masked(df: DataFrame, text: str = "text", spans: str = "pii") -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beside the columns of the contract, whose ``spans`` hold the four kinds: secrets (spans of assigned secrets and of tokens
+    that the field takes for one), n_added (spans of the four kinds beyond the base ones) and n_found (all spans)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = with_spans(docs, learn(docs)).select("doc_id", "pii")
     base = F.filter("pii", lambda s: s["base"])
+    own, secret = F.filter("pii", lambda s: s["kind"] != "secret"), F.filter("pii", lambda s: s["kind"] == "secret")
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["lo"].cast("string"), s["hi"].cast("string"))), ",")
 
     def count(kind: str):
         return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *map(count, KINDS), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("pii")).alias("spans"))
+    return found.select("doc_id", *map(count, KINDS), F.sha2(line(base), 256).alias("base_sha256"), line(own).alias("spans"), line(secret).alias("secrets"), (F.size(own) - F.size(base)).cast("long").alias("n_added"), F.size("pii").cast("long").alias("n_found"))

@@ -153,7 +153,10 @@ def test_personal_data(spark, odd, documents):
         line = ",".join(f"{k}:{a}:{b}" for k, spans in found.items() for a, b in spans)
         r = got[i]
         assert [r[f"n_{k}"] for k in kinds] == [len(s) for s in found.values()] and r["base_sha256"] == sha(line)
-        assert set(filter(None, line.split(","))) <= set(r["spans"].split(","))
+        own = r["spans"].split(",")
+        assert set(filter(None, line.split(","))) <= set(own) and {x.split(":")[0] for x in own} <= {*kinds, ""}
+        assert r["n_added"] == len(list(filter(None, own))) - sum(map(len, found.values()))
+        assert r["n_found"] == len(list(filter(None, own + r["secrets"].split(","))))
 
 
 def check_suffixes(spark, folder, documents):

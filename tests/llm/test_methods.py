@@ -433,12 +433,28 @@ def test_field_adds_what_patterns_miss(spark):
 
     docs = spark.createDataFrame([(i, text(i % 2)[2]) for i in range(200)], "doc_id long, text string")
     field = pii.learn(docs)
-    found = wrong = 0
+    found = calls = fresh = wrong = 0
     for _ in range(50):
         a, b, t = text(True)
+        new, decoy = f"({turn.randint(200, 999)}) 555-{turn.randint(1000, 9999)}", "9" + some(15, "0123456789")
+        t += f" and {new} so {words(turn, 5)} "
         base = pii.base_spans(t)
         added = pii.added_spans(t, base, field)
-        later = t.rindex(a)
+        later, call, last = t.rindex(a), t.rindex(b), t.rindex(new)
         found += ("secret", later, later + len(a)) in added
-        wrong += sum(k != "secret" and t[x:y] not in t[t.rindex(b) :] for k, x, y in added)
-    assert found >= 45 and wrong <= 2
+        calls += ("phone", call, call + len(b)) in added
+        fresh += ("phone", last, last + len(new)) in added
+        wrong += sum(k != "secret" and t[x:y] not in (b, new) for k, x, y in added)
+        if not pii.base_spans(decoy):
+            wrong += any(y > len(t) for _, _, y in pii.added_spans(t + decoy, base, field))
+    assert found >= 45 and calls >= 45 and fresh >= 45 and wrong <= 5
+
+
+def test_sample_of_the_field_is_bounded_by_tokens(spark, monkeypatch):
+    texts = [f"mail a{i}@example.com or {' '.join(str(k) for k in range(i % 7))}" for i in range(60)] + ["7 " * 5000]
+    seen = []
+    monkeypatch.setattr(pii, "fit", lambda graphs: seen.extend(len(y) for _, y in graphs))
+    monkeypatch.setattr(pii, "TOKENS", 160)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    pii.learn(docs)
+    assert 100 < sum(seen) <= 160 and max(seen) <= 10
