@@ -3,8 +3,9 @@
 1. Equal texts are grouped. A text with copies and of at least ``length`` bytes is repeated whole; one row stands for it.
 2. Every window of the least wanted length contains a chosen anchor, the least hash of its pieces of ``gram`` bytes. A
    passage that recurs has the same anchor each time, so only anchors that occur twice take part; anything else is proved
-   unique. Anchors whose whole surroundings, all that a window with the anchor may reach, have one digest (128 bits of
-   BLAKE2b over their bytes) need no sorting: their windows recur. One place of each surrounding stands for it beside those
+   unique. An anchor that is also the least of a longer wanted window reaches as far as that window may, any other only as far
+   as the shorter one, for each window has such an anchor of its own length. Anchors whose whole surroundings, all that
+   a window of their reach with the anchor may cover, have one digest (128 bits of BLAKE2b over their bytes) need no sorting: their windows recur. One place of each surrounding stands for it beside those
    that differ.
 3. Their surroundings go to shards by anchor. Anchors that stand together mostly share a home, the least hash nearby, and
    by it a shard, so that a text is not cut into a piece for each. An anchor with more than ``HOT`` surroundings is not
@@ -52,13 +53,13 @@ SEGMENT = 1 << 18
 SHIFT = np.array([b + (b < 0xC0) for b in range(256)], np.uint8)
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions, hashes, digests of the surroundings) of the least piece of each window; of equal hashes the first. The
-    surroundings are what windows of up to ``reach`` bytes with the piece can cover, and the piece's place in them."""
+def anchors(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...], gram: int) -> tuple[np.ndarray, ...]:
+    """(positions, hashes, reaches, digests of the surroundings) of the least piece of each window of the least of ``lengths``;
+    of equal hashes the first. The reach is the largest length of whose windows one has its least piece here. The surroundings
+    are what windows of up to that length with the piece can cover; the piece's place in them and the reach count in the digest."""
     n = len(data)
-    width = length - gram + 1
-    if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, object)
+    if n < min(lengths):
+        return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, object)
     letters = np.random.default_rng(400).integers(0, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
     base = 0x9E3779B97F4A7C15
     power, back = np.full(n + 1, base, U64), np.full(n + 1, pow(base, -1, 2**64), U64)
@@ -68,38 +69,46 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, reach
     total = np.zeros(n + 1, U64)
     np.cumsum(letters[data] * power[:n], out=total[1:])
     h = mix((total[gram:] - total[:-gram]) * back[: n - gram + 1])
-    least = (h >> U64(32) << U64(32)) | np.arange(len(h), dtype=U64)
-    span = 1
-    while 2 * span <= width:
-        least = np.minimum(least[:-span], least[span:])
-        span *= 2
-    if width > span:
-        least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, np.maximum(np.maximum(offsets[1:] - length + 1, offsets[:-1]), 0), 1)
-    np.add.at(edge, offsets[1:], -1)
-    inside = np.cumsum(edge)[: len(least)] == 0
-    at = (least[inside] & U64(0xFFFFFFFF)).astype(np.int64)
-    at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
+    level, span = (h >> U64(32) << U64(32)) | np.arange(len(h), dtype=U64), 1
+    at = reach = np.zeros(0, np.int64)
+    for length in sorted(lengths):
+        width = length - gram + 1
+        if n < length:
+            break
+        while 2 * span <= width:
+            level = np.minimum(level[:-span], level[span:])
+            span *= 2
+        least = np.minimum(level[: len(level) - (width - span)], level[width - span :]) if width > span else level
+        edge = np.zeros(n + 1, np.int64)
+        np.add.at(edge, np.maximum(np.maximum(offsets[1:] - length + 1, offsets[:-1]), 0), 1)
+        np.add.at(edge, offsets[1:], -1)
+        inside = np.cumsum(edge)[: len(least)] == 0
+        own = (least[inside] & U64(0xFFFFFFFF)).astype(np.int64)
+        own = own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own
+        if length == min(lengths):
+            at, reach = own, np.full(len(own), length)
+        else:
+            # The least piece of a window is that of each shorter window that holds it.
+            reach[np.searchsorted(at, own)] = length
     row = np.searchsorted(offsets, at, "right") - 1
     lo, hi = np.maximum(at - (reach - gram), offsets[row]), np.minimum(at + reach, offsets[row + 1])
     raw, around = memoryview(np.ascontiguousarray(data)), np.empty(len(at), object)
-    around[:] = [_digest(raw[a:b], p - a) for a, b, p in zip(lo.tolist(), hi.tolist(), at.tolist())]
-    return at, h[at], around
+    around[:] = [_digest(raw[a:b], p - a, r) for a, b, p, r in zip(lo.tolist(), hi.tolist(), at.tolist(), reach.tolist())]
+    return at, h[at], reach, around
 
 
-def long_anchors(data: np.ndarray, length: int, gram: int, reach: int, segment: int = SEGMENT) -> tuple[np.ndarray, ...]:
+def long_anchors(data: np.ndarray, lengths: tuple[int, ...], gram: int, segment: int = SEGMENT) -> tuple[np.ndarray, ...]:
     """The same of one text, in segments that overlap by what surroundings need."""
-    out, n = [], len(data)
+    out, n, length, reach = [], len(data), min(lengths), max(lengths)
     for a in range(0, max(1, n - length + 1), segment):
         lo, hi = max(0, a - reach), min(n, a + segment + length + reach)
-        at, h, x = anchors(data[lo:hi], np.array([0, hi - lo]), length, gram, reach)
+        at, *own = anchors(data[lo:hi], np.array([0, hi - lo]), lengths, gram)
         at = at + lo
         whole = ((at - (reach - gram) >= lo) | (lo == 0)) & ((at + reach <= hi) | (hi == n))
-        out.append((at[whole], h[whole], x[whole]))
-    at, h, x = (np.concatenate(c) for c in zip(*out))
+        out.append((at[whole], *(c[whole] for c in own)))
+    at, *own = (np.concatenate(c) for c in zip(*out))
     at, first = np.unique(at, return_index=True)
-    return at, h[first], x[first]
+    return at, *(c[first] for c in own)
 
 
 def repeated_starts(symbol: np.ndarray, ends: np.ndarray, lengths: tuple[int, ...], folder: str, limit: int = QUEUE_BYTES) -> Iterator[tuple[int, np.ndarray]]:
@@ -145,22 +154,22 @@ def shard_spans(pieces: Iterator[tuple[int, int, np.ndarray]], lengths: tuple[in
             yield ids[own], law, at[first] + shift[own], at[last] + length + shift[own]
 
 
-def _scanned(df: DataFrame, key: str, text: str, length: int, gram: int, reach: int) -> DataFrame:
+def _scanned(df: DataFrame, key: str, text: str, lengths: tuple[int, ...], gram: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in chunks(batch, text, SEGMENT):
                 data, offsets = text_bytes(part.column(text))
-                at, h, x = long_anchors(data, length, gram, reach) if part.num_rows == 1 else anchors(data, offsets, length, gram, reach)
+                at, h, r, x = long_anchors(data, lengths, gram) if part.num_rows == 1 else anchors(data, offsets, lengths, gram)
                 row = np.searchsorted(offsets, at, "right") - 1
                 ends = np.searchsorted(row, np.arange(part.num_rows + 1))
                 sha = [hashlib.sha256(data[a:b].data).digest() for a, b in zip(offsets[:-1], offsets[1:])]
-                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), c) for c in (pa.array(h.view(np.int64)), pa.array(x, pa.binary()), pa.array(at - offsets[row]))]
-                yield pa.RecordBatch.from_arrays([part.column(key).cast(pa.int64()), pa.array(np.diff(offsets)), pa.array(sha, pa.binary()), *lists], names=["id", "n_bytes", "sha", "h", "x", "p"])
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), c) for c in (pa.array(h.view(np.int64)), pa.array(x, pa.binary()), pa.array(at - offsets[row]), pa.array(r.astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays([part.column(key).cast(pa.int64()), pa.array(np.diff(offsets)), pa.array(sha, pa.binary()), *lists], names=["id", "n_bytes", "sha", "h", "x", "p", "r"])
 
-    return df.select(key, text).mapInArrow(run, "id long, n_bytes long, sha binary, h array<long>, x array<binary>, p array<long>")
+    return df.select(key, text).mapInArrow(run, "id long, n_bytes long, sha binary, h array<long>, x array<binary>, p array<long>, r array<int>")
 
 
-def _pieces(candidates: DataFrame, length: int, gram: int) -> DataFrame:
+def _pieces(candidates: DataFrame, gram: int) -> DataFrame:
     """(shard, id, start, piece): the bytes that a window with one of the row's anchors can reach; those of a shard that
     overlap are one piece."""
 
@@ -169,17 +178,18 @@ def _pieces(candidates: DataFrame, length: int, gram: int) -> DataFrame:
             out, held = [], 0
             for i, raw, hits in zip(batch.column("id").to_pylist(), batch.column("body"), batch.column("hits")):
                 raw = raw.as_buffer()
-                h, p, hot, shard = (hits.values.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-                p, shard = p[~hot], shard[~hot]
+                _, p, r, hot, shard = (hits.values.field(k).to_numpy(zero_copy_only=False) for k in range(5))
+                p, r, shard = p[~hot], r[~hot].astype(np.int64), shard[~hot]
                 if not len(p):
                     continue
-                by = np.lexsort((p, shard))
-                shard, p = shard[by], p[by]
-                lo, hi = np.maximum(p - (length - gram), 0), np.minimum(p + length, len(raw))
-                first = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (lo[1:] > hi[:-1])]))
-                last = np.append(first[1:], len(p)) - 1
-                for s, a, b in zip(shard[first].tolist(), lo[first].tolist(), hi[last].tolist()):
-                    out.append((s, i, a, bytes(raw[a:b])))
+                # The text is laid out once for each shard, so that one union serves them all.
+                shard, lane = np.unique(shard, return_inverse=True)
+                away = lane * (len(raw) + 1)
+                lo, hi = merged(np.maximum(p - (r - gram), 0) + away, np.minimum(p + r, len(raw)) + away)
+                for a, b in zip(lo.tolist(), hi.tolist()):
+                    lane, a = divmod(a, len(raw) + 1)
+                    b -= lane * (len(raw) + 1)
+                    out.append((int(shard[lane]), i, a, bytes(raw[a:b])))
                     held += b - a
                 if held > SEGMENT:
                     yield _rows(out)
@@ -210,8 +220,8 @@ def _sorted_spans(pieces: DataFrame, shards: int, lengths: tuple[int, ...]) -> D
     return pieces.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, "id long, law int, lo long, hi long")
 
 
-def _digest(raw, place: int = 0) -> bytes:
-    return hashlib.blake2b(raw, digest_size=16, salt=place.to_bytes(8, "little")).digest()
+def _digest(raw, place: int = 0, reach: int = 0) -> bytes:
+    return hashlib.blake2b(raw, digest_size=16, salt=place.to_bytes(8, "little") + reach.to_bytes(8, "little")).digest()
 
 
 def _told_apart(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -238,7 +248,8 @@ def hot_spans(candidates: DataFrame, length: int, gram: int) -> DataFrame:
             out = []
             for i, raw, hits in zip(batch.column("id").to_pylist(), batch.column("body"), batch.column("hits")):
                 raw = raw.as_buffer().to_pybytes()
-                h, p, hot = (hits.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2))
+                h, p, r, hot = (hits.values.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+                hot = hot & (r >= length)
                 own: dict[tuple, list[int]] = {}
                 for anchor, at in zip(h[hot].tolist(), p[hot].tolist()):
                     a, b = max(0, at + length - len(raw)), min(last, at)
@@ -278,7 +289,7 @@ def hot_spans(candidates: DataFrame, length: int, gram: int) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
     names = ["id", "p", "c", "k", "a", "b", "x", "many"]
     kind = "id long, p long, c long, k binary, a long, b long, x binary, many boolean"
-    places = settled(candidates.where(F.exists("hits", lambda x: x["hot"])).mapInArrow(around, kind + ", piece binary, own array<struct<lo:bigint,hi:bigint>>"))
+    places = settled(candidates.where(F.exists("hits", lambda x: x["hot"] & (x["r"] >= length))).mapInArrow(around, kind + ", piece binary, own array<struct<lo:bigint,hi:bigint>>"))
     # A row stands for its own (id, p, a, b); ``from`` is the place of the anchor in its piece.
     pieces = places.select("id", "p", F.col("b").alias("from"), "piece")
     found, left = _told_apart(places.select(*names))
@@ -312,35 +323,34 @@ def _homes(left: DataFrame) -> DataFrame:
 def _known(hits: DataFrame, length: int, gram: int, law: int) -> DataFrame:
     """The windows of ``length`` bytes that hold the anchor at p, as one span."""
     first, last = F.greatest(F.lit(0), F.col("p") - (length - gram)), F.least(F.col("p"), F.col("n_bytes") - length)
-    return hits.where(first <= last).select("id", F.lit(law).alias("law"), first.alias("lo"), (last + length).alias("hi"))
+    return hits.where((first <= last) & (F.col("r") >= length)).select("id", F.lit(law).alias("law"), first.alias("lo"), (last + length).alias("hi"))
 
 
 def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengths: tuple[int, ...] = (LENGTH,), gram: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, candidates). rows: row (its own number), id, n_bytes, sha (of the whole text) and spans_0, spans_1, ..., the
     repeated byte runs by each of ``lengths``, of every row. candidates: row and body (bytes) of at least the rows with
     spans that are not the whole text."""
-    least, reach = min(lengths), max(lengths)
-    gram = gram or least // 2
+    gram = gram or min(lengths) // 2
     # The numbers are those of the stored rows, so that nothing computes them again. From here on they are the ids.
-    named = stored(_scanned(df, key, text, least, gram, reach).withColumnRenamed("id", "key").withColumn("id", F.monotonically_increasing_id()))
+    named = stored(_scanned(df, key, text, lengths, gram).withColumnRenamed("id", "key").withColumn("id", F.monotonically_increasing_id()))
     # Settled or stored, so that the joins have exchanges of their own on both sides and a hot key can be split.
     copies = settled(named.groupBy("sha").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    found = named.join(copies, "sha", "left").where("n is null or id = rep").select("id", "n_bytes", F.inline(F.arrays_zip("h", "x", "p")))
+    found = named.join(copies, "sha", "left").where("n is null or id = rep").select("id", "n_bytes", F.inline(F.arrays_zip("h", "x", "p", "r")))
     again = settled(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
     hits = stored(thinned(found, again, "h").join(again, "h"))
-    kinds = stored(hits.groupBy("h", "x").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "p")).alias("m")).select("h", "x", "n", "m.id", "m.p"))
+    kinds = stored(hits.groupBy("h", "x").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "p", "r")).alias("m")).select("h", "x", "n", "m.id", "m.p", "m.r"))
     several = settled(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("d")).where("d > 1").select("h", (F.col("d") > HOT).alias("hot")))
-    left = stored(kinds.join(several, "h").select("h", "id", "p", "hot"))
-    same = stored(hits.join(settled(kinds.where("n > 1").select("h", "x")), ["h", "x"]).select("id", "p", "n_bytes"))
+    left = stored(kinds.join(several, "h").select("h", "id", "p", "r", "hot"))
+    same = stored(hits.join(settled(kinds.where("n > 1").select("h", "x")), ["h", "x"]).select("id", "p", "r", "n_bytes"))
     shards = 1 + left.where("not hot").count() * PIECE_BYTES // SHARD_BYTES
     dealt = left.join(settled(_homes(left.where("not hot"))), "h", "left").withColumn("shard", F.coalesce(F.pmod(F.xxhash64("home"), F.lit(shards)), F.lit(0)).cast("long"))
-    marks = dealt.select("id", F.struct("h", "p", "hot", "shard").alias("hit")).union(same.select("id").distinct().select("id", F.lit(None).alias("hit")))
+    marks = dealt.select("id", F.struct("h", "p", "r", "hot", "shard").alias("hit")).union(same.select("id").distinct().select("id", F.lit(None).alias("hit")))
     marked = settled(marks.groupBy("id").agg(F.collect_list("hit").alias("hits")))
     wanted = stored(thinned(named.select("id", "key", "sha"), marked, "id").join(marked, "id"))
     # A text is found again by its key and its digest: the keys may repeat, and be null.
     bodies = thinned(df.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("binary").alias("body")), wanted.select(F.col("key").alias("_key")), "_key").withColumn("_sha", F.unhex(F.sha2("body", 256)))
     candidates = stored(bodies.join(wanted, F.col("_key").eqNullSafe(F.col("key")) & (F.col("_sha") == F.col("sha"))).select("id", "body", "hits"))
-    spans = _sorted_spans(_pieces(candidates, reach, gram), shards, lengths)
+    spans = _sorted_spans(_pieces(candidates, gram), shards, lengths)
     for law, length in enumerate(lengths):
         spans = spans.union(_known(same, length, gram, law))
     if left.where("hot").limit(1).count():

@@ -161,7 +161,7 @@ def test_anchors_are_shared():
     texts = [bytes(turn.choice(b"xyz") for _ in range(turn.randint(0, 90))) + core + bytes(turn.choice(b"xyz") for _ in range(turn.randint(0, 90))) for _ in range(20)]
     data = np.frombuffer(b"".join(texts), np.uint8)
     offsets = np.cumsum([0, *map(len, texts)])
-    at, h, around = suffixes.anchors(data, offsets, 60, 20, 60)
+    at, h, _, around = suffixes.anchors(data, offsets, (60,), 20)
     row = np.searchsorted(offsets, at, "right") - 1
     wanted = None
     for i, t in enumerate(texts):
@@ -171,9 +171,11 @@ def test_anchors_are_shared():
     assert wanted
     for row in range(0, 20, 3):
         one = data[offsets[row] : offsets[row + 1]]
-        plain = suffixes.anchors(one, np.array([0, len(one)]), 60, 20, 80)
-        cut = suffixes.long_anchors(one, 60, 20, 80, segment=11)
+        plain = suffixes.anchors(one, np.array([0, len(one)]), (60, 80), 20)
+        cut = suffixes.long_anchors(one, (60, 80), 20, segment=11)
         assert all(np.array_equal(a, b) for a, b in zip(plain, cut))
+        alone = suffixes.anchors(one, np.array([0, len(one)]), (80,), 20)
+        assert np.array_equal(plain[0][plain[2] == 80], alone[0]) and [x for x, r in zip(plain[3], plain[2]) if r == 80] == list(alone[3])
 
 
 def test_near_duplicate_recall():
