@@ -40,23 +40,32 @@ def contracted(batches):
         yield pd.DataFrame({"a": nodes[off], "b": nodes[roots[off]]})
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(a, b) of longs -> (node, component) for every node with an edge to another; component is the least node reached.
-
-    Batches are contracted locally first. Every round then joins each node with its least neighbour; the largest table
-    is the edge table, and no node's neighbours are ever collected. The least neighbours
-    are settled first, so that a join has an exchange on either side and a node of many edges can be split."""
-    contract = lambda df: df.select("a", "b").mapInPandas(contracted, "a long, b long")
-    edges = settled(contract(edges.select("a", "b").where("a is not null and b is not null and a <> b").distinct()))
+def components(edges: DataFrame, contract: bool = True) -> DataFrame:
+    """(a, b) of longs -> (node, component) for every node that is not the least of its component; component is the least
+    node reached.
+
+    ``contract``: distinct edges are contracted locally first, batch by batch; without it they are taken as they come, which
+    suits few edges or ones that form stars. Every round ties the greater end of an edge to the least neighbour of its lesser
+    end (large star), and a node's lesser neighbours to the least of them (small star), until each node has one lesser
+    neighbour, and that none. Where each has one, the first step alone shortens all paths by half. The largest table is the
+    edge table, which never grows, and no node's neighbours are ever collected. The least neighbours are settled first, so
+    that a join has an exchange on either side and a node of many edges can be split. The test for the end reads what the
+    next round needs anyway."""
+    edges = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = settled(edges.distinct().mapInPandas(contracted, "a long, b long") if contract else edges)
     while True:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = settled(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        large = settled(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        # Edges lead from a down to b.
+        both = edges.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))))
+        below = F.when(F.col("other") < F.col("node"), F.col("other"))
+        least = settled(both.groupBy("node").agg(F.min("other").alias("m"), F.max(below).alias("most"), F.max(F.col("other") > F.col("node")).alias("middle")))
+        tied = least.where("m < node")
+        forks, chains = tied.agg(F.coalesce(F.max(F.expr("m < most")), F.lit(False)), F.coalesce(F.max("middle"), F.lit(False))).first()
+        if not forks and not chains:
+            return tied.select("node", F.col("m").alias("component"))
+        large = settled(edges.join(least.select(F.col("node").alias("b"), F.least("node", "m").alias("m")), "b").select("a", F.col("m").alias("b")))
+        if not forks:
+            edges = large
+            continue
         down = settled(large.groupBy("a").agg(F.min("b").alias("m")))
-        small = large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        small = settled(small.where("a <> b").distinct())
-        roots = small.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("a").alias("d")).first()
-        stars = roots["n"] == roots["d"] and not small.select(F.col("b").alias("a")).distinct().join(small, "a", "left_semi").limit(1).count()
-        edges = small
-        if stars:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        # Of a node's edges at least one leads to its least neighbour and stays; each other one goes on from its end.
+        edges = settled(large.join(down, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct())

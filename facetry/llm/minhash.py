@@ -7,8 +7,8 @@ all tables with probability below ``2 * (1 - s ** WIDTH) ** BANDS``: 4e-4 at 0.8
 
 Bands that one representative alone has are dropped first. Within a table bucket, each member is tied to the smallest
 one; the components of these ties are candidate groups. A group is dealt to blocks, and each pair of blocks is one cell,
-whose documents are compared exactly in one task through an inverted list of their shingles. A cell returns a spanning
-forest of its links, never its pairs.
+whose documents are compared exactly in one task through an inverted list of their shingles. A cell returns a star for each
+component of its links, never its pairs.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered. A null, empty or blank text has no shingles and no links; a text of one
 to four words is one shingle. A null id never represents others. Of rows that share an id,
@@ -102,11 +102,12 @@ def candidate_groups(reps: DataFrame) -> DataFrame:
     sides = bands.join(shared, "value").groupBy("rep").agg(F.collect_list(F.when(F.col("b") < BANDS, F.col("value"))).alias("left"), F.collect_list(F.when(F.col("b") >= BANDS, F.col("value"))).alias("right"))
     keys = settled(sides.select("rep", F.explode("left").alias("l"), "right").select("rep", "l", F.explode("right").alias("r")).select("rep", F.xxhash64("l", "r").alias("key")))
     least = settled(keys.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("key", "least"))
-    return components(keys.join(least, "key").select(F.col("rep").alias("a"), F.col("least").alias("b")))
+    return components(keys.join(least, "key").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct(), contract=False)
 
 
 def links(ids: list[int], side: np.ndarray, rows: np.ndarray, hashes: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """A spanning forest of the exact links among sets; where both sides occur, of links between the sides."""
+    """The components of the exact links among sets, as stars of (id, first id of its component); where both sides occur, of
+    links between the sides."""
     n = len(ids)
     size = np.bincount(rows, minlength=n)
     begin = np.cumsum(size) - size
@@ -114,7 +115,7 @@ def links(ids: list[int], side: np.ndarray, rows: np.ndarray, hashes: np.ndarray
     term = term.reshape(-1)
     posting = rows[np.argsort(term, kind="stable")]
     p0 = np.cumsum(df) - df
-    forest, out = Forest(n), []
+    forest = Forest(n)
     mixed = side.min() != side.max()
     for i in range(n):
         own = term[begin[i] : begin[i] + size[i]]
@@ -127,13 +128,13 @@ def links(ids: list[int], side: np.ndarray, rows: np.ndarray, hashes: np.ndarray
         if mixed:
             hit &= side != side[i]
         for j in np.flatnonzero(hit).tolist():
-            if forest.join(i, j):
-                out.append((ids[i], ids[j]))
-    return out
+            forest.join(i, j)
+    return [(ids[i], ids[r]) for i in range(n) if (r := forest.root(i)) != i]
 
 
 def confirmed(docs: DataFrame, groups: DataFrame, key: str, text: str, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) between representatives of one candidate group, judged on their whole sets."""
+    """Links (a, b) between representatives of one candidate group, judged on their whole sets: of each cell, a star of every
+    component's other members and its least."""
     blocks = groups.groupBy("component").agg((F.floor(F.count(F.lit(1)) / BLOCK) + 1).cast("int").alias("blocks"))
     dealt = groups.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.union(groups.join(blocks, "component").select("component", F.col("component").alias("node"), "blocks", F.pmod(F.xxhash64("component"), F.col("blocks")).cast("int").alias("own")).distinct().select(*dealt.columns))
@@ -141,7 +142,7 @@ def confirmed(docs: DataFrame, groups: DataFrame, key: str, text: str, percent:
     cells = cells.select("node", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def run(cell: pd.DataFrame) -> pd.DataFrame:
-        cell = cell.drop_duplicates("node")
+        cell = cell.drop_duplicates("node").sort_values("node")
         rows, hashes = shingles(*text_bytes(pa.array(cell["body"], pa.string())))
         return pd.DataFrame(links(cell["node"].tolist(), cell["own"].to_numpy(), rows, hashes, percent), columns=["a", "b"], dtype="int64")
 
@@ -154,7 +155,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     rows = settled(with_sketches(df, key, text))
     classes = settled(rows.where("size > 0 and id is not null").groupBy("one", "two", "size").agg(F.min(F.struct("id", "bands")).alias("m")).select("one", "two", "size", F.col("m.id").alias("rep"), F.col("m.bands").alias("bands")))
     groups = settled(candidate_groups(classes.select("rep", "bands")))
-    found = components(confirmed(df, groups, key, text, percent))
+    found = components(confirmed(df, groups, key, text, percent), contract=False)
     labels = classes.select("one", "two", "size", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("one", "two", "size", F.coalesce("component", "rep").alias("component_id"))
     joined = rows.select("id", "size", "one", "two").join(labels, ["one", "two", "size"], "left")
     own = F.coalesce("component_id", "id")

@@ -232,6 +232,33 @@ def test_components(spark):
             assert got.get(x, x) == forest.root(x)
 
 
+def test_components_take_few_stages(spark):
+    turn = random.Random(31)
+    loose = [(turn.randrange(400), turn.randrange(400)) for _ in range(500)]
+    context = spark.sparkContext
+    for edges in ([(k, k % 7) for k in range(7, 300)], [(k + 1, k) for k in range(60)], loose):
+        forest = minhash.Forest(400)
+        for a, b in edges:
+            forest.join(a, b)
+        wanted = [(x, forest.root(x)) for x in range(400) if forest.root(x) != x]
+        frame = spark.createDataFrame(edges, "a long, b long").repartition(5)
+        context.setJobGroup(f"components-{len(edges)}", "")
+        found = components(frame)
+        context.setLocalProperty("spark.jobGroup.id", None)
+        tracker = context.statusTracker()
+        ran = {k for j in tracker.getJobIdsForGroup(f"components-{len(edges)}") for k in tracker.getJobInfo(j).stageIds if (i := tracker.getStageInfo(k)) and i.numCompletedTasks}
+        assert 0 < len(ran) <= 12
+        for got in (found, components(frame, contract=False)):
+            assert sorted((r["node"], r["component"]) for r in got.collect()) == wanted
+
+
+def test_cells_yield_stars():
+    sets = [{1, 2, 3, 4}, {9}, {1, 2, 3}, {2, 3, 4}, {9, 10}, {9, 10}]
+    rows = np.concatenate([[i] * len(s) for i, s in enumerate(sets)])
+    got = minhash.links([10, 20, 30, 40, 50, 60], np.zeros(6, int), rows, np.concatenate([sorted(s) for s in sets]).astype(np.uint64), 50)
+    assert sorted(got) == [(30, 10), (40, 10), (50, 20), (60, 20)]
+
+
 def test_tree_search_is_exact():
     turn = np.random.default_rng(1)
     x = np.round(turn.normal(0, 40, (900, 12))) + 100 * turn.integers(0, 3, (900, 1))
