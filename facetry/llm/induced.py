@@ -28,6 +28,8 @@ BLOCK, CHUNK, SPAN = 1 << 15, 1 << 17, 1 << 13
 MOST = np.iinfo(np.int64).max
 #: Splitting words of a distribution of slices; ranges of a queue that tuples reach together.
 SPLITS, GROUP = 64, 32
+#: Tuples of a range that are followed for several steps at once, and the steps.
+NARROW, STEPS = 256, 32
 
 
 def disk(folder: str, n: int, kind) -> np.ndarray:
@@ -224,19 +226,26 @@ def _sorted_slices(level: Level, start: np.ndarray, length: np.ndarray, done: in
     per = 8 if level.symbol.dtype == np.uint8 else 2
     order, head = np.arange(len(start)), np.zeros(len(start), bool)
     head[:1] = True
-    while True:
-        group = np.cumsum(head) - 1
-        live = np.flatnonzero((np.bincount(group)[group] > 1) & (length[order] > done))
-        if not len(live):
-            return order, head
+    # Places in the order of slices that are not yet told apart, and the numbers of their groups, both ascending.
+    live, group = np.arange(len(start)), np.zeros(len(start), np.int64)
+    while len(live):
+        on = (np.bincount(group)[group] > 1) & (length[order[live]] > done)
+        live, group = live[on], group[on]
         own = order[live]
         key = level.words(start[own] + done, length[own] - done)
-        by = np.lexsort((key, group[live]))
+        if len(group) and group[-1] < 1 << 16:
+            by = np.argsort(key)
+            by = by[np.argsort(group[by].astype(np.uint16), kind="stable")]
+        else:
+            by = np.lexsort((key, group))
         order[live], key = own[by], key[by]
         new = np.zeros(len(live), bool)
-        new[1:] = (key[1:] != key[:-1]) & (group[live][1:] == group[live][:-1])
-        head[live] |= new
+        new[1:] = (key[1:] != key[:-1]) & (group[1:] == group[:-1])
+        head[live[new]] = True
+        new[1:] |= group[1:] != group[:-1]
+        group = np.cumsum(new)
         done += per
+    return order, head
 
 
 def _named(level: Level, valley: np.ndarray, length: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -344,6 +353,9 @@ def _induced(level: Level, up: bool, seeds: np.ndarray, prefixes: np.ndarray, ou
     place = lambda s: s.astype(np.int64) if up else top - s.astype(np.int64)
     counts = disk(level.folder, top + 1, np.int64)
     for s in blocks(level.n):
+        if top < BLOCK:
+            counts += np.bincount(place(symbol[s]), minlength=top + 1)
+            continue
         values, n = np.unique(place(symbol[s]), return_counts=True)
         counts[values] += n
     # A range is one symbol, or symbols with about SPAN suffixes.
@@ -379,6 +391,20 @@ def _induced(level: Level, up: bool, seeds: np.ndarray, prefixes: np.ndarray, ou
         goal[on[fits]] = place(symbol[before[fits]])
         return goal
 
+    def steps(pos: np.ndarray, which: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """(goals, whether a step yields a tuple of the range) of the tuples at pos and of those that they yield there one after
+        the other, up to ``most`` steps, a row for each."""
+        before = pos - np.arange(1, most + 1)[:, None]
+        to = np.full(before.shape, MOST, np.int64)
+        step, chain = np.nonzero(before >= 0)
+        on = before[step, chain]
+        fits = kind[on] != up
+        step, chain, to_own = step[fits], chain[fits], place(symbol[on[fits]])
+        to[step, chain] = to_own
+        inner = np.zeros(before.shape, bool)
+        inner[step, chain] = range_of[to_own] == which
+        return to, np.logical_and.accumulate(inner, 0)
+
     def emit(pos: np.ndarray, rank: np.ndarray, seed: np.ndarray, prefix: np.ndarray, goal: np.ndarray, child: np.ndarray | None = None) -> np.ndarray:
         """Takes the next tuples in order and gives those that they yield, by rank. ``child``: for each tuple the place of
         its yield among them, or -1; the prefixes of such yields are found here."""
@@ -405,7 +431,6 @@ def _induced(level: Level, up: bool, seeds: np.ndarray, prefixes: np.ndarray, ou
         was = seen[bucket]
         middle = np.array([*lows, MOST], np.int64)[np.searchsorted(np.array(batches, np.int64), was + 1)]
         since = np.minimum(tail[bucket], middle)
-        weight = 1 if level.weight is None else level.weight[to if up else top - to]
         weight = np.ones(len(by), np.int64) if level.weight is None else level.weight[to if up else top - to]
         if child is not None:
             inner = np.flatnonzero(child[by] >= 0)
@@ -413,14 +438,19 @@ def _induced(level: Level, up: bool, seeds: np.ndarray, prefixes: np.ndarray, ou
             heads, place_of = np.searchsorted(first, inner), child[by[inner]]
             head = first[np.minimum(heads, len(first) - 1)] == inner if len(first) else inner < 0
             ends = np.stack([np.where(head, 0, by[inner - 1] + 1), by[inner] + 1], 1).ravel()
+            at_head = np.flatnonzero(head)
+            bound = np.where(was[heads[at_head]] > 0, since[heads[at_head]], 0)
+            own, value = weight[inner], np.append(prefix, MOST)
             # A prefix depends on those of tuples before it only, so that this ends.
             while len(inner):
-                found = np.minimum.reduceat(np.append(prefix, MOST), ends)[::2]
-                found[head] = np.where(was[heads[head]] > 0, np.minimum(found[head], since[heads[head]]), 0)
-                found = np.minimum(found, MOST // 4) + weight[inner]
-                if np.array_equal(prefix[place_of], found):
+                found = np.minimum.reduceat(value, ends)[::2]
+                found[at_head] = np.minimum(found[at_head], bound)
+                found = np.minimum(found, MOST // 4) + own
+                new_at = np.flatnonzero(value[place_of] != found)
+                if not len(new_at):
                     break
-                prefix[place_of] = found
+                value[place_of[new_at]] = found[new_at]
+            prefix = value[:-1]
         made = np.zeros(len(by), np.int64)
         made[again] = _between(prefix, by[again - 1] + 1, by[again])
         made[first] = np.where(was > 0, np.minimum(np.minimum.accumulate(prefix)[by[first]], since), 0)
@@ -480,21 +510,32 @@ def _induced(level: Level, up: bool, seeds: np.ndarray, prefixes: np.ndarray, ou
         pos, prefix = seeds_at(lo, hi)
         # Of one rank come first the tuples yielded by ranges before, then those of this range, then the seeds.
         rows = [np.concatenate([ready, np.stack([pos, place(symbol[pos]), prefix], 1)])]
-        kinds, source, goal, count = [np.repeat([0, 2], [len(ready), len(pos)])], [np.arange(len(rows[0]))], [], len(rows[0])
-        child = []
-        while len(rows[-1]):
-            goal.append(goals(rows[-1][:, 0]))
-            inner = np.flatnonzero(range_of[np.where(goal[-1] == MOST, 0, goal[-1])] == which) if which else np.flatnonzero((goal[-1] != MOST) & (range_of[np.minimum(goal[-1], top)] == 0))
-            link = np.full(len(rows[-1]), -1)
-            link[inner] = count + np.arange(len(inner))
-            child.append(link)
-            source.append(count - len(rows[-1]) + inner)
-            kinds.append(np.ones(len(inner), np.int64))
-            rows.append(np.stack([rows[-1][inner, 0] - 1, goal[-1][inner], np.full(len(inner), MOST // 4)], 1))
-            count += len(inner)
+        kinds, source, count = [np.repeat([0, 2], [len(ready), len(pos)])], [np.arange(len(rows[0]))], len(rows[0])
+        # Tuples with their goals, and tuples with what they yield in this range.
+        aims, yields = [], []
+        front, pos = np.arange(count), rows[0][:, 0]
+        while len(front):
+            # Of a few tuples, which may begin long chains, many steps at once: a row a step, numbered in that order.
+            to, inner = steps(pos, which, STEPS if len(front) <= NARROW else 1)
+            number = np.where(inner, count - 1 + np.cumsum(inner).reshape(inner.shape), -1)
+            before = np.concatenate([front[None], number])
+            step, chain = np.nonzero(inner)
+            aims.append((before[:-1][before[:-1] >= 0], to[before[:-1] >= 0]))
+            yields.append((before[step, chain], number[step, chain]))
+            source.append(before[step, chain])
+            kinds.append(np.ones(len(step), np.int64))
+            rows.append(np.stack([pos[chain] - 1 - step, to[step, chain], np.full(len(step), MOST // 4)], 1))
+            count += len(step)
+            on = np.flatnonzero(inner[-1])
+            front, pos = number[-1, on], pos[on] - len(inner)
         if not count:
             continue
-        rows, kinds, source, goal, child = (np.concatenate(x) for x in (rows, kinds, source, goal, child))
+        rows, kinds, source = (np.concatenate(x) for x in (rows, kinds, source))
+        goal, child = np.full(count, MOST, np.int64), np.full(count, -1)
+        for tuples, values in aims:
+            goal[tuples] = values
+        for tuples, values in yields:
+            child[tuples] = values
         key, fresh = 3 * rows[:, 1] + kinds, np.flatnonzero(kinds == 1)
         by = np.argsort(key, kind="stable")
         order = np.empty(count, np.int64)

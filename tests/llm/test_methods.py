@@ -1,5 +1,6 @@
 """The methods themselves, on inputs whose answers brute force gives."""
 
+import cProfile
 import gzip
 import io
 import os
@@ -178,6 +179,21 @@ def test_anchors_are_shared():
         assert np.array_equal(plain[0][plain[2] == 80], alone[0]) and [x for x, r in zip(plain[3], plain[2]) if r == 80] == list(alone[3])
 
 
+def test_long_chains_take_few_calls():
+    turn = np.random.default_rng(40)
+    pieces = [turn.integers(1, 30, 150, dtype=np.uint8).tobytes() + bytes([40, 41, 42, 41]) * k for k in range(60, 300, 12)]
+    symbol = np.frombuffer(b"\xf5".join(pieces) + b"\xf5\0", np.uint8)
+    with tempfile.TemporaryDirectory() as folder:
+        profile = cProfile.Profile()
+        sa, shared = profile.runcall(induced.suffixes, symbol, folder, 1 << 20)
+        sa, shared = np.array(sa), np.array(shared)
+    text = symbol.tobytes()
+    assert sa.tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+    for a, b, n in zip(sa[:-1].tolist(), sa[1:].tolist(), shared[1:].tolist()):
+        assert text[a : a + n] == text[b : b + n] and text[a + n : a + n + 1] != text[b + n : b + n + 1]
+    assert sum(c.callcount for c in profile.getstats()) < 76_000
+
+
 def test_near_duplicate_recall():
     turn = random.Random(9)
     hit = 0
