@@ -28,6 +28,7 @@ import itertools
 import os
 import tempfile
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,18 @@ SEGMENT = 1 << 18
 SHIFT = np.array([b + (b < 0xC0) for b in range(256)], np.uint8)
 
 
+@lru_cache(1)
+def _weights(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a byte counts in a hash, and the powers of the base and of its inverse up to n."""
+    letters = np.random.default_rng(400).integers(0, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
+    base = 0x9E3779B97F4A7C15
+    power, back = np.full(n + 1, base, U64), np.full(n + 1, pow(base, -1, 2**64), U64)
+    power[0] = back[0] = 1
+    np.cumprod(power, out=power)
+    np.cumprod(back, out=back)
+    return letters, power, back
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...], gram: int) -> tuple[np.ndarray, ...]:
     """(positions, hashes, reaches, digests of the surroundings) of the least piece of each window of the least of ``lengths``;
     of equal hashes the first. The reach is the largest length of whose windows one has its least piece here. The surroundings
@@ -60,12 +73,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...], gra
     n = len(data)
     if n < min(lengths):
         return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, object)
-    letters = np.random.default_rng(400).integers(0, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-    base = 0x9E3779B97F4A7C15
-    power, back = np.full(n + 1, base, U64), np.full(n + 1, pow(base, -1, 2**64), U64)
-    power[0] = back[0] = 1
-    np.cumprod(power, out=power)
-    np.cumprod(back, out=back)
+    letters, power, back = _weights(max(n, 2 * SEGMENT))
     total = np.zeros(n + 1, U64)
     np.cumsum(letters[data] * power[:n], out=total[1:])
     h = mix((total[gram:] - total[:-gram]) * back[: n - gram + 1])
@@ -79,12 +87,12 @@ def anchors(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...], gra
             level = np.minimum(level[:-span], level[span:])
             span *= 2
         least = np.minimum(level[: len(level) - (width - span)], level[width - span :]) if width > span else level
-        edge = np.zeros(n + 1, np.int64)
-        np.add.at(edge, np.maximum(np.maximum(offsets[1:] - length + 1, offsets[:-1]), 0), 1)
-        np.add.at(edge, offsets[1:], -1)
-        inside = np.cumsum(edge)[: len(least)] == 0
-        own = (least[inside] & U64(0xFFFFFFFF)).astype(np.int64)
+        inside = np.ones(n, bool)
+        for a, b in zip(np.maximum(offsets[1:] - length + 1, offsets[:-1]).tolist(), offsets[1:].tolist()):
+            inside[a:b] = False
+        own = least[inside[: len(least)]]
         own = own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own
+        own = (own & U64(0xFFFFFFFF)).astype(np.int64)
         if length == min(lengths):
             at, reach = own, np.full(len(own), length)
         else:
@@ -93,7 +101,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...], gra
     row = np.searchsorted(offsets, at, "right") - 1
     lo, hi = np.maximum(at - (reach - gram), offsets[row]), np.minimum(at + reach, offsets[row + 1])
     raw, around = memoryview(np.ascontiguousarray(data)), np.empty(len(at), object)
-    around[:] = [_digest(raw[a:b], p - a, r) for a, b, p, r in zip(lo.tolist(), hi.tolist(), at.tolist(), reach.tolist())]
+    # As _digest, place by place.
+    salts = np.stack([at - lo, reach], 1).astype("<i8").tobytes()
+    around[:] = [hashlib.blake2b(raw[a:b], digest_size=16, salt=salts[k : k + 16]).digest() for a, b, k in zip(lo.tolist(), hi.tolist(), range(0, len(salts), 16))]
     return at, h[at], reach, around
 
 
