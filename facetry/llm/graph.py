@@ -48,24 +48,26 @@ def components(edges: DataFrame, contract: bool = True) -> DataFrame:
     suits few edges or ones that form stars. Every round ties the greater end of an edge to the least neighbour of its lesser
     end (large star), and a node's lesser neighbours to the least of them (small star), until each node has one lesser
     neighbour, and that none. Where each has one, the first step alone shortens all paths by half. The largest table is the
-    edge table, which never grows, and no node's neighbours are ever collected. The least neighbours are settled first, so
-    that a join has an exchange on either side and a node of many edges can be split. The test for the end reads what the
-    next round needs anyway."""
+    edge table, which never grows, so that its first size bounds the partitions of all, and no node's neighbours are ever
+    collected. The least neighbours are settled first, so that a join has an exchange on either side and a node of many edges
+    can be split. The test for the end reads what the next round needs anyway."""
     edges = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     edges = settled(edges.distinct().mapInPandas(contracted, "a long, b long") if contract else edges)
+    n = None
     while True:
         # Edges lead from a down to b.
         both = edges.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))))
         below = F.when(F.col("other") < F.col("node"), F.col("other"))
-        least = settled(both.groupBy("node").agg(F.min("other").alias("m"), F.max(below).alias("most"), F.max(F.col("other") > F.col("node")).alias("middle")))
+        least = settled(both.groupBy("node").agg(F.min("other").alias("m"), F.max(below).alias("most"), F.max(F.col("other") > F.col("node")).alias("middle"), F.count(below).alias("n")), n and 2 * n)
         tied = least.where("m < node")
-        forks, chains = tied.agg(F.coalesce(F.max(F.expr("m < most")), F.lit(False)), F.coalesce(F.max("middle"), F.lit(False))).first()
+        forks, chains, own = tied.agg(F.coalesce(F.max(F.expr("m < most")), F.lit(False)), F.coalesce(F.max("middle"), F.lit(False)), F.sum("n")).first()
         if not forks and not chains:
             return tied.select("node", F.col("m").alias("component"))
-        large = settled(edges.join(least.select(F.col("node").alias("b"), F.least("node", "m").alias("m")), "b").select("a", F.col("m").alias("b")))
+        n = n or own
+        large = settled(edges.join(least.select(F.col("node").alias("b"), F.least("node", "m").alias("m")), "b").select("a", F.col("m").alias("b")), n)
         if not forks:
             edges = large
             continue
-        down = settled(large.groupBy("a").agg(F.min("b").alias("m")))
+        down = settled(large.groupBy("a").agg(F.min("b").alias("m")), n)
         # Of a node's edges at least one leads to its least neighbour and stays; each other one goes on from its end.
-        edges = settled(large.join(down, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct())
+        edges = settled(large.join(down, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct(), n)

@@ -98,10 +98,11 @@ def candidate_groups(reps: DataFrame) -> DataFrame:
     """(rep, bands) -> (node, component): representatives that some chain of shared table keys ties together."""
     bands = reps.select("rep", F.posexplode("bands").alias("b", "value"))
     # Settled, so that the joins have exchanges of their own on both sides and a hot band or key can be split.
-    shared = settled(bands.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("value"))
+    n = reps.count()
+    shared = settled(bands.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("value"), BANDS * n)
     sides = bands.join(shared, "value").groupBy("rep").agg(F.collect_list(F.when(F.col("b") < BANDS, F.col("value"))).alias("left"), F.collect_list(F.when(F.col("b") >= BANDS, F.col("value"))).alias("right"))
     keys = settled(sides.select("rep", F.explode("left").alias("l"), "right").select("rep", "l", F.explode("right").alias("r")).select("rep", F.xxhash64("l", "r").alias("key")))
-    least = settled(keys.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("key", "least"))
+    least = settled(keys.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("key", "least"), keys.count() // 2)
     return components(keys.join(least, "key").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct(), contract=False)
 
 
@@ -153,8 +154,8 @@ def confirmed(docs: DataFrame, groups: DataFrame, key: str, text: str, percent:
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """One row per row of ``df``: ``key``, n_shingles, component_id, kept. Similarities count from ``percent``."""
     rows = settled(with_sketches(df, key, text))
-    classes = settled(rows.where("size > 0 and id is not null").groupBy("one", "two", "size").agg(F.min(F.struct("id", "bands")).alias("m")).select("one", "two", "size", F.col("m.id").alias("rep"), F.col("m.bands").alias("bands")))
-    groups = settled(candidate_groups(classes.select("rep", "bands")))
+    classes = settled(rows.where("size > 0 and id is not null").groupBy("one", "two", "size").agg(F.min(F.struct("id", "bands")).alias("m")).select("one", "two", "size", F.col("m.id").alias("rep"), F.col("m.bands").alias("bands")), rows.count())
+    groups = settled(candidate_groups(classes.select("rep", "bands")), classes.count())
     found = components(confirmed(df, groups, key, text, percent), contract=False)
     labels = classes.select("one", "two", "size", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("one", "two", "size", F.coalesce("component", "rep").alias("component_id"))
     joined = rows.select("id", "size", "one", "two").join(labels, ["one", "two", "size"], "left")

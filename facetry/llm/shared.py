@@ -27,10 +27,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
+#: Rows of a partition of a small settled table.
+ROWS = 8192
+
+
+def settled(df: DataFrame, most: int | None = None) -> DataFrame:
+    """The rows of ``df``, computed once and kept in the shared folder, so that a lost executor costs no recomputation.
+
+    ``most``: how many rows there are at most, where that is known. A small table then has as many partitions as these need
+    (two at least, so that joins still deal it out), however many there are for shuffles. Each is a file, and for each file
+    Hadoop's local file system has the executor begin processes that share its memory until they have their own."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if most is None else df.coalesce(max(2, -(-most // ROWS)))).checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:

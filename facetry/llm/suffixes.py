@@ -320,13 +320,13 @@ def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[first], hi[np.append(first[1:], len(lo)) - 1]
 
 
-def _homes(left: DataFrame) -> DataFrame:
-    """(h, home) of the anchors of (id, p, h): the least hash of those nearby, in any of its places; a home that would hold
+def _homes(left: DataFrame, n: int) -> DataFrame:
+    """(h, home) of the anchors of the n rows (id, p, h): the least hash of those nearby, in any of its places; a home that would hold
     more than ``HOME`` surroundings is left."""
     own = left.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("p", "h"))).alias("hits")).withColumn("g", F.transform("hits", lambda x: F.xxhash64(x["h"])))
     near = F.transform("hits", lambda x, i: F.struct(x["h"].alias("h"), F.array_min(F.slice("g", F.greatest(i + 1 - NEAR, F.lit(1)), 2 * NEAR + 1)).alias("home")))
-    homes = settled(own.select(F.inline(near)).groupBy("h").agg(F.min("home").alias("home"), F.count(F.lit(1)).alias("n")))
-    full = settled(homes.groupBy("home").agg(F.sum("n").alias("n")).where(F.col("n") > HOME).select("home", F.lit(True).alias("full")))
+    homes = settled(own.select(F.inline(near)).groupBy("h").agg(F.min("home").alias("home"), F.count(F.lit(1)).alias("n")), n)
+    full = settled(homes.groupBy("home").agg(F.sum("n").alias("n")).where(F.col("n") > HOME).select("home", F.lit(True).alias("full")), n // HOME)
     return homes.join(full, "home", "left").select("h", F.when(F.col("full"), F.col("h")).otherwise(F.col("home")).alias("home"))
 
 
@@ -344,16 +344,17 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     # The numbers are those of the stored rows, so that nothing computes them again. From here on they are the ids.
     named = stored(_scanned(df, key, text, lengths, gram).withColumnRenamed("id", "key").withColumn("id", F.monotonically_increasing_id()))
     # Settled or stored, so that the joins have exchanges of their own on both sides and a hot key can be split.
-    copies = settled(named.groupBy("sha").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    copies = settled(named.groupBy("sha").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1"), named.count() // 2)
     found = named.join(copies, "sha", "left").where("n is null or id = rep").select("id", "n_bytes", F.inline(F.arrays_zip("h", "x", "p", "r")))
     again = settled(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
     hits = stored(thinned(found, again, "h").join(again, "h"))
     kinds = stored(hits.groupBy("h", "x").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "p", "r")).alias("m")).select("h", "x", "n", "m.id", "m.p", "m.r"))
-    several = settled(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("d")).where("d > 1").select("h", (F.col("d") > HOT).alias("hot")))
+    several = settled(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("d")).where("d > 1").select("h", (F.col("d") > HOT).alias("hot")), kinds.count() // 2)
     left = stored(kinds.join(several, "h").select("h", "id", "p", "r", "hot"))
     same = stored(hits.join(settled(kinds.where("n > 1").select("h", "x")), ["h", "x"]).select("id", "p", "r", "n_bytes"))
-    shards = 1 + left.where("not hot").count() * PIECE_BYTES // SHARD_BYTES
-    dealt = left.join(settled(_homes(left.where("not hot"))), "h", "left").withColumn("shard", F.coalesce(F.pmod(F.xxhash64("home"), F.lit(shards)), F.lit(0)).cast("long"))
+    cold = left.where("not hot").count()
+    shards = 1 + cold * PIECE_BYTES // SHARD_BYTES
+    dealt = left.join(settled(_homes(left.where("not hot"), cold), cold), "h", "left").withColumn("shard", F.coalesce(F.pmod(F.xxhash64("home"), F.lit(shards)), F.lit(0)).cast("long"))
     marks = dealt.select("id", F.struct("h", "p", "r", "hot", "shard").alias("hit")).union(same.select("id").distinct().select("id", F.lit(None).alias("hit")))
     marked = settled(marks.groupBy("id").agg(F.collect_list("hit").alias("hits")))
     wanted = stored(thinned(named.select("id", "key", "sha"), marked, "id").join(marked, "id"))

@@ -23,6 +23,7 @@ from facetry.llm import induced, minhash, packing, pii, quality, scoring, shardi
 from facetry.llm.bpe import LONG, letter_classes, vocabulary
 from facetry.llm.graph import components
 from facetry.llm.ragged import text_bytes
+from facetry.llm.shared import shared_folder
 
 LIBRARY = Tokenizer.from_file(path("byte_bpe_50k.json"))
 
@@ -268,6 +269,29 @@ def test_components_take_few_stages(spark):
             assert sorted((r["node"], r["component"]) for r in got.collect()) == wanted
 
 
+def test_small_tables_settle_in_few_files(spark):
+    """However many partitions shuffles have: for every file Hadoop's local file system begins processes."""
+    wide = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in wide}
+    folder = shared_folder(spark).removeprefix("file://")
+    files = lambda: sum(n.startswith("part-") for _, _, names in os.walk(folder) for n in names)
+    edges = [(k, k + 1) for k in range(0, 40, 2)] + [(100 + k, 101 + k) for k in range(30)] + [(200, 200 + k) for k in range(1, 300)]
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(4)
+    try:
+        for k, v in wide.items():
+            spark.conf.set(k, v)
+        had = files()
+        found = components(frame)
+        made = files() - had
+        got = {r["node"]: r["component"] for r in found.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {**{k + 1: k for k in range(0, 40, 2)}, **{101 + k: 100 for k in range(30)}, **{200 + k: 200 for k in range(1, 300)}}
+    # The edges as they come have a file for each partition; what follows has two a table.
+    assert made < 3 * 40
+
+
 def test_cells_yield_stars():
     sets = [{1, 2, 3, 4}, {9}, {1, 2, 3}, {2, 3, 4}, {9, 10}, {9, 10}]
     rows = np.concatenate([[i] * len(s) for i, s in enumerate(sets)])
