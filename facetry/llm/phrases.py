@@ -13,7 +13,8 @@ they are exchanged, so that a frequent passage costs a row for each task.
 
 Scores, cuts and the removal of contained candidates are joins over the frequent phrases only. The list of the longest
 prefixes and the list of words by rank are broadcast: both have at most ``LISTED`` entries, since the budget rises with the
-corpus. Working memory follows ``chunks`` of text; a longer text is cut where a piece ends.
+corpus. Working memory follows ``chunks`` of text and ``HELD``, and rows leave a task in batches of ``SENT``, which Spark reads
+whole; a longer text is cut where a piece ends.
 
 A null text has no words, a null language is ``und``. Rows count as often as they stand in the table; ids and other
 columns are ignored; ties go to the phrase that is first in bytes; an empty table gives no rows.
@@ -28,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from facetry.llm.ragged import U64, give_back, mix, spread, text_bytes, word_hashes
+from facetry.llm.ragged import U64, chunks, give_back, mix, text_bytes, word_hashes
 from facetry.llm.shared import partitions, settled, stored, table
 
 DEPTH, LEAST, PERCENT, SHOWN = 4, 30, 80, 2000
 #: Suffixes of a group; entries of a broadcast list; bits of the bitmap; bytes of text worked on at once; rows kept in a task
-#: before they are counted and sent on.
-BUDGET, LISTED, BITS, CHUNK, HELD = 1 << 20, 1 << 20, 1 << 26, 1 << 22, 1 << 20
+#: before they are counted and sent on; rows sent at once.
+BUDGET, LISTED, BITS, CHUNK, HELD, SENT = 1 << 20, 1 << 20, 1 << 26, 1 << 22, 1 << 20, 1 << 16
 #: No word, and the first code that is not a rank.
 NONE, HASHED = -1, 1 << 62
 LOWER = np.arange(256, dtype=np.uint8)
@@ -81,28 +82,34 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     tail[inner - 1] = solid[inner - 1]
     starts = np.flatnonzero(head)
     row = np.searchsorted(offsets, starts, "right") - 1
-    piece = np.cumsum(ENDS[data])[starts] if len(starts) else starts
+    piece = np.searchsorted(np.flatnonzero(ENDS[data]), starts)
     same = np.zeros(len(starts), bool)
     same[:-1] = (row[1:] == row[:-1]) & (piece[1:] == piece[:-1])
     return starts, np.flatnonzero(tail) + 1 - starts, row, same
 
 
-def spelled(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.DictionaryArray:
-    """The words, each distinct one once: exact, by their bytes."""
+def spelled(data: np.ndarray, lengths: np.ndarray) -> pa.DictionaryArray:
+    """The words, each distinct one once: exact, by their bytes, which are all that are not blank."""
     ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-    body = data[spread(starts, lengths)].tobytes()
-    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(body)]).dictionary_encode()
+    body = data[~BLANK[data]]
+    return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(body)]).dictionary_encode()
 
 
 def read(batch: pa.RecordBatch, lang: str, text: str):
     """For each segment: languages, and of each word its language (by number), spelling and whether the next is in its piece."""
-    langs = batch.column(lang).fill_null("und").dictionary_encode()
-    of_row, names = langs.indices.to_numpy(zero_copy_only=False), langs.dictionary.to_pylist()
-    data, offsets = text_bytes(batch.column(text))
-    for part, own, rows in segments(LOWER[data] if len(data) else data, offsets):
-        starts, lengths, row, same = words(part, own)
-        if len(starts):
-            yield names, of_row[rows][row], spelled(part, starts, lengths), same, part
+
+    def parsed(part: np.ndarray, own: np.ndarray, of_row: np.ndarray):
+        part = LOWER[part]
+        _, lengths, row, same = words(part, own)
+        return of_row[row], spelled(part, lengths), same
+
+    for some in chunks(batch, text, CHUNK):
+        langs = some.column(lang).fill_null("und").dictionary_encode()
+        of_row, names = langs.indices.to_numpy(zero_copy_only=False), langs.dictionary.to_pylist()
+        for part, own, rows in segments(*text_bytes(some.column(text))):
+            of, held, same = parsed(part, own, of_row[rows])
+            if len(of):
+                yield names, of, held, same
 
 
 def word_counts(docs: DataFrame, lang: str, text: str) -> DataFrame:
@@ -110,7 +117,7 @@ def word_counts(docs: DataFrame, lang: str, text: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for names, of, held, _, _ in read(batch, lang, text):
+            for names, of, held, _ in read(batch, lang, text):
                 at = held.indices.to_numpy().astype(np.int64) * len(names) + of
                 pair, n = np.unique(at, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in (pair % len(names)).tolist()], pa.string()), held.dictionary.take(pa.array(pair // len(names))).cast(pa.binary()).cast(pa.string()), pa.array(n)], names=["lang", "word", "n"])
@@ -162,39 +169,74 @@ def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(mix(unsigned(a)) * U64(0x9E3779B97F4A7C15) + unsigned(b))
 
 
-def summed(keys: list[np.ndarray], n: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
-    """Equal rows of the columns ``keys``, added up as far as a sort by a hash brings them together."""
-    h = unsigned(keys[0]) if len(keys) == 1 else pair_keys(keys[0], keys[1])
-    for k in keys[2:]:
-        h = mix(h + unsigned(k) * U64(0x9E3779B97F4A7C15))
-    order = np.argsort(h)
-    del h
-    keys = [k[order] for k in keys]
-    head = np.ones(len(order), bool)
-    head[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+def joined(held: tuple[list[np.ndarray], ...]) -> list[np.ndarray]:
+    """The columns whose parts ``held`` has; it is emptied, so that few of them are there twice."""
+    columns = []
+    for parts in held:
+        columns.append(np.concatenate(parts))
+        parts.clear()
+    return columns
+
+
+def summed(keys: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Equal rows of the columns ``keys``, counted as far as a sort by a hash brings them together. The list gets the result."""
+    if len(keys) == 1:
+        keys[0] = np.sort(keys[0])
+    else:
+        h = pair_keys(keys[0], keys[1])
+        for k in keys[2:]:
+            h = mix(h + unsigned(k) * U64(0x9E3779B97F4A7C15))
+        order = np.argsort(h)
+        del h
+        for i in range(len(keys)):
+            keys[i] = keys[i][order]
+        del order
+    head = np.zeros(len(keys[0]), bool)
+    head[:1] = True
+    for k in keys:
+        head[1:] |= k[1:] != k[:-1]
     at = np.flatnonzero(head)
-    total = np.diff(np.append(at, len(order))) if n is None else np.add.reduceat(n[order], at) if len(at) else n[:0]
-    return [k[at] for k in keys], total
+    total = np.diff(np.append(at, len(head)))
+    for i in range(len(keys)):
+        keys[i] = keys[i][at]
+    return keys, total
+
+
+def among(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)
+    return sorted_[at] == x if len(sorted_) else np.zeros(len(x), bool)
+
+
+def slices(rows: int) -> Iterator[slice]:
+    """What is sent at once of so many rows. Freed memory goes back at the end: no later part of the text does it."""
+    for at in range(0, rows, SENT):
+        yield slice(at, at + SENT)
+    give_back()
 
 
 def pair_counts(docs: DataFrame, lang: str, text: str, codes) -> DataFrame:
     """(pair, n): occurrences of adjacent words that may be frequent, by a hash of the two."""
 
+    def sent(held):
+        (pair,), n = summed(joined(held))
+        for s in slices(len(n)):
+            yield pa.RecordBatch.from_arrays([pa.array(pair[s]), pa.array(n[s])], names=["pair", "n"])
+
+    def keys(code, same):
+        on = np.flatnonzero(same[:-1] & (code[:-1] != NONE) & (code[1:] != NONE))
+        return pair_keys(code[on], code[on + 1]).view(np.int64)
+
     def run(batches):
-        held, rows = [], 0
+        held, rows = ([],), 0
         for batch in batches:
-            for names, of, found, same, _ in read(batch, lang, text):
-                code = codes.value.of(names, of, found)
-                on = np.flatnonzero(same[:-1] & (code[:-1] != NONE) & (code[1:] != NONE))
-                held.append(pair_keys(code[on], code[on + 1]).view(np.int64))
-                rows += len(on)
+            for names, of, found, same in read(batch, lang, text):
+                held[0].append(keys(codes.value.of(names, of, found), same))
+                rows += len(held[0][-1])
                 if rows >= 2 * HELD:
-                    (pair,), n = summed([np.concatenate(held)])
-                    yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], names=["pair", "n"])
-                    held, rows = [], 0
+                    yield from sent(held)
+                    rows = 0
         if rows:
-            (pair,), n = summed([np.concatenate(held)])
-            yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], names=["pair", "n"])
+            yield from sent(held)
 
     return docs.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
@@ -215,40 +257,44 @@ def suffixes(docs: DataFrame, lang: str, text: str, codes, frequent, over_words,
     """(group, a, b, c, d, n): suffixes of two words or more, cut after their last frequent pair; missing words are ``NONE``."""
 
     def sent(held):
-        columns, n = summed([np.concatenate(c) for c in zip(*held)])
-        columns = [c.astype(np.int64, copy=False) for c in columns]
-        a, b = columns[:2]
-        prefix = mix(unsigned(a))
-        long = np.isin(a, over_words.value)
-        both = pair_keys(a, b)
-        prefix[long] = both[long]
-        whole = long & np.isin(both.view(np.int64), over_pairs.value)
-        rest = mix(mix(both + unsigned(columns[2])) + unsigned(columns[3]))
-        prefix[whole] = rest[whole]
-        group = (prefix % U64(groups)).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (group, *columns, n)], names=["g", "a", "b", "c", "d", "n"])
+        all_, counts = summed(joined(held))
+        for s in slices(len(counts)):
+            columns = [c[s].astype(np.int64, copy=False) for c in all_]
+            a, b = columns[:2]
+            prefix = mix(unsigned(a))
+            long = among(a, over_words.value)
+            both = pair_keys(a, b)
+            prefix[long] = both[long]
+            whole = long & among(both.view(np.int64), over_pairs.value)
+            rest = mix(mix(both + unsigned(columns[2])) + unsigned(columns[3]))
+            prefix[whole] = rest[whole]
+            group = (prefix % U64(groups)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (group, *columns, counts[s])], names=["g", "a", "b", "c", "d", "n"])
+
+    def cut(code, same):
+        go = np.zeros(len(code) + DEPTH, bool)
+        on = np.flatnonzero(same[:-1] & (code[:-1] != NONE) & (code[1:] != NONE))
+        place = pair_keys(code[on], code[on + 1]).view(np.int64) % BITS
+        go[on] = frequent.value[place >> 3] >> (place & 7).astype(np.uint8) & 1
+        at = np.flatnonzero(go)
+        # Ranks fit into 32 bits, which lets twice as many suffixes be counted together.
+        padded = np.append(code, [NONE] * DEPTH).astype(np.int64 if codes.value.others else np.int32)
+        third = go[at + 1]
+        fourth = third & go[at + 2]
+        return padded[at], padded[at + 1], np.where(third, padded[at + 2], NONE), np.where(fourth, padded[at + 3], NONE)
 
     def run(batches):
-        held, rows = [], 0
+        held, rows = ([], [], [], []), 0
         for batch in batches:
-            for names, of, found, same, _ in read(batch, lang, text):
-                code = codes.value.of(names, of, found)
-                go = np.zeros(len(code) + DEPTH, bool)
-                on = np.flatnonzero(same[:-1] & (code[:-1] != NONE) & (code[1:] != NONE))
-                place = pair_keys(code[on], code[on + 1]).view(np.int64) % BITS
-                go[on] = frequent.value[place >> 3] >> (place & 7).astype(np.uint8) & 1
-                at = np.flatnonzero(go)
-                # Ranks fit into 32 bits, which lets twice as many suffixes be counted together.
-                padded = np.append(code, [NONE] * DEPTH).astype(np.int64 if codes.value.others else np.int32)
-                third = go[at + 1]
-                fourth = third & go[at + 2]
-                held.append((padded[at], padded[at + 1], np.where(third, padded[at + 2], NONE), np.where(fourth, padded[at + 3], NONE)))
-                rows += len(at)
+            for names, of, found, same in read(batch, lang, text):
+                for column, part in zip(held, cut(codes.value.of(names, of, found), same)):
+                    column.append(part)
+                rows += len(held[0][-1])
                 if rows >= HELD * (1 if codes.value.others else 2):
-                    yield sent(held)
-                    held, rows = [], 0
+                    yield from sent(held)
+                    rows = 0
         if rows:
-            yield sent(held)
+            yield from sent(held)
 
     return docs.mapInArrow(run, "g int, a long, b long, c long, d long, n long")
 

@@ -2,13 +2,17 @@
 
 import math
 import random
+import re
 import tempfile
+import tracemalloc
 from collections import Counter
 from decimal import Decimal
 from fractions import Fraction
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from facetry.llm import phrases, vectors, warc, whitening
@@ -166,6 +170,50 @@ def test_long_texts_are_cut_between_pieces():
     assert all(p.tobytes()[-1:] == b"." for p, _, _ in parts[:-2])
 
 
+class Caught:
+    """Stands for a table, to run a task's function here."""
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+    def groupBy(self, *keys):
+        return self
+
+    agg = groupBy
+
+
+@pytest.mark.parametrize("step", ["pairs", "suffixes"])
+def test_tasks_hold_and_send_little(spark, step):
+    turn, value = np.random.default_rng(3), lambda x: SimpleNamespace(value=x)
+    known = np.array([f"word{i}" for i in range(3000)])
+    texts = [" ".join(known[turn.integers(3000, size=1000)]) for _ in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(texts)], names=["lang", "text"])
+    codes = value(phrases.Codes(phrases.hashes(pa.array(known), ["en"], np.zeros(len(known), int), 0), False, 0))
+    over = np.array([5, 7]), np.sort(phrases.pair_keys(np.arange(99), np.arange(99) + 1).view(np.int64))
+    found = phrases.pair_counts(Caught(), "lang", "text", codes) if step == "pairs" else phrases.suffixes(Caught(), "lang", "text", codes, value(np.full(phrases.BITS // 8, 255, np.uint8)), *map(value, over), 9)
+    total, longest = 0, 0
+    tracemalloc.start()
+    try:
+        for out in found.run(iter([batch])):
+            total, longest = total + int(out.column("n").to_numpy().sum()), max(longest, out.num_rows)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert total == len(texts) * 999 and longest <= phrases.SENT
+    # Numpy's own: the parts of HELD rows once and sorted, and what a chunk of text takes.
+    assert peak < 120e6
+
+
+@pytest.mark.parametrize("text", ["", " ,", "a", "a,b", ",a b,,c d e,", "é\tA b.\nc"])
+def test_pieces_and_spellings(text):
+    parts = [p for p in re.split("[.,;:!?\n-\r]", text.lower())]
+    wanted = [(w, i + 1 < len(ws)) for ws in (re.findall("[^ \t]+", p) for p in parts) for i, w in enumerate(ws)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["x", None, "x"]), pa.array([text, None, text])], names=["lang", "text"])
+    got = [(names[i], w.decode(), bool(k)) for names, of, held, same in phrases.read(batch, "lang", "text") for i, w, k in zip(of, held.to_pylist(), same)]
+    assert got == [("x", *w) for w in wanted * 2]
+
+
 def brute_phrases(spark, folder):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from read_parquet('{folder}/documents.parquet/*.parquet')")
