@@ -74,7 +74,8 @@ class Engine:
         if pointer is None:
             raise NotFound(f"no published index below {root}")
         version = pointer["version"]
-        return Engine(store.load(spark, root, version), version, read_formats(spark, formats) if formats else None, root, store.ranged(spark, root, version))
+        parted = store.ranged(spark, root, version)
+        return Engine(store.load(spark, root, version, parted), version, read_formats(spark, formats) if formats else None, root, parted)
 
     def _take(self, index: dict[str, DataFrame], version: int, ranged: dict[str, Ranged] | None = None) -> None:
         self.index, self.version, self.ranged = index, version, ranged or {}
@@ -102,7 +103,8 @@ class Engine:
         if pointer is None or pointer["version"] <= self.version:
             return False
         version = pointer["version"]
-        self._take(store.load(self.spark, self.root, version), version, store.ranged(self.spark, self.root, version))
+        parted = store.ranged(self.spark, self.root, version)
+        self._take(store.load(self.spark, self.root, version, parted), version, parted)
         self.collections = Collections()
         for members, _ in self._resolved.values():
             members.unpersist()
@@ -175,10 +177,18 @@ class Engine:
         other = [r["canonical"] for r in self.index["aliases"].where(F.col("alias").isin(*ids)).select("canonical").distinct().collect()] if ids else []
         return self.ranged["occurrences"].with_keys(sorted({*ids, *other}))
 
+    def _without_gaps(self, r: Request) -> bool:
+        """Gaps hold no number, faction or ability: only requests without such filters need them."""
+        return bool(r.stats or r.factions or any(r.effects) or r.support)
+
+    def _rows(self, r: Request, indices: list[int]) -> DataFrame:
+        """Whole rows of the named cards: of a published index, from the parts that hold them."""
+        if self._without_gaps(r) and "cards" in self.ranged:
+            return self.ranged["cards"].with_keys(indices)
+        return (self.index["cards"] if self._without_gaps(r) else self.cards).where(F.col("card_index").isin(*indices))
+
     def matching(self, r: Request) -> DataFrame:
-        # Gaps hold no number, faction or ability: only requests without such filters need them.
-        held = r.stats or r.factions or any(r.effects) or r.support
-        cards = self.index["cards"] if held else self.cards
+        cards = self.index["cards"] if self._without_gaps(r) else self.cards
         return conjunction(cards, r, self._occurrences([i for _, i, _ in r.ids()]), self.index["families"], self.index["aliases"].select("alias", "canonical"), self._members(r))
 
     def cards_of(self, query: str | Request) -> Answer:
@@ -186,15 +196,17 @@ class Engine:
         r = self.request(query)
         if self._matches is not None:
             self._matches.unpersist()
-        matches = self._matches = self.matching(r).persist()
+        # Which cards match, and their families, are kept; the other columns are read for those that are shown.
+        matches = self._matches = self.matching(r).select("card_index", "family_id").persist()
         total = matches.count()
         if r.with_families and r.cursor is None:
             facet = results.family_facet(matches, self.index["families"])
-            shown = matches.join(facet.select(F.col("first_card").alias("card_index")), "card_index", "left_semi")
+            # A card a family: few, as families are.
+            shown = self._rows(r, sorted(x["first_card"] for x in facet.select("first_card").distinct().collect()))
             return Answer(self._objects(shown, r.debug), total, None, facet.orderBy("range_start"))
         rows = results.page(matches, r.cursor, r.limit)
         indices = [x["card_index"] for x in rows.select("card_index").collect()]
-        some = matches.where(F.col("card_index").isin(*indices)) if indices else rows
+        some = self._rows(r, indices)
         return Answer(self._objects(some, r.debug), total, results.next_cursor(indices, r.limit))
 
     def _objects(self, cards: DataFrame, debug: bool = False) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetry.errors import InvalidData
 from facetry.functions.references import faction_code, family_id, family_order, reference, set_code
 from facetry.functions.text import has_no_break_space, in_locale, one_space, small_number
+from facetry.sources.scratch import settled, stored, thinned, tidy
 
 STAT_ELEMENTS = {"main_cost": "MAIN_COST", "recall_cost": "RECALL_COST", "mountain_power": "MOUNTAIN_POWER", "ocean_power": "OCEAN_POWER", "forest_power": "FOREST_POWER"}
 TYPES = ("TRIGGER", "CONDITION", "OUTPUT")
@@ -21,8 +24,12 @@ SLOT_IDS = 65536
 def families_of(cards: DataFrame) -> DataFrame:
     """One row per (source_set, faction, family_number): max_unique_id, card_count, start_bit and what its first card says."""
     keys = ["source_set", "faction", "family_number"]
-    first = [F.min_by(c, F.col("unique_id")).alias(c) for c in ("name_map", "artist", "card_sub_types", "card_set") if c in cards.columns]
-    return placed(cards.groupBy(*keys).agg(F.max("unique_id").alias("max_unique_id"), F.count(F.lit(1)).alias("card_count"), *first))
+    sizes = settled(cards.groupBy(*keys).agg(F.max("unique_id").alias("max_unique_id"), F.count(F.lit(1)).alias("card_count"), F.min("unique_id").alias("_first")))
+    # Only numbers are compared among all cards; what the first one says is looked up.
+    said = [c for c in ("name_map", "artist", "card_sub_types", "card_set") if c in cards.columns]
+    one = sizes.select(*keys, F.col("_first").alias("unique_id"))
+    first = cards.join(F.broadcast(one), [*keys, "unique_id"], "left_semi").groupBy(*keys).agg(*(F.first(c).alias(c) for c in said)) if said else None
+    return placed((sizes.join(first, keys, "left") if said else sizes).drop("_first"))
 
 
 def placed(families: DataFrame) -> DataFrame:
@@ -35,15 +42,24 @@ def placed(families: DataFrame) -> DataFrame:
 
 def indexed(cards: DataFrame, families: DataFrame) -> DataFrame:
     """Adds card_index, family_id and reference."""
-    span = families.select("source_set", "faction", "family_number", "start_bit", "family_id")
-    joined = cards.join(span, ["source_set", "faction", "family_number"])
+    joined = cards.join(spans_of(families), ["source_set", "faction", "family_number"])
     ref = reference(F.col("source_set"), F.col("faction"), F.col("family_number"), F.col("unique_id"))
     return joined.withColumn("card_index", F.col("start_bit") + F.col("unique_id") - 1).withColumn("reference", ref).drop("start_bit")
 
 
+def spans_of(families: DataFrame) -> DataFrame:
+    """What places a card: a row a family, sent to every task, so that cards and documents stay where they are."""
+    return F.broadcast(families.select("source_set", "faction", "family_number", "start_bit", "family_id"))
+
+
 def check_unique(cards: DataFrame) -> None:
-    """Raises if a unique number occurs twice in a family."""
-    twice = cards.groupBy("source_set", "faction", "family_number", "unique_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").first()
+    """Raises if a unique number occurs twice in a family. ``cards`` may have the card_index, which stands for all keys."""
+    keys = ["source_set", "faction", "family_number", "unique_id"]
+    by, rest = (["card_index"], keys) if "card_index" in cards.columns else (keys, [])
+    with tidy(cards.sparkSession):
+        twice = cards.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1").first()
+        if twice and rest:
+            twice = cards.where(F.col("card_index") == twice["card_index"]).first()
     if twice:
         raise InvalidData(f"duplicate unique id {twice['unique_id']} in {twice['faction']}_{twice['family_number']}")
 
@@ -68,13 +84,15 @@ def _slot(abilities: Column, kind: str) -> Column:
     return F.coalesce(F.try_element_at(ids, F.lit(1)), F.lit(0)).cast("int")
 
 
-def slots() -> list[Column]:
-    """m1, m2, m3, ec: structs (t, c, o) of the first id of each type; of a repeated element the last counts."""
-    empty = F.array().cast("array<struct<idGd:bigint,type:string,text:string,translations:map<string,struct<locale:string,text:string>>>>")
-    main = F.try_element_at(F.transform(_elements("MAIN_EFFECT"), _effects), F.lit(-1))
-    echo = F.try_element_at(F.transform(_elements("ECHO_EFFECT"), _effects), F.lit(-1))
-    groups = [F.coalesce(F.try_element_at(main, F.lit(i)), empty) for i in (1, 2, 3)] + [F.coalesce(F.flatten(echo), empty)]
-    return [F.struct(*(_slot(g, kind).alias(kind[0].lower()) for kind in TYPES)).alias(name) for g, name in zip(groups, GROUPS)]
+def with_slots(documents: DataFrame) -> DataFrame:
+    """Adds m1, m2, m3, ec: structs (t, c, o) of the first id of each type; of a repeated element the last counts. Elements and
+    lines are columns of their own on the way: Spark would evaluate them again for each slot."""
+    empty = F.array().cast("array<struct<idGd:bigint,type:string>>")
+    ids = lambda displays: F.transform(displays, lambda d: F.transform(d, lambda a: F.struct(a["idGd"].alias("idGd"), a["type"].alias("type"))))
+    own = {f"_{kind}": ids(_effects(F.try_element_at(_elements(f"{kind}_EFFECT"), F.lit(-1)))) for kind in ("MAIN", "ECHO")}
+    lines = {f"_{g}": F.coalesce(F.try_element_at("_MAIN", F.lit(i + 1)) if g != "ec" else F.flatten("_ECHO"), empty) for i, g in enumerate(GROUPS)}
+    found = {g: F.struct(*(_slot(F.col(f"_{g}"), kind).alias(kind[0].lower()) for kind in TYPES)) for g in GROUPS}
+    return documents.withColumns(own).withColumns(lines).withColumns(found).drop(*own, *lines)
 
 
 def names(name: Column, translations: Column) -> Column:
@@ -99,16 +117,17 @@ def sub_types() -> Column:
 def card_table(documents: DataFrame) -> DataFrame:
     """Stats, faction code (of the document, not of the path), slots and family metadata of each document."""
     own_set = F.struct(F.col("cardSet.reference").alias("reference"), F.col("cardSet.name").alias("name"), set_code(F.col("cardSet.reference")).alias("code"))
-    return documents.select(
+    return with_slots(documents).select(
         "source_set", "faction", "family_number", "unique_id", faction_code(F.col("mainFaction.reference")).alias("faction_code"), *(stat_value(kind).alias(c) for c, kind in STAT_ELEMENTS.items()),
-        *slots(), names(F.col("name"), F.col("translations")).alias("name_map"), F.coalesce(F.col("illustrator.nickName"), F.lit("")).alias("artist"), sub_types().alias("card_sub_types"), own_set.alias("card_set"),
+        *GROUPS, names(F.col("name"), F.col("translations")).alias("name_map"), F.coalesce(F.col("illustrator.nickName"), F.lit("")).alias("artist"), sub_types().alias("card_sub_types"), own_set.alias("card_set"),
     )
 
 
 def occurrence_table(documents: DataFrame) -> DataFrame:
     """(keys, line, id_gd, element_type, translations, at): every ability of every display. line: m1 to m3 for the first three
-    displays of a main effect, ec for an echo effect, null elsewhere; at: its place in the document."""
-    keys = ["source_set", "faction", "family_number", "unique_id"]
+    displays of a main effect, ec for an echo effect, null elsewhere; at: its place in the document. keys: the card_index, where
+    the documents have it."""
+    keys = ["card_index"] if "card_index" in documents.columns else ["source_set", "faction", "family_number", "unique_id"]
     elements = documents.select(*keys, F.posexplode("cardElements").alias("i", "e"))
     displays = elements.select(*keys, "i", F.col("e.cardElementType.reference").alias("kind"), F.posexplode("e.cardEffectDisplays").alias("j", "d"))
     abilities = displays.select(*keys, "i", "j", "kind", F.posexplode("d.cardEffect.cardEffectElements").alias("k", "a"))
@@ -135,8 +154,41 @@ def _posted(mask: str) -> list[Column]:
 
 def posting_counts(occurrences: DataFrame) -> DataFrame:
     """Per id: on which kinds of line it stands, and how many cards have it, in all and by line. A card's lines are first
-    joined to one mask, so that no row is repeated for each of the counts."""
-    return occurrences.groupBy("id_gd", "card_index").agg(F.bit_or(_line_bit()).alias("mask")).groupBy("id_gd").agg(*_posted("mask"))
+    joined to one mask, so that no row is repeated for each of the counts; tables of :func:`masked` have it."""
+    masks = occurrences if "mask" in occurrences.columns else occurrences.groupBy("id_gd", "card_index").agg(F.bit_or(_line_bit()).alias("mask"))
+    return masks.groupBy("id_gd").agg(*_posted("mask"))
+
+
+def masked(occurrences: DataFrame, aliases: DataFrame, keep: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
+    """Occurrences with canonical ids, those that become equal once: a row (id_gd, card_index, mask) for each id of a card, with
+    a bit for each line, the last for no line. Stored, where postings and counts both start from it."""
+    bit = F.when(F.col("line").isNull(), 1 << len(GROUPS)).otherwise(_line_bit())
+    joined = occurrences.select("card_index", "id_gd", bit.alias("mask")).join(aliases.select("alias", "canonical"), F.col("id_gd") == F.col("alias"), "left")
+    named = joined.select(F.coalesce("canonical", "id_gd").alias("id_gd"), "card_index", "mask")
+    return keep(named.groupBy("id_gd", "card_index").agg(F.bit_or("mask").alias("mask")))
+
+
+def unmasked(masks: DataFrame) -> DataFrame:
+    """(card_index, line, id_gd) of a table of :func:`masked`."""
+    each = masks.select("card_index", "id_gd", "mask", F.explode(F.array(*map(F.lit, range(len(GROUPS) + 1)))).alias("i"))
+    line = F.lit(None).cast("string")
+    for i, g in enumerate(GROUPS):
+        line = F.when(F.col("i") == i, g).otherwise(line)
+    return each.where(F.expr("shiftright(mask, i) & 1 = 1")).select("card_index", line.alias("line"), "id_gd")
+
+
+def first_seen(occurrences: DataFrame, keep: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
+    """(id_gd, element_type, translations) of where an id is first seen (by card_index, then place). The first card of each id
+    is found by numbers alone; only occurrences on first cards are dealt out with their texts."""
+    first = keep(occurrences.groupBy("id_gd").agg(F.min("card_index").alias("card_index")))
+    own = thinned(occurrences.select("id_gd", "card_index", "element_type", "translations", "at"), first, "id_gd", "card_index")
+    said = own.join(first, ["id_gd", "card_index"], "left_semi").groupBy("id_gd").agg(F.min_by(F.struct("element_type", "translations"), "at").alias("said"))
+    return keep(said.select("id_gd", "said.*"))
+
+
+def lazy(df: DataFrame) -> DataFrame:
+    """For ``keep``: a table that is computed where it is used."""
+    return df
 
 
 def ability_table(occurrences: DataFrame) -> DataFrame:
@@ -168,28 +220,37 @@ def collapsed(occurrences: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def remapped_slots(cards: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Slot ids replaced by canonical ids, by one pass over (card, slot) pairs."""
-    pairs = cards.select("card_index", F.explode(F.array(*(F.struct(F.lit(f"{g}_{t}").alias("slot"), F.col(f"{g}.{t}").alias("id")) for g in GROUPS for t in "tco"))).alias("p")).select("card_index", "p.*").where("id <> 0")
-    moved = pairs.join(aliases, pairs["id"] == aliases["alias"]).groupBy("card_index").agg(F.map_from_entries(F.collect_list(F.struct("slot", F.col("canonical").cast("int")))).alias("_to"))
-    joined = cards.join(moved, "card_index", "left")
-    new = {g: F.struct(*(F.coalesce(F.try_element_at("_to", F.lit(f"{g}_{t}")), F.col(f"{g}.{t}")).alias(t) for t in "tco")) for g in GROUPS}
-    return joined.withColumns(new).drop("_to")
+    """Slot ids replaced by canonical ids. Slots hold ids below ``SLOT_IDS``, so only so many aliases can meet one: these are
+    sent to every task, once for all slots, and no card moves."""
+    few = aliases.where(F.col("alias").between(1 - SLOT_IDS, SLOT_IDS - 1) & (F.col("alias") != 0)).select("alias", F.col("canonical").cast("int").alias("canonical"))
+    joined = cards
+    for g in GROUPS:
+        for t in "tco":
+            joined = joined.join(F.broadcast(few.select(F.col("alias").alias("_id"), F.col("canonical").alias(f"_{g}{t}"))), F.col(f"{g}.{t}") == F.col("_id"), "left").drop("_id")
+    new = {g: F.struct(*(F.coalesce(F.col(f"_{g}{t}"), F.col(f"{g}.{t}")).alias(t) for t in "tco")) for g in GROUPS}
+    return joined.withColumns(new).drop(*(f"_{g}{t}" for g in GROUPS for t in "tco"))
 
 
 def build(documents: DataFrame, collapse: bool = True) -> dict[str, DataFrame]:
     """cards, families, occurrences, abilities and aliases of the documents of one set."""
     cards = card_table(documents)
-    check_unique(cards)
-    families = families_of(cards)
-    keys = ["source_set", "faction", "family_number", "unique_id"]
+    families = settled(families_of(cards))
+    # An index is known from the family's span, so that no document moves to find its card.
+    spans = spans_of(families)
+    located = documents.join(spans, ["source_set", "faction", "family_number"]).withColumn("card_index", F.col("start_bit") + F.col("unique_id") - 1).drop("start_bit", "family_id")
+    check_unique(located)
     cards = indexed(cards, families).drop("name_map", "artist", "card_sub_types", "card_set")
-    placed = occurrence_table(documents).join(cards.select(*keys, "card_index"), keys)
-    abilities = ability_table(placed)
-    aliases = aliases_of(abilities) if collapse else abilities.select(F.col("id_gd").alias("alias"), F.col("id_gd").alias("canonical")).where("false")
-    occurrences = collapsed(placed, aliases)
+    placed = occurrence_table(located)
     if collapse:
-        abilities = abilities.select("id_gd", "element_type", "translations").join(posting_counts(occurrences), "id_gd")
-        cards = remapped_slots(cards, aliases)
+        abilities = first_seen(placed)
+        aliases = stored(aliases_of(abilities))
+        masks = masked(placed, aliases)
+        abilities = abilities.join(posting_counts(masks), "id_gd")
+        cards, occurrences = remapped_slots(cards, aliases), unmasked(masks)
+    else:
+        abilities = first_seen(placed, lazy).join(posting_counts(placed), "id_gd")
+        aliases = abilities.select(F.col("id_gd").alias("alias"), F.col("id_gd").alias("canonical")).where("false")
+        occurrences = placed.select("card_index", "line", "id_gd").distinct()
     abilities = abilities.join(duplicates_of(aliases), F.col("id_gd") == F.col("canonical"), "left").drop("canonical")
     return {"cards": cards, "families": families.withColumnRenamed("name_map", "name"), "occurrences": occurrences, "abilities": abilities, "aliases": aliases}
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from facetry.operators.ingest import STAT_ELEMENTS, aliases_of, indexed, placed
 from facetry.sources.cards import FIELDS, SCHEMA
+from facetry.sources.scratch import stored
 
 SEGMENTS = {"AUTOMOBILE": "AX", "BUILDING": "BR", "FURNITURE": "LY", "HOUSEHOLD": "MU", "MACHINERY": "OR"}
 SETS = {"F": "CORE", "O": "COREKS", "P": "ALIZE"}
@@ -99,12 +100,14 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     files gives them. The first three lines are displays of a main effect, the fourth an echo effect, any other a fourth
     display."""
     kind = "array<struct<at:struct<l_suppkey:bigint,l_partkey:bigint>,id_gd:bigint,element_type:string,text:string>>"
-    ability = F.struct("at", "id_gd", "element_type", "text")
     given = lambda x: F.create_map(F.lit("en_US"), F.struct(F.lit("en_US").alias("locale"), x["text"].alias("text")))
     atom = lambda x: F.struct(x["id_gd"].alias("idGd"), x["element_type"].alias("type"), x["text"].alias("text"), given(x).alias("translations"))
-    lines = occurrences(spark, folder).join(abilities(spark, folder).select("id_gd", "element_type", "text"), "id_gd")
+    # Numbers and the text are dealt out, once; a card's lines meet in its own task.
+    numbers = read(spark, folder, "lineitem").select(F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("n"), "l_suppkey", F.col("l_partkey").alias("id_gd"))
+    lines = numbers.join(abilities(spark, folder).select("id_gd", "element_type", "text"), "id_gd").repartition("order_key")
+    ability = F.struct(F.struct("l_suppkey", F.col("id_gd").alias("l_partkey")).alias("at"), "id_gd", "element_type", "text")
     on = lambda test: F.array_sort(F.collect_list(F.when(test, ability))).cast(kind)
-    held = lines.groupBy(F.col("card_index").alias("order_key")).agg(*(on(F.col("line") == g).alias(g) for g in LINES.values()), on(F.col("line").isNull()).alias("rest"))
+    held = lines.groupBy("order_key").agg(*(on(F.col("n") == i).alias(g) for i, g in LINES.items()), on(F.col("n").isNull() | ~F.col("n").isin(*LINES)).alias("rest"))
     display = lambda c: F.struct(F.struct(F.transform(F.coalesce(c, F.array().cast(kind)), atom).alias("cardEffectElements")).alias("cardEffect"))
 
     def element(name: str, value: Column, displays: Column | None = None) -> Column:
@@ -116,7 +119,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     nation = read(spark, folder, "nation").select(F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("family_number"), "n_name")
     word = lambda locale, name: (F.lit(locale), F.struct(F.lit(locale).alias("locale"), name.alias("name")))
     letters = _lookup({i + 1: s for i, s in enumerate([*SEGMENTS.values(), "YZ"])}, F.col("faction_code"))
-    cards_ = numbered_cards(spark, folder).join(held, "order_key", "left").join(nation, "family_number")
+    cards_ = stored(numbered_cards(spark, folder)).join(held, "order_key", "left").join(F.broadcast(nation), "family_number")
     body = F.struct(
         F.col("n_name").alias("name"), F.create_map(*word("fr_FR", F.concat(F.lit("Éc"), "n_name", F.lit("ôt")))).alias("translations"), F.struct(F.lit("someone").alias("nickName")).alias("illustrator"),
         F.struct(F.col("source_set").alias("reference"), F.col("source_set").alias("name")).alias("cardSet"), F.struct(F.coalesce(letters, F.lit("?")).alias("reference")).alias("mainFaction"), F.array(*elements).alias("cardElements"),

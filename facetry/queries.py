@@ -15,7 +15,7 @@ from facetry.plans.request import Request, Slot, Stat
 from facetry.sources import store
 from facetry.sources.cards import discovered
 from facetry.sources.ranged import Ranged, start_rank, write_ranged
-from facetry.sources.scratch import scratch
+from facetry.sources.scratch import scratch, tidy, unsorted
 from facetry.streaming.arrivals import ticks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -546,7 +546,13 @@ def _once(spark, d, name: str, write: Callable[[str], None]) -> str:
 
 
 def _documents(spark, d) -> DataFrame:
-    return spark.read.parquet(_once(spark, d, "documents", lambda path: adapter.documents(spark, d).write.parquet(path)))
+    return spark.read.parquet(_once(spark, d, "documents", lambda path: _write_documents(spark, d, path)))
+
+
+def _write_documents(spark, d, path: str) -> None:
+    # By set, as merges build each set by itself.
+    with tidy(spark), unsorted(spark, len(_ORDER)):
+        adapter.documents(spark, d).write.partitionBy("source_set").option("compression", "zstd").parquet(path)
 
 
 def _built(spark, d, collapse: bool = True) -> dict[str, DataFrame]:
@@ -680,7 +686,7 @@ def discover_limit(spark, d):
 # A published index, and the engine over it.
 
 def _root(spark, d) -> str:
-    return _once(spark, d, "index", lambda root: store.publish(_built(spark, d), root, 1, PART))
+    return _once(spark, d, "index", lambda root: store.publish(_built(spark, d), root, 1, PART, ("occurrences",)))
 
 
 def _most_held(engine: Engine, kind: str, n: int = 12) -> tuple[int, ...]:
@@ -785,7 +791,7 @@ def _merged_published(spark, d) -> dict[str, DataFrame]:
 
     def write(root: str) -> None:
         for s in _ORDER:
-            store.publish(ingest.build(_documents(spark, d).where(F.col("source_set") == s)), f"{root}/{s}", 1, PART)
+            store.publish(ingest.build(_documents(spark, d).where(F.col("source_set") == s)), f"{root}/{s}", 1, PART, ("occurrences",))
 
     root = _once(spark, d, "sets", write)
     return merging.merged({s: store.load(spark, f"{root}/{s}") for s in _ORDER})

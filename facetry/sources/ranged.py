@@ -13,28 +13,37 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from facetry.sources.scratch import stored, tidy
+
 #: Rows of a part, about.
 ROWS = 1 << 20
+#: Rows that a task sorts, about, where parts are smaller; and the most parts that one task's numbers leave room for.
+TASK_ROWS, STRIDE = 1 << 17, 1 << 20
 
 
-def write_ranged(table: DataFrame, path: str, by: Sequence[str], rows: int = ROWS) -> None:
+def write_ranged(table: DataFrame, path: str, by: Sequence[str], rows: int = ROWS, again: bool = False) -> None:
     """Writes ``table`` below ``path`` and its directory below ``path``_parts. The first column of ``by`` is the key; further
     ones order equal keys and let a key of many rows go on from part to part. A null key is in no directory entry's range,
-    but counts among the rows of its part, where it comes first."""
-    # Counted, sampled for the ranges, and written: kept between, on disk where it outgrows memory.
-    table = table.persist()
-    n = table.count()
-    if n:
-        # The parts' order is part of the sort, so that the writer adds no sort of its own.
-        dealt = table.repartitionByRange(-(-n // rows), *by).withColumn("part", F.spark_partition_id()).sortWithinPartitions("part", *by)
-        dealt.write.mode("overwrite").option("compression", "zstd").partitionBy("part").parquet(path)
-    else:
-        table.withColumn("part", F.lit(0)).coalesce(1).write.mode("overwrite").parquet(path)
-    table.unpersist()
-    held = table.sparkSession.read.parquet(path).select(by[0], "part")
-    sizes = held.groupBy("part").agg(F.min(by[0]).alias("least"), F.max(by[0]).alias("most"), F.count(F.lit(1)).alias("rows"))
-    before = F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    sizes.withColumn("before", F.coalesce(before, F.lit(0))).coalesce(1).write.mode("overwrite").parquet(f"{path}_parts")
+    but counts among the rows of its part, where it comes first. ``again``: the table is cheap to compute again.
+
+    A task sorts one range of keys and cuts it into parts, so that small parts don't need a task each."""
+    spark = table.sparkSession
+    # Counted, sampled for the ranges, and written.
+    table = table if again else stored(table)
+    with tidy(spark):
+        n = table.count()
+        if n:
+            tasks = -(-n // max(rows, TASK_ROWS))
+            place = F.monotonically_increasing_id()
+            part = F.shiftright(place, 33) * STRIDE + F.floor(place.bitwiseAND((1 << 33) - 1) / rows)
+            dealt = table.repartitionByRange(tasks, *by).sortWithinPartitions(*by).withColumn("part", part)
+            dealt.write.mode("overwrite").option("compression", "zstd").partitionBy("part").parquet(path)
+        else:
+            table.withColumn("part", F.lit(0)).coalesce(1).write.mode("overwrite").parquet(path)
+        held = spark.read.parquet(path).select(by[0], "part")
+        sizes = held.groupBy("part").agg(F.min(by[0]).alias("least"), F.max(by[0]).alias("most"), F.count(F.lit(1)).alias("rows"))
+        before = F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+        sizes.withColumn("before", F.coalesce(before, F.lit(0))).coalesce(1).write.mode("overwrite").parquet(f"{path}_parts")
 
 
 @dataclass(frozen=True)

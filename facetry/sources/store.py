@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Collection
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from facetry.operators.filters import indices_of
 from facetry.operators.ingest import manifest
 from facetry.operators.summaries import faction_counts, stat_histogram
 from facetry.sources.ranged import ROWS, Ranged, write_ranged
+from facetry.sources.scratch import tidy
 
 POINTER = "version long, span long, card_count long, built_at long"
 #: Tables that are written as they are, those in parts with the columns of their order, and the counts that merges add up.
@@ -20,15 +22,21 @@ PARTED = {"cards": ("card_index",), "occurrences": ("id_gd", "card_index")}
 SUMMARIES = ("stat_counts", "faction_counts", "manifest")
 
 
-def publish(index: dict[str, DataFrame], root: str, version: int, rows: int = ROWS) -> None:
+def publish(index: dict[str, DataFrame], root: str, version: int, rows: int = ROWS, again: Collection[str] = ()) -> None:
     """Writes all tables of a version, then the pointer: readers see a version only when it is whole. Cards are written in
     parts by their index and occurrences by ability, ``rows`` a part, each with a directory, so that lookups open
-    only the parts they need. Summaries that the index doesn't bring are counted."""
+    only the parts they need. Summaries that the index doesn't bring are counted. ``again``: names of tables in parts that
+    are cheap to compute again."""
+    with tidy(index["cards"].sparkSession):
+        _publish(index, root, version, rows, again)
+
+
+def _publish(index: dict[str, DataFrame], root: str, version: int, rows: int, again: Collection[str]) -> None:
     place = f"{root}/v={version}"
     for name in PLAIN:
         index[name].write.mode("overwrite").option("compression", "zstd").parquet(f"{place}/{name}")
     for name, by in PARTED.items():
-        write_ranged(index[name], f"{place}/{name}", by, rows)
+        write_ranged(index[name], f"{place}/{name}", by, rows, name in again)
     cards = Ranged.read(index["cards"].sparkSession, f"{place}/cards", PARTED["cards"]).table()
     counted = {"stat_counts": lambda: stat_histogram(cards), "faction_counts": lambda: faction_counts(cards), "manifest": lambda: manifest(index)}
     for name in SUMMARIES:
@@ -49,15 +57,16 @@ def latest(spark: SparkSession, root: str) -> dict | None:
     return row.asDict() if row else None
 
 
-def load(spark: SparkSession, root: str, version: int | None = None) -> dict[str, DataFrame]:
-    """The tables of a version, the newest if none is named; fails if spans don't add up."""
+def load(spark: SparkSession, root: str, version: int | None = None, parted: dict[str, Ranged] | None = None) -> dict[str, DataFrame]:
+    """The tables of a version, the newest if none is named; fails if spans don't add up. ``parted``: what :func:`ranged`
+    has given, so that folders are listed once."""
     if version is None:
         pointer = latest(spark, root)
         if pointer is None:
             raise NotFound(f"no published index below {root}")
         version = pointer["version"]
     index = {name: spark.read.parquet(f"{root}/v={version}/{name}") for name in (*PLAIN, *SUMMARIES)}
-    parted = ranged(spark, root, version)
+    parted = parted or ranged(spark, root, version)
     span = index["families"].agg(F.coalesce(F.sum("max_unique_id"), F.lit(0))).first()[0]
     most = parted["cards"].parts.agg(F.max("most")).first()[0]
     if most is not None and most >= span:
