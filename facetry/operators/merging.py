@@ -9,7 +9,8 @@ from facetry.errors import InvalidData
 from facetry.functions.references import family_order
 from facetry.operators import summaries
 from facetry.operators.aliases import united
-from facetry.operators.ingest import aliases_of, collapsed, duplicates_of, posting_counts, remapped_slots
+from facetry.operators.ingest import aliases_of, duplicates_of, lazy, masked, posting_counts, remapped_slots, unmasked
+from facetry.sources.scratch import settled, stored
 
 Index = dict[str, DataFrame]
 
@@ -38,11 +39,11 @@ def layout(families: DataFrame, groups: dict[str, int]) -> DataFrame:
 
 def moved(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Rows with (source_set, card_index) with the merged index; rows outside the plan's spans go. Spans are cut at a grid,
-    so the join has a key."""
+    so the join has a key; the cells, one for each 4,096 places of the index, go to every task, so that no row moves."""
     grid = 4096
     end = F.col("old_start") + F.col("max_unique_id") - 1
     cells = plan.withColumn("cell", F.explode(F.sequence(F.floor(F.col("old_start") / grid), F.floor(end / grid))))
-    joined = rows.withColumn("cell", F.floor(F.col("card_index") / grid)).join(cells.drop("family_id"), ["source_set", "cell"])
+    joined = rows.withColumn("cell", F.floor(F.col("card_index") / grid)).join(F.broadcast(cells.drop("family_id")), ["source_set", "cell"])
     inside = F.col("card_index").between(F.col("old_start"), end)
     return joined.where(inside).withColumn("card_index", F.col("new_start") + F.col("card_index") - F.col("old_start")).drop("cell", "old_start", "new_start", "max_unique_id")
 
@@ -61,23 +62,24 @@ def merged(sources: dict[str, Index], collapse: bool = True) -> Index:
         if r["source_set"] not in held:
             raise InvalidData(f"a source holds families of {r['source_set']}")
         held[r["source_set"]].add(r["family_id"])
-    plan = layout(families, overlap_groups(held))
+    plan = settled(layout(families, overlap_groups(held)))
     cards = moved(tagged("cards"), plan)
-    occurrences = moved(tagged("occurrences"), plan).select("card_index", "line", "id_gd")
+    held_on = moved(tagged("occurrences"), plan)
     rank = F.array_position(F.array(*map(F.lit, names)), F.col("source_set"))
     abilities = tagged("abilities").groupBy("id_gd").agg(F.min_by("element_type", rank).alias("element_type"), F.min_by("translations", rank).alias("translations"), F.bool_or("is_main").alias("is_main"), F.bool_or("is_echo").alias("is_echo"))
+    abilities = stored(abilities) if collapse else abilities
     aliases = aliases_of(abilities) if collapse else abilities.select(F.col("id_gd").alias("alias"), F.col("id_gd").alias("canonical")).where("false")
     old = [sources[s]["aliases"].select("alias", "canonical") for s in names if "aliases" in sources[s]]
     aliases = united(_union([aliases.select("alias", "canonical"), *old]))
     # An id that is an alias in one set goes everywhere: its cards of other sets must be found by the id that stands for it.
-    occurrences = collapsed(occurrences, aliases)
-    abilities = abilities.join(posting_counts(occurrences).drop("is_main", "is_echo"), "id_gd").join(duplicates_of(aliases), F.col("id_gd") == F.col("canonical"), "left").drop("canonical")
+    masks = masked(held_on, aliases, lazy)
+    abilities = abilities.join(posting_counts(masks).drop("is_main", "is_echo"), "id_gd").join(duplicates_of(aliases), F.col("id_gd") == F.col("canonical"), "left").drop("canonical")
     starts = plan.select("source_set", "family_id", F.col("new_start").alias("start_bit"))
     families = families.drop("start_bit").join(starts, ["source_set", "family_id"])
     counts = [sources[s].get("stat_counts", summaries.stat_histogram(sources[s]["cards"])) for s in names]
     by_faction = [sources[s].get("faction_counts", summaries.faction_counts(sources[s]["cards"])) for s in names]
     sums = {"stat_counts": summaries.added(counts, "field", "value"), "faction_counts": summaries.added(by_faction, "faction")}
-    return {"cards": remapped_slots(cards, aliases), "families": families, "occurrences": occurrences, "abilities": abilities, "aliases": aliases, **sums}
+    return {"cards": remapped_slots(cards, aliases), "families": families, "occurrences": unmasked(masks), "abilities": abilities, "aliases": aliases, **sums}
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -89,11 +91,11 @@ def _union(tables: list[DataFrame]) -> DataFrame:
 
 def deduplicated(index: Index) -> Index | None:
     """The index with abilities of equal text collapsed; None if there is nothing to collapse."""
-    aliases = aliases_of(index["abilities"])
+    texts = stored(index["abilities"].select("id_gd", "element_type", "translations"))
+    aliases = stored(aliases_of(texts))
     if not aliases.head(1):
         return None
     every = united(_union([index["aliases"].select("alias", "canonical"), aliases.select("alias", "canonical")]))
-    occurrences = collapsed(index["occurrences"], every)
-    counts = posting_counts(occurrences)
-    abilities = index["abilities"].select("id_gd", "element_type", "translations").join(counts, "id_gd").join(duplicates_of(every), F.col("id_gd") == F.col("canonical"), "left").drop("canonical")
-    return index | {"cards": remapped_slots(index["cards"], every), "occurrences": occurrences, "abilities": abilities, "aliases": every}
+    masks = masked(index["occurrences"], every, lazy)
+    abilities = texts.join(posting_counts(masks), "id_gd").join(duplicates_of(every), F.col("id_gd") == F.col("canonical"), "left").drop("canonical")
+    return index | {"cards": remapped_slots(index["cards"], every), "occurrences": unmasked(masks), "abilities": abilities, "aliases": every}
